@@ -270,10 +270,20 @@ def _ranks(data: bytes) -> Ranks:
     return _RANKS[0][1]
 
 
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", digests: bool = False) -> DataFrame:
-    """``docs`` with one more column ``bpe``: a struct of ids (array of int) and offsets (array
-    of int, where each piece begins in the text's bytes); or with ``digests`` of n_tokens,
-    ids_sha256 and decoded_sha256, after decoding the ids again.
+#: What ``encode`` can return for a text, with Arrow and SQL types.
+FIELDS = {
+    "n_tokens": (pa.int64(), "bigint"),
+    "ids": (pa.list_(pa.int32()), "array<int>"),
+    "offsets": (pa.list_(pa.int32()), "array<int>"),
+    "ids_sha256": (pa.string(), "string"),
+    "decoded_sha256": (pa.string(), "string"),
+}
+
+
+def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", fields: tuple[str, ...] = ("ids", "offsets"), to: str = "bpe") -> DataFrame:
+    """``docs`` with one more column ``to``, a struct of ``fields``: the ids, the offsets (where
+    each piece begins in the text's bytes), their number, the digest of the ids as
+    little-endian 32-bit numbers, and that of the bytes which the ids decode to.
 
     The rank file (under 1 MB, a fixed table) is read by the driver and broadcast.
     """
@@ -282,21 +292,24 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", digests: bo
 
     def kernel():
         ranks = _ranks(sent.value)
+        hexed = lambda b: hashlib.sha256(b).hexdigest()
+        make = {
+            "n_tokens": lambda i, o: len(i) // 4,
+            "ids": lambda i, o: np.frombuffer(i, "<i4"),
+            "offsets": lambda i, o: o.astype(np.int32),
+            "ids_sha256": lambda i, o: hexed(i),
+            "decoded_sha256": lambda i, o: hexed(ranks.decode(i)),
+        }
 
         def work(texts: list[str]) -> dict[str, list]:
             got = ranks.encode(texts)
-            if digests:
-                hexed = lambda b: hashlib.sha256(b).hexdigest()
-                return {"n_tokens": [len(i) // 4 for i, _ in got], "ids_sha256": [hexed(i) for i, _ in got], "decoded_sha256": [hexed(ranks.decode(i)) for i, _ in got]}
-            return {"ids": [np.frombuffer(i, "<i4") for i, _ in got], "offsets": [o.astype(np.int32) for _, o in got]}
+            return {f: [make[f](i, o) for i, o in got] for f in fields}
 
         return work
 
-    if digests:
-        udf = text_udf(kernel, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-    else:
-        udf = text_udf(kernel, {"ids": pa.list_(pa.int32()), "offsets": pa.list_(pa.int32())}, "struct<ids:array<int>,offsets:array<int>>")
-    return docs.withColumn("bpe", udf(F.col(text_col)))
+    ddl = ",".join(f"{f}:{FIELDS[f][1]}" for f in fields)
+    udf = text_udf(kernel, {f: FIELDS[f][0] for f in fields}, f"struct<{ddl}>")
+    return docs.withColumn(to, udf(F.col(text_col)))
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
