@@ -1 +1,3 @@
-"""Queries and their registry."""
+"""Queries, each with the SQL that must give the same rows.  Importing a module registers its queries."""
+
+from aeolith.plans import complementary, contracts, correction, diagnosis, energy, ensembles, figures, grids, national, statistics, textual, trending  # noqa: F401

@@ -45,7 +45,7 @@ def month_coverage(spark, sf_dir):
     return contracts.month_coverage(d, ["model", "experiment"], FIRST, LAST)
 
 
-@query(f"""WITH {_INV} SELECT model, experiment, ym, place FROM (SELECT *, row_number() OVER (PARTITION BY model, experiment, ym ORDER BY place) AS k FROM iv) WHERE k = 1""")
+@query(f"""WITH {_INV} SELECT model, experiment, ym::INT AS ym, place FROM (SELECT *, row_number() OVER (PARTITION BY model, experiment, ym ORDER BY place) AS k FROM iv) WHERE k = 1""")
 def month_dedup(spark, sf_dir):
     return contracts.first_of_month(inventory(spark, sf_dir), ["model", "experiment"], ["place"]).select("model", "experiment", "ym", "place")
 
