@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from aeolith.llm.common import text_udf
 
 #: A worker's cache of pieces is emptied when it holds so many.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 
 # Classes of code points.
 _LETTER, _NUMBER, _OTHER, _BLANK, _SPACE, _QUOTE = range(6)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to a kernel in slices of about so many characters, so memory doesn't follow a batch's size.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 #: ASCII white space: the characters that end a word.
 SPACE = r"[\x20\x09-\x0D]+"
