@@ -16,8 +16,10 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int) -> Da
     """(by, n, rho): over rows with both values; NULL with fewer than ``least``, or if one is constant."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.withColumn("__rx", average_rank(by, x)).withColumn("__ry", average_rank(by, y))
-    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("__r"), F.countDistinct("__rx").alias("__dx"), F.countDistinct("__ry").alias("__dy"))
-    return g.select(*by, "n", F.when((F.col("n") >= least) & (F.col("__dx") > 1) & (F.col("__dy") > 1), F.col("__r")).alias("rho"))
+    # not corr(), which divides by zero where a series is constant
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("__rx", "__ry").alias("__c"), (F.stddev_pop("__rx") * F.stddev_pop("__ry")).alias("__s"))
+    use = (F.col("n") >= least) & (F.col("__s") > 0)
+    return g.select(*by, "n", F.when(use, F.col("__c") / F.when(use, F.col("__s"))).alias("rho"))
 
 
 def class_from_below(rho: Column, edges: Sequence[float] = DEFAULT.complementarity_edges) -> Column:

@@ -21,10 +21,10 @@ def expected_months(groups: DataFrame, first: int, last: int) -> DataFrame:
 
 def month_issues(df: DataFrame, by: Sequence[str], first: int, last: int) -> DataFrame:
     """(by, ym, issue): missing, extra and duplicate months of each group."""
-    got = df.groupBy(*by, "ym").agg(F.count("*").alias("n"))
+    got = df.groupBy(*by, "ym").agg(F.count("*").alias("__n"))
     want = expected_months(df.select(*by).distinct(), first, last)
     row = lambda d, issue: d.select(*by, "ym", F.lit(issue).alias("issue"))
-    return row(want.join(got, [*by, "ym"], "left_anti"), "missing").unionByName(row(got.where(~F.col("ym").between(first, last)), "extra")).unionByName(row(got.where("n > 1"), "duplicate"))
+    return row(want.join(got, [*by, "ym"], "left_anti"), "missing").unionByName(row(got.where(~F.col("ym").between(first, last)), "extra")).unionByName(row(got.where("__n > 1"), "duplicate"))
 
 
 def month_coverage(df: DataFrame, by: Sequence[str], first: int, last: int) -> DataFrame:
@@ -33,10 +33,10 @@ def month_coverage(df: DataFrame, by: Sequence[str], first: int, last: int) -> D
     ``status`` reports missing before duplicate months before a wrong number;
     ``status_by_count`` the number first, and last whether rows are in order (column ``place``).
     """
-    got = df.groupBy(*by, "ym").agg(F.count("*").alias("k"))
+    got = df.groupBy(*by, "ym").agg(F.count("*").alias("__k"))
     want = expected_months(df.select(*by).distinct(), first, last)
     missing = want.join(got, [*by, "ym"], "left_anti").groupBy(*by).agg(F.count("*").alias("missing_months"), joined(F.collect_list(month_label(F.col("ym")))).alias("missing"))
-    counts = got.groupBy(*by).agg(F.sum("k").alias("raw_months"), F.count("*").alias("unique_months"), F.count_if(F.col("k") > 1).alias("duplicate_months"))
+    counts = got.groupBy(*by).agg(F.sum("__k").alias("raw_months"), F.count("*").alias("unique_months"), F.count_if(F.col("__k") > 1).alias("duplicate_months"))
     back = df.withColumn("__d", F.col("ym") - F.lag("ym").over(Window.partitionBy(*by).orderBy("place"))).groupBy(*by).agg(F.count_if(F.col("__d") < 0).alias("out_of_order"))
     d = counts.join(back, list(by)).join(missing, list(by), "left").na.fill({"missing_months": 0, "missing": ""})
     n = last - first + 1

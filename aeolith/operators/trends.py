@@ -21,9 +21,9 @@ def _pairs(df: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame:
 def mann_kendall(df: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame:
     """(by, n, s, var_s, z): with the correction for ties, and for continuity."""
     s = _pairs(df, by, t, x).groupBy(*by).agg(F.sum(F.signum(F.col("x2") - F.col("x1"))).alias("s"))
-    ties = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("k"))
-    k = F.col("k")
-    n = ties.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(k * (k - 1) * (2 * k + 5)).alias("__ties"))
+    ties = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__k"))
+    k = F.col("__k")
+    n = ties.groupBy(*by).agg(F.sum(k).alias("n"), F.sum(k * (k - 1) * (2 * k + 5)).alias("__ties"))
     c = F.col("n")
     var = ((c * (c - 1) * (2 * c + 5)) - F.col("__ties")) / 18
     out = n.join(s, list(by)).withColumn("var_s", var)

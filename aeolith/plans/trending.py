@@ -46,10 +46,10 @@ def series_metrics(spark, sf_dir):
 
 
 @query(f"""{B}, e AS (SELECT cell, phase, {_EPS} FROM b GROUP BY ALL), p AS (SELECT DISTINCT event_type AS cell, length(event_type) % 2 * 2 - 1 AS sign FROM events)
-SELECT cell, phase, sign::INT AS published, {r('first_value - last_value')} AS decline, (first_value - last_value >= 0) = (sign >= 0) AS direction_match FROM e JOIN p USING (cell)""")
+SELECT cell, phase, sign::INT AS published, {r('first_value - last_value')} AS decline, coalesce((first_value - last_value >= 0) = (sign >= 0), FALSE) AS direction_match FROM e JOIN p USING (cell)""")
 def published_comparison(spark, sf_dir):
     """Metrics beside a small table of published values."""
     e = trends.endpoints(phases(spark, sf_dir), BY, "cycle", "value", 1, 30, 24, 5)
     p = table(spark, sf_dir, "events").select(F.col("event_type").alias("cell"), (F.length("event_type") % 2 * 2 - 1).alias("published")).distinct()
-    d = e.join(p, "cell").withColumn("direction_match", same_direction(F.col("decline"), F.col("published")))
+    d = e.join(p, "cell").withColumn("direction_match", F.coalesce(same_direction(F.col("decline"), F.col("published")), F.lit(False)))
     return out(d, [*BY, "published", "direction_match"], ["decline"])
