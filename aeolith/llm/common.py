@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeolith.ship import ship
+
 #: Texts are handed to a kernel in slices of about so many characters, so memory doesn't follow a batch's size.
 SLICE_CHARS = 1_000_000
 
@@ -43,6 +45,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage ends here,
     and a lost executor costs nothing that came before."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/aeolith-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,6 +82,7 @@ def text_udf(kernel: Callable[[], Callable[[list[str]], dict[str, list]]], field
     texts to one list for each of ``fields``.
     """
     names, types = list(fields), list(fields.values())
+    ship(SparkSession.active())
 
     @F.arrow_udf(ddl)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

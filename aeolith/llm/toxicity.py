@@ -6,14 +6,15 @@ beginnings that are far commoner in toxic documents, weighted by their log odds.
 clause transducers pass symbols on and multiply weights: negation fades what follows
 within a few words, reported speech halves what follows in the clause, a target raises an
 insult and is what makes a threat count.  They are composed into one table.  What is
-scored is a matched clause: the sum of its weighted matches.  A logistic model over a
-document's clause scores (total, greatest, share of words) gives the score from 0 to 1.
+scored is a matched clause: the sum of its weighted matches, in which a word that the text
+has matched before counts little.  A logistic model over a document's clause scores
+(total, greatest, strongest match, share of words) gives the score from 0 to 1.
 
 Learning reads labelled training rows only, at most ``TOXIC_ROWS`` toxic and
 ``CLEAN_ROWS`` other texts (those of the smallest id hashes), which bounds what is
-broadcast and sent to the driver; scoring reads every whole text.  Half of the sample
-(by the hash of the text, so copies stay together and count once) gives the lexicon, all
-of it the logistic model.
+broadcast and sent to the driver; scoring reads every whole text.  Copies in the sample,
+and most near-copies, count once (by the least hash of their shingles).  Half of the sample
+(all of a small one) gives the lexicon, all of it the logistic model.
 
 Null and empty texts match nothing and get the model's base score.  Without toxic labels
 the lexicon is empty and every score is 0.  A document with several labels counts as
@@ -31,20 +32,28 @@ from functools import cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeolith.llm.common import settle, text_udf
 
+#: With fewer toxic rows the whole sample gives the lexicon.
+SPLIT_ROWS = 1_000
 #: Bounds of the sample that the classifier is fitted on.
 TOXIC_ROWS, CLEAN_ROWS = 8_000, 16_000
-#: A lexicon entry is in so many toxic texts at least and has this log odds at least.
-LEAST_TEXTS, LEAST_ODDS = 3, 1.5
+#: A lexicon entry is in so many toxic texts at least and has this log odds at least; the
+#: evidence (log likelihood ratio, in nats, of its texts being toxic more often than others)
+#: is over the logarithm of the number of terms tried, so that few entries are there by chance.
+LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, 1.5, 12.0
 #: Candidates that come to the driver at most, best first, and entries that stay.
 CANDIDATES, ENTRIES = 20_000, 3_000
 #: Word beginnings of so many letters at least.
 LEAST_STEM = 3
 TOP_WEIGHT = 7.0
+#: What is left of a match's weight if the text has matched its word before.
+REPEATED = 0.1
+FEATURES = 5
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, WORD = range(6)
 
@@ -103,9 +112,9 @@ class Model:
 
     whole: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    mean: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
-    scale: tuple[float, ...] = (1.0, 1.0, 1.0, 1.0)
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    mean: tuple[float, ...] = (0.0,) * FEATURES
+    scale: tuple[float, ...] = (1.0,) * FEATURES
+    weights: tuple[float, ...] = (0.0,) * FEATURES
     bias: float = -50.0
 
 
@@ -142,36 +151,39 @@ class Matcher:
                     found[start] = (symbol, weight)
         return found
 
-    def clauses(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, score) of each clause with a match."""
+    def clauses(self, text: str) -> list[tuple[int, int, float, float]]:
+        """(start, end, score, strongest match) of each clause with a match."""
         low = text.lower()
         found = self.matches(low)
-        out, step = [], self.table
+        out, step, seen = [], self.table, set()
         places, at = sorted(found), 0
         while at < len(places):
             begin = max(low.rfind(c, 0, places[at]) for c in ".!?;\n") + 1
             stop = _CLAUSE_END.search(low, places[at])
             end = stop.start() if stop else len(low)
-            state, score = 0, 0.0
+            state, score, top = 0, 0.0, 0.0
             for m in _TOKEN.finditer(low, begin, end):
                 symbol, weight = found.get(m.start(), (None, 0.0))
                 if symbol is None:
                     symbol = _FIXED_SYMBOLS.get(m[0], WORD)
                 state, factor = step[state, symbol]
-                score += weight * factor
-            out.append((begin, end, score))
+                if weight:
+                    weight *= factor * (REPEATED if m[0] in seen else 1.0)
+                    seen.add(m[0])
+                    score, top = score + weight, max(top, weight)
+            out.append((begin, end, score, top))
             while at < len(places) and places[at] < end:
                 at += 1
         return out
 
-    def features(self, text: str, clauses: list[tuple[int, int, float]]) -> tuple[float, float, float, float]:
-        scores = [s for _, _, s in clauses]
+    def features(self, text: str, clauses: list[tuple[int, int, float, float]]) -> tuple[float, ...]:
+        scores = [c[2] for c in clauses]
         total, n = sum(scores), text.count(" ") + 1
-        return math.log1p(total), max(scores, default=0.0), math.log1p(100 * total / (n + 20)), math.log(n)
+        return math.log1p(total), math.log1p(max(scores, default=0.0)), max((c[3] for c in clauses), default=0.0), math.log1p(100 * total / (n + 20)), math.log(n)
 
     def score(self, features) -> np.ndarray:
         m = self.model
-        x = (np.array(features, float).reshape(-1, 4) - m.mean) / m.scale
+        x = (np.array(features, float).reshape(-1, FEATURES) - m.mean) / m.scale
         return 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights) + m.bias, -50, 50)))
 
 
@@ -198,6 +210,16 @@ def _count_terms(batches):
     yield flush()
 
 
+def _least_shingle():
+    """The least hash of a text's shingles of three words, which near-copies mostly share."""
+
+    def one(text: str) -> int:
+        w = text.lower().split()
+        return min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1
+
+    return lambda texts: {"h": [one(t) for t in texts]}
+
+
 def _lexicon(rows, n_pos: int, n_neg: int) -> tuple[dict[str, float], dict[str, float]]:
     """Entries that no other entry makes superfluous."""
     odds = {t: (math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1)), p) for t, p, n in rows}
@@ -244,14 +266,17 @@ def train(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id",
     picked = picked.select(F.col("id").alias("__id"), (F.col("toxic") > 0).alias("toxic"))
     # at most TOXIC_ROWS + CLEAN_ROWS ids are broadcast
     sample = docs.join(F.broadcast(picked), docs[id_col] == F.col("__id")).select(docs[text_col].alias("text"), "toxic")
-    sample = settle(sample.where("text is not null").withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"]), "sample")
-    half = sample.where("pmod(h, 2) = 0") if min(totals.values()) >= 200 else sample
+    least = text_udf(_least_shingle, {"h": pa.int64()}, "struct<h:bigint>")
+    sample = settle(sample.where("text is not null").withColumn("h", least("text")["h"]).dropDuplicates(["h", "toxic"]), "sample")
+    half = sample.where("pmod(h, 2) = 0") if min(totals.values()) >= SPLIT_ROWS else sample
     size = {r.toxic: r["count"] for r in half.groupBy("toxic").count().collect()}
     n_pos, n_neg = size.get(True, 0), size.get(False, 0)
     terms = half.select("text", "toxic").mapInArrow(_count_terms, "term string, pos bigint, neg bigint")
     terms = terms.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= LEAST_TEXTS)
     odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1))
-    best = terms.where(odds >= LEAST_ODDS).orderBy((odds * F.col("pos")).desc(), "term").limit(CANDIDATES)
+    p, n, share = F.col("pos"), F.col("neg"), n_pos / max(1, n_pos + n_neg)
+    evidence = p * F.log(p / (p + n) / share) + F.when(n > 0, n * F.log(F.when(n > 0, n) / (p + n) / (1 - share))).otherwise(0.0)
+    best = terms.where((odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).orderBy((odds * F.col("pos")).desc(), "term").limit(CANDIDATES)
     whole, stems = _lexicon([tuple(r) for r in best.collect()], n_pos, n_neg)
     model = Model(whole, stems)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -261,8 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id",
         return lambda texts: {"x": [list(matcher.features(t, matcher.clauses(t))) for t in texts]}
 
     udf = text_udf(kernel, {"x": pa.list_(pa.float64())}, "struct<x:array<double>>")
-    seen = sample.select("toxic", udf("text")["x"].alias("x")).collect()  # four numbers for each row of the bounded sample
-    x, y = np.array([r.x for r in seen]).reshape(-1, 4), np.array([r.toxic for r in seen], float)
+    seen = sample.select("toxic", udf("text")["x"].alias("x")).collect()  # a few numbers for each row of the bounded sample
+    x, y = np.array([r.x for r in seen]).reshape(-1, FEATURES), np.array([r.toxic for r in seen], float)
     if y.min() == y.max():
         return Model()
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -295,7 +320,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "toxi
         def work(texts: list[str]) -> dict[str, list]:
             found = [matcher.clauses(t) if t else [] for t in texts]
             features = [matcher.features(t, f) for t, f in zip(texts, found)]
-            clauses = [[{"start": a, "end": b, "score": s} for a, b, s in f] for f in found]
+            clauses = [[{"start": a, "end": b, "score": s} for a, b, s, _ in f] for f in found]
             return {"score": matcher.score(features), "clauses": clauses}
 
         return work
