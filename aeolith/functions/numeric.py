@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from aeolith.ship import ship
+
 
 #: Means of a few short decimals often end in an exact half of the last place, which engines
 #: round by the noise of their sums; results are rounded after this shift, which moves halves aside.
@@ -75,6 +77,7 @@ def student_two_sided(t: float, df: float) -> float:
 
 def correlation_p(rho: Column, n: Column) -> Column:
     """Two-sided p of a rank correlation by Student's t with n - 2 degrees of freedom."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("double")
     def p(r: pd.Series, k: pd.Series) -> pd.Series:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeolith.ship import ship
+
 # The WGS84 ellipsoid.
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 LEAST_AREA_KM2 = 1e-6
@@ -123,6 +125,7 @@ def clip_to_box(ring: Sequence[tuple[float, float]], west: float, south: float,
 
 def cell_areas(cells: DataFrame, west: str = "west", south: str = "south", east: str = "east", north: str = "north") -> DataFrame:
     """``cells`` with area_km2, the geodesic area of each box."""
+    ship(cells.sparkSession)
 
     @F.pandas_udf("double")
     def area(w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.Series:
@@ -137,6 +140,7 @@ def overlap(cells: DataFrame, rings: Sequence[Sequence[tuple[float, float]]]) ->
     ``rings`` is one boundary (outer rings; inner ones as negative by their turning sense),
     a fixed input of the domain, read by the driver.  Run it once for each distinct grid.
     """
+    ship(cells.sparkSession)
     fixed = [[tuple(p) for p in r] for r in rings]
     turn = [math.copysign(1, sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, [*r[1:], r[0]]))) for r in fixed]
     outer = turn[0] if turn else 1.0
