@@ -71,3 +71,69 @@ def read_rings(path: str) -> list[list[tuple[float, float]]]:
         for polygon in [s["coordinates"]] if s["type"] == "Polygon" else s["coordinates"]:
             rings += [[(float(x), float(y)) for x, y, *_ in ring[:-1]] for ring in polygon]
     return rings
+
+
+def read_shapefile(path: str) -> list[list[tuple[float, float]]]:
+    """Polygon rings of a .shp file; its .shx, .dbf and .prj must lie beside it."""
+    import os
+    import struct
+
+    base = path[:-4] if path.endswith(".shp") else path
+    missing = [e for e in (".shp", ".shx", ".dbf", ".prj") if not os.path.exists(base + e)]
+    if missing:
+        raise FileNotFoundError(f"{base}: no {', '.join(missing)}")
+    with open(base + ".shp", "rb") as f:
+        data = f.read()
+    rings, at = [], 100
+    while at + 12 <= len(data):
+        size = 2 * struct.unpack(">i", data[at + 4 : at + 8])[0]
+        record, at = data[at + 8 : at + 8 + size], at + 8 + size
+        if struct.unpack("<i", record[:4])[0] not in (5, 15, 25):
+            continue
+        n_parts, n_points = struct.unpack("<2i", record[36:44])
+        starts = [*struct.unpack(f"<{n_parts}i", record[44 : 44 + 4 * n_parts]), n_points]
+        xy = struct.unpack(f"<{2 * n_points}d", record[44 + 4 * n_parts : 44 + 4 * n_parts + 16 * n_points])
+        rings += [[(xy[2 * i], xy[2 * i + 1]) for i in range(a, b - 1)] for a, b in zip(starts, starts[1:])]
+    return rings
+
+
+def select_features(features: Sequence[dict], code: str, wanted: Sequence[str]) -> list[dict]:
+    """The features with these codes; each must be there exactly once."""
+    found = {w: [f for f in features if f["properties"].get(code) == w] for w in wanted}
+    wrong = {w: len(f) for w, f in found.items() if len(f) != 1}
+    if wrong:
+        raise ValueError(f"not exactly one feature: {wrong}")
+    return [f[0] for f in found.values()]
+
+
+def ingest_netcdf(spark: SparkSession, paths: Sequence[str], variables: Sequence[str], to: str, by: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """NetCDF or GRIB files as one long Parquet table (ym, by, variables), file by file on the executors.
+
+    Needs xarray with a reader of the format, which is not part of this package; months are
+    taken as year and month of the file's own calendar.
+    """
+    try:
+        import xarray  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("reading NetCDF or GRIB needs xarray") from e
+    names = list(variables)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xarray as xr
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with xr.open_dataset(path) as ds:
+                    t = ds["time"].dt
+                    ym = (t.year * 12 + t.month - 1).values
+                    for k in range(len(ym)):
+                        grids = [ds[v].isel(time=k).transpose(*by).values.astype(float) for v in names]
+                        axes = np.meshgrid(*[ds[b].values.astype(float) for b in by], indexing="ij")
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(grids[0].size, ym[k], np.int64)), *[pa.array(a.ravel()) for a in axes], *[pa.array(g.ravel()) for g in grids]], ["ym", *by, *names])
+
+    schema = ", ".join(["ym bigint", *[f"{b} double" for b in by], *[f"{v} double" for v in names]])
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    listed.mapInArrow(run, schema).write.mode("overwrite").parquet(to)
+    return spark.read.parquet(to)

@@ -257,3 +257,32 @@ def test_stream_of_events(spark, sf, tmp_path):
     q.stop()
     got = spark.sql("select sum(n) n from windowed").collect()[0].n
     assert got == src.where("value is not null").count()
+
+
+def test_boundaries(tmp_path):
+    import json
+    import struct
+
+    ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
+    body = struct.pack("<i4d2i", 5, 0, 0, 1, 1, 1, 4) + struct.pack("<i", 0) + struct.pack("<8d", *[x for p in ring for x in p])
+    (tmp_path / "a.shp").write_bytes(bytes(100) + struct.pack(">2i", 1, len(body) // 2) + body)
+    with pytest.raises(FileNotFoundError):
+        files.read_shapefile(str(tmp_path / "a.shp"))
+    for e in (".shx", ".dbf", ".prj"):
+        (tmp_path / f"a{e}").write_bytes(b"")
+    assert files.read_shapefile(str(tmp_path / "a.shp")) == [ring[:-1]]
+    feature = {"type": "Feature", "properties": {"code": "X"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring]]}}
+    (tmp_path / "a.json").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
+    assert files.read_rings(str(tmp_path / "a.json")) == [ring[:-1]]
+    assert files.select_features([feature], "code", ["X"]) == [feature]
+    with pytest.raises(ValueError):
+        files.select_features([feature, feature], "code", ["X"])
+
+
+def test_dry_run(spark):
+    from aeolith.operators import orchestration
+
+    d = spark.range(3)
+    got = {r.check: r.issues for r in orchestration.validate({"a": d.where("id > 0"), "b": d.where("id > 5")}).collect()}
+    assert got == {"a": 2, "b": 0}
+    assert orchestration.run(d, lambda x: x.selectExpr("id * 2 id"), dry=True).collect() == d.collect()
