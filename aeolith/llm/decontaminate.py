@@ -176,8 +176,8 @@ def _merged(spans):
     return F.aggregate(F.array_sort(spans), zero, step)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one more column, ``contamination`` (replaced if there is one already)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", to: str = "contamination", **how) -> DataFrame:
+    """``docs`` with one more column ``to`` (replaced if there is one already)."""
     scans = contamination_scans(docs, benchmark, text_col, **how)
     names = [f"__scan{i}" for i in range(len(scans))]
     out = docs.select("*", *[s.alias(n) for s, n in zip(scans, names)])
@@ -193,12 +193,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     n_words = every[0]["n_words"]
     contaminated = (F.col("__n_hit") > 0) & (CONTAMINATED_PART * F.col("__n_hit") >= n_words)
     fields = {"n_words": n_words, "n_hit": F.col("__n_hit"), "items": items, "hits": F.col("__hits"), "items_sha256": F.sha2(F.concat_ws(",", items), 256), "contaminated": contaminated}
-    return out.withColumn("contamination", F.struct(*[v.alias(k) for k, v in fields.items()])).drop(*names, "__hits", "__n_hit")
+    return out.withColumn(to, F.struct(*[v.alias(k) for k, v in fields.items()])).drop(*names, "__hits", "__n_hit")
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without those that are contaminated."""
-    return decontaminate(docs, benchmark, **how).where(~F.col("contamination")["contaminated"]).drop("contamination")
+    return decontaminate(docs, benchmark, to="__found", **how).where(~F.col("__found")["contaminated"]).drop("__found")
 
 
 def _cut(text: str | None, hits: list) -> str | None:
@@ -219,5 +219,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def cut_spans(text: pa.Array, hits: pa.Array) -> pa.Array:
         return pa.array([_cut(t, h) for t, h in zip(text.to_pylist(), hits.to_pylist())], pa.string())
 
-    c = decontaminate(docs, benchmark, text_col, **how)
-    return c.withColumn(text_col, cut_spans(F.col(text_col), F.col("contamination")["hits"])).drop("contamination")
+    c = decontaminate(docs, benchmark, text_col, to="__found", **how)
+    return c.withColumn(text_col, cut_spans(F.col(text_col), F.col("__found")["hits"])).drop("__found")

@@ -182,12 +182,14 @@ def rendered(kind: Column, m: Column, s: Column) -> Column:
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with mentions replaced in their texts, and a column ``pii``: the number of
-    mentions by type (a map; empty if there are none)."""
+    mentions by type (a map; empty if there are none; a column of that name is replaced)."""
+    docs = docs.drop("pii")
     text = docs[text_col]
     has = F.coalesce(text.rlike(MENTION), F.lit(False))
     none = F.expr("cast(map() as map<string,bigint>)")
     clean = docs.where(~has).withColumn("pii", none)
-    row = F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit("second"), *docs.columns))
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    row = F.struct(F.xxhash64(*plain), F.xxhash64(F.lit("second"), *plain))
     hits = settle(docs.where(has).withColumn("__row", row).withColumn("__m", F.expr(f"regexp_extract_all({_q(text_col)}, {_lit(MENTION)}, 0)")), "hits")
     each = hits.select("__row", F.explode(F.array_distinct("__m")).alias("mention")).distinct()
     each = each.withColumn("kind", mention_type(F.col("mention")))

@@ -265,7 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id",
     picked = l.where("toxic > 0").orderBy(*order).limit(TOXIC_ROWS).unionByName(l.where("toxic <= 0").orderBy(*order).limit(CLEAN_ROWS))
     picked = picked.select(F.col("id").alias("__id"), (F.col("toxic") > 0).alias("toxic"))
     # at most TOXIC_ROWS + CLEAN_ROWS ids are broadcast
-    sample = docs.join(F.broadcast(picked), docs[id_col] == F.col("__id")).select(docs[text_col].alias("text"), "toxic")
+    own = docs.select(docs[id_col].alias("__own"), docs[text_col].alias("text"))
+    sample = own.join(F.broadcast(picked), F.col("__own") == F.col("__id")).select("text", "toxic")
     least = text_udf(_least_shingle, {"h": pa.int64()}, "struct<h:bigint>")
     sample = settle(sample.where("text is not null").withColumn("h", least("text")["h"]).dropDuplicates(["h", "toxic"]), "sample")
     half = sample.where("pmod(h, 2) = 0") if min(totals.values()) >= SPLIT_ROWS else sample

@@ -433,3 +433,18 @@ def test_pipeline_against_plain_stages(spark, sf, documents):
     docs = documents.limit(5)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == documents.columns
+
+
+def test_clashing_columns(spark, sf, documents):
+    """Stages keep columns that have the names they use inside, and read the labels' own."""
+    import corpus_pipeline
+
+    odd = documents.limit(30)
+    for name in ("toxic", "contamination", "bpe", "secrets", "pii", "id", "fp", "root", "component", "word", "n", "h", "t", "w"):
+        odd = odd.withColumn(name, F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, sf)
+        assert got.columns == odd.columns and got.where("toxic = 1 and contamination = 1 and secrets = 1").count() == got.count() > 0
+    assert pii.replace(odd.withColumn("m", F.create_map(F.lit("a"), F.lit(1))), "k").count() == 30
+    assert repeats.remove_repeats(odd).columns == odd.columns
+    assert corpus_pipeline.encode(spark, odd, sf).count() == 30
