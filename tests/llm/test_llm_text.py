@@ -120,7 +120,7 @@ def test_native_plans(documents):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf).toPandas(), c.sql(queries.SQL[name]).df()
     key = want.columns[0]
