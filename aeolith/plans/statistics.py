@@ -47,7 +47,7 @@ def qc_statistics(spark, sf_dir):
     missing = d.groupBy(*by).agg((100 * F.sum(F.when(v.isNull(), w).otherwise(0.0)) / F.sum(w)).alias("missing_percent"))
     inside = d.where((w > 0) & v.isNotNull())
     own = inside.groupBy(*by).agg(stats.weighted_share(v < 0, v, w).alias("negative_percent"), F.min(v).alias("min"), F.max(v).alias("max"))
-    q = stats.weighted_quantiles(d, by, "value", "weight", {"p01": 0.01, "median": 0.5, "p99": 0.99})
+    q = stats.weighted_quantiles(d, by, "value", "weight", {"p01": 0.01, "median": 0.5, "p99": 0.99}, bins=256)
     m = stats.weighted_moments(d, by, "value", "weight")
     return out(m.join(own, by).join(q, by).join(missing, by), by, ["missing_percent", "negative_percent", "min", "p01", "median", "mean", "std", "p99", "max"], ["n"])
 

@@ -82,6 +82,10 @@ def test_weighted_quantiles_take_a_value(spark):
     d = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 3.0, 2.0), ("a", 9.0, 0.0), ("a", None, 7.0)], "k string, x double, w double")
     q = one(stats.weighted_quantiles(d, ["k"], "x", "w", {"low": 0.25, "mid": 0.5, "high": 1.0}))
     assert (q.low, q.mid, q.high) == (1.0, 2.0, 3.0)
+    r = np.random.default_rng(9)
+    many = spark.createDataFrame([(k, float(np.round(r.lognormal(), 2)), float(r.integers(1, 5))) for k in "ab" for _ in range(400)] + [("c", 1.0, 2.0)] * 3, "k string, x double, w double")
+    points = {f"p{i}": i / 10 for i in range(11)}
+    assert sorted(stats.weighted_quantiles(many, ["k"], "x", "w", points, bins=16).collect()) == sorted(stats.weighted_quantiles(many, ["k"], "x", "w", points).collect())
 
 
 def test_moments_and_skewness(spark):
