@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unit spellings and what is allowed for each variable.
-UNIT_WORDS = (("degrees", "deg"), ("kelvin", "k"), ("watts", "w"), ("watt", "w"), ("metres", "m"), ("meters", "m"), ("seconds", "s"), ("second", "s"), ("per", "/"), ("**", ""), ("^", ""))
-ALLOWED_UNITS = {"tas": ("k", "degk"), "rsds": ("wm-2", "w/m2"), "wind": ("ms-1", "m/s")}
+# Unit spellings in the order of replacement, allowed units, and kinds of evidence.
+UNIT_WORDS = (
+    ("watts", "w"), ("watt", "w"), ("metres", "m"), ("metre", "m"), ("meters", "m"), ("meter", "m"), ("seconds", "s"), ("second", "s"),
+    ("degrees_kelvin", "kelvin"), ("degree_kelvin", "kelvin"),
+)
+ALLOWED_UNITS = {"tas": ("k", "kelvin"), "rsds": ("wm-2", "wm**-2", "wm^-2", "w/m2"), "wind": ("ms-1", "ms**-1", "ms^-1", "m/s")}
+EVIDENCE = {
+    "pvpot_2100": "reported_numeric_value", "pvpot_slope": "reported_numeric_value", "sfcwind_2100": "approximate_anchor", "sfcwind_decline": "approximate_anchor",
+    "table4_z": "reported_numeric_value", "table4_dir": "reported_numeric_value", "wpd_diff": "approximate_anchor", "table5_": "reported_numeric_value", "table3_": "reported_numeric_value",
+}
+OTHER_EVIDENCE = "reported_numeric_value"
 
 
 def normal_unit(unit: Column) -> Column:
-    """Lower case, words as symbols, no white space."""
-    out = F.lower(F.trim(unit))
+    """Lower case, words as symbols, no white space; empty for none."""
+    out = F.lower(F.trim(F.coalesce(unit, F.lit(""))))
     for a, b in UNIT_WORDS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.regexp_replace(out, r"\s+", "")

@@ -73,7 +73,7 @@ PHYSICAL_RANGE = (("tas", 150.0, 190.0, 370.0, 400.0), ("rsds", -1e-4, -1e-4, 50
 def range_severity(variable: Column, low: Column, high: Column, limits=PHYSICAL_RANGE) -> Column:
     out = F.lit(None).cast("string")
     for v, fail_low, warn_low, warn_high, fail_high in limits:
-        own = F.when((low < fail_low) | (high > fail_high), "FAIL").when((low < warn_low) | (high > warn_high), "WARNING").otherwise("PASS")
+        own = F.when(low.isNull() | high.isNull() | (low < fail_low) | (high > fail_high), "FAIL").when((low < warn_low) | (high > warn_high), "WARNING").otherwise("PASS")
         out = F.when(variable == v, own).otherwise(out)
     return out
 

@@ -59,13 +59,25 @@ def spatial_summary(cells: DataFrame, by: Sequence[str], columns: Sequence[str])
     )
 
 
-def recommend(df: DataFrame, by: Sequence[str], sensitivity: str, invalid: str, limit: float = 10.0, invalid_limit: float = 1.0) -> DataFrame:
-    """Worst and median months of a tail sensitivity, and what they suggest."""
-    g = df.groupBy(*by).agg(F.percentile(sensitivity, 0.5).alias("median_sensitivity"), F.max(sensitivity).alias("worst_sensitivity"), F.max(invalid).alias("worst_invalid"))
-    high = F.coalesce(F.col("worst_sensitivity") > limit, F.lit(False))
+# Limits in per cent, flags, bounds and suggestions.
+TAIL_LIMIT, LOWER_LIMIT = 10.0, 1.0
+FLAGS = ("HIGH", "MODERATE_OR_LOW")
+BOUNDS = ("0.05-0.95", "0.02-0.98")
+ACTIONS = {
+    "tas": "Multiplicative factors are numerically stable in kelvin; compare multiplicative and additive diagnostics",
+    "near_zero": "Use a positive floor and bounded or hybrid lower-tail treatment before multiplicative QM",
+    "other": "Bounded multiplicative QM is numerically feasible; retain a physical lower bound of zero",
+}
+
+
+def recommend(df: DataFrame, by: Sequence[str], sensitivity: str, near_zero: str, invalid: str) -> DataFrame:
+    """Worst and median months of a tail sensitivity, and what they suggest; ``by`` has the column ``variable``."""
+    g = df.groupBy(*by).agg(F.percentile(sensitivity, 0.5).alias("median_sensitivity"), F.max(sensitivity).alias("worst_sensitivity"), F.max(near_zero).alias("worst_near_zero"), F.max(invalid).alias("worst_invalid"))
+    high = F.coalesce(F.col("worst_sensitivity") > TAIL_LIMIT, F.lit(False))
+    low = (F.col("worst_near_zero") > LOWER_LIMIT) | (F.col("worst_invalid") > LOWER_LIMIT)
     return (
-        g.withColumn("flag", F.when(high, "HIGH").otherwise("LOW")).withColumn("bounds", F.when(high, "Q05-Q95").otherwise("Q02-Q98"))
-        .withColumn("action", F.when(F.col("worst_invalid") > invalid_limit, "additive at the lower tail").otherwise("none"))
+        g.withColumn("flag", F.when(high, FLAGS[0]).otherwise(FLAGS[1])).withColumn("bounds", F.when(high, BOUNDS[0]).otherwise(BOUNDS[1]))
+        .withColumn("action", F.when(F.col("variable") == "tas", ACTIONS["tas"]).when(low, ACTIONS["near_zero"]).otherwise(ACTIONS["other"]))
     )
 
 

@@ -50,8 +50,16 @@ def z_scores(df: DataFrame, base: DataFrame, by: Sequence[str], x: str) -> DataF
     return df.join(m, list(by)).withColumn("z", F.when(F.col("__std") > 0, (F.col(x) - F.col("__mean")) / F.when(F.col("__std") > 0, F.col("__std")))).drop("__mean", "__std")
 
 
+# Families of variables.
+FAMILIES = {"temperature": ("tas_c", "tcell"), "solar_pv": ("rsds", "pvpot", "performance_ratio"), "wind": ("wind", "wind_hub", "wpd")}
+
+
 def warning_family(variable: Column) -> Column:
-    return F.when(variable.isin("tas", "tas_c", "tcell"), "temperature").when(variable.isin("rsds", "pvpot", "performance_ratio"), "solar_pv").when(variable.isin("wind", "wind_hub", "wpd"), "wind")
+    """A variable of no family is its own."""
+    out = variable
+    for name, members in FAMILIES.items():
+        out = F.when(variable.isin(*members), name).otherwise(out)
+    return out
 
 
 def roll_up(events: DataFrame, model: str = "model", ym: str = "ym", variable: str = "variable", family: str = "family", run: str = "source", z: str = "z") -> DataFrame:

@@ -82,20 +82,23 @@ def distribution_diagnostics(spark, sf_dir):
 @query(f"""{A}, k AS (SELECT model, variable, month, cell, value, row_number() OVER (PARTITION BY model, variable, month, cell ORDER BY value DESC) AS k FROM al WHERE source = 'gcm' AND value IS NOT NULL),
 q AS (SELECT model, variable, month, cell, quantile_cont(value, 0.01) AS q01, quantile_cont(value, 0.99) AS q99, quantile_cont(value, 0.99) FILTER (WHERE k > 1) AS w FROM k GROUP BY ALL),
 m AS (SELECT model, variable, month, quantile_cont(CASE WHEN abs(q99) > {_FL} THEN 100 * abs(w - q99) / abs(q99) END, 0.9) AS s, 100 * avg(CASE WHEN abs(q01) <= {_FL} THEN 1.0 ELSE 0.0 END) AS i FROM q GROUP BY ALL),
-g AS (SELECT model, variable, quantile_cont(s, 0.5) AS median_sensitivity, max(s) AS worst_sensitivity, max(i) AS worst_invalid FROM m GROUP BY ALL)
-SELECT model, variable, {r('median_sensitivity')} AS median_sensitivity, {r('worst_sensitivity')} AS worst_sensitivity, {r('worst_invalid')} AS worst_invalid, CASE WHEN worst_sensitivity > 10 THEN 'HIGH' ELSE 'LOW' END AS flag,
-CASE WHEN worst_sensitivity > 10 THEN 'Q05-Q95' ELSE 'Q02-Q98' END AS bounds, CASE WHEN worst_invalid > 1 THEN 'additive at the lower tail' ELSE 'none' END AS action FROM g""")
+nz AS (SELECT model, variable, max(z) AS z FROM (SELECT model, variable, month, source, 100 * avg(CASE WHEN abs(value) <= {_FL} THEN 1.0 ELSE 0.0 END) AS z FROM al WHERE value IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT model, variable, quantile_cont(s, 0.5) AS median_sensitivity, max(s) AS worst_sensitivity, max(z) AS worst_near_zero, max(i) AS worst_invalid FROM m JOIN nz USING (model, variable) GROUP BY ALL)
+SELECT model, variable, {r('median_sensitivity')} AS median_sensitivity, {r('worst_sensitivity')} AS worst_sensitivity, {r('worst_near_zero')} AS worst_near_zero, {r('worst_invalid')} AS worst_invalid, CASE WHEN worst_sensitivity > 10 THEN '{diag.FLAGS[0]}' ELSE '{diag.FLAGS[1]}' END AS flag,
+CASE WHEN worst_sensitivity > 10 THEN '{diag.BOUNDS[0]}' ELSE '{diag.BOUNDS[1]}' END AS bounds, CASE WHEN variable = 'tas' THEN '{diag.ACTIONS['tas']}' WHEN worst_near_zero > 1 OR worst_invalid > 1 THEN '{diag.ACTIONS['near_zero']}' ELSE '{diag.ACTIONS['other']}' END AS action FROM g""")
 def recommendations(spark, sf_dir):
     by = [*_BY, "cell"]
-    d = long_form(reused(monthly(spark, sf_dir))).where("source = 'gcm'")
+    both = long_form(reused(monthly(spark, sf_dir)))
+    d = both.where("source = 'gcm'")
     full = d.groupBy(*by).agg(F.percentile("value", 0.01).alias("q01"), F.percentile("value", 0.99).alias("q99"))
     less = stats.without_greatest(d, by, "value").groupBy(*by).agg(F.percentile("value", 0.99).alias("w"))
     floor = F.when(F.col("variable") == "wind", 0.1).otherwise(1.0)
     use = F.abs("q99") > floor
     c = full.join(less, by, "left").withColumn("s", F.when(use, 100 * F.abs(F.col("w") - F.col("q99")) / F.abs(F.when(use, F.col("q99")))))
     m = c.groupBy(*_BY).agg(F.percentile("s", 0.9).alias("s"), diag.invalid_percent(F.col("q01"), floor).alias("i"))
-    g = diag.recommend(m, ["model", "variable"], "s", "i")
-    return out(g, ["model", "variable", "flag", "bounds", "action"], ["median_sensitivity", "worst_sensitivity", "worst_invalid"])
+    z = both.where("value is not null").groupBy(*_BY, "source").agg((100 * F.avg((F.abs("value") <= floor).cast("double"))).alias("z")).groupBy(*_BY).agg(F.max("z").alias("z"))
+    g = diag.recommend(m.join(z, _BY), ["model", "variable"], "s", "z", "i")
+    return out(g, ["model", "variable", "flag", "bounds", "action"], ["median_sensitivity", "worst_sensitivity", "worst_near_zero", "worst_invalid"])
 
 
 @query(f"""{A}, pm AS (SELECT model, variable, avg(value) AS m FROM al WHERE source = 'gcm' GROUP BY ALL)

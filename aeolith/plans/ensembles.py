@@ -102,7 +102,7 @@ def d_minus_b(spark, sf_dir):
 
 _Z = """nm AS (SELECT model, source, variable, ym, year, month, sum(value * weight) / sum(weight) AS v FROM al WHERE weight > 0 GROUP BY ALL),
 zb AS (SELECT model, source, variable, month, avg(v) AS m, stddev_samp(v) AS s FROM nm WHERE year <= 1997 GROUP BY ALL),
-z AS (SELECT nm.*, CASE WHEN s > 0 THEN (v - m) / s END AS z, CASE variable WHEN 'tas' THEN 'temperature' WHEN 'rsds' THEN 'solar_pv' ELSE 'wind' END AS family FROM nm JOIN zb USING (model, source, variable, month) WHERE year > 1997)"""
+z AS (SELECT nm.*, CASE WHEN s > 0 THEN (v - m) / s END AS z, CASE variable WHEN 'rsds' THEN 'solar_pv' ELSE variable END AS family FROM nm JOIN zb USING (model, source, variable, month) WHERE year > 1997)"""
 
 
 def transition(cube):

@@ -6,7 +6,7 @@ from aeolith.functions import text as tx
 from aeolith.plans.common import table
 from aeolith.plans.registry import query
 
-_UNITS = "CASE p_size % 6 WHEN 0 THEN 'Kelvin' WHEN 1 THEN 'W m-2' WHEN 2 THEN 'watts metres^-2' WHEN 3 THEN ' M S-1 ' WHEN 4 THEN 'metres per second' ELSE 'degC' END"
+_UNITS = "CASE p_size % 6 WHEN 0 THEN 'Kelvin' WHEN 1 THEN 'W m-2' WHEN 2 THEN 'watts metres**-2' WHEN 3 THEN ' M S-1 ' WHEN 4 THEN 'degrees_Kelvin' ELSE 'degC' END"
 _VAR = "CASE p_size % 3 WHEN 0 THEN 'tas' WHEN 1 THEN 'rsds' ELSE 'wind' END"
 
 
@@ -68,16 +68,15 @@ def href_extract(spark, sf_dir):
     return h.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-_PREFIX = {"src1": "read_from_figure", "src": "text_statement"}
+_ITEM = "CASE doc_id % 6 WHEN 0 THEN 'pvpot_2100_a' WHEN 1 THEN 'sfcwind_decline' WHEN 2 THEN 'table5_x' WHEN 3 THEN 'wpd_diff_1' WHEN 4 THEN 'sfcwind_21' ELSE 'other' END"
+_EVIDENCE = " ".join(f"WHEN starts_with(item, '{p}') THEN '{v}'" for p, v in tx.EVIDENCE.items())
 
 
-@query("SELECT doc_id, source, CASE WHEN source LIKE 'src1%' THEN 'read_from_figure' WHEN source LIKE 'src%' THEN 'text_statement' ELSE 'reported_numeric_value' END AS evidence, printf('Q%02d-Q%02d', (doc_id % 10)::INT, (100 - doc_id % 10)::INT) AS bounds FROM documents")
+@query(f"WITH i AS (SELECT doc_id, {_ITEM} AS item FROM documents) SELECT doc_id, item, CASE {_EVIDENCE} ELSE '{tx.OTHER_EVIDENCE}' END AS evidence, printf('Q%02d-Q%02d', (doc_id % 10)::INT, (100 - doc_id % 10)::INT) AS bounds FROM i")
 def evidence_class(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ITEM).alias("item"))
     low = (F.col("doc_id") % 10) / 100
-    return d.withColumn("evidence", tx.first_prefix(F.col("source"), _PREFIX, "reported_numeric_value")).withColumn("bounds", tx.bounds_label(low, 1 - low))
-
-
+    return d.withColumn("evidence", tx.first_prefix(F.col("item"), tx.EVIDENCE, tx.OTHER_EVIDENCE)).withColumn("bounds", tx.bounds_label(low, 1 - low))
 
 
 @query("SELECT experiment, model FROM (SELECT DISTINCT l_linestatus AS experiment, l_returnflag AS model FROM lineitem WHERE l_linestatus = 'F' INTERSECT SELECT DISTINCT 'F', l_returnflag FROM lineitem WHERE l_linestatus = 'O')")
