@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from aeolith.llm.common import settle
 
 # Patterns of mentions (Java syntax) and titles by gender.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])"
 CARD = r"(?<![0-9])[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}(?![0-9])"
@@ -39,6 +39,9 @@ _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’]+(?:[ -]\p{{Lu}}[\p{{L}}'’]+){{0,2}}"
 MENTION = "|".join((EMAIL, IP, SSN, IBAN, CARD, PHONE, NAME))
 
+#: What has digits.
+NUMBERS = "|".join((IP, SSN, IBAN, CARD, PHONE))
+
 #: Given names by script and gender, and syllables of family names by script.
 GIVEN = {
     ("latin", "m"): "Adam Bruno Carl Denis Emil Felix Georg Hugo Ivan Jonas Karl Leon Marc Noel Otto Paul Rene Simon Theo Victor".split(),
@@ -63,6 +66,12 @@ def _strings(xs) -> str:
     return "array(" + ", ".join("'" + x.replace("'", "\\'") + "'" for x in xs) + ")"
 
 
+def has_mention(text: Column) -> Column:
+    """Whether MENTION is found; the costly patterns run only where a sign that they need is there."""
+    found = (text.contains("@") & text.rlike(EMAIL)) | (text.rlike("[0-9]") & text.rlike(NUMBERS)) | text.rlike(NAME)
+    return F.coalesce(found, F.lit(False))
+
+
 def mention_type(m: Column) -> Column:
     """The type of a whole mention."""
     whole = lambda p: m.rlike(rf"^(?:{p})$")
@@ -185,7 +194,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mentions by type (a map; empty if there are none; a column of that name is replaced)."""
     docs = docs.drop("pii")
     text = docs[text_col]
-    has = F.coalesce(text.rlike(MENTION), F.lit(False))
+    has = has_mention(text)
     none = F.expr("cast(map() as map<string,bigint>)")
     clean = docs.where(~has).withColumn("pii", none)
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
