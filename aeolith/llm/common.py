@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,14 +51,6 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove what ``settle`` wrote for ``df``; nothing may read it afterwards."""
-    jvm = df.sparkSession._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
     """The texts in order, null as "", in lists of about ``limit`` characters."""
     out: list[str] = []
@@ -97,16 +89,6 @@ def text_udf(kernel: Callable[[], Callable[[list[str]], dict[str, list]]], field
     return run
 
 
-def words(text: Column) -> Column:
-    """The words of a text, split at ASCII white space; none for null."""
-    return F.expr("array()").cast("array<string>") if text is None else F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
-
-
 def crc_mod(key: Column, mod: int) -> Column:
     """crc32 of a key's text, modulo ``mod`` (a null key counts as the empty text)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % mod
-
-
-def only(columns: Iterable[str], df: DataFrame) -> DataFrame:
-    """Just these columns, so that columns of the caller can't clash with an operator's own."""
-    return df.select(*[df[c] for c in columns])

@@ -1,7 +1,5 @@
 """Query of operator 4."""
 
-from pyspark.sql import functions as F
-
 from aeolith.llm.common import table
 from aeolith.llm.quality import apply_policy, ledger
 
