@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from aeolith.operators import complementarity as comp
 from aeolith.operators.stats import weighted_mean
-from aeolith.plans.common import A, SQL_PERIOD, long_form, monthly, out, period, r, reused
+from aeolith.plans.common import A, long_form, monthly, out, r
 from aeolith.plans.complementary import _CLASS_B, _RHO, monthly_rho
 from aeolith.plans.energy import SQL_CHAIN, SQL_ENERGY_LONG, energy_long
 from aeolith.plans.ensembles import LEAST, SQL_CHANGE, _NAT, _NC, change_table, grid_change, period_grid
