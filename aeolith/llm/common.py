@@ -41,12 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/aeolith-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all that ``settle`` has written for this application; call it once results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage ends here,
     and a lost executor costs nothing that came before."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/aeolith-{uuid.uuid4().hex}/{name}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -448,3 +448,39 @@ def test_clashing_columns(spark, sf, documents):
     assert pii.replace(odd.withColumn("m", F.create_map(F.lit("a"), F.lit(1))), "k").count() == 30
     assert repeats.remove_repeats(odd).columns == odd.columns
     assert corpus_pipeline.encode(spark, odd, sf).count() == 30
+
+
+def test_commonest(spark):
+    r = np.random.default_rng(11)
+    counts = [int(x) for x in r.zipf(1.4, 3000).clip(1, 10**6)]
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "i long, c long")
+    for n in (0, 1, 50, 500, 2999, 3000, 10000):
+        got = lm.commonest(d, "c", n).collect()
+        assert len(got) <= n
+        if got:
+            least = min(x.c for x in got)
+            assert len(got) == sum(c >= least for c in counts)
+        if n >= 3000:
+            assert len(got) == 3000
+    assert lm.commonest(d.where("c < 0"), "c", 5).count() == 0
+
+
+def test_sample_stays_under_its_bounds(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 40)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 200)
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels, lambda k: F.lit(True))
+    assert model.bias > -50 and len(model.whole) < 60
+
+
+def test_scratch_can_be_removed(spark, tmp_path):
+    import os
+
+    from aeolith.llm import common
+
+    d = common.settle(spark.range(5), "five")
+    path = d.inputFiles()[0].removeprefix("file://")
+    assert d.count() == 5 and os.path.exists(path)
+    common.sweep(spark)
+    assert not os.path.exists(path)
