@@ -74,11 +74,11 @@ def bounds_comparison(spark, sf_dir):
     return out(parts[0].unionByName(parts[1]), ["bounds", "variable"], ["tail_percent", "mean"], ["n"])
 
 
-@query(f"{A}, {SQL_CHAIN}, s AS (SELECT *, CASE WHEN cell = 4 AND month = 3 THEN pvpot + 1 ELSE pvpot END AS stored FROM e) SELECT model, source, cell, ym, 'pvpot' AS variable, {r('stored')} AS stored, {r('pvpot')} AS expected FROM s WHERE abs(stored - pvpot) > 1e-4 + 1e-5 * abs(pvpot)")
+@query(f"{A}, {SQL_CHAIN}, s AS (SELECT *, CASE WHEN cell % 3 = 0 AND month = 3 THEN pvpot + 1 ELSE pvpot END AS stored FROM e) SELECT model, source, cell, ym, 'pvpot' AS variable, {r('stored')} AS stored, {r('pvpot')} AS expected FROM s WHERE abs(stored - pvpot) > 1e-4 + 1e-5 * abs(pvpot)")
 def audit_formulas(spark, sf_dir):
-    """Stored energy values are made again from their inputs; one cell is spoilt."""
+    """Stored energy values are made again from their inputs; some cells are spoilt."""
     e = energy_chain(monthly(spark, sf_dir))
-    s = e.withColumn("pvpot", F.when((F.col("cell") == 4) & (F.col("month") == 3), F.col("pvpot") + 1).otherwise(F.col("pvpot")))
+    s = e.withColumn("pvpot", F.when((F.col("cell") % 3 == 0) & (F.col("month") == 3), F.col("pvpot") + 1).otherwise(F.col("pvpot")))
     pv = performance_ratio(cell_temperature(F.col("tas") - 273.15, F.col("rsds"), F.col("wind"))) * F.col("rsds")
     i = orchestration.reconstruction_issues(s, ["model", "source", "cell", "ym"], {"pvpot": pv, "wpd": wind_power_density(F.col("wind_hub"))})
     return out(i, ["model", "source", "cell", "ym", "variable"], ["stored", "expected"])
@@ -97,11 +97,11 @@ def audit_message(spark, sf_dir):
     return orchestration.first_offenders(i, ["model", "source", "year"], 6).select("model", "source", "year", "rows")
 
 
-@query(f"{A}, h AS (SELECT cell, ym, avg(tas) AS v FROM a WHERE source = 'ref' AND year <= 1996 GROUP BY ALL), g AS (SELECT cell, ym, CASE WHEN cell = 2 THEN v + 1e-3 ELSE v END AS w FROM h) SELECT cell, ym FROM h JOIN g USING (cell, ym) WHERE NOT abs(v - w) <= 1e-6")
+@query(f"{A}, h AS (SELECT cell, ym, avg(tas) AS v FROM a WHERE source = 'ref' AND year <= 1996 GROUP BY ALL), g AS (SELECT cell, ym, CASE WHEN cell % 3 = 0 THEN v + 1e-3 ELSE v END AS w FROM h) SELECT cell, ym FROM h JOIN g USING (cell, ym) WHERE NOT abs(v - w) <= 1e-6")
 def audit_shared_history(spark, sf_dir):
-    """Both methods' histories must be the same; one cell is spoilt."""
+    """Both methods' histories must be the same; some cells are spoilt."""
     h = monthly(spark, sf_dir).where("source = 'ref' and year <= 1996").groupBy("cell", "ym").agg(F.avg("tas").alias("v"))
-    g = h.withColumn("v", F.when(F.col("cell") == 2, F.col("v") + 1e-3).otherwise(F.col("v")))
+    g = h.withColumn("v", F.when(F.col("cell") % 3 == 0, F.col("v") + 1e-3).otherwise(F.col("v")))
     return orchestration.shared_part_issues(h, g, ["cell", "ym"], "v").select("cell", "ym")
 
 
