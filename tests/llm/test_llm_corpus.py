@@ -333,6 +333,22 @@ def test_training_lowers_the_loss():
     assert after < 0.3 * before
 
 
+def test_training_windows_spread(spark):
+    texts = [" ".join(f"t{d}w{i}" for i in range(n)) for d, n in enumerate([300] * 60 + [6000])]
+    sub = lm.Subwords(open(RANKS, "rb").read())
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = lm.gather(d, spark.sparkContext.broadcast(open(RANKS, "rb").read()), "text").where("ids is not null").collect()
+    assert len(rows) == 60 + 10 and all(len(r.ids) <= lm.WINDOW + 1 for r in rows)
+    said = [sub.encoding.decode([i for i in r.ids if i >= 0]) for r in rows]
+    middle = [int(m) for s in said for m in re.findall(r"t\d+w(\d+) ", s) if not s.split()[-1].startswith("t60")]
+    assert min(middle) < 32 and max(middle) > 268 and any(100 < m < 200 for m in middle)
+    assert any(r.ids[0] == -1 for r in rows) and any(r.ids[-1] == -1 for r in rows)
+    # whole windows are within their blocks, or reach into them
+    for n in (0, 1, 31, 32, 33, 600, 601, 1700):
+        at = lm.places(b"some text", n)
+        assert len(at) == max(1, -(-n // 600)) and all(0 <= a <= max(0, n - lm.WINDOW) for a in at)
+
+
 def test_subwords_in_bulk():
     sub = lm.Subwords(open(RANKS, "rb").read())
     some = [b"the", b"x" * 1000, b"a", "éà漢".encode(), b"th" * 30, b"y" * 401, b"end."]
