@@ -1,22 +1,26 @@
-"""Substring dedup by content-defined chunking.
-
-A gear rolling hash over a text's bytes (16 bits, so it forgets all but the last 16 bytes)
-cuts where it falls below a threshold, at least ``LEAST`` and at most ``MOST`` bytes after
-the last cut.  The cuts follow the content, so text inserted before a passage moves its
-chunks but doesn't change them.  A chunk is known by a 96-bit digest.  Digests are counted
-(partial aggregation first, so a passage in very many documents costs a task one row);
-those that occur more than once are joined back to their chunks.
-
-A chunk is a repeat where its digest has an occurrence in a document with a smaller id;
-the copy in the smallest id stays.  Repeats next to one another form a span, which is
-reported if it has at least ``SPAN_WORDS`` words in ``SPAN_CHUNKS`` chunks.  A passage of
-over 50 words holds such a span wherever it stands; its edges, on average under one
-chunk, are not part of the span.
-
-Offsets are bytes of the UTF-8 text, end exclusive.  Null and empty texts have no chunks.
-Rows with a null id never count as the first copy unless all ids of a digest are null.
+"""Substring dedup: each stretch of ``SPAN_WORDS`` (51) words or more that occurs before.
+
+A word is in a repeated span if and only if it is in a window of 51 whole words (the text's
+bytes from the first to the last) that a document with a smaller id holds.  No window is
+left out, and edges are exact to the word:
+
+1. Each window belongs to its least 26-word shingle (by hash, the leftmost), its anchor, so
+   equal windows have equal anchors wherever they stand.  The windows of one anchor are
+   neighbours: one row holds them all, with a digest of the stretch that they cover.
+2. Rows are counted by anchor (partial aggregation first, so a passage in very many documents
+   costs a task one row).  If all rows of an anchor have one stretch, all their windows
+   occur in each, and the smallest id has the first copy.
+3. Where an anchor has several stretches (at the edges of passages), one row of each stretch
+   is looked up in its text, and its windows are compared one by one, by 128-bit digests.
+
+Windows that follow one another without a gap form a span; spans of one text can overlap, if
+the passages do.  A span's windows may have their first copies in several documents.
+
+Offsets are bytes of the UTF-8 text, end exclusive.  Texts of fewer words have no spans.
+Rows with a null id never count as the first copy unless all ids of a window are null.
 Rows with the same id share their spans, if they are equal; texts under one id that differ
 are cut by the spans of all of them, so ids should be unique.
+``chunk`` and what it needs cut texts by content; ``repeats`` doesn't use them any more.
 """
 
 from __future__ import annotations
@@ -32,7 +36,12 @@ from pyspark.sql import functions as F
 from aeolith.llm.common import settle, slices
 
 LEAST, MEAN_MORE, MOST = 24, 24, 192
-SPAN_WORDS, SPAN_CHUNKS = 15, 2
+#: A repeat has over 50 words.
+SPAN_WORDS = 51
+#: Windows whose anchors are sought at once.
+BLOCK = 50_000
+#: Anchors with more rows are broadcast, so that one passage's rows aren't one task's.
+HEAVY = 4_000
 _REACH = 16
 _DIGEST_SEED = 5
 
@@ -99,8 +108,63 @@ def chunk(texts: list[str]) -> list[tuple[list[int], list[int], bytes]]:
     return out
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, seq, start, stop, words, d1, d2): one row for each chunk."""
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_CODE = np.random.default_rng(20240612).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64))), dtype=np.uint64)
+    return _POWERS
+
+
+def word_bounds(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a buffer with a blank at both ends begin and end."""
+    blank = _BLANK[buffer]
+    return np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+
+
+def stretches(texts: list[str], span: int = SPAN_WORDS) -> tuple[np.ndarray, ...]:
+    """(text, pos, n, start, stop, h, d): for each anchor the first of its windows (by word), how
+    many there are, the bytes that they cover, and hashes of the anchor and of those bytes."""
+    raws = [t.encode("utf-8", "replace") for t in texts]
+    flat = b" ".join([b"", *raws, b""])
+    buffer = np.frombuffer(flat, np.uint8)
+    begin, end = word_bounds(buffer)
+    origin = 1 + np.cumsum([0, *[len(r) + 1 for r in raws]])[:-1]
+    owner = np.searchsorted(origin, begin, side="right") - 1
+    size = (span + 1) // 2
+    width = span - size + 1
+    n = len(begin) - span + 1
+    window = np.flatnonzero(owner[:n] == owner[span - 1 :]) if n > 0 else np.zeros(0, np.int64)
+    if not len(window):
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
+    up, down = _powers(len(buffer) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE[buffer] * up[: len(buffer)], dtype=np.uint64)))
+    first = begin[: len(begin) - size + 1]
+    h = (sums[end[size - 1 :]] - sums[first]) * down[first]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    views = np.lib.stride_tricks.sliding_window_view(h, width)
+    anchor = window + np.concatenate([views[window[k : k + BLOCK]].argmin(1) for k in range(0, len(window), BLOCK)])
+    # an anchor's windows follow one another
+    at = np.flatnonzero(np.diff(anchor, prepend=-1))
+    count = np.diff(np.append(at, len(window)))
+    a = window[at]
+    start, stop = begin[a], end[a + count + span - 2]
+    d = np.frombuffer(b"".join([xxhash.xxh3_64_digest(flat[x:y], _DIGEST_SEED) for x, y in zip(start.tolist(), stop.tolist())]), np.int64)
+    text = owner[a]
+    words_before = np.searchsorted(owner, np.arange(len(texts)))
+    return text, a - words_before[text], count, start - origin[text], stop - origin[text], h[anchor[at]].view(np.int64), d
+
+
+def anchors(docs: DataFrame, span: int = SPAN_WORDS) -> DataFrame:
+    """(id, pos, n, start, stop, h, d) of ``docs`` (id, text): one row for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,39 +172,82 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for texts in slices(batch.column(1)):
                 ids = batch.column(0).slice(at, len(texts))
                 at += len(texts)
-                got = chunk(texts)
-                sizes = np.array([len(e) for e, _, _ in got], np.int64)
-                if not sizes.sum():
-                    continue
-                digests = np.frombuffer(b"".join(d for _, _, d in got), np.int64).reshape(-1, 2)
-                stop = np.concatenate([np.array(e, np.int32) for e, _, _ in got])
-                first = np.cumsum(sizes) - sizes
-                start = np.concatenate(([0], stop[:-1])).astype(np.int32)
-                start[first[sizes > 0]] = 0
-                seq = np.arange(len(stop)) - np.repeat(first, sizes)
-                words = np.concatenate([np.array(w, np.int32) for _, w, _ in got])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.repeat(np.arange(len(texts)), sizes))), pa.array(seq.astype(np.int32)), pa.array(start), pa.array(stop), pa.array(words), pa.array(digests[:, 0]), pa.array(digests[:, 1].astype(np.int32))],
-                    ["id", "seq", "start", "stop", "words", "d1", "d2"],
-                )
+                text, pos, n, start, stop, h, d = stretches(texts, span)
+                if len(text):
+                    ints = [pa.array(x.astype(np.int32)) for x in (pos, n, start, stop)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), *ints, pa.array(h), pa.array(d)], ["id", "pos", "n", "start", "stop", "h", "d"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, pos int, n int, start int, stop int, h bigint, d bigint")
 
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, seq int, start int, stop int, words int, d1 bigint, d2 int")
 
+def windows(asked: DataFrame, span: int = SPAN_WORDS) -> DataFrame:
+    """(id, h, d, k, start, stop, w1, w2): the windows of the stretches ``asked`` for (id, text, and
+    an array of pos, n, h, d), one by one, with bytes from the stretch's start and a digest."""
+    kind = asked.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, wanted = batch.column(1), batch.column(2)
+            rows, of, digests = [], [], []
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS, span_chunks: int = SPAN_CHUNKS) -> DataFrame:
+            def flush(ids=batch.column(0), rows=rows, of=of, digests=digests):
+                w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                cols = list(zip(*rows))
+                out = [ids.take(pa.array(of)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]], pa.array(w[:, 0]), pa.array(w[:, 1])]
+                for x in (rows, of, digests):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(out, ["id", "h", "d", "k", "start", "stop", "w1", "w2"])
+
+            for i in range(batch.num_rows):
+                raw = b" " + (texts[i].as_py() or "").encode("utf-8", "replace") + b" "
+                begin, end = (x.tolist() for x in word_bounds(np.frombuffer(raw, np.uint8)))
+                for s in wanted[i].as_py():
+                    a, last = s["pos"], s["pos"] + s["n"] + span - 2
+                    # another text under this id isn't meant
+                    if last >= len(end) or int.from_bytes(xxhash.xxh3_64_digest(raw[begin[a] : end[last]], _DIGEST_SEED), "little", signed=True) != s["d"]:
+                        continue
+                    for k in range(s["n"]):
+                        x, y = begin[a + k], end[a + k + span - 1]
+                        rows.append((s["h"], s["d"], k, x - begin[a], y - begin[a]))
+                        of.append(i)
+                        digests.append(xxhash.xxh3_128_digest(raw[x:y], _DIGEST_SEED))
+                if len(rows) > 100_000:
+                    yield flush()
+            if rows:
+                yield flush()
+
+    return asked.mapInArrow(run, f"id {kind}, h bigint, d bigint, k int, start int, stop int, w1 bigint, w2 bigint")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
     """(id, start, stop, words, first_ids): the spans of each document that occur before, with
     the ids of the first copies."""
-    every = settle(chunks(docs, id_col, text_col), "chunks")
-    shared = every.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = every.join(shared, ["d1", "d2"]).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "seq", "start", "stop", "words", "first").distinct()
-    order = Window.partitionBy("id").orderBy("seq", "start")
-    run = again.withColumn("run", F.col("seq") - F.dense_rank().over(order))
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    every = settle(anchors(src, span_words), "anchors")
+    seen = every.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("times"), (F.min("d") != F.max("d")).alias("mixed")).where("times > 1")
+    seen = settle(seen, "seen")
+    heavy, light = F.broadcast(seen.where(F.col("times") > HEAVY).drop("times")), seen.where(F.col("times") <= HEAVY).drop("times")
+    shared = every.join(heavy, "h").unionByName(every.join(heavy.select("h"), "h", "left_anti").join(light, "h"))
+    shared = settle(shared, "shared")
+    later = ~F.col("id").eqNullSafe(F.col("first"))
+    whole = shared.where(~F.col("mixed")).where(later).select("id", "pos", "n", "start", "stop", "first")
+    # one row of each stretch, the one with the smallest id, stands for all
+    mixed = shared.where("mixed").drop("mixed", "first")
+    one = mixed.groupBy("h", "d").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "pos", "n")).alias("o"))
+    places = one.groupBy("o.id").agg(F.collect_list(F.struct("o.pos", "o.n", "h", "d")).alias("places")).withColumnRenamed("id", "__id")
+    asked = src.join(places, F.col("id").eqNullSafe(F.col("__id"))).select("id", "text", "places")
+    each = settle(windows(asked, span_words), "windows")
+    first = each.groupBy("w1", "w2").agg(F.min("id").alias("first"))
+    parts = each.join(first, ["w1", "w2"]).select("h", "d", "k", F.col("start").alias("x"), F.col("stop").alias("y"), "first").distinct()
+    single = mixed.join(parts, ["h", "d"]).where(later).select("id", (F.col("pos") + F.col("k")).alias("pos"), F.lit(1).alias("n"), (F.col("start") + F.col("x")).alias("start"), (F.col("start") + F.col("y")).alias("stop"), "first")
+    again = whole.unionByName(single).distinct()
+    order = Window.partitionBy("id").orderBy("pos", "start")
+    before = F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = again.withColumn("new", F.when(F.col("pos") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     spans = run.groupBy("id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").cast("long").alias("words"), F.count("*").alias("n"), F.array_sort(F.collect_set("first")).alias("first_ids")
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max(F.col("pos") + F.col("n")) - F.min("pos") + (span_words - 1)).cast("long").alias("words"), F.array_sort(F.collect_set("first")).alias("first_ids")
     )
-    return spans.where((F.col("words") >= span_words) & (F.col("n") >= span_chunks)).select("id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "words", "first_ids")
+    return spans.select("id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "words", "first_ids")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -207,6 +207,30 @@ def test_long_repeats_are_found(documents):
         assert len(r.first_ids) > 1 or span in text[r.first_ids[0]].encode()
 
 
+def test_no_repeat_of_51_words_is_lost(spark):
+    r = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + int(c)) for c in r.integers(0, 26, r.integers(1, 8)))
+    words = lambda n: [word() for _ in range(n)]
+    texts, wanted = {}, {}
+    for k in range(250):
+        n = int(r.choice([50, 51, 52, 60, 120]))
+        passage, lead = words(n), int(r.integers(1, 40))
+        # words that differ stand at both edges
+        texts[3 * k] = [*words(int(r.integers(1, 40))), "0", *passage, "0", *words(30)]
+        texts[3 * k + 1] = [*words(lead - 1), "1", *passage, "1", *words(int(r.integers(1, 40)))]
+        # a part of the passage that is too short in a document before them doesn't hide it
+        texts[-k - 1] = [*words(20), *passage[10:45], *words(20)]
+        if n > 50:
+            wanted[3 * k + 1] = (" ".join(texts[3 * k + 1][:lead]) + " ", " ".join(passage), n)
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    got = repeats.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()
+    assert {r.id for r in got} == set(wanted) and len(got) == len(wanted)
+    for r_ in got:
+        before, passage, n = wanted[r_.id]
+        # exact to the word
+        assert (r_.start, texts[r_.id][r_.start : r_.stop], r_.words, r_.first_ids) == (len(before), passage, n, [r_.id - 1])
+
+
 def test_removing_repeats(spark, tricky, none):
     r = np.random.default_rng(3)
     passage = " ".join("".join(chr(97 + int(c)) for c in r.integers(0, 26, 6)) for _ in range(80))
