@@ -10,7 +10,10 @@ octets below 255, names script, gender (by title), number of parts and capitals.
 
 Collision checks: surrogates that two entities share, or that occur as an entity in the
 corpus or among those accepted, are derived anew with the next attempt, until none is
-left; so different entities stay different.
+left; so different entities stay different.  Where all addresses or names of a shape can be
+taken, attempts after ``KEEP`` make the local part or the family name longer, so one that is
+free is always found.  Numbers keep their length: if after ``ROUNDS`` some have no surrogate
+(nearly all numbers of that form would have to occur), an error says so.
 
 Only rows with a mention are joined, by a hash of the row; the entity table is joined, not
 broadcast.  Null texts stay null; empty texts and texts without mentions stay as they
@@ -59,6 +62,8 @@ SYLLABLES = {
     "cyrillic": "ба бел бор вал вер гор дан дор зар кал кор лан лен мар мел мор нар нов пал пет рад рос сал сен сор тал тор".split(),
     "greek": "βα βελ γαρ δαλ δορ ζερ καλ κορ λαν λεν μαρ μελ μορ ναρ νελ παλ περ ραλ ρος σαλ σεν ταλ τορ".split(),
 }
+#: Attempts that keep an address's or name's length, and all attempts.
+KEEP, ROUNDS = 4, 200
 TYPES = ("email", "ip", "ssn", "iban", "card", "phone", "name")
 
 
@@ -116,11 +121,13 @@ def surrogate(key: str) -> list[tuple[str, str]]:
     script = r"case when entity rlike '\\p{IsCyrillic}' then 'cyrillic' when entity rlike '\\p{IsGreek}' then 'greek' else 'latin' end"
     given = "case " + " ".join(f"when script = '{s}' and left(entity, 1) = '{g}' then {_strings(names)}" for (s, g), names in GIVEN.items()) + " end"
     parts = "case " + " ".join(f"when script = '{s}' then {_strings(x)}" for s, x in SYLLABLES.items()) + " end"
-    family = f"initcap(array_join(transform(sequence(1, 2 + least(attempt, 3)), j -> get(syl, cast({_draw('d', '11 * p + j', 'size(syl)')} as int))), ''))"
+    family = f"initcap(array_join(transform(sequence(1, 2 + least(attempt, 3) + greatest(0, attempt - {KEEP})), j -> get(syl, cast({_draw('d', '11 * p + j', 'size(syl)')} as int))), ''))"
     name = f"""array_join(transform(split(substring(entity, 3), '(?<=[ -])|(?=[ -])'), (w, p) ->
         case when w in (' ', '-') then w
              when p = 0 and entity rlike '^. \\\\S+[ ]' then get(names, cast({_draw('d', '40', 'size(names)')} as int))
              else {family} end), '')"""
+    # none up to KEEP attempts, then a letter more each time
+    wider = f"array_join(transform(slice(sequence(0, greatest(attempt, {KEEP})), {KEEP} + 1, greatest(0, attempt - {KEEP} + 1)), (x, j) -> chr(97 + {_draw('d', '20 + j', '26')})), '')"
     ip = f"array_join(transform(split(entity, '[.]'), (x, i) -> cast(1 + {_draw('d', 'i', '254')} as string)), '.')"
     card = _letters("substring(entity, 2, length(entity) - 2)", "d")
     return [
@@ -135,7 +142,7 @@ def surrogate(key: str) -> list[tuple[str, str]]:
         (
             "surrogate",
             f"""case kind
-            when 'email' then concat({_letters("substring_index(entity, '@', 1)", 'd')}, '@', {_letters("regexp_replace(domain, '[.][^.]+$', '')", 'dd')}, '.', substring_index(domain, '.', -1))
+            when 'email' then concat({_letters("substring_index(entity, '@', 1)", 'd')}, {wider}, '@', {_letters("regexp_replace(domain, '[.][^.]+$', '')", 'dd')}, '.', substring_index(domain, '.', -1))
             when 'ip' then {ip}
             when 'iban' then concat(left(entity, 2), {_letters("substring(entity, 3)", 'd')})
             when 'card' then concat(body, case when {_luhn('entity')} = 0 then cast(pmod(10 - {_luhn("concat(body, '0')")}, 10) as string) else cast({_draw('d', '40', '10')} as string) end)
@@ -163,8 +170,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         left = made.join(good.select("kind", "entity"), ["kind", "entity"], "left_anti")
         todo = settle(left.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), "left")
         rounds += 1
-        if todo.isEmpty() or rounds > 60:
+        if todo.isEmpty():
             break
+        if rounds >= ROUNDS:
+            kinds = {r.kind: r["count"] for r in todo.groupBy("kind").count().collect()}
+            raise RuntimeError(f"no free surrogate after {rounds} attempts for entities of these kinds: {kinds}")
         taken = taken.unionByName(good.select("kind", "surrogate"))
     out = done[0]
     for g in done[1:]:
@@ -206,9 +216,9 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     table = surrogates(each.select("kind", "entity"), key)
     new = each.join(table, ["kind", "entity"]).withColumn("new", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")))
     maps = new.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("mention", F.struct("new", "kind")))).alias("__map"))
-    done = hits.join(maps, "__row")
+    done = hits.join(maps, "__row", "left")
     gaps = F.split(F.col(text_col), MENTION, -1)
-    parts = F.zip_with(gaps, F.col("__m"), lambda g, m: F.concat(g, F.coalesce(F.expr("__map")[m]["new"], F.lit(""))))
+    parts = F.zip_with(gaps, F.col("__m"), lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(F.coalesce(F.expr("__map")[m]["new"], F.raise_error(F.lit("a mention has no surrogate")).cast("string")))))
     kinds = F.transform("__m", lambda m: F.expr("__map")[m]["kind"])
     counted = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)).cast("long"))))
     done = done.withColumn("pii", counted).withColumn(text_col, F.array_join(parts, ""))

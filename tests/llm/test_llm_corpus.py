@@ -433,6 +433,26 @@ def test_surrogates_stay_different(spark):
     assert not {(r.kind, r.surrogate) for r in s} & {(r.kind, r.entity) for r in s}
 
 
+def test_surrogates_where_a_shape_is_full(spark):
+    # all one-letter addresses of all one-letter domains occur, so none of this shape is free
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    all_ = [f"{x}@{y}.com" for x in letters for y in letters]
+    rows = [(i, f"write to {e} now") for i, e in enumerate(all_)] + [(-1, "a@b.com, c@d.com and 123-45-6789")]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "key").collect()}
+    assert len(got) == len(rows)
+    new = [re.fullmatch(r"write to ([a-z]+@[a-z]\.com) now", got[i].text)[1] for i in range(len(all_))]
+    assert len(set(new)) == len(all_) and not set(new) & set(all_)
+    of = dict(zip(all_, new))
+    assert got[-1].text.startswith(f"{of['a@b.com']}, {of['c@d.com']} and ") and dict(got[-1].pii) == {"email": 2, "ssn": 1}
+
+
+def test_no_surrogate_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    d = spark.createDataFrame([("email", f"{x}@b.com") for x in "abcdefghijklmnopqrstuvwxyz"], "kind string, entity string")
+    with pytest.raises(RuntimeError, match="email"):
+        pii.surrogates(d, "key")
+
+
 def test_surrogates_run_in_the_jvm(documents):
     plan = pii.replace(documents, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
