@@ -145,15 +145,6 @@ def test_chats(spark):
 # ---- 8
 
 
-def der(tag, *parts):
-    body = b"".join(parts)
-    n = len(body)
-    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8)) + body
-
-
-KEY = der(0x30, der(0x02, b"\x00"), der(0x30, der(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), der(0x05)), der(0x04, bytes(range(200))))
-
-
 def b64url(x):
     return base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
 
@@ -162,17 +153,82 @@ def kinds(text):
     return [k for k, _, _ in secrets.find(text)]
 
 
+def der(tag, b):
+    n = len(b)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8)) + b
+
+
+def integer(x):
+    return der(2, x.to_bytes(x.bit_length() // 8 + 1))
+
+
+RSA_OID, EC_OID, PBES2 = (der(6, bytes.fromhex(x)) for x in ("2a864886f70d010101", "2a8648ce3d030107", "2a864886f70d01050d"))
+_P, _Q = (1 << 511) + 187, (1 << 511) + 601
+PRIVATE = {
+    "rsa": der(0x30, b"".join(map(integer, (0, _P * _Q, 65537, _P - 5, _P, _Q, 3, 5, 7)))),
+    "ec": der(0x30, integer(1) + der(4, bytes(range(32))) + der(0xA0, EC_OID) + der(0xA1, der(3, b"\0\4" + bytes(64)))),
+    "dsa": der(0x30, b"".join(map(integer, (0, _P * 4 + 1, _P, 5, 7, 11)))),
+    "encrypted": der(0x30, der(0x30, PBES2 + der(0x30, b"")) + der(4, bytes(64))),
+}
+PRIVATE["pkcs8"] = der(0x30, integer(0) + der(0x30, RSA_OID + b"\5\0") + der(4, PRIVATE["rsa"]))
+_SPKI = der(0x30, der(0x30, RSA_OID + b"\5\0") + der(3, b"\0" + der(0x30, integer(_P * _Q) + integer(65537))))
+PUBLIC = {
+    "public": _SPKI,
+    "pkcs1": der(0x30, integer(_P * _Q) + integer(65537)),
+    "certificate": der(0x30, der(0x30, der(0xA0, integer(2)) + integer(77) + der(0x30, RSA_OID) + _SPKI) + der(0x30, RSA_OID) + der(3, bytes(129))),
+    "numbers": der(0x30, integer(5) + integer(6)),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(PRIVATE))
+def test_private_keys_in_every_form(kind):
+    key = PRIVATE[kind]
+    assert secrets.private_key(key) == kind and secrets.private_key(key + b"\0") is None and secrets.private_key(key[:-1]) is None
+    b = base64.b64encode(key).decode()
+    lines = "\n".join(b[i : i + 64] for i in range(0, len(b), 64))
+    for text in (f"see {b} there", f"key/{b}", f"id-{b} ", f"x:\n{lines}\nand so on", lines.replace("\n", "\r\n"), lines.replace("\n", "\n    "), b.replace("+", "-").replace("/", "_")):
+        ((_, start, end),) = [x for x in secrets.find(text) if x[0] == "der"]
+        signs = re.sub(r"\s", "", text[start:end]).replace("-", "+").replace("_", "/")
+        assert base64.b64decode(signs) == key
+    for text in (f"id-{key.hex()}", key.hex().upper()):
+        assert [text[a:b].lower() for k, a, b in secrets.find(text) if k == "der"] == [key.hex()]
+    framed = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----"
+    assert ("pem", 4, 4 + len(framed)) in secrets.find("say " + framed + " end")
+    assert "pem" in kinds(framed.replace("\n", "\\n"))  # as in JSON
+
+
+@pytest.mark.parametrize("kind", sorted(PUBLIC))
+def test_public_values_are_no_secrets(kind):
+    b = base64.b64encode(PUBLIC[kind]).decode()
+    name = "CERTIFICATE" if kind == "certificate" else "PUBLIC KEY"
+    assert not {"der", "pem"} & set(kinds(f"{b}\n-----BEGIN {name}-----\n{b}\n-----END {name}-----\n{PUBLIC[kind].hex()}"))
+
+
+def test_encrypted_frame():
+    body = base64.b64encode(bytes(range(256)) * 3).decode()
+    text = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(text) == ["pem"] and kinds(text.replace("ENCRYPTED", "CLEAR")) == []
+
+
+def test_long_texts_take_time_by_length():
+    import time
+
+    for x in ("-MIIEpAIBAA", "M", "-----BEGIN RSA PRIVATE KEY-----", "eyJ", "token ", "ab\n"):
+        began = time.time()
+        secrets.find(x * (2_000_000 // len(x)))
+        assert time.time() - began < 20
+
+
 def test_structure():
-    assert secrets.is_der(KEY) and not secrets.is_der(KEY[:-1]) and not secrets.is_der(KEY + b"x") and not secrets.is_der(b"0" * 50)
-    b = base64.b64encode(KEY).decode()
-    assert kinds(f"see {b} there") == ["der"] and kinds(KEY.hex()) == ["hex", "der"] and kinds(b[:-8]) == []
-    assert kinds(f"-----BEGIN PRIVATE KEY-----\n{b}\n-----END PRIVATE KEY-----") == ["pem", "der"]
-    assert kinds("-----BEGIN PRIVATE KEY-----\nnot a key at all\n-----END PRIVATE KEY-----") == []
     token = f"{b64url({'alg': 'HS256', 'typ': 'JWT'})}.{b64url({'sub': 1})}.c2lnbmF0dXJl"
     assert kinds(f"({token})") == ["jwt"] and kinds(token.replace("eyJ", "eyK")) == [] and kinds(f"{b64url({'x': 1})}.{b64url({'sub': 1})}.c2ln") == []
+    unsigned = token.rsplit(".", 1)[0] + "."
+    assert kinds(unsigned) == [] and kinds(f"{b64url({'alg': 'none'})}.{b64url({'sub': 1})}.") == ["jwt"]
+    assert kinds("-----BEGIN PRIVATE KEY-----\nnot a key at all\n-----END PRIVATE KEY-----") == []
     field = lambda x: len(x).to_bytes(4) + x
     ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4) + field(b"pub" * 9) + field(b"private" * 9)
     assert kinds(base64.b64encode(ssh).decode()) == ["openssh"] and kinds(base64.b64encode(ssh[:-20]).decode()) == []
+    assert "openssh" in kinds(ssh.hex().upper())
 
 
 def plain_base(text):
