@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and all runs on one
+    machine (tests) a temporary folder is made and set; on a cluster it is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="aeolith-")
@@ -102,3 +106,61 @@ def text_udf(kernel: Callable[[], Callable[[list[str]], dict[str, list]]], field
 def crc_mod(key: Column, mod: int) -> Column:
     """crc32 of a key's text, modulo ``mod`` (a null key counts as the empty text)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def commonest(df: DataFrame, c: str, n: int) -> DataFrame:
+    """The rows with the largest counts, ``n`` at most: those over a limit that a histogram of
+    the counts' logarithms gives (some thousand bins at most), so nothing is sorted or gathered."""
+    step = F.floor(16 * F.log2(F.col(c).cast("double"))).cast("int")
+    held, limit = 0, None
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        held += r["count"]
+        if held > n:
+            break
+        limit = r.step
+    return df.where(step >= limit if limit is not None else F.lit(False))
+
+
+#: Rows of the commonest keys that are broadcast, and how often a key occurs at least to be one.
+HOT_KEYS, HOT_ROWS = 50_000, 1_000
+
+
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str | list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``by_key``, which has one row for each ``key`` and, in ``n``, how many rows
+    have it; ``n`` goes.
+
+    The commonest keys, ``HOT_KEYS`` at most, are broadcast, the others shuffled, so that no
+    key's rows gather in one task.  Both are read twice: settle them before.
+    """
+    hot = commonest(by_key.where(F.col(n) >= HOT_ROWS), n, HOT_KEYS)
+    if hot.isEmpty():
+        return rows.join(by_key.drop(n), key)
+    few, rest = F.broadcast(hot.drop(n)), by_key.join(F.broadcast(hot.select(key)), key, "left_anti").drop(n)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
+_CODE = np.random.default_rng(20240612).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64))), dtype=np.uint64)
+    return _POWERS
+
+
+def words_in(blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin and end, given which bytes are blank; the first and the last are."""
+    return np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+
+
+def word_hashes(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches ``begin`` to ``end`` of a row of bytes, the same wherever they stand."""
+    up, down = _powers(len(buffer) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE[buffer] * up[: len(buffer)], dtype=np.uint64)))
+    h = (sums[end] - sums[begin]) * down[begin]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
