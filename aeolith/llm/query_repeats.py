@@ -1,5 +1,5 @@
-"""Query of operator 5: one row for each repeated span, with the document it is in and the
-documents (smallest ids) that hold the first copies."""
+"""Query of operator 5: one row for each span that a document with a smaller id holds, with the
+document it is in and the documents (smallest ids) that hold the first copies."""
 
 from pyspark.sql import functions as F
 
@@ -8,5 +8,5 @@ from aeolith.llm.repeats import repeats
 
 
 def op5_repeats(spark, sf_dir):
-    r = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    r = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), within=False)
     return r.select(F.col("id").alias("doc_id"), "start", "stop", F.col("words").alias("n_words"), "first_ids")

@@ -1,26 +1,33 @@
-"""Substring dedup: each stretch of ``SPAN_WORDS`` (51) words or more that occurs before.
-
-A word is in a repeated span if and only if it is in a window of 51 whole words (the text's
-bytes from the first to the last) that a document with a smaller id holds.  No window is
-left out, and edges are exact to the word:
-
-1. Each window belongs to its least 26-word shingle (by hash, the leftmost), its anchor, so
-   equal windows have equal anchors wherever they stand.  The windows of one anchor are
-   neighbours: one row holds them all, with a digest of the stretch that they cover.
-2. Rows are counted by anchor (partial aggregation first, so a passage in very many documents
-   costs a task one row).  If all rows of an anchor have one stretch, all their windows
-   occur in each, and the smallest id has the first copy.
-3. Where an anchor has several stretches (at the edges of passages), one row of each stretch
+"""Substring dedup: content-defined chunks by a gear rolling hash, then exact stretches.
+
+What is reported is each stretch of ``SPAN_WORDS`` (51) words or more that occurs before, in
+a document with a smaller id or (``within``) earlier in the same one.  A word is in a
+reported span if and only if it is in a window of 51 whole words (the text's bytes from the
+first to the last) that occurs before.  No window is left out, and edges are exact to the word:
+
+1. A gear hash rolls over the words (``h = (h << 16) + GEAR(word)``, so it knows the last 4).  A
+   text is cut where the hash is the least of ``REACH`` places in a row: cuts depend on the words
+   around them alone, so insertions shift no others, and of any 51 words the first 27
+   hold a cut, and the next cut lies within the 51 as well.
+2. So each window has a first whole chunk, and equal windows have equal first chunks wherever
+   they stand.  The windows of one chunk are neighbours: one row holds them all, under the
+   digest of the chunk (with the 4 words that made its cut), with a digest of the stretch
+   that they cover.
+3. Chunks are counted by digest (partial aggregation first).  If all rows of a digest have one
+   stretch, all their windows occur in each, and the least (id, place) is the first copy.
+4. Where a digest has several stretches (at the edges of passages), one row of each stretch
    is looked up in its text, and its windows are compared one by one, by 128-bit digests.
 
 Windows that follow one another without a gap form a span; spans of one text can overlap, if
-the passages do.  A span's windows may have their first copies in several documents.
-
-Offsets are bytes of the UTF-8 text, end exclusive.  Texts of fewer words have no spans.
-Rows with a null id never count as the first copy unless all ids of a window are null.
-Rows with the same id share their spans, if they are equal; texts under one id that differ
-are cut by the spans of all of them, so ids should be unique.
-``chunk`` and what it needs cut texts by content; ``repeats`` doesn't use them any more.
+the passages do.  A span's windows may have their first copies in several documents.  Rows of
+one digest, however many, don't gather in a task: the commonest digests are broadcast (a
+bounded number), and what is known of a digest is one row.
+
+Offsets are bytes of the UTF-8 text, end exclusive.  Null texts and texts of fewer words have
+no spans; long texts are read whole.  Rows with a null id count as one document, and never as
+the first copy unless all ids of a window are null.  Repeated rows share their spans; texts
+under one id that differ are cut by the spans of all of them, so ids should be unique.  An empty
+table gives no rows.  Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -33,138 +40,80 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeolith.llm.common import settle, slices
+from aeolith.llm.common import join_hot, settle, slices, word_hashes, words_in
+from aeolith.ship import ship
 
-LEAST, MEAN_MORE, MOST = 24, 24, 192
 #: A repeat has over 50 words.
 SPAN_WORDS = 51
-#: Windows whose anchors are sought at once.
+#: Words that the gear hash knows: 64 bits in steps of 16.
+GEAR_WORDS, GEAR_BITS = 4, 16
+#: Windows whose chunks are sought at once.
 BLOCK = 50_000
-#: Anchors with more rows are broadcast, so that one passage's rows aren't one task's.
-HEAVY = 4_000
-_REACH = 16
 _DIGEST_SEED = 5
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_FACTOR = 0x9E3779B97F4A7C15
 
 
-def _gear() -> np.ndarray:
-    """256 random numbers from a fixed seed; 0 for the byte 0, which separates texts."""
-    g = np.random.default_rng(20240611).integers(0, 1 << 16, 256, dtype=np.uint16)
-    g[0] = 0
-    return g
-
-
-GEAR = _gear()
-_BELOW = np.uint16(65536 // MEAN_MORE)
-
-
-def rolling(buffer: np.ndarray) -> np.ndarray:
-    """h[i] = sum of GEAR[b[i-j]] << j, modulo 2 ** 16, by doubling."""
-    h, size = GEAR[buffer], 1
-    while size < _REACH:
-        h[size:] += h[:-size] << np.uint16(size)
+def gear(words: np.ndarray) -> np.ndarray:
+    """h[i] = sum of words[i - j] << 16 j, modulo 2 ** 64, by doubling, then mixed."""
+    h, size = words.copy(), 1
+    while size < GEAR_WORDS:
+        h[size:] += h[:-size] << np.uint64(GEAR_BITS * size)
         size *= 2
-    return h
-
-
-def cuts(hits: list[int], n: int) -> list[int]:
-    """Ends of the chunks of a text of ``n`` bytes, given where its hash is below the threshold."""
-    out, last = [], 0
-    for p in hits:
-        p += 1
-        if p - last < LEAST:
-            continue
-        while p - last > MOST:
-            last += MOST
-            out.append(last)
-        if p - last >= LEAST:
-            out.append(p)
-            last = p
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    if n > last:
-        out.append(n)
-    return out
-
-
-def chunk(texts: list[str]) -> list[tuple[list[int], list[int], bytes]]:
-    """For each text: ends of its chunks, words that begin in each, and the digests, 16 bytes each."""
-    raws = [t.encode("utf-8", "replace") for t in texts]
-    gap = bytes(_REACH)
-    buffer = np.frombuffer(gap + gap.join(raws), np.uint8)
-    below = np.flatnonzero(rolling(buffer) < _BELOW)
-    space = (buffer == 32) | ((buffer >= 9) & (buffer <= 13)) | (buffer == 0)
-    starts = np.concatenate(([0], np.cumsum(~space[1:] & space[:-1])))
-    out, base, digest = [], _REACH, xxhash.xxh3_128_digest
-    for raw in raws:
-        n = len(raw)
-        lo, hi = np.searchsorted(below, (base, base + n))
-        ends = cuts((below[lo:hi] - base).tolist(), n)
-        begins = [0, *ends[:-1]]
-        digests = b"".join([digest(raw[a:b], _DIGEST_SEED) for a, b in zip(begins, ends)])
-        words = np.diff(starts[base - 1 + np.array([0, *ends], np.int64)]).tolist() if ends else []
-        out.append((ends, words, digests))
-        base += n + _REACH
-    return out
-
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(30))
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
-_CODE = np.random.default_rng(20240612).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+def reach(span: int) -> int:
+    """Places of which the least is a cut: two such rows and what the hash knows fit in a span."""
+    return max(1, (span - GEAR_WORDS + 1) // 2)
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if len(_POWERS[0]) < n:
-        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _POWERS[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64))), dtype=np.uint64)
-    return _POWERS
 
-
-def word_bounds(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a buffer with a blank at both ends begin and end."""
-    blank = _BLANK[buffer]
-    return np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+def cut_after(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Where the least hash is of the ``width`` places from each of ``at`` on (the leftmost)."""
+    views = np.lib.stride_tricks.sliding_window_view(h, width)
+    return at + np.concatenate([views[at[k : k + BLOCK]].argmin(1) for k in range(0, len(at), BLOCK)])
 
 
 def stretches(texts: list[str], span: int = SPAN_WORDS) -> tuple[np.ndarray, ...]:
-    """(text, pos, n, start, stop, h, d): for each anchor the first of its windows (by word), how
-    many there are, the bytes that they cover, and hashes of the anchor and of those bytes."""
+    """(text, pos, n, start, stop, h, d): for each chunk the first of its windows (by word), how
+    many there are, the bytes that they cover, and digests of the chunk and of those bytes."""
     raws = [t.encode("utf-8", "replace") for t in texts]
     flat = b" ".join([b"", *raws, b""])
     buffer = np.frombuffer(flat, np.uint8)
-    begin, end = word_bounds(buffer)
+    begin, end = words_in(_BLANK[buffer])
     origin = 1 + np.cumsum([0, *[len(r) + 1 for r in raws]])[:-1]
     owner = np.searchsorted(origin, begin, side="right") - 1
-    size = (span + 1) // 2
-    width = span - size + 1
     n = len(begin) - span + 1
     window = np.flatnonzero(owner[:n] == owner[span - 1 :]) if n > 0 else np.zeros(0, np.int64)
     if not len(window):
         return tuple(np.zeros(0, np.int64) for _ in range(7))
-    up, down = _powers(len(buffer) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE[buffer] * up[: len(buffer)], dtype=np.uint64)))
-    first = begin[: len(begin) - size + 1]
-    h = (sums[end[size - 1 :]] - sums[first]) * down[first]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    views = np.lib.stride_tricks.sliding_window_view(h, width)
-    anchor = window + np.concatenate([views[window[k : k + BLOCK]].argmin(1) for k in range(0, len(window), BLOCK)])
-    # an anchor's windows follow one another
-    at = np.flatnonzero(np.diff(anchor, prepend=-1))
+    words, width = word_hashes(buffer, begin, end), reach(span)
+    h = gear(words)
+    cut = cut_after(h, window + GEAR_WORDS - 1, width)
+    # a chunk's windows follow one another
+    at = np.flatnonzero(np.diff(cut, prepend=-1))
     count = np.diff(np.append(at, len(window)))
-    a = window[at]
+    a, cut = window[at], cut[at]
+    stop_word = cut_after(h, cut + 1, width)
+    # the chunk's digest, from a rolling sum over words
+    up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(words), _FACTOR, np.uint64))), dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)))
+    first = cut - GEAR_WORDS + 1
+    down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(words), pow(_FACTOR, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+    key = (sums[stop_word + 1] - sums[first]) * down[first]
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    key ^= key >> np.uint64(29)
     start, stop = begin[a], end[a + count + span - 2]
     d = np.frombuffer(b"".join([xxhash.xxh3_64_digest(flat[x:y], _DIGEST_SEED) for x, y in zip(start.tolist(), stop.tolist())]), np.int64)
     text = owner[a]
     words_before = np.searchsorted(owner, np.arange(len(texts)))
-    return text, a - words_before[text], count, start - origin[text], stop - origin[text], h[anchor[at]].view(np.int64), d
+    return text, a - words_before[text], count, start - origin[text], stop - origin[text], key.view(np.int64), d
 
 
-def anchors(docs: DataFrame, span: int = SPAN_WORDS) -> DataFrame:
-    """(id, pos, n, start, stop, h, d) of ``docs`` (id, text): one row for each anchor."""
+def chunks(docs: DataFrame, span: int = SPAN_WORDS) -> DataFrame:
+    """(id, pos, n, start, stop, h, d) of ``docs`` (id, text): one row for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +149,7 @@ def windows(asked: DataFrame, span: int = SPAN_WORDS) -> DataFrame:
 
             for i in range(batch.num_rows):
                 raw = b" " + (texts[i].as_py() or "").encode("utf-8", "replace") + b" "
-                begin, end = (x.tolist() for x in word_bounds(np.frombuffer(raw, np.uint8)))
+                begin, end = (x.tolist() for x in words_in(_BLANK[np.frombuffer(raw, np.uint8)]))
                 for s in wanted[i].as_py():
                     a, last = s["pos"], s["pos"] + s["n"] + span - 2
                     # another text under this id isn't meant
@@ -219,27 +168,33 @@ def windows(asked: DataFrame, span: int = SPAN_WORDS) -> DataFrame:
     return asked.mapInArrow(run, f"id {kind}, h bigint, d bigint, k int, start int, stop int, w1 bigint, w2 bigint")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
-    """(id, start, stop, words, first_ids): the spans of each document that occur before, with
-    the ids of the first copies."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS, within: bool = True) -> DataFrame:
+    """(id, start, stop, words, first_ids): the spans of each document that occur before, with the
+    ids of the first copies.  ``within``: also earlier in the same document (which is then its own
+    first copy); else only in documents with smaller ids."""
+    ship(docs.sparkSession)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    every = settle(anchors(src, span_words), "anchors")
-    seen = every.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("times"), (F.min("d") != F.max("d")).alias("mixed")).where("times > 1")
-    seen = settle(seen, "seen")
-    heavy, light = F.broadcast(seen.where(F.col("times") > HEAVY).drop("times")), seen.where(F.col("times") <= HEAVY).drop("times")
-    shared = every.join(heavy, "h").unionByName(every.join(heavy.select("h"), "h", "left_anti").join(light, "h"))
-    shared = settle(shared, "shared")
-    later = ~F.col("id").eqNullSafe(F.col("first"))
-    whole = shared.where(~F.col("mixed")).where(later).select("id", "pos", "n", "start", "stop", "first")
+    every = settle(chunks(src, span_words), "chunks")
+    place = lambda pos: F.struct(F.col("id").isNull().alias("none"), "id", pos.alias("pos"))
+    later = lambda pos: ~F.col("id").eqNullSafe(F.col("first.id")) | (F.lit(within) & (pos != F.col("first.pos")))
+    seen = every.groupBy("h").agg(F.min(place(F.col("pos"))).alias("first"), F.count("*").alias("times"), (F.min("d") != F.max("d")).alias("mixed")).where("times > 1")
+    shared = settle(join_hot(every, settle(seen, "seen"), "h", "times"), "shared")
+    whole = shared.where(~F.col("mixed")).where(later(F.col("pos"))).select("id", "pos", "n", "start", "stop", F.col("first.id").alias("first"))
     # one row of each stretch, the one with the smallest id, stands for all
     mixed = shared.where("mixed").drop("mixed", "first")
-    one = mixed.groupBy("h", "d").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "pos", "n")).alias("o"))
+    one = mixed.groupBy("h", "d").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "pos", "n")).alias("o"), F.count("*").alias("times"))
+    one = settle(one, "stretches")
     places = one.groupBy("o.id").agg(F.collect_list(F.struct("o.pos", "o.n", "h", "d")).alias("places")).withColumnRenamed("id", "__id")
     asked = src.join(places, F.col("id").eqNullSafe(F.col("__id"))).select("id", "text", "places")
-    each = settle(windows(asked, span_words), "windows")
-    first = each.groupBy("w1", "w2").agg(F.min("id").alias("first"))
-    parts = each.join(first, ["w1", "w2"]).select("h", "d", "k", F.col("start").alias("x"), F.col("stop").alias("y"), "first").distinct()
-    single = mixed.join(parts, ["h", "d"]).where(later).select("id", (F.col("pos") + F.col("k")).alias("pos"), F.lit(1).alias("n"), (F.col("start") + F.col("x")).alias("start"), (F.col("start") + F.col("y")).alias("stop"), "first")
+    # a stretch can have windows of its own again
+    each = windows(asked, span_words).withColumnRenamed("id", "own").join(one.select("h", "d", F.col("o.pos").alias("pos0")), ["h", "d"]).withColumnRenamed("own", "id")
+    each = settle(each, "windows")
+    first = each.groupBy("w1", "w2").agg(F.min(place(F.col("pos0") + F.col("k"))).alias("first"))
+    parts = each.join(first, ["w1", "w2"]).select("h", "d", F.struct("k", F.col("start").alias("x"), F.col("stop").alias("y"), "first").alias("w"))
+    parts = parts.groupBy("h", "d").agg(F.collect_set("w").alias("w")).join(one.select("h", "d", "times"), ["h", "d"])
+    single = join_hot(mixed, settle(parts, "parts"), ["h", "d"], "times").select("id", "pos", "start", F.explode("w").alias("w"))
+    single = single.select("id", (F.col("pos") + F.col("w.k")).alias("pos"), (F.col("start") + F.col("w.x")).alias("start"), (F.col("start") + F.col("w.y")).alias("stop"), F.col("w.first").alias("first"))
+    single = single.where(later(F.col("pos"))).select("id", "pos", F.lit(1).alias("n"), "start", "stop", F.col("first.id").alias("first"))
     again = whole.unionByName(single).distinct()
     order = Window.partitionBy("id").orderBy("pos", "start")
     before = F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
