@@ -1,30 +1,40 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
-Both sides are lower-cased (A-Z) and cut into words; every run of ``window``
-benchmark words goes into a hash set.  The set is broadcast in blocks: a block
-holds at most ``BLOCK_BYTES`` of benchmark text (measured before it is collected),
-and a larger benchmark is scanned block by block, so what is broadcast never grows
-with the data.  The scan hashes all word windows of a slice of texts at once
-(doubling: a window's hash is made from those of its halves), looks them up in a
-bitmap, and verifies each hit word for word.
-
-Null and empty texts have no words.  Benchmark items without words have no windows;
-repeated items and repeated item ids count once; a null item id is reported as "null".
+Both sides are lower-cased (A-Z) and cut into words.  Every run of ``window`` benchmark words
+becomes a rolling hash and a 128-bit digest of its text, in a table made by executors.  The
+hash set is broadcast in blocks of at most ``BLOCK_WINDOWS`` windows, whatever the benchmark's
+size or that of one item (blocks are dealt by a hash of window and item): some 30 bytes for a
+window, 60 MB for a block.  One block is scanned in one pass over the documents.  More blocks
+are scanned one after another; only one is on the driver and in a worker at a time, and
+each block's findings are written to the shared folder, then merged.
+
+The scan makes the hashes of all word windows of a slice of texts at once (doubling: a
+window's hash is made from those of its halves) from the texts' bytes, looks them up in a
+bitmap, then in the set, and verifies each hit by the digest of its words.
+
+Null and empty texts have no words; texts are scanned whole, however long.  Benchmark items
+without words have no windows; repeated items and repeated item ids count once; a null item
+id is reported as "null", and isn't the same as an item of that name.  Repeated rows
+get the same findings each.  Empty tables give no rows, or no findings.  Other columns stay,
+but for one that has the name of the result, which is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeolith.llm.common import text_udf
+from aeolith.llm.common import settle, slices, text_udf, word_hashes, words_in
+from aeolith.ship import ship
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_WINDOWS = 2_000_000
 #: Share of hit words, as 1 / CONTAMINATED_PART, from which a document counts as contaminated.
 CONTAMINATED_PART = 20
 
@@ -33,10 +43,26 @@ _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: The same words in a text that isn't lower-cased.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the bitmap for each window, at least.
+_SPARSE = 16
 
 
-def normal_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_TABLE).split()
+class Cut:
+    """The normalised words of some texts: where they are in one row of bytes, and their hashes."""
+
+    def __init__(self, texts: list[str]):
+        raws = [t.encode("utf-8", "replace").translate(_TABLE) for t in texts]
+        self.flat = b" ".join([b"", *raws, b""])
+        buffer = np.frombuffer(self.flat, np.uint8)
+        self.begin, self.end = words_in(buffer == 32)
+        self.hashes = word_hashes(buffer, self.begin, self.end)
+        stops = np.cumsum([len(r) + 1 for r in raws])
+        #: how many words there are up to the end of each text
+        self.ends = np.searchsorted(self.begin, stops, side="right") if texts else np.zeros(0, np.int64)
+
+    def digest(self, i: int, n: int) -> bytes:
+        """Of the ``n`` words from word ``i`` on, with one space between them."""
+        return xxhash.xxh3_128_digest(b" ".join(self.flat[self.begin[i] : self.end[i + n - 1]].split()))
 
 
 def _power(n: int) -> np.uint64:
@@ -67,101 +93,148 @@ def _window_hashes(h: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
+def windows_of(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(n, h, d1, d2, item) of the benchmark's windows, each once for an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(1)):
+                ids = batch.column(0).slice(at, len(texts))
+                at += len(texts)
+                cut = Cut(texts)
+                rows: list[tuple[int, int, int]] = []
+                for k, (x, y) in enumerate(zip([0, *cut.ends.tolist()], cut.ends.tolist())):
+                    n = min(window, y - x)
+                    rows += [(k, i, n) for i in range(x, y - n + 1)] if n else []
+                if not rows:
+                    continue
+                of, place, n = (np.array(c) for c in zip(*rows))
+                h = np.zeros(len(n), np.int64)
+                for size, rolled in _window_hashes(cut.hashes, sorted(set(n.tolist()))).items():
+                    own = n == size
+                    h[own] = rolled[place[own]].view(np.int64)
+                d = np.frombuffer(b"".join([cut.digest(i, k) for _, i, k in rows]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(h), pa.array(d[:, 0]), pa.array(d[:, 1]), ids.take(pa.array(of))], ["n", "h", "d1", "d2", "item"])
+
+    ship(benchmark.sparkSession)
+    b = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("t")).where("t is not null")
+    return b.mapInArrow(run, "n int, h bigint, d1 bigint, d2 bigint, item string").distinct()
+
+
 class NgramSet:
-    """The windows of a block of benchmark items, by length."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
-        for key, text in items:
-            w = normal_words(text)
-            n = min(window, len(w))
-            if n:
-                found = self.windows.setdefault(n, {})
-                for i in range(len(w) - n + 1):
-                    found.setdefault(b" ".join(w[i : i + n]), set()).add(key)
-        self.lengths = sorted(self.windows)
-        self.bits: dict[int, np.ndarray] = {}
-        for n, found in self.windows.items():
-            h = np.fromiter((hash(x) for w in found for x in w.split(b" ")), np.int64).view(np.uint64).reshape(-1, n)
-            acc = h[:, 0].copy()
-            for j in range(1, n):
-                acc = acc * _BASE + h[:, j]
-            size = 1 << max(16, (16 * len(found)).bit_length())
-            self.bits[n] = np.zeros(size, bool)
-            self.bits[n][self._slot(acc, size)] = True
+    """A block of windows, by length: sorted hashes, digests, items, and a bitmap."""
+
+    def __init__(self, block: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], names: list[str | None]):
+        self.block, self.names = block, names
+        self.lengths = sorted(block)
+        self.bits: dict[int, tuple[np.ndarray, np.uint64]] = {}
+        for n, (h, _, _) in block.items():
+            size = 1 << max(16, (_SPARSE * len(h)).bit_length())
+            bits, slot = np.zeros(size // 8, np.uint8), self._slot(h, np.uint64(size - 1))
+            np.bitwise_or.at(bits, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
+            self.bits[n] = (bits, np.uint64(size - 1))
+
+    @staticmethod
+    def pack(t: pa.Table) -> tuple[dict, list]:
+        """What is broadcast, from the rows of a block."""
+        items = t["item"].combine_chunks().dictionary_encode()
+        names = items.dictionary.to_pylist()
+        code = items.indices.fill_null(len(names)).to_numpy()
+        names.append(None)
+        n, h = t["n"].to_numpy(), t["h"].to_numpy().view(np.uint64)
+        d = np.stack([t["d1"].to_numpy(), t["d2"].to_numpy()], axis=1)
+        out = {}
+        for size in np.unique(n).tolist():
+            own = np.flatnonzero(n == size)
+            own = own[np.argsort(h[own], kind="stable")]
+            out[size] = (h[own], d[own], code[own].astype(np.int32))
+        return out, names
 
     @staticmethod
-    def _slot(h: np.ndarray, size: int) -> np.ndarray:
-        return (h >> np.uint64(20)) & np.uint64(size - 1)
+    def _slot(h: np.ndarray, mask: np.uint64) -> np.ndarray:
+        return (h >> np.uint64(20)) & mask
 
     def scan(self, texts: list[str]) -> dict[str, list]:
-        docs = [normal_words(t) for t in texts]
-        ends = np.cumsum([len(d) for d in docs]) if docs else np.zeros(0, int)
-        flat = [w for d in docs for w in d]
-        total = len(flat)
-        items: list[set[str]] = [set() for _ in docs]
+        cut = Cut(texts)
+        ends, total = cut.ends, len(cut.begin)
+        items: list[set[int]] = [set() for _ in texts]
         cover = np.zeros(total + 1, np.int32)
         if total and self.lengths:
-            h = np.fromiter(map(hash, flat), np.int64, total).view(np.uint64)
-            for n, rolled in _window_hashes(h, self.lengths).items():
-                bits, found = self.bits[n], self.windows[n]
-                at = np.flatnonzero(bits[self._slot(rolled, len(bits))])
+            for n, rolled in _window_hashes(cut.hashes, self.lengths).items():
+                (bits, mask), (known, digests, codes) = self.bits[n], self.block[n]
+                slot = self._slot(rolled, mask)
+                at = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
                 doc = np.searchsorted(ends, at, side="right")
-                for i, d in zip(at.tolist(), doc.tolist()):
-                    if i + n <= ends[d] and (who := found.get(b" ".join(flat[i : i + n]))):
-                        items[d] |= who
+                inside = at + n <= ends[doc]
+                at, doc = at[inside], doc[inside]
+                lo, hi = np.searchsorted(known, rolled[at]), np.searchsorted(known, rolled[at], side="right")
+                for k in np.flatnonzero(hi > lo).tolist():
+                    i, d = int(at[k]), int(doc[k])
+                    own = np.frombuffer(cut.digest(i, n), np.int64)
+                    same = np.flatnonzero((digests[lo[k] : hi[k]] == own).all(1))
+                    if len(same):
+                        items[d].update(codes[lo[k] + same].tolist())
                         cover[i] += 1
                         cover[i + n] -= 1
         hit = np.cumsum(cover[:-1]) > 0
-        out: dict[str, list] = {"n_words": [len(d) for d in docs], "items": [sorted(s) for s in items], "hits": []}
-        for d, end in zip(docs, ends.tolist()):
-            own = hit[end - len(d) : end]
-            if own.any():
+        begin = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        out: dict[str, list] = {"n_words": (ends - begin).tolist(), "items": [], "hits": []}
+        for found, a, b in zip(items, begin.tolist(), ends.tolist()):
+            out["items"].append([{"none": x is None, "id": "null" if x is None else x} for x in sorted((self.names[c] for c in found), key=lambda x: (x or "null", x is None))])
+            own = hit[a:b]
+            if found:
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
-                out["hits"].append([{"from_word": int(a), "to_word": int(b)} for a, b in edge.reshape(-1, 2)])
+                out["hits"].append([{"from_word": x, "to_word": y} for x, y in edge.reshape(-1, 2).tolist()])
             else:
                 out["hits"].append([])
         return out
 
 
-#: The sets this worker has built, the latest first.
-_SETS: list[tuple[list, int, NgramSet]] = []
+#: The set that this worker has built last.
+_SETS: list[tuple[tuple, NgramSet]] = []
 
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size; each block is collected by itself."""
-    b = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("null")).alias("k"), benchmark[text_col].alias("t")).where("t is not null")
-    size = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    if n == 1:
-        return [[(r.k, r.t) for r in b.collect()]]
-    b = b.withColumn("b", F.pmod(F.xxhash64("k", "t"), F.lit(2 * n)))
-    return [[(r.k, r.t) for r in b.where(F.col("b") == i).collect()] for i in range(2 * n)]
+_SCAN_TYPE = {"n_words": pa.int64(), "items": pa.list_(pa.struct([("none", pa.bool_()), ("id", pa.string())])), "hits": pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())]))}
+_SCAN_DDL = "struct<n_words:bigint,items:array<struct<none:boolean,id:string>>,hits:array<struct<from_word:bigint,to_word:bigint>>>"
 
 
-_BLOCK_TYPE = {"n_words": pa.int64(), "items": pa.list_(pa.string()), "hits": pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())]))}
-_BLOCK_DDL = "struct<n_words:bigint,items:array<string>,hits:array<struct<from_word:bigint,to_word:bigint>>>"
+def _scan(docs: DataFrame, sent):
+    """A UDF from texts to n_words, items and hits (merged spans of words, end exclusive)."""
 
+    def kernel():
+        packed = sent.value
+        if not _SETS or _SETS[0][0] is not packed:
+            _SETS[:] = [(packed, NgramSet(*packed))]
+        return _SETS[0][1].scan
 
-def contamination_scans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
-    """A struct column for each block of the benchmark: n_words, items (sorted) and hits
-    (merged spans of words, end exclusive)."""
-    sc = docs.sparkSession.sparkContext
-    scans = []
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = sc.broadcast(block)
+    return text_udf(kernel, _SCAN_TYPE, _SCAN_DDL)
 
-        def kernel(sent=sent):
-            items = sent.value
-            for known, size, ngrams in _SETS:
-                if known is items and size == window:
-                    return ngrams.scan
-            del _SETS[4:]
-            _SETS.insert(0, (items, window, NgramSet(items, window)))
-            return _SETS[0][2].scan
 
-        scans.append(text_udf(kernel, _BLOCK_TYPE, _BLOCK_DDL)(docs[text_col]))
-    return scans
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``docs`` with a column ``__scan``: n_words, items and hits."""
+    sc = docs.sparkSession.sparkContext
+    grams = settle(windows_of(benchmark, item_col, item_text_col, window), "grams")
+    n = max(1, -(-grams.count() // block_windows))
+    if n == 1:
+        return docs.withColumn("__scan", _scan(docs, sc.broadcast(NgramSet.pack(grams.toArrow())))(docs[text_col]))
+    dealt = settle(grams.withColumn("block", F.pmod(F.xxhash64("n", "h", "d1", "d2", "item"), F.lit(n))), "blocks")
+    # findings are of a text, whichever rows have it
+    key = F.struct(F.xxhash64(docs[text_col]), F.xxhash64(F.lit("second"), docs[text_col]))
+    found = None
+    for i in range(n):
+        sent = sc.broadcast(NgramSet.pack(dealt.where(F.col("block") == i).drop("block").toArrow()))
+        part = docs.select(key.alias("key"), _scan(docs, sent)(docs[text_col]).alias("s")).where(F.size("s.items") > 0)
+        part = settle(part.groupBy("key").agg(F.first("s.items").alias("items"), F.first("s.hits").alias("hits")), "found")
+        sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy(F.col("key").alias("__key")).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), _merged(F.flatten(F.collect_list("hits"))).alias("hits"))
+    merged = merged.select("__key", F.array_sort("items", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(a["none"].cast("int") - b["none"].cast("int"))).alias("__items"), F.col("hits").alias("__hits"))
+    count = text_udf(lambda: lambda texts: {"n": np.diff(Cut(texts).ends, prepend=0)}, {"n": pa.int64()}, "struct<n:bigint>")
+    rows = docs.withColumn("__key", key).join(merged, "__key", "left")
+    kinds = _SCAN_DDL.removeprefix("struct<n_words:bigint,items:").removesuffix(">").split(",hits:")
+    held = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as {kind})"))
+    scan = F.struct(count(F.col(text_col))["n"].alias("n_words"), held("__items", kinds[0]).alias("items"), held("__hits", kinds[1]).alias("hits"))
+    return rows.withColumn("__scan", scan).select(*docs.columns, "__scan")
 
 
 def _merged(spans):
@@ -178,22 +251,14 @@ def _merged(spans):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", to: str = "contamination", **how) -> DataFrame:
     """``docs`` with one more column ``to`` (replaced if there is one already)."""
-    scans = contamination_scans(docs, benchmark, text_col, **how)
-    names = [f"__scan{i}" for i in range(len(scans))]
-    out = docs.select("*", *[s.alias(n) for s, n in zip(scans, names)])
-    every = [F.col(n) for n in names]
-    if len(scans) == 1:
-        items, hits = every[0]["items"], every[0]["hits"]
-    else:
-        items = F.array_sort(F.array_distinct(F.flatten(F.array(*[s["items"] for s in every]))))
-        hits = _merged(F.flatten(F.array(*[s["hits"] for s in every])))
-    out = out.withColumn("__hits", hits)
-    n_hit = F.aggregate("__hits", F.lit(0).cast("long"), lambda a, x: a + x["to_word"] - x["from_word"])
+    out = contamination(docs, benchmark, text_col, **how)
+    s = F.col("__scan")
+    n_hit = F.aggregate(s["hits"], F.lit(0).cast("long"), lambda a, x: a + x["to_word"] - x["from_word"])
     out = out.withColumn("__n_hit", n_hit)
-    n_words = every[0]["n_words"]
-    contaminated = (F.col("__n_hit") > 0) & (CONTAMINATED_PART * F.col("__n_hit") >= n_words)
-    fields = {"n_words": n_words, "n_hit": F.col("__n_hit"), "items": items, "hits": F.col("__hits"), "items_sha256": F.sha2(F.concat_ws(",", items), 256), "contaminated": contaminated}
-    return out.withColumn(to, F.struct(*[v.alias(k) for k, v in fields.items()])).drop(*names, "__hits", "__n_hit")
+    contaminated = (F.col("__n_hit") > 0) & (CONTAMINATED_PART * F.col("__n_hit") >= s["n_words"])
+    items = F.transform(s["items"], lambda x: x["id"])
+    fields = {"n_words": s["n_words"], "n_hit": F.col("__n_hit"), "items": items, "hits": s["hits"], "items_sha256": F.sha2(F.concat_ws(",", items), 256), "contaminated": contaminated}
+    return out.withColumn(to, F.struct(*[v.alias(k) for k, v in fields.items()])).drop("__scan", "__n_hit")
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
