@@ -30,12 +30,17 @@ def percent_of(n: Column, d: Column) -> Column:
     return 100 * ratio(n, d, 1e-12)
 
 
+def by_variable(variable: Column, values: dict) -> Column:
+    """The value (a number or a column) of each variable; an error for one that has none."""
+    out = F.raise_error(F.concat(F.lit("no setting for variable "), F.coalesce(variable, F.lit("NULL"))))
+    for k, v in values.items():
+        out = F.when(variable == k, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
+    return out
+
+
 def change(variable: Column, future: Column, base: Column, floors: dict[str, float], additive: tuple[str, ...]) -> Column:
     """A difference for additive variables, else per cent of the base."""
-    out = F.lit(None).cast("double")
-    for v, floor in floors.items():
-        out = F.when(variable == v, future - base if v in additive else (ratio(future, base, floor) - 1) * 100).otherwise(out)
-    return out
+    return by_variable(variable, {v: future - base if v in additive else (ratio(future, base, floor) - 1) * 100 for v, floor in floors.items()})
 
 
 def clamp(x: Column) -> Column:

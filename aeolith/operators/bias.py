@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeolith.config import DEFAULT, EngineConfig
-from aeolith.functions.numeric import clamp
+from aeolith.functions.numeric import by_variable, change, clamp
 from aeolith.operators.cdf import cross_cdf, moving_cdf, self_cdf
-from aeolith.operators.stats import linear_quantiles
+from aeolith.operators.stats import area_statistics, linear_quantiles, weighted_mean, weighted_share
 
 
 def node_table(fit: DataFrame, obs: DataFrame, by: Sequence[str], x: str, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -41,20 +42,13 @@ def tail(p: Column, config: EngineConfig = DEFAULT) -> Column:
     return (p < config.low) | (p > config.high)
 
 
-def _by_variable(values: dict[str, float], variable: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for k, v in values.items():
-        out = F.when(variable == k, float(v)).otherwise(out)
-    return out
-
-
 def correct(target: DataFrame, p: str, nodes: DataFrame, by: Sequence[str], x: str, name: str, additive: Sequence[str], variable: str = "variable", config: EngineConfig = DEFAULT) -> DataFrame:
     """``target`` (with a column ``p``) with columns name, name_tail and name_fallback; NULL in groups
     that aren't complete.  All variables go through one plan: the rows of ``variable`` say which are
     corrected by a difference, what their floors are, and which can't be negative."""
     d = target.join(nodes.select(*by, "mq", "oq", "complete"), list(by))
     q, v = F.col(p), F.col(variable)
-    y, fell = corrected(F.col(x), at_quantile(F.col("mq"), q, config), at_quantile(F.col("oq"), q, config), v.isin(*additive), _by_variable(config.floors, v))
+    y, fell = corrected(F.col(x), at_quantile(F.col("mq"), q, config), at_quantile(F.col("oq"), q, config), v.isin(*additive), by_variable(v, config.floors))
     valid = F.col("complete") & q.isNotNull() & F.col(x).isNotNull()
     y = F.when(v.isin(*config.non_negative), clamp(y)).otherwise(y)
     return d.withColumn(name, F.when(valid, y)).withColumn(f"{name}_tail", F.when(valid, tail(q, config))).withColumn(f"{name}_fallback", F.when(valid, fell)).drop("mq", "oq", "complete")
@@ -82,3 +76,93 @@ def moving_delta_mapping(fit: DataFrame, obs: DataFrame, target: DataFrame, by:
     """QDM in clamped moving windows: only the window of a target has to be complete."""
     p = moving_cdf(target, by, order, x, config.window)
     return correct(p, "p", node_table(fit, obs, by, x, config), by, x, "qdm", additive, config=config)
+
+
+FIT, OBS, TARGET = "fit", "obs", "target"
+
+
+def correct_samples(samples: DataFrame, by: Sequence[str], x: str = "value", role: str = "role", expected: dict[str, int] | None = None, additive: Sequence[str] | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """QM and QDM of all targets in one pass: ``samples`` are rows of the model's and the reference's
+    history and of the targets, told apart by ``role``; ``by`` has the column ``variable``.
+
+    The targets come back with, for both methods m: m, m_p, m_tail, m_fallback; complete; and the
+    histories' means fit_mean and obs_mean.  A group is complete if it has values on all rows of
+    all three roles, and as many as ``expected`` if that is given; else m, its tail and its fallback
+    are NULL.  QM goes by ratio, QDM by ratio or by difference (``additive``).
+
+    All comparisons with samples are windows over one order within ``by``, so the plan has one
+    shuffle and one sort.
+    """
+    additive = config.additive if additive is None else additive
+    v, r, part = F.col(x), F.col(role), Window.partitionBy(*by)
+    below, peers = part.orderBy(F.col(x).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by, x)
+    has = lambda k: F.when((r == k) & v.isNotNull(), 1).otherwise(0)
+    own = lambda k: F.when(r == k, v)
+    d = samples
+    for k in (FIT, TARGET):
+        d = d.withColumn(f"__le_{k}", F.sum(has(k)).over(below)).withColumn(f"__eq_{k}", F.sum(has(k)).over(peers))
+    whole = F.lit(True)
+    for k in (FIT, OBS, TARGET):
+        d = d.withColumn(f"__n_{k}", F.sum(has(k)).over(part)).withColumn(f"__rows_{k}", F.count_if(r == k).over(part))
+        n = F.col(f"__n_{k}")
+        whole = whole & (n > 0) & (n == F.col(f"__rows_{k}")) & ((n == expected[k]) if expected else F.lit(True))
+    points = config.node_points
+    d = d.withColumn("__mq", F.percentile(own(FIT), points).over(part)).withColumn("__oq", F.percentile(own(OBS), points).over(part))
+    d = d.withColumn("fit_mean", F.avg(own(FIT)).over(part)).withColumn("obs_mean", F.avg(own(OBS)).over(part)).where(r == TARGET).withColumn("complete", whole)
+    variable = F.col("variable")
+    floor = by_variable(variable, config.floors)
+    valid = F.col("complete") & v.isNotNull()
+    for m, k, by_difference in (("qm", FIT, F.lit(False)), ("qdm", TARGET, variable.isin(*additive))):
+        n = F.col(f"__n_{k}")
+        d = d.withColumn(f"{m}_p", F.when(v.isNotNull() & (n > 0), (F.col(f"__le_{k}") - 0.5 * F.col(f"__eq_{k}")) / F.when(n > 0, n)))
+        q = F.col(f"{m}_p")
+        y, fell = corrected(v, at_quantile(F.col("__mq"), q, config), at_quantile(F.col("__oq"), q, config), by_difference, floor)
+        y = F.when(variable.isin(*config.non_negative), clamp(y)).otherwise(y)
+        d = d.withColumn(m, F.when(valid, y)).withColumn(f"{m}_tail", F.when(valid, tail(q, config))).withColumn(f"{m}_fallback", F.when(valid, fell))
+    return d.drop(*[c for c in d.columns if c.startswith("__")], role)
+
+
+def methods(corrected_rows: DataFrame, x: str = "value") -> DataFrame:
+    """Targets of ``correct_samples`` as one row for each of raw, qm and qdm: method, y, tail, fallback."""
+    keep = [c for c in corrected_rows.columns if not c.startswith(("qm", "qdm"))]
+    one = lambda m, y, t, f: F.struct(F.lit(m).alias("method"), y.alias("y"), t.alias("tail"), f.alias("fallback"))
+    rows = F.array(one("raw", F.col(x), F.lit(False), F.lit(False)), *[one(m, F.col(m), F.col(f"{m}_tail"), F.col(f"{m}_fallback")) for m in ("qm", "qdm")])
+    return corrected_rows.select(*keep, F.explode(rows).alias("__m")).select("__m.method", *keep, "__m.y", "__m.tail", "__m.fallback")
+
+
+@dataclass
+class VariableRun:
+    """What one correction gives: the corrected rows, and three tables made from them."""
+
+    corrected: DataFrame
+    qc: DataFrame
+    signal: DataFrame
+    period_signal: DataFrame
+
+
+def variable_run(samples: DataFrame, by: Sequence[str], period: Column, weight: str = "weight", reuse: Callable[[DataFrame], DataFrame] = lambda d: d, **how) -> VariableRun:
+    """One correction with its checks: rows of quality statistics by (method, variable, month), signals by
+    the same, and signals by ``period`` as well.  ``reuse`` keeps the corrected rows, if it is to."""
+    rows = reuse(correct_samples(samples, by, **how))
+    three = methods(rows)
+    config = how.get("config", DEFAULT)
+    return VariableRun(rows, qc_table(three, weight), signals(three, by, weight, config=config), signals(three.withColumn("part", period), by, weight, ["part"], config))
+
+
+def qc_table(three: DataFrame, weight: str = "weight") -> DataFrame:
+    """(method, variable, month, samples, n, the area statistics, tail and fallback per cent)."""
+    g = ["method", "variable", "month"]
+    y, w = F.col("y"), F.col(weight)
+    share = three.groupBy(*g).agg(F.countDistinct("year").alias("samples"), weighted_share(F.col("tail"), y, w).alias("tail_percent"), weighted_share(F.col("fallback"), y, w).alias("fallback_percent"))
+    return area_statistics(three, g, "y", weight).join(share, g)
+
+
+def signals(three: DataFrame, by: Sequence[str], weight: str = "weight", extra: Sequence[str] = (), config: EngineConfig = DEFAULT) -> DataFrame:
+    """(method, variable, month, extra, signal, difference_from_raw): area means of the change from the
+    model's (raw) or the reference's history, and how far they are from the raw one."""
+    base = F.when(F.col("method") == "raw", F.col("fit_mean")).otherwise(F.col("obs_mean"))
+    cells = three.groupBy("method", *by, *extra, weight).agg(F.avg("y").alias("future"), F.first(base).alias("base"))
+    cells = cells.withColumn("signal", change(F.col("variable"), F.col("future"), F.col("base"), config.floors, config.additive))
+    s = cells.where(F.col(weight) > 0).groupBy("variable", "month", *extra).pivot("method", ["raw", "qm", "qdm"]).agg(weighted_mean(F.col("signal"), F.col(weight)))
+    s = s.withColumn("__raw", F.col("raw")).unpivot(["variable", "month", *extra, "__raw"], ["raw", "qm", "qdm"], "method", "signal")
+    return s.select("method", "variable", "month", *extra, "signal", F.abs(F.col("signal") - F.col("__raw")).alias("difference_from_raw"))

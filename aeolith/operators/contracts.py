@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeolith.functions.months import month_label
+from aeolith.functions.numeric import by_variable
 
 
 def joined(names: Column) -> Column:
@@ -71,11 +72,10 @@ PHYSICAL_RANGE = (("tas", 150.0, 190.0, 370.0, 400.0), ("rsds", -1e-4, -1e-4, 50
 
 
 def range_severity(variable: Column, low: Column, high: Column, limits=PHYSICAL_RANGE) -> Column:
-    out = F.lit(None).cast("string")
+    own = {}
     for v, fail_low, warn_low, warn_high, fail_high in limits:
-        own = F.when(low.isNull() | high.isNull() | (low < fail_low) | (high > fail_high), "FAIL").when((low < warn_low) | (high > warn_high), "WARNING").otherwise("PASS")
-        out = F.when(variable == v, own).otherwise(out)
-    return out
+        own[v] = F.when(low.isNull() | high.isNull() | (low < fail_low) | (high > fail_high), "FAIL").when((low < warn_low) | (high > warn_high), "WARNING").otherwise("PASS")
+    return by_variable(variable, own)
 
 
 def grids_equal(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = 1e-10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeolith.config import DEFAULT, EngineConfig
-from aeolith.functions.numeric import ratio
+from aeolith.functions.numeric import by_variable
 from aeolith.operators.stats import skewness
 
 POINTS = (0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99)
@@ -16,10 +16,7 @@ PARTS = ("near_zero_percent", "negative_percent", "mean", "std", "skew", *[f"q{i
 
 
 def _floor(variable: Column, config: EngineConfig) -> Column:
-    out = F.lit(None).cast("double")
-    for v, x in config.floors.items():
-        out = F.when(variable == v, x).otherwise(out)
-    return out
+    return by_variable(variable, config.floors)
 
 
 def cell_distributions(df: DataFrame, by: Sequence[str], x: str, prefix: str, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -84,7 +81,3 @@ def recommend(df: DataFrame, by: Sequence[str], sensitivity: str, near_zero: str
 def invalid_percent(model: Column, floor: Column) -> Column:
     """Per cent of cells whose ratio can't be formed."""
     return 100 * F.avg(F.when(model.isNotNull(), (F.abs(model) <= floor).cast("double")))
-
-
-def safe_percent(n: Column, d: Column, floor: float) -> Column:
-    return 100 * ratio(n, d, floor)

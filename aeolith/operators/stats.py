@@ -65,6 +65,19 @@ def weighted_quantiles(df: DataFrame, by: Sequence[str], x: str, w: str, points:
     return d.groupBy(*by).agg(*[F.min(F.when(F.col("__sum") >= p * F.col("__all"), F.col(x))).alias(name) for name, p in points.items()])
 
 
+#: What ``area_statistics`` gives besides n.
+AREA_STATISTICS = ("missing_percent", "negative_percent", "min", "p01", "median", "mean", "std", "p99", "max")
+
+
+def area_statistics(df: DataFrame, by: Sequence[str], x: str, w: str, bins: int = 256) -> DataFrame:
+    """(by, n, and AREA_STATISTICS) of values pooled over months and cells, weighted by area; rows
+    without x count as missing, those without weight not at all."""
+    v, ww = F.col(x), F.col(w)
+    own = df.where(ww > 0).groupBy(*by).agg((100 * F.sum(F.when(v.isNull(), ww).otherwise(0.0)) / F.sum(ww)).alias("missing_percent"), weighted_share(v < 0, v, ww).alias("negative_percent"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = weighted_quantiles(df, by, x, w, {"p01": 0.01, "median": 0.5, "p99": 0.99}, bins=bins)
+    return own.join(weighted_moments(df, by, x, w), list(by)).join(q, list(by)).select(*by, "n", *AREA_STATISTICS)
+
+
 def weighted_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, w: str, least: int = 3) -> DataFrame:
     """(by, n, r): centred in a second pass; NULL with fewer than ``least`` rows or no variance."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(w) > 0))

@@ -1,14 +1,11 @@
 """Runs and audits."""
 
-import dataclasses
-
 from pyspark.sql import functions as F
 
-from aeolith.operators import bias, orchestration
+from aeolith.operators import orchestration
 from aeolith.operators.energy import cell_temperature, energy_chain, performance_ratio, wind_power_density
 from aeolith.operators.stats import weighted_mean
-from aeolith.plans.common import A, monthly, out, r, reused, table
-from aeolith.plans.correction import BY, CONFIG, SQL_SAMPLES, _KEYS, _sample_sets, sql_corrected
+from aeolith.plans.common import A, monthly, out, r, table
 from aeolith.plans.energy import SQL_CHAIN
 from aeolith.plans.registry import query
 
@@ -41,39 +38,6 @@ def history_and_future(spark, sf_dir):
     return out(u.withColumn("rows_of_month", F.count("*").over(Window.partitionBy("model", "cell", "ym"))), ["model", "cell", "ym", "part"], ["tas"], ["rows_of_month"])
 
 
-_HEAD, _, _TAIL = SQL_SAMPLES.rpartition("year BETWEEN 1998 AND 2000")
-_SELF = f"{_HEAD}year BETWEEN 1995 AND 1997{_TAIL}"
-
-
-@query(f"{A}, {_SELF}, {sql_corrected('qm', 'p_qm', chr(39) + 'ratio' + chr(39))} SELECT {_KEYS}, year, {r('y')} AS y FROM qm")
-def historical_baseline(spark, sf_dir):
-    """QM of the fitted sample itself."""
-    fit, obs, target = _sample_sets(reused(monthly(spark, sf_dir)))
-    d = bias.quantile_mapping(fit, obs, fit, BY, ["year"], "value", config=CONFIG)
-    return out(d.withColumnRenamed("qm", "y"), [*BY, "year"], ["y"])
-
-
-def _sql_bounds(label: str, low: float, high: float, name: str) -> str:
-    nodes = [round(low + k * (high - low) / 8, 12) for k in range(9)]
-    samples = SQL_SAMPLES.replace("f0 AS", f"{name}f0 AS").replace("\nf AS", f"\n{name}f AS").replace("FROM f0", f"FROM {name}f0").replace("f.*", f"{name}f.*").replace("JOIN f USING", f"JOIN {name}f USING")
-    samples = samples.replace("\nx AS", f"\n{name}x AS").replace("\nx1 AS", f"\n{name}x1 AS").replace("FROM x)", f"FROM {name}x)")
-    for _ in range(2):
-        samples = samples.replace(str([round(p, 12) for p in CONFIG.node_points]), str(nodes))
-    body = sql_corrected(name, "p_qm", "'ratio'").replace("FROM x1", f"FROM {name}x1").replace("0.02", str(low)).replace("0.98", str(high))
-    return f"{samples}, {body}, {name}s AS (SELECT '{label}' AS bounds, variable, count(*) AS n, 100 * avg(CASE WHEN tail THEN 1.0 ELSE 0.0 END) AS tail_percent, avg(y) AS mean FROM {name} GROUP BY ALL)"
-
-
-@query(f"{A}, {_sql_bounds('Q02-Q98', 0.02, 0.98, 'b1')}, {_sql_bounds('Q05-Q95', 0.05, 0.95, 'b2')} SELECT bounds, variable, n, {r('tail_percent')} AS tail_percent, {r('mean')} AS mean FROM b1s UNION ALL SELECT bounds, variable, n, {r('tail_percent')}, {r('mean')} FROM b2s")
-def bounds_comparison(spark, sf_dir):
-    """The same correction with two pairs of tail bounds."""
-    sets = _sample_sets(reused(monthly(spark, sf_dir)))
-    parts = []
-    for label, low, high in (("Q02-Q98", 0.02, 0.98), ("Q05-Q95", 0.05, 0.95)):
-        d = bias.quantile_mapping(*sets, BY, ["year"], "value", config=dataclasses.replace(CONFIG, low=low, high=high))
-        parts.append(d.groupBy("variable").agg(F.count("*").alias("n"), (100 * F.avg(F.col("qm_tail").cast("double"))).alias("tail_percent"), F.avg("qm").alias("mean")).withColumn("bounds", F.lit(label)))
-    return out(parts[0].unionByName(parts[1]), ["bounds", "variable"], ["tail_percent", "mean"], ["n"])
-
-
 @query(f"{A}, {SQL_CHAIN}, s AS (SELECT *, CASE WHEN cell % 3 = 0 AND month = 3 THEN pvpot + 1 ELSE pvpot END AS stored FROM e) SELECT model, source, cell, ym, 'pvpot' AS variable, {r('stored')} AS stored, {r('pvpot')} AS expected FROM s WHERE abs(stored - pvpot) > 1e-4 + 1e-5 * abs(pvpot)")
 def audit_formulas(spark, sf_dir):
     """Stored energy values are made again from their inputs; some cells are spoilt."""

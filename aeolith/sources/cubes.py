@@ -74,10 +74,21 @@ def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finite(b, "value").withColumn("value", rounded(F.col("value")))
 
 
+_KEPT: list[DataFrame] = []
+
+
 def reused(cube: DataFrame) -> DataFrame:
     """A cube that a query reads several times: kept, so its source is scanned once.  A cube is
-    smaller than its source by the number of rows in a cell and month, and spills to disk."""
-    return cube.persist()
+    smaller than its source by the number of rows in a cell and month, and spills to disk.
+    ``release`` lets go of it, once the query's rows have been written."""
+    _KEPT.append(cube.persist())
+    return cube
+
+
+def release() -> None:
+    """Let go of all that ``reused`` keeps."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
 
 def long_form(cube: DataFrame, variables: tuple[str, ...] = ("tas", "rsds", "wind")) -> DataFrame:
