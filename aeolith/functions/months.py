@@ -28,3 +28,11 @@ def season_year(year: Column, month: Column) -> Column:
 def wrap_longitude(lon: Column) -> Column:
     """-180 (included) to 180; the remainder must not keep the sign of its dividend."""
     return F.pmod(lon + 180, F.lit(360.0)) - 180
+
+
+def wrap_axis(df, by, lon: str):
+    """``df`` with ``lon`` wrapped in the groups that go beyond 180 degrees; others keep it, 180 itself included."""
+    from pyspark.sql import Window
+
+    beyond = F.max(lon).over(Window.partitionBy(*by)) > 180
+    return df.withColumn(lon, F.when(beyond, wrap_longitude(F.col(lon))).otherwise(F.col(lon)))

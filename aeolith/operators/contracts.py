@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aeolith.functions.months import month_label
 from aeolith.functions.numeric import by_variable
+from aeolith.functions.text import unit_allowed
 
 
 def joined(names: Column) -> Column:
@@ -60,11 +61,14 @@ def gaps(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("__d") == 1), F.lit(True)).alias("consecutive"), F.coalesce(F.sum(F.col("__d") - 1), F.lit(0)).cast("long").alias("missing"))
 
 
-def axis(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """(by, n, low, high, spacing, regular): distinct values of an axis in order; spacing is the median step."""
-    d = df.select(*by, x).distinct().withColumn("__d", F.col(x) - F.lag(x).over(Window.partitionBy(*by).orderBy(x)))
-    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.percentile("__d", 0.5).alias("spacing"), F.min("__d").alias("__least"), F.max("__d").alias("__most"))
-    return g.withColumn("regular", F.coalesce(F.abs(F.col("__most") - F.col("__least")) <= 1e-6, F.lit(True))).drop("__least", "__most")
+def axis(df: DataFrame, by: Sequence[str], x: str, place: str) -> DataFrame:
+    """(by, n, low, high, spacing, monotonic, regular) of axes as they are stored, in the order of ``place``:
+    whether they strictly rise or strictly fall, the median size of a step, and whether all steps are alike."""
+    d = df.select(*by, x, place).withColumn("__d", F.col(x) - F.lag(x).over(Window.partitionBy(*by).orderBy(place)))
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.percentile(F.abs("__d"), 0.5).alias("spacing"), F.min("__d").alias("__least"), F.max("__d").alias("__most"))
+    one_way = F.coalesce((F.col("__least") > 0) | (F.col("__most") < 0), F.lit(True))
+    alike = F.coalesce(F.abs(F.col("__most") - F.col("__least")) <= 1e-6, F.lit(True))
+    return g.withColumn("monotonic", one_way).withColumn("regular", one_way & alike).drop("__least", "__most")
 
 
 # Fixed values: (variable, fail below, warn below, warn above, fail above); None: no limit.
@@ -86,6 +90,110 @@ def grids_equal(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequenc
     return g.withColumn("equal", (F.col("unmatched") == 0) & (F.col("max_difference") <= tolerance))
 
 
+def covers(source: DataFrame, target: DataFrame, by: Sequence[str], lat: str = "lat", lon: str = "lon", tolerance: float = 1e-8) -> DataFrame:
+    """(by, covers): whether the box of the source's points holds that of the target's."""
+    box = lambda d, p: d.groupBy(*by).agg(F.min(lat).alias(f"{p}s"), F.max(lat).alias(f"{p}n"), F.min(lon).alias(f"{p}w"), F.max(lon).alias(f"{p}e"))
+    return box(source, "a").join(box(target, "b"), list(by)).select(*by, F.expr(f"`as` <= bs + {tolerance} and an >= bn - {tolerance} and aw <= bw + {tolerance} and ae >= be - {tolerance}").alias("covers"))
+
+
+def grid_status(points: Column, is_1d: Column, failed: Column) -> Column:
+    """The first of: could not be read, no coordinates, not one-dimensional, in order."""
+    return F.when(failed, "FAILED").when(points.isNull() | (points == 0), "COORDINATE_MISSING").when(~is_1d, "NON_1D_GRID").otherwise("OK_1D")
+
+
+def file_status(size: Column, opened: Column, variable: Column, time: Column, space: Column) -> Column:
+    """A file's first fault: its size in bytes, whether it opened, and whether it has its variable and axes."""
+    bad = lambda c: ~F.coalesce(c, F.lit(False))
+    return F.when(F.coalesce(size, F.lit(0)) <= 0, "ZERO_BYTE").when(bad(opened), "OPEN_FAILED").when(bad(variable), "VARIABLE_MISSING").when(bad(time), "TIME_MISSING").when(bad(space), "SPATIAL_COORD_MISSING").otherwise("OK")
+
+
+def overlaps(first: Column, last: Column, a: Column | int, b: Column | int) -> Column:
+    """Whether the closed periods first..last and a..b meet."""
+    return (last >= a) & (first <= b)
+
+
+def overlap_check(old: DataFrame, new: DataFrame, keys: Sequence[str], by: Sequence[str], x: str, limit: float = 1e-5, tiny: float = 1e-12) -> DataFrame:
+    """(by, n, max_difference, changed, ok): two versions of a series where they overlap."""
+    diff = F.abs(F.col(x) - F.col("__new"))
+    j = old.select(*keys, x).join(new.select(*keys, F.col(x).alias("__new")), list(keys))
+    return j.groupBy(*by).agg(F.count("*").alias("n"), F.max(diff).alias("max_difference"), F.count_if(diff > tiny).alias("changed"), (F.max(diff) <= limit).alias("ok"))
+
+
+def exact_alignment(long: DataFrame, keys: Sequence[str], variables: Sequence[str], variable: str = "variable") -> DataFrame:
+    """Keys that not every variable has exactly once: (keys, missing, repeated), lists of variables; no rows if all align."""
+    n = lambda v: F.count_if(F.col(variable) == v)
+    pick = lambda cond: F.array_join(F.filter(F.array(*[F.when(cond(v), v) for v in variables]), lambda x: x.isNotNull()), ";")
+    g = long.groupBy(*keys).agg(pick(lambda v: n(v) == 0).alias("missing"), pick(lambda v: n(v) > 1).alias("repeated"))
+    return g.where("missing <> '' or repeated <> ''")
+
+
+def exact_coverage(a: DataFrame, b: DataFrame, keys: Sequence[str], names: tuple[str, str] = ("first", "second")) -> DataFrame:
+    """(keys, only_in): keys that one side has and the other hasn't; no rows if both cover the same."""
+    rows = a.select(*keys).distinct().withColumn("__a", F.lit(1)).join(b.select(*keys).distinct().withColumn("__b", F.lit(1)), list(keys), "full_outer")
+    return rows.where("__a is null or __b is null").select(*keys, F.when(F.col("__b").isNull(), names[0]).otherwise(names[1]).alias("only_in"))
+
+
+# Limits of sampled values.
+SAMPLE_LIMITS = {"tas": (150.0, 350.0), "rsds": (-5.0, 1500.0), "wind": (0.0, 150.0)}
+
+
+def _messages(found: Sequence[tuple[Column, Column | str]]) -> Column:
+    return F.filter(F.array(*[F.when(cond, F.lit(m) if isinstance(m, str) else m) for cond, m in found]), lambda x: x.isNotNull())
+
+
+def _verdict(d: DataFrame, errors: Column, warnings: Column) -> DataFrame:
+    """Errors beat warnings; all messages joined with a bar."""
+    d = d.withColumn("__e", errors).withColumn("__w", warnings)
+    status = F.when(F.size("__e") > 0, "FAILED").when(F.size("__w") > 0, "WARNING").otherwise("PASSED")
+    return d.withColumn("status", status).withColumn("message", F.array_join(F.concat("__e", "__w"), " | ")).drop("__e", "__w")
+
+
+def group_audit(df: DataFrame, by: Sequence[str], place: str, x: str, unit: str, lat: str = "lat", limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(by, time_count, first, last, units, sample_min, sample_max, finite_percent, status, message) of
+    groups of (ym, place, x, unit); ``by`` has the column ``variable``.
+
+    Values are looked at on the first, the middle and the last time step only.  Wrong: repeated or
+    missing months, mixed or unknown units, values out of their limits, none finite.  Doubtful: months
+    out of order, and less than 99 per cent finite.
+    """
+    part = Window.partitionBy(*by)
+    steps = df.groupBy(*by, "ym").agg(F.min(place).alias(place))
+    t = steps.withColumn("__i", F.row_number().over(part.orderBy("ym")) - 1).withColumn("__n", F.count("*").over(part))
+    t = t.withColumn("__step", F.col("ym") - F.lag("ym").over(part.orderBy("ym"))).withColumn("__back", F.col("ym") < F.lag("ym").over(part.orderBy(place, "ym")))
+    time = t.groupBy(*by).agg(F.count("*").alias("time_count"), F.min("ym").alias("first"), F.max("ym").alias("last"), F.coalesce(F.sum(F.col("__step") - 1), F.lit(0)).alias("__gaps"), F.count_if("__back").alias("__disorder"))
+    chosen = t.where((F.col("__i") == 0) | (F.col("__i") == F.floor(F.col("__n") / 2)) | (F.col("__i") == F.col("__n") - 1)).select(*by, "ym")
+    sample = df.join(chosen, [*by, "ym"]).groupBy(*by).agg(F.min(x).alias("sample_min"), F.max(x).alias("sample_max"), (100 * F.count(x) / F.count("*")).alias("finite_percent"))
+    repeated = df.groupBy(*by, "ym", lat, *[c for c in ("cell", "lon") if c in df.columns]).agg(F.count("*").alias("__r")).groupBy(*by).agg((F.max("__r") > 1).alias("__repeated"))
+    units = df.groupBy(*by).agg(F.array_sort(F.collect_set(unit)).alias("__units"))
+    d = time.join(sample, list(by)).join(repeated, list(by)).join(units, list(by))
+    low = by_variable(F.col("variable"), {v: a for v, (a, _) in (limits or SAMPLE_LIMITS).items()})
+    high = by_variable(F.col("variable"), {v: b for v, (_, b) in (limits or SAMPLE_LIMITS).items()})
+    one = F.size("__units") == 1
+    errors = _messages([
+        (F.col("__repeated"), "Duplicate year-month values were found"), (F.col("__gaps") > 0, F.format_string("Monthly time series contains %d missing months", F.col("__gaps").cast("long"))),
+        (~one, F.concat(F.lit("Inconsistent units: "), F.array_join("__units", ", "))), (one & ~unit_allowed(F.col("variable"), F.get("__units", F.lit(0))), F.concat(F.lit("Unexpected units: "), F.get("__units", F.lit(0)))),
+        (F.col("sample_min") < low, "Suspicious sample minimum"), (F.col("sample_max") > high, "Suspicious sample maximum"), (F.col("sample_min").isNull(), "All sampled values are non-finite"),
+    ])
+    warnings = _messages([(F.col("__disorder") > 0, "Files are not ordered chronologically"), (F.col("finite_percent") < 99, F.format_string("Sample finite percentage is %.3f%%", "finite_percent"))])
+    d = _verdict(d.withColumn("units", F.array_join("__units", "; ")), errors, warnings)
+    return d.select(*by, "time_count", "first", "last", "units", "sample_min", "sample_max", "finite_percent", "status", "message")
+
+
+def pair_audit(model: DataFrame, reference: DataFrame, model_rows: DataFrame, reference_rows: DataFrame, by: Sequence[str], grid: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """(by, status, message): two audited groups as a pair, given their audits and their rows (ym and grid):
+    either failed, grids that differ, reference months that the model lacks, units that differ."""
+    points = lambda d: d.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct(*grid))).alias("__g"))
+    g = points(model_rows).withColumnRenamed("__g", "__gm").join(points(reference_rows), list(by))
+    absent = reference_rows.select(*by, "ym").distinct().join(model_rows.select(*by, "ym").distinct(), [*by, "ym"], "left_anti").groupBy(*by).agg(F.count("*").alias("__absent"))
+    a = model.select(*by, F.col("status").alias("__sm"), F.col("units").alias("__um")).join(reference.select(*by, F.col("status").alias("__sr"), F.col("units").alias("__ur")), list(by))
+    d = a.join(g, list(by)).join(absent, list(by), "left").na.fill({"__absent": 0})
+    errors = _messages([
+        (F.col("__sm") == "FAILED", "model data failed"), (F.col("__sr") == "FAILED", "reference data failed"), (F.col("__gm") != F.col("__g"), "grids differ"),
+        (F.col("__absent") > 0, F.format_string("model does not cover %d reference months", "__absent")), (F.col("__um") != F.col("__ur"), "unit mismatch"),
+    ])
+    return _verdict(d, errors, F.expr("cast(array() as array<string>)")).select(*by, "status", "message")
+
+
 def holders_of_all(df: DataFrame, holder: str, item: str, items: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Relational division: the holders that have every one of ``items``."""
     need = items.select(F.countDistinct(item).alias("__need"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,18 @@ def hub_wind(wind: Column, height: Column | float, config: EngineConfig = DEFAUL
     return F.when(wind > 0, wind * F.pow(h / config.anemometer_height, roughness_exponent(wind, config))).otherwise(0.0)
 
 
+#: Winds below this are errors, not noise around zero.
+LEAST_WIND = -1e-6
+
+
+def wind_issues(df: DataFrame, by: Sequence[str], wind: str = "wind") -> DataFrame:
+    """(by, issue, n): groups with negative wind, and groups without any finite wind; extrapolation is
+    not to be done for them."""
+    g = df.groupBy(*by).agg(F.count_if(F.col(wind) < LEAST_WIND).alias("__negative"), F.count(wind).alias("__finite"), F.count("*").alias("__rows"))
+    issue = F.when(F.col("__finite") == 0, F.struct(F.lit("NO_FINITE_WIND").alias("issue"), F.col("__rows").alias("n"))).when(F.col("__negative") > 0, F.struct(F.lit("NEGATIVE_WIND").alias("issue"), F.col("__negative").alias("n")))
+    return g.withColumn("__i", issue).where("__i is not null").select(*by, "__i.issue", "__i.n")
+
+
 def wind_power_density(hub: Column, config: EngineConfig = DEFAULT) -> Column:
     return 0.5 * config.air_density * hub * hub * hub
 

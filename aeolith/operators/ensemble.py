@@ -51,7 +51,7 @@ def z_scores(df: DataFrame, base: DataFrame, by: Sequence[str], x: str) -> DataF
 
 
 # Families of variables.
-FAMILIES = {"temperature": ("tas_c", "tcell"), "solar_pv": ("rsds", "pvpot", "performance_ratio"), "wind": ("wind", "wind_hub", "wpd")}
+FAMILIES = {"temperature": ("tas_c", "tcell"), "solar_pv": ("rsds", "pvpot", "performance_ratio"), "wind": ("wind", "wind_hub", "sfcWind_10m", "wind_speed_hub", "wpd")}
 
 
 def warning_family(variable: Column) -> Column:

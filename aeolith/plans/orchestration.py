@@ -10,11 +10,11 @@ from aeolith.plans.energy import SQL_CHAIN
 from aeolith.plans.registry import query
 
 
-@query("""WITH g AS (SELECT p_brand, string_agg(p_partkey::VARCHAR || '.nc', ';' ORDER BY p_partkey) AS files FROM part WHERE p_size <= 5 GROUP BY ALL), s AS (SELECT p_brand, string_split(files, ';') AS f FROM g)
+@query("""WITH g AS (SELECT p_brand, string_agg(p_partkey::VARCHAR || '.nc', ';' ORDER BY p_partkey) AS files FROM part GROUP BY ALL), s AS (SELECT p_brand, string_split(files, ';') AS f FROM g)
 SELECT p_brand, (i - 1)::INT AS place, f[i] AS file FROM s, unnest(range(1, len(f) + 1)) AS t(i)""")
 def download_jobs(spark, sf_dir):
     """Lists of files as jobs."""
-    p = table(spark, sf_dir, "part").where("p_size <= 5")
+    p = table(spark, sf_dir, "part")
     g = p.groupBy("p_brand").agg(F.array_sort(F.collect_list("p_partkey")).alias("k")).select("p_brand", F.array_join(F.transform("k", lambda x: F.concat(x.cast("string"), F.lit(".nc"))), ";").alias("matching_files"))
     return orchestration.download_jobs(g)
 
@@ -77,10 +77,10 @@ def grid_ids(spark, sf_dir):
     return p.groupBy("model").agg(F.count("*").alias("cells"), F.sha2(text, 256).alias("grid_id"))
 
 
-@query(f"{A} SELECT model, source, ym, CASE WHEN sum(weight) > 0 THEN 'polygon' ELSE 'rectangle' END AS region, {r('CASE WHEN sum(weight) > 0 THEN sum(tas * weight) / sum(weight) ELSE avg(tas) END')} AS tas FROM a WHERE cell IN (3, 10, 17, 24) OR ym % 2 = 0 GROUP BY ALL")
+@query(f"{A}, w AS (SELECT model, source, ym, tas, CASE WHEN ym % 2 = 0 THEN weight ELSE 0 END AS weight FROM a) SELECT model, source, ym, CASE WHEN sum(weight) > 0 THEN 'polygon' ELSE 'rectangle' END AS region, {r('CASE WHEN sum(weight) > 0 THEN sum(tas * weight) / sum(weight) ELSE avg(tas) END')} AS tas FROM w GROUP BY ALL")
 def rectangle_fallback(spark, sf_dir):
-    """Where no cell of the polygon is there, all cells of the rectangle count."""
-    d = monthly(spark, sf_dir).where("cell in (3, 10, 17, 24) or ym % 2 = 0")
+    """Where no cell of the polygon is there (every other month), all cells of the rectangle count."""
+    d = monthly(spark, sf_dir).withColumn("weight", F.when(F.col("ym") % 2 == 0, F.col("weight")).otherwise(0.0))
     g = d.groupBy("model", "source", "ym").agg(weighted_mean(F.col("tas"), F.col("weight")).alias("w"), F.avg("tas").alias("plain"), F.sum("weight").alias("s"))
     return out(g.select("model", "source", "ym", F.when(F.col("s") > 0, "polygon").otherwise("rectangle").alias("region"), F.coalesce("w", "plain").alias("tas")), ["model", "source", "ym", "region"], ["tas"])
 
