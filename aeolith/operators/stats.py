@@ -36,46 +36,92 @@ def weighted_moments(df: DataFrame, by: Sequence[str], x: str, w: str) -> DataFr
     return spread.select(*by, "n", "mean", F.when(F.col("n") >= 2, F.col("s")).alias("std"))
 
 
+def _binned(d: DataFrame, by: Sequence[str], x: str, amount: str, bins: int) -> DataFrame:
+    """``d`` (distinct x in each group, with an amount) with __bin, __before (what all lower bins hold), __s
+    (what its own holds) and __all.  Edges come from a mergeable sketch of the values, so bins hold about
+    as many values each, however skewed these are."""
+    fractions = [k / bins for k in range(1, bins)]
+    ends = d.groupBy(*by).agg(F.percentile_approx(x, fractions, 40 * bins).alias("__edges"), F.sum(amount).alias("__all"))
+    d = d.join(ends, list(by)).withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col(x)))).drop("__edges")
+    sums = d.groupBy(*by, "__bin").agg(F.sum(amount).alias("__s"))
+    past = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__s").over(past), F.lit(0)))
+    return d.join(sums, [*by, "__bin"])
+
+
 def weighted_quantiles(df: DataFrame, by: Sequence[str], x: str, w: str, points: dict[str, float], bins: int = 0) -> DataFrame:
     """The smallest value at which the weight summed in order reaches p of the total; no interpolation.
 
     Equal values are added up first.  Without ``bins`` each group is ordered in one task, which
     suits groups of cells.  With ``bins``, for groups that pool a whole cube, weights are summed
-    by bins of the value's range, and only the bins in which a point lies are ordered.
+    by bins, and only the bins in which a point lies are ordered.
     """
     d = df.where(F.col(x).isNotNull() & (F.col(w) > 0)).groupBy(*by, x).agg(F.sum(w).alias("__w"))
     if bins:
-        ends = d.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), F.sum("__w").alias("__all"))
-        wide = F.col("__hi") > F.col("__lo")
-        place = F.floor((F.col(x) - F.col("__lo")) / F.when(wide, F.col("__hi") - F.col("__lo")) * bins)
-        d = d.join(ends, list(by)).withColumn("__bin", F.when(wide, F.least(place, F.lit(bins - 1))).otherwise(0))
-        sums = d.groupBy(*by, "__bin").agg(F.sum("__w").alias("__s"), F.max("__all").alias("__t"))
-        past = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.withColumn("__before", F.coalesce(F.sum("__s").over(past), F.lit(0.0)))
+        d = _binned(d, by, x, "__w", bins)
         held = F.lit(False)
         for p in points.values():
-            want = p * F.col("__t")
-            held = held | (((F.col("__before") < want) | (F.col("__before") == 0)) & (F.col("__before") + F.col("__s") >= want))
-        chosen = sums.where(held).select(*by, "__bin", "__before")
+            want = p * F.col("__all")
+            # sums are made in different orders: a little more is ordered than is needed
+            slack = 1e-9 * F.col("__all")
+            held = held | ((F.col("__before") < want + slack) & (F.col("__before") + F.col("__s") >= want - slack))
         order = Window.partitionBy(*by, "__bin").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-        d = d.join(chosen, [*by, "__bin"]).withColumn("__sum", F.col("__before") + F.sum("__w").over(order))
+        d = d.where(held).withColumn("__sum", F.col("__before") + F.sum("__w").over(order))
     else:
         order = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
         d = d.withColumn("__sum", F.sum("__w").over(order)).withColumn("__all", F.sum("__w").over(Window.partitionBy(*by)))
     return d.groupBy(*by).agg(*[F.min(F.when(F.col("__sum") >= p * F.col("__all"), F.col(x))).alias(name) for name, p in points.items()])
 
 
+def pooled_quantiles(df: DataFrame, by: Sequence[str], x: str, points: dict[str, float], bins: int = 64) -> DataFrame:
+    """(by, points): exact quantiles with linear interpolation of groups that pool whole cubes: values are
+    counted, counts added up by bins, and only the bins that hold a wanted rank are ordered."""
+    d = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__w"))
+    d = _binned(d, by, x, "__w", bins)
+    last = F.col("__all") - 1
+    ranks = [f(p * last) for p in points.values() for f in (F.floor, F.ceil)]
+    held = F.lit(False)
+    for k in ranks:
+        held = held | ((F.col("__before") <= k) & (k < F.col("__before") + F.col("__s")))
+    order = Window.partitionBy(*by, "__bin").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.where(held).withColumn("__upto", F.col("__before") + F.sum("__w").over(order))
+    at = lambda k: F.max(F.when((F.col("__upto") - F.col("__w") <= k) & (k < F.col("__upto")), F.col(x)))
+    out = []
+    for name, p in points.items():
+        low, high = at(F.floor(p * last)), at(F.ceil(p * last))
+        part = F.max(p * last - F.floor(p * last))
+        out.append((low + (high - low) * part).alias(name))
+    return d.groupBy(*by).agg(*out)
+
+
 #: What ``area_statistics`` gives besides n.
 AREA_STATISTICS = ("missing_percent", "negative_percent", "min", "p01", "median", "mean", "std", "p99", "max")
 
 
-def area_statistics(df: DataFrame, by: Sequence[str], x: str, w: str, bins: int = 256) -> DataFrame:
+def area_statistics(df: DataFrame, by: Sequence[str], x: str, w: str, bins: int = 0) -> DataFrame:
     """(by, n, and AREA_STATISTICS) of values pooled over months and cells, weighted by area; rows
-    without x count as missing, those without weight not at all."""
+    without x count as missing, those without weight not at all.
+
+    Without ``bins`` a group is ordered in one task, and all statistics come from that one
+    shuffle; with ``bins``, for groups that pool whole cubes, they are made from partial sums.
+    """
     v, ww = F.col(x), F.col(w)
-    own = df.where(ww > 0).groupBy(*by).agg((100 * F.sum(F.when(v.isNull(), ww).otherwise(0.0)) / F.sum(ww)).alias("missing_percent"), weighted_share(v < 0, v, ww).alias("negative_percent"), F.min(v).alias("min"), F.max(v).alias("max"))
-    q = weighted_quantiles(df, by, x, w, {"p01": 0.01, "median": 0.5, "p99": 0.99}, bins=bins)
-    return own.join(weighted_moments(df, by, x, w), list(by)).join(q, list(by)).select(*by, "n", *AREA_STATISTICS)
+    missing = (100 * F.sum(F.when(v.isNull(), ww).otherwise(0.0)) / F.sum(ww)).alias("missing_percent")
+    rest = [weighted_share(v < 0, v, ww).alias("negative_percent"), F.min(v).alias("min"), F.max(v).alias("max")]
+    points = {"p01": 0.01, "median": 0.5, "p99": 0.99}
+    if bins:
+        own = df.where(ww > 0).groupBy(*by).agg(missing, *rest)
+        q = weighted_quantiles(df, by, x, w, points, bins=bins)
+        return own.join(weighted_moments(df, by, x, w), list(by)).join(q, list(by)).select(*by, "n", *AREA_STATISTICS)
+    part = Window.partitionBy(*by)
+    upto = F.sum(F.when(v.isNotNull(), ww).otherwise(0.0)).over(part.orderBy(v.asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0))
+    total = F.sum(F.when(v.isNotNull(), ww)).over(part)
+    d = df.where(ww > 0).select(*by, x, w).withColumn("__upto", upto).withColumn("__all", total).withColumn("__mean", F.sum(v * ww).over(part) / F.when(total > 0, total))
+    n = F.count(v)
+    std = F.when(n >= 2, F.sqrt(weighted_mean((v - F.col("__mean")) ** 2, ww)))
+    at = [F.min(F.when(F.col("__upto") >= p * F.col("__all"), v)).alias(k) for k, p in points.items()]
+    g = d.groupBy(*by).agg(n.alias("n"), missing, *rest, *at, F.max("__mean").alias("mean"), std.alias("std"))
+    return g.where("n > 0").select(*by, "n", *AREA_STATISTICS)
 
 
 def weighted_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, w: str, least: int = 3) -> DataFrame:
@@ -93,17 +139,14 @@ def linear_quantiles(x: str, points: Sequence[float]) -> Column:
     return F.percentile(x, [float(p) for p in points])
 
 
-def plain_statistics(x: str) -> list[Column]:
-    """Missing and negative per cent, extremes, quantiles, mean and population deviation of a column."""
+def plain_statistics(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """Missing and negative per cent, extremes, quantiles, mean and population deviation, of groups of any size."""
     c = F.col(x)
-    n = F.count(c)
-    return [
-        n.alias("n"),
-        (100 * F.avg(c.isNull().cast("double"))).alias("missing_percent"),
-        (100 * F.avg(F.when(c.isNotNull(), (c < 0).cast("double")))).alias("negative_percent"),
-        F.min(c).alias("min"), F.percentile(c, 0.01).alias("p01"), F.percentile(c, 0.5).alias("median"), F.avg(c).alias("mean"),
-        F.stddev_pop(c).alias("std"), F.percentile(c, 0.99).alias("p99"), F.max(c).alias("max"),
-    ]
+    g = df.groupBy(*by).agg(
+        F.count(c).alias("n"), (100 * F.avg(c.isNull().cast("double"))).alias("missing_percent"), (100 * F.avg(F.when(c.isNotNull(), (c < 0).cast("double")))).alias("negative_percent"),
+        F.min(c).alias("min"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(c).alias("max"),
+    )
+    return g.join(pooled_quantiles(df, by, x, {"p01": 0.01, "median": 0.5, "p99": 0.99}), list(by), "left")
 
 
 def skewness(x: str) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from aeolith.functions.numeric import correlation_p
 from aeolith.operators import complementarity as comp
 from aeolith.operators import seasons
-from aeolith.plans.common import A, monthly, out, r
+from aeolith.plans.common import A, monthly, out, r, reused
 from aeolith.plans.energy import SQL_CHAIN
 from aeolith.operators.energy import energy_chain
 from aeolith.plans.registry import query
@@ -73,15 +73,15 @@ rr AS (SELECT 'monthly_full' AS definition, * FROM rho UNION ALL SELECT 'monthly
 
 
 def four_sets(cube):
-    """rho of four sample sets: months, monthly and seasonal climatologies, seasons."""
-    p = power(cube)
+    """rho of four sample sets: months, monthly and seasonal climatologies, seasons; ranked in one pass."""
+    p = reused(power(cube))
     season = seasons.whole_seasons(seasons.seasonal_means(p, KEYS, ["pvpot", "wpd"]))
     sets = {"monthly_full": (p, LEAST), "monthly_climatology": (seasons.monthly_climatology(p, KEYS, ["pvpot", "wpd"]), 12), "seasonal_full": (season, 16), "seasonal_climatology": (seasons.seasonal_climatology(season, KEYS, ["pvpot", "wpd"]), 4)}
-    parts = [comp.spearman(d, KEYS, "pvpot", "wpd", least).withColumn("definition", F.lit(k)) for k, (d, least) in sets.items()]
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    return every
+    every = None
+    for name, (d, least) in sets.items():
+        d = d.select(F.lit(name).alias("definition"), F.lit(least).alias("least"), *KEYS, "pvpot", "wpd")
+        every = d if every is None else every.unionByName(d)
+    return comp.spearman(every, ["definition", "least", *KEYS], "pvpot", "wpd", "least").drop("least")
 
 
 @query(f"{A}, {SQL_CHAIN}, {_SETS} SELECT definition, {_K}, n, {r('rho')} AS rho FROM rr")
@@ -103,11 +103,16 @@ def complementarity_classes(spark, sf_dir):
     return d.withColumn("class_tables", comp.class_from_below(F.col("rho"))).withColumn("class_maps", comp.class_for_maps(F.col("rho")))
 
 
-@query(f"""{A}, {SQL_CHAIN}, {_SETS}, w AS (SELECT DISTINCT cell, weight FROM a WHERE weight > 0), c AS (SELECT *, {_CLASS_A} AS c FROM (SELECT * REPLACE (round(rho, 9) AS rho) FROM rr) JOIN w USING (cell) WHERE rho IS NOT NULL)
-SELECT definition, model, source, count(*) AS n, {r('sum(rho * weight) / sum(weight)')} AS mean_rho, {', '.join(f"{r(f'100 * sum(CASE WHEN c = {k} THEN weight ELSE 0 END) / sum(weight)')} AS share_{k}" for k in range(1, 9))} FROM c GROUP BY ALL""")
+_SHARE = [f"share_{k}" for k in range(1, 9)]
+
+
+@query(f"""{A}, {SQL_CHAIN}, {_SETS}, w AS (SELECT DISTINCT cell, weight FROM a WHERE weight > 0), c AS (SELECT *, {_CLASS_A} AS c FROM (SELECT * REPLACE (round(rho, 9) AS rho) FROM rr) JOIN w USING (cell)),
+o AS (SELECT *, sum(CASE WHEN rho IS NOT NULL THEN weight END) OVER (PARTITION BY definition, model, source ORDER BY rho NULLS LAST) AS upto, sum(CASE WHEN rho IS NOT NULL THEN weight END) OVER (PARTITION BY definition, model, source) AS total FROM c)
+SELECT definition, model, source, count(rho) AS n, count(*) FILTER (WHERE rho IS NULL) AS missing, {r('sum(rho * weight) / any_value(total)')} AS mean_rho, {r('min(CASE WHEN rho IS NOT NULL AND upto >= 0.5 * total THEN rho END)')} AS median_rho,
+{', '.join(f"{r(f'100 * sum(CASE WHEN c = {k} THEN weight ELSE 0 END) / any_value(total)')} AS share_{k}, count(*) FILTER (WHERE c = {k}) AS cells_{k}" for k in range(1, 9))} FROM o GROUP BY ALL""")
 def class_area_shares(spark, sf_dir):
-    cube = monthly(spark, sf_dir)
+    cube = reused(monthly(spark, sf_dir))
     w = cube.select("cell", "weight").distinct()
     # few samples give correlations on the edges of classes, up to the noise of their sums
     s = comp.class_shares(four_sets(cube).withColumn("rho", F.round("rho", 9)).join(w, "cell"), ["definition", "model", "source"], "rho", "weight")
-    return out(s, ["definition", "model", "source"], ["mean_rho", *[f"share_{k}" for k in range(1, 9)]], ["n"])
+    return out(s, ["definition", "model", "source"], ["mean_rho", "median_rho", *_SHARE], ["n", "missing", *[f"cells_{k}" for k in range(1, 9)]])

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from aeolith.operators import complementarity as comp
+from aeolith.operators import stats
 from aeolith.operators.stats import weighted_mean
 from aeolith.plans.common import A, long_form, monthly, out, r
-from aeolith.plans.complementary import _CLASS_B, _RHO, monthly_rho
+from aeolith.plans.complementary import _CLASS_B, _RHO, _SETS, four_sets, monthly_rho
 from aeolith.plans.energy import SQL_CHAIN, SQL_ENERGY_LONG, energy_long
 from aeolith.plans.ensembles import LEAST, SQL_CHANGE, _NAT, _NC, change_table, grid_change, period_grid
 from aeolith.plans.ensembles import _G
@@ -60,10 +61,11 @@ def figure_gridwise_change(spark, sf_dir):
     return out(grid_change(monthly(spark, sf_dir)).groupBy(*by).agg(some("change"), some("percent")), by, ["change", "percent"])
 
 
-@query(f"{A}, {SQL_CHAIN}, {_RHO}, m AS (SELECT source, cell, avg(rho) AS rho FROM rho GROUP BY ALL) SELECT source, cell, {r('rho')} AS rho, ({_CLASS_B})::INT AS class FROM m")
+@query(f"{A}, {SQL_CHAIN}, {_SETS}, m AS (SELECT definition, source, cell, round(avg(rho), 9) AS rho FROM rr GROUP BY ALL) SELECT definition, source, cell, {r('rho')} AS rho, ({_CLASS_B})::INT AS class FROM m WHERE definition IN ('monthly_full', 'seasonal_full')")
 def figure_class_maps(spark, sf_dir):
-    m = monthly_rho(monthly(spark, sf_dir)).groupBy("source", "cell").agg(F.avg("rho").alias("rho"))
-    return out(m.withColumn("class", comp.class_for_maps(F.col("rho"))), ["source", "cell", "class"], ["rho"])
+    """Maps of months and of seasons."""
+    m = four_sets(monthly(spark, sf_dir)).where("definition in ('monthly_full', 'seasonal_full')").groupBy("definition", "source", "cell").agg(F.round(F.avg("rho"), 9).alias("rho"))
+    return out(m.withColumn("class", comp.class_for_maps(F.col("rho"))), ["definition", "source", "cell", "class"], ["rho"])
 
 
 @query(f"{A}, {SQL_CHAIN}, {_RHO}, m AS (SELECT source, cell, avg(rho) AS rho FROM rho GROUP BY ALL) SELECT o.cell, {r('o.rho - p.rho')} AS difference FROM m o JOIN m p ON o.cell = p.cell AND o.source = 'ref' AND p.source = 'gcm'")
@@ -104,6 +106,7 @@ def figure_heatmap(spark, sf_dir):
 
 @query(f"{A}, q AS (SELECT source, variable, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi, quantile_cont(abs(value), 0.99) AS sym FROM al GROUP BY ALL) SELECT source, variable, {r('lo - 0.04 * (hi - lo)')} AS low, {r('hi + 0.04 * (hi - lo)')} AS high, {r('sym')} AS symmetric FROM q")
 def figure_axis_limits(spark, sf_dir):
-    q = long_form(monthly(spark, sf_dir)).groupBy("source", "variable").agg(F.percentile("value", 0.01).alias("lo"), F.percentile("value", 0.99).alias("hi"), F.percentile(F.abs("value"), 0.99).alias("symmetric"))
+    by, d = ["source", "variable"], long_form(monthly(spark, sf_dir))
+    q = stats.pooled_quantiles(d, by, "value", {"lo": 0.01, "hi": 0.99}).join(stats.pooled_quantiles(d.withColumn("value", F.abs("value")), by, "value", {"symmetric": 0.99}), by)
     pad = 0.04 * (F.col("hi") - F.col("lo"))
     return out(q.withColumn("low", F.col("lo") - pad).withColumn("high", F.col("hi") + pad), ["source", "variable"], ["low", "high", "symmetric"])

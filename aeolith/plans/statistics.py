@@ -37,19 +37,12 @@ _QBY = "model, source, variable"
 m AS (SELECT {_QBY}, count(*) AS n, sum(value * weight) / sum(weight) AS mean, 100 * sum(CASE WHEN value < 0 THEN weight ELSE 0 END) / sum(weight) AS negative_percent, min(value) AS min, max(value) AS max,
       min(CASE WHEN s >= 0.01 * t THEN value END) AS p01, min(CASE WHEN s >= 0.5 * t THEN value END) AS median, min(CASE WHEN s >= 0.99 * t THEN value END) AS p99 FROM d GROUP BY ALL),
 v AS (SELECT {_QBY}, sqrt(sum(weight * (value - mean) * (value - mean)) / sum(weight)) AS std FROM d JOIN m USING ({_QBY}) GROUP BY ALL),
-x AS (SELECT {_QBY}, 100 * sum(CASE WHEN value IS NULL THEN weight ELSE 0 END) / sum(weight) AS missing_percent FROM al GROUP BY ALL)
+x AS (SELECT {_QBY}, 100 * sum(CASE WHEN value IS NULL THEN weight ELSE 0 END) / sum(weight) AS missing_percent FROM al WHERE weight > 0 GROUP BY ALL)
 SELECT {_QBY}, n, {', '.join(f'{r(c)} AS {c}' for c in ('missing_percent', 'negative_percent', 'min', 'p01', 'median', 'mean', 'std', 'p99', 'max'))} FROM m JOIN v USING ({_QBY}) JOIN x USING ({_QBY})""")
 def qc_statistics(spark, sf_dir):
     """Weighted statistics pooled over months and cells."""
     by = ["model", "source", "variable"]
-    d = long_form(monthly(spark, sf_dir))
-    v, w = F.col("value"), F.col("weight")
-    missing = d.groupBy(*by).agg((100 * F.sum(F.when(v.isNull(), w).otherwise(0.0)) / F.sum(w)).alias("missing_percent"))
-    inside = d.where((w > 0) & v.isNotNull())
-    own = inside.groupBy(*by).agg(stats.weighted_share(v < 0, v, w).alias("negative_percent"), F.min(v).alias("min"), F.max(v).alias("max"))
-    q = stats.weighted_quantiles(d, by, "value", "weight", {"p01": 0.01, "median": 0.5, "p99": 0.99}, bins=256)
-    m = stats.weighted_moments(d, by, "value", "weight")
-    return out(m.join(own, by).join(q, by).join(missing, by), by, ["missing_percent", "negative_percent", "min", "p01", "median", "mean", "std", "p99", "max"], ["n"])
+    return out(stats.area_statistics(long_form(monthly(spark, sf_dir)), by, "value", "weight", bins=256), by, stats.AREA_STATISTICS, ["n"])
 
 
 @query(f"""{A}, p AS (SELECT model, source, variable, cell, weight, avg(value) AS value FROM al GROUP BY ALL),
@@ -68,14 +61,15 @@ def spatial_statistics(spark, sf_dir):
 {', '.join(f'{r(e)} AS {c}' for c, e in (('min', 'min(value)'), ('p01', 'quantile_cont(value, 0.01)'), ('median', 'quantile_cont(value, 0.5)'), ('mean', 'avg(value)'), ('std', 'stddev_pop(value)'), ('p99', 'quantile_cont(value, 0.99)'), ('max', 'max(value)')))} FROM al GROUP BY ALL""")
 def unweighted_statistics(spark, sf_dir):
     by = ["model", "source", "variable", "month"]
-    g = long_form(monthly(spark, sf_dir)).groupBy(*by).agg(*stats.plain_statistics("value"))
+    g = stats.plain_statistics(long_form(monthly(spark, sf_dir)), by, "value")
     return out(g, by, ["missing_percent", "negative_percent", "min", "p01", "median", "mean", "std", "p99", "max"], ["n"])
 
 
 @query(f"{A} SELECT model, source, variable, {r('quantile_cont(value, 0.5)')} AS median, {r('avg(value)')} AS mean, {r('quantile_cont(value, 0.9)')} AS p90, {r('max(value)')} AS max FROM al GROUP BY ALL")
 def finite_summary(spark, sf_dir):
     by = ["model", "source", "variable"]
-    g = long_form(monthly(spark, sf_dir)).groupBy(*by).agg(F.percentile("value", 0.5).alias("median"), F.avg("value").alias("mean"), F.percentile("value", 0.9).alias("p90"), F.max("value").alias("max"))
+    d = long_form(monthly(spark, sf_dir))
+    g = d.groupBy(*by).agg(F.avg("value").alias("mean"), F.max("value").alias("max")).join(stats.pooled_quantiles(d, by, "value", {"median": 0.5, "p90": 0.9}), by)
     return out(g, by, ["median", "mean", "p90", "max"])
 
 
