@@ -60,3 +60,18 @@ def first_prefix(text: Column, prefixes: dict[str, str], default: str) -> Column
     for p, v in prefixes.items():
         out = F.when(text.startswith(p), v) if out is None else out.when(text.startswith(p), v)
     return F.lit(default) if out is None else out.otherwise(default)
+
+
+URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#;]*)"
+
+
+def normal_url(url: Column) -> Column:
+    """Scheme, host and path that ends in a slash; without parameters, query and fragment."""
+    path = F.regexp_extract(url, URL, 3)
+    path = F.when(path.endswith("/"), path).otherwise(F.concat(path, F.lit("/")))
+    return F.when(url.rlike(URL), F.concat(F.lower(F.regexp_extract(url, URL, 1)), F.lit("://"), F.regexp_extract(url, URL, 2), path))
+
+
+def url_name(url: Column) -> Column:
+    """The last part of a path."""
+    return F.regexp_extract(F.regexp_replace(F.regexp_extract(url, URL, 3), "/+$", ""), "([^/]*)$", 1)

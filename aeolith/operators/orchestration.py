@@ -1,16 +1,20 @@
 """Runs: what is to do, whether inputs are fit, and whether outputs are right.
 
-A run is one plan over all combinations; a manifest of finished combinations makes it
-incremental, and audits return issues as rows.
+A run is a job for each combination of a registry, whose outputs make it resumable; audits
+return issues as rows.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aeolith.operators.contracts import range_severity
+from aeolith.scratch import exists
+
 
 def combinations(*parts: DataFrame) -> DataFrame:
     """All combinations of small registries (models, scenarios, variables): a few dozen rows each."""
@@ -59,6 +63,103 @@ def first_offenders(issues: DataFrame, order: Sequence[str], n: int = 10) -> Dat
     return issues.orderBy(*order).limit(n)
 
 
-def run(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], dry: bool = False) -> DataFrame:
-    """The work on all jobs in one plan; dry: only the jobs."""
-    return jobs if dry else work(jobs)
+STATUS = "key string, status string, rows bigint, seconds double, message string"
+
+
+def run_batch(jobs: DataFrame, keys: Sequence[str], work: Callable[[dict], DataFrame], target: str, dry: bool = False, force: bool = False, stop_on_error: bool = False) -> DataFrame:
+    """One Spark job for each combination of a registry (models, scenarios: some dozens), each written under
+    ``target`` before the next begins; (key, status, rows, seconds, message), one row for each.
+
+    A combination's output and its status are written together with its end, so a run that was cut
+    off goes on where it stopped: combinations that are there are SKIPPED_COMPLETE unless ``force``.
+    One that fails is FAILED with its message, and the others go on unless ``stop_on_error``.  ``dry``
+    plans the work without running it (DRY_RUN, or FAILED if it can't be planned).
+    """
+    spark = jobs.sparkSession
+    combos = jobs.select(*keys).distinct().orderBy(*keys).collect()
+    records = []
+    for combo in combos:
+        what = combo.asDict()
+        name = "/".join(f"{k}={what[k]}" for k in keys)
+        out = f"{target}/{name}"
+        if not dry and not force and exists(spark, f"{out}/_SUCCESS"):
+            records.append((name, "SKIPPED_COMPLETE", spark.read.parquet(out).count(), 0.0, ""))
+            continue
+        began = time.time()
+        try:
+            d = work(what)
+            if dry:
+                d.schema  # noqa: B018
+                records.append((name, "DRY_RUN", 0, time.time() - began, ""))
+                continue
+            d.write.mode("overwrite").parquet(out)
+            records.append((name, "COMPLETED", spark.read.parquet(out).count(), time.time() - began, ""))
+        except Exception as e:  # noqa: BLE001 - whatever stops a combination is its status
+            records.append((name, "FAILED", 0, time.time() - began, str(e).split("\n")[0][:300]))
+            if stop_on_error:
+                break
+    return spark.createDataFrame(records, STATUS)
+
+
+def stored(spark: SparkSession, target: str, keys: Sequence[str], status: DataFrame) -> DataFrame:
+    """What finished combinations have written, with their keys as columns, for summaries without
+    computing anything again."""
+    names = [r.key for r in status.where(F.col("status").isin("COMPLETED", "SKIPPED_COMPLETE")).select("key").collect()]
+    return spark.read.option("basePath", target).parquet(*[f"{target}/{n}" for n in names])
+
+
+ISSUES = ("check", "severity", "item", "detail")
+
+
+def issue(df: DataFrame, check: str, item: Sequence[str], detail: Column, severity: Column | str = "FAIL") -> DataFrame:
+    """Rows that break a rule, as issues."""
+    named = F.concat_ws("/", *[F.col(c).cast("string") for c in item])
+    return df.select(F.lit(check).alias("check"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), named.alias("item"), detail.cast("string").alias("detail"))
+
+
+def issues(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def audit_corrected(three: DataFrame, by: Sequence[str], x: str = "y", months: int = 12, most_missing: float = 50.0) -> DataFrame:
+    """Issues of corrected output (method, ``by``, variable, month, cell, value): physical ranges, negative
+    values where there can be none, months that lack, and too many cells without a value."""
+    g = ["method", *by, "variable"]
+    v = F.col(x)
+    d = three.groupBy(*g).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count_distinct("month").alias("months"), (100 * F.avg(v.isNull().cast("double"))).alias("missing"), F.count_if(v < 0).alias("negative"))
+    severity = range_severity(F.col("variable"), F.col("low"), F.col("high"))
+    can = F.col("variable").isin("rsds", "wind")
+    return issues([
+        issue(d.where(F.col("low").isNotNull()).withColumn("__s", severity).where("__s <> 'PASS'"), "PHYSICAL_RANGE", g, F.format_string("%.3f to %.3f", "low", "high"), F.col("__s")),
+        issue(d.where(can & (F.col("negative") > 0)), "NEGATIVE_VALUES", g, F.col("negative")),
+        issue(d.where(F.col("months") != months), "MONTH_COUNT", g, F.col("months")),
+        issue(d.where((F.col("missing") > most_missing) | F.col("low").isNull()), "MISSING_VALUES", g, F.format_string("%.3f", "missing"), "WARNING"),
+    ])
+
+
+def sampled_steps(df: DataFrame, by: Sequence[str], order: str, n: int = 8) -> DataFrame:
+    """The rows of ``n`` time steps of each group, spread evenly from the first to the last."""
+    steps = df.select(*by, order).distinct()
+    w = Window.partitionBy(*by)
+    steps = steps.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count("*").over(w))
+    wanted = F.array(*[F.floor(F.lit(k) * (F.col("__n") - 1) / (n - 1)) for k in range(n)])
+    return df.join(steps.where(F.array_contains(wanted, F.col("__i"))).select(*by, order), [*by, order])
+
+
+def audit_energy(stored_rows: DataFrame, by: Sequence[str], order: str, formulas: dict[str, Column], rho: DataFrame, least: int, total: int) -> DataFrame:
+    """Issues of energy output: values on eight sampled time steps that their formulas don't give, and rank
+    correlations (``by``, cell, rho, p, n) out of their ranges."""
+    g = [*by, "cell"]
+    sample = sampled_steps(stored_rows, by, order)
+    wrong = reconstruction_issues(sample, [*by, "cell", order], formulas)
+    r, p, n = F.col("rho"), F.col("p"), F.col("n")
+    return issues([
+        issue(wrong, "FORMULA", [*by, "cell", order, "variable"], F.format_string("%.4f for %.4f", "stored", "expected")),
+        issue(rho.where(~r.between(-1, 1)), "RHO_RANGE", g, F.round(r, 3)),
+        issue(rho.where(~p.between(0, 1)), "P_RANGE", g, F.round(p, 3)),
+        issue(rho.where((n < 0) | (n > total)), "VALID_COUNT", g, n),
+        issue(rho.where(r.isNotNull() & (n < least)), "TOO_FEW_VALUES", g, n),
+    ])

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeolith.scratch import exists
 from aeolith.ship import ship
 
 # The WGS84 ellipsoid.
@@ -145,12 +146,20 @@ def overlap(cells: DataFrame, rings: Sequence[Sequence[tuple[float, float]]]) ->
     turn = [math.copysign(1, sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, [*r[1:], r[0]]))) for r in fixed]
     outer = turn[0] if turn else 1.0
 
+    bounds = [(min(x for x, _ in r), min(y for _, y in r), max(x for x, _ in r), max(y for _, y in r)) for r in fixed]
+
     @F.pandas_udf("struct<area:double,cut:double>")
     def run(w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.DataFrame:
+        # a box's area depends on its latitudes and width, of which a grid has few
+        areas: dict[tuple, float] = {}
         rows = []
-        for box in zip(w, s, e, n):
-            cut = sum(t * outer * polygon_area_km2(clip_to_box(r, *box)) for r, t in zip(fixed, turn))
-            rows.append((box_area_km2(*box), max(0.0, cut)))
+        for west, south, east, north in zip(w, s, e, n):
+            key = (south, north, round(east - west, 9))
+            if key not in areas:
+                areas[key] = box_area_km2(west, south, east, north)
+            near = [(r, t) for r, t, (a, b, c, d) in zip(fixed, turn, bounds) if a <= east and c >= west and b <= north and d >= south]
+            cut = sum(t * outer * polygon_area_km2(clip_to_box(r, west, south, east, north)) for r, t in near)
+            rows.append((areas[key], max(0.0, cut)))
         return pd.DataFrame(rows, columns=["area", "cut"])
 
     d = cells.withColumn("__o", run("west", "south", "east", "north"))
@@ -160,6 +169,25 @@ def overlap(cells: DataFrame, rings: Sequence[Sequence[tuple[float, float]]]) ->
     return d.withColumn("intersects", hit).withColumn("inside", F.col("fraction") >= 1 - 1e-6).drop("__o")
 
 
+def grid_id(cells: DataFrame) -> str:
+    """A digest of a grid's boxes: what belongs to a grid is made once for each."""
+    one = F.format_string("%.9f,%.9f,%.9f,%.9f", "west", "south", "east", "north")
+    return cells.select(one.alias("c")).distinct().agg(F.sha2(F.array_join(F.array_sort(F.collect_list("c")), ";"), 256)).first()[0] or ""
+
+
+def kept_overlap(cells: DataFrame, rings: Sequence[Sequence[tuple[float, float]]], folder: str) -> DataFrame:
+    """``overlap``, kept under ``folder`` by the digests of the grid and of the boundary: read again where it
+    is there.  A grid has some ten thousand boxes, so its digest is made in one task."""
+    import hashlib
+
+    spark = cells.sparkSession
+    border = hashlib.sha256(repr([[(float(x), float(y)) for x, y in r] for r in rings]).encode()).hexdigest()[:16]
+    path = f"{folder}/weights-{grid_id(cells)[:32]}-{border}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        overlap(cells, rings).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _intervals(src: DataFrame, x: str) -> DataFrame:
     """(lo, hi, last): neighbouring points of an axis."""
     w = Window.partitionBy(F.lit(0)).orderBy(x)
@@ -181,11 +209,15 @@ def _axis_weights(src: DataFrame, targets: DataFrame, x: str) -> DataFrame:
     return met.select(F.col("t").alias(f"t_{x}"), F.explode(both).alias("e")).select(f"t_{x}", F.col("e.c").alias(x), F.col("e.w").alias(f"w_{x}"))
 
 
-def regrid(src: DataFrame, targets: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, lat, lon, value) on the target points: bilinear; NULL outside the source grid, and where a corner is missing."""
+def regrid(src: DataFrame, targets: DataFrame, by: Sequence[str], value: str, inside: str | None = None) -> DataFrame:
+    """(by, lat, lon, value) on the target points: bilinear; NULL outside the source grid, and where a corner is missing.
+    ``inside`` names a column of ``targets``: where it is false (the cell doesn't meet the polygon) the value is NULL too."""
     la, lo = _axis_weights(src, targets, "lat"), _axis_weights(src, targets, "lon")
     corners = src.select(*by, "lat", "lon", value).join(F.broadcast(la), "lat").join(F.broadcast(lo), "lon")
     got = corners.groupBy(*by, "t_lat", "t_lon").agg(F.sum(F.col(value) * F.col("w_lat") * F.col("w_lon")).alias("__v"), F.count(value).alias("__n"))
     every = src.select(*by).distinct().crossJoin(F.broadcast(targets.select(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")))) if by else targets.select(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     out = every.join(got, [*by, "t_lat", "t_lon"], "left")
+    if inside:
+        out = out.join(F.broadcast(targets.select(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col(inside).alias("__inside"))), ["t_lat", "t_lon"])
+        out = out.withColumn("__v", F.when(F.col("__inside"), F.col("__v")))
     return out.select(*by, F.col("t_lat").alias("lat"), F.col("t_lon").alias("lon"), F.when(F.col("__n") == 4, F.col("__v")).alias(value))

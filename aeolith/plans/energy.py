@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from aeolith.config import DEFAULT
 from aeolith.functions.numeric import rounded
-from aeolith.operators.energy import by_method, daily_flux, energy_chain, hub_wind, wind_power_density, wind_speed
+from aeolith.operators.energy import by_method, daily_flux, energy_chain, hub_wind, wind_issues, wind_power_density, wind_speed
 from aeolith.operators.stats import weighted_mean
 from aeolith.plans.common import A, SQL_PERIOD, long_form, monthly, out, period, r, table
 from aeolith.plans.registry import query
@@ -84,3 +84,11 @@ def historical_against_reference(spark, sf_dir):
     diff = F.col("gcm") - F.col("ref")
     m = m.withColumn("difference", diff).withColumn("relative_percent", F.when(F.abs("ref") > 1e-12, 100 * diff / F.when(F.abs("ref") > 1e-12, F.col("ref"))))
     return out(m, ["model", "variable", "cell"], ["gcm", "ref", "difference", "relative_percent"])
+
+
+@query(f"""{A}, w AS (SELECT model, source, cell, CASE WHEN weight = 0 THEN NULL WHEN wind < 3.5 AND cell % 5 = 1 THEN -wind ELSE wind END AS wind FROM a), g AS (SELECT model, source, cell, count(*) FILTER (WHERE wind < -1e-6) AS bad, count(wind) AS finite, count(*) AS n FROM w GROUP BY ALL)
+SELECT model, source, cell, CASE WHEN finite = 0 THEN 'NO_FINITE_WIND' ELSE 'NEGATIVE_WIND' END AS issue, CASE WHEN finite = 0 THEN n ELSE bad END AS n FROM g WHERE finite = 0 OR bad > 0""")
+def wind_guards(spark, sf_dir):
+    """Cells whose wind can't be taken to hub height; some are spoilt."""
+    d = monthly(spark, sf_dir).withColumn("wind", F.expr("case when weight = 0 then null when wind < 3.5 and cell % 5 = 1 then -wind else wind end"))
+    return wind_issues(d, ["model", "source", "cell"])

@@ -42,12 +42,12 @@ def polygon_weights(spark, sf_dir):
 
 
 _PTS = f"tg AS (SELECT * FROM (SELECT unnest({TARGET_LAT})::DOUBLE AS tlat), (SELECT unnest({TARGET_LON})::DOUBLE AS tlon))"
-_REG = f"""{_PTS}, s AS (SELECT model, lat, lon, avg(tas) AS v FROM a WHERE source = 'gcm' AND cell <> 12 GROUP BY ALL),
+_REG = f"""{_PTS}, s AS (SELECT model, lat, lon, avg(CASE WHEN cell <> 12 THEN tas END) AS v FROM a WHERE source = 'gcm' GROUP BY ALL),
 yi AS (SELECT lat AS lo, lead(lat) OVER (ORDER BY lat) AS hi FROM (SELECT DISTINCT lat FROM s)), xi AS (SELECT lon AS lo, lead(lon) OVER (ORDER BY lon) AS hi FROM (SELECT DISTINCT lon FROM s)),
 c AS (SELECT DISTINCT model FROM s), p AS (SELECT c.model, tlat, tlon, y.lo AS y0, y.hi AS y1, x.lo AS x0, x.hi AS x1, (tlat - y.lo) / (y.hi - y.lo) AS wy, (tlon - x.lo) / (x.hi - x.lo) AS wx FROM c, tg
       LEFT JOIN yi y ON y.hi IS NOT NULL AND tlat >= y.lo AND (tlat < y.hi OR (tlat = y.hi AND y.hi = (SELECT max(lat) FROM s)))
       LEFT JOIN xi x ON x.hi IS NOT NULL AND tlon >= x.lo AND (tlon < x.hi OR (tlon = x.hi AND x.hi = (SELECT max(lon) FROM s))))
-SELECT p.model, tlat AS lat, tlon AS lon, {r('(1 - wy) * (1 - wx) * a1.v + (1 - wy) * wx * a2.v + wy * (1 - wx) * a3.v + wy * wx * a4.v')} AS tas FROM p
+SELECT p.model, tlat AS lat, tlon AS lon, {r('CASE WHEN tlat + tlon < 170 THEN (1 - wy) * (1 - wx) * a1.v + (1 - wy) * wx * a2.v + wy * (1 - wx) * a3.v + wy * wx * a4.v END')} AS tas FROM p
 LEFT JOIN s a1 ON a1.model = p.model AND a1.lat = y0 AND a1.lon = x0 LEFT JOIN s a2 ON a2.model = p.model AND a2.lat = y0 AND a2.lon = x1
 LEFT JOIN s a3 ON a3.model = p.model AND a3.lat = y1 AND a3.lon = x0 LEFT JOIN s a4 ON a4.model = p.model AND a4.lat = y1 AND a4.lon = x1"""
 
@@ -59,6 +59,7 @@ def target_grid(spark):
 
 @query(f"{A}, {_REG}")
 def bilinear_regrid(spark, sf_dir):
-    """One source cell is missing; targets beyond the grid, and next to the gap, are NULL."""
-    s = monthly(spark, sf_dir).where("source = 'gcm' and cell <> 12").groupBy("model", "lat", "lon").agg(F.avg("tas").alias("tas"))
-    return out(spatial.regrid(s, target_grid(spark), ["model"], "tas"), ["model", "lat", "lon"], ["tas"])
+    """One source cell has no value; targets beyond the grid, next to the gap, and outside the polygon are NULL."""
+    s = monthly(spark, sf_dir).where("source = 'gcm'").groupBy("model", "lat", "lon").agg(F.avg(F.when(F.col("cell") != 12, F.col("tas"))).alias("tas"))
+    targets = target_grid(spark).withColumn("inside", F.col("lat") + F.col("lon") < 170)
+    return out(spatial.regrid(s, targets, ["model"], "tas", "inside"), ["model", "lat", "lon"], ["tas"])

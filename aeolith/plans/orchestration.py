@@ -2,12 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from aeolith.functions.numeric import correlation_p
 from aeolith.operators import orchestration
 from aeolith.operators.energy import cell_temperature, energy_chain, performance_ratio, wind_power_density
 from aeolith.operators.stats import weighted_mean
-from aeolith.plans.common import A, monthly, out, r, table
+from aeolith.plans.common import A, monthly, out, r, reused, table
+from aeolith.plans.complementary import _RHO, LEAST, monthly_rho
+from aeolith.plans.correction import _METHODS, SQL, three_methods
 from aeolith.plans.energy import SQL_CHAIN
 from aeolith.plans.registry import query
+from aeolith.scratch import new_path
 
 
 @query("""WITH g AS (SELECT p_brand, string_agg(p_partkey::VARCHAR || '.nc', ';' ORDER BY p_partkey) AS files FROM part GROUP BY ALL), s AS (SELECT p_brand, string_split(files, ';') AS f FROM g)
@@ -93,3 +97,71 @@ def pending_runs(spark, sf_dir):
     jobs = orchestration.combinations(table(spark, sf_dir, "nation").select("n_nationkey"), table(spark, sf_dir, "region").select("r_regionkey"))
     done = jobs.where("n_nationkey % 2 = 0 and r_regionkey = 1").withColumn("status", F.lit("COMPLETE"))
     return not_done(jobs, done, ["n_nationkey", "r_regionkey"]).withColumn("done", F.col("n_nationkey") % 2 == 0)
+
+
+_RUNS = ["model", "source"]
+
+
+def _energy_run(spark, sf_dir, **how):
+    """Energy of all combinations but one, which can't be computed; (target, status)."""
+    cube = reused(monthly(spark, sf_dir))
+    target = new_path(spark, "energy")
+
+    def work(combo):
+        d = cube.where((F.col("model") == combo["model"]) & (F.col("source") == combo["source"]))
+        if combo == {"model": "R", "source": "ref"}:
+            d = d.withColumn("rsds", F.raise_error(F.lit("no radiation")).cast("double"))
+        return energy_chain(d).drop(*_RUNS)
+
+    return target, work, cube.select(*_RUNS).distinct()
+
+
+@query(f"""{A}, c AS (SELECT model, source, count(*) AS rows FROM a GROUP BY ALL), k AS (SELECT 'model=' || model || '/source=' || source AS key, model = 'R' AND source = 'ref' AS bad, rows FROM c)
+SELECT 'dry' AS run, key, 'DRY_RUN' AS status, 0 AS rows FROM k UNION ALL SELECT 'first', key, CASE WHEN bad THEN 'FAILED' ELSE 'COMPLETED' END, CASE WHEN bad THEN 0 ELSE rows END FROM k
+UNION ALL SELECT 'again', key, CASE WHEN bad THEN 'FAILED' ELSE 'SKIPPED_COMPLETE' END, CASE WHEN bad THEN 0 ELSE rows END FROM k""")
+def batch_status(spark, sf_dir):
+    """A batch that is planned, run, and resumed after a failure."""
+    target, work, jobs = _energy_run(spark, sf_dir)
+    runs = [("dry", {"dry": True}), ("first", {}), ("again", {})]
+    every = None
+    for name, how in runs:
+        d = orchestration.run_batch(jobs, _RUNS, work, target, **how).select(F.lit(name).alias("run"), "key", "status", "rows")
+        every = d if every is None else every.unionByName(d)
+    return every
+
+
+@query(f"{A}, {SQL_CHAIN} SELECT model, source, year, {r('sum(pvpot * weight) / sum(CASE WHEN pvpot IS NOT NULL THEN weight END)')} AS pvpot FROM e WHERE NOT (model = 'R' AND source = 'ref') GROUP BY ALL HAVING sum(weight) > 0")
+def summary_of_stored(spark, sf_dir):
+    """Yearly area means of what a batch has stored, without computing it again."""
+    target, work, jobs = _energy_run(spark, sf_dir)
+    status = orchestration.run_batch(jobs, _RUNS, work, target)
+    d = orchestration.stored(spark, target, _RUNS, status)
+    return out(d.groupBy("model", "source", "year").agg(weighted_mean(F.col("pvpot"), F.col("weight")).alias("pvpot")).where("pvpot is not null"), ["model", "source", "year"], ["pvpot"])
+
+
+@query(f"""{SQL}, {_METHODS}, z AS (SELECT method, model, variable, month, CASE WHEN method = 'qm' AND variable = 'tas' AND model = 'A' THEN y + 110 WHEN method = 'qdm' AND variable = 'wind' AND model = 'N' THEN y - 5 ELSE y END AS y FROM u),
+g AS (SELECT method, model, variable, min(y) AS low, max(y) AS high, count(DISTINCT month) AS months, 100 * avg((y IS NULL)::INT) AS missing, count(*) FILTER (WHERE y < 0) AS negative FROM z GROUP BY ALL),
+h AS (SELECT *, method || '/' || model || '/' || variable AS item, CASE variable WHEN 'tas' THEN CASE WHEN low < 150 OR high > 400 THEN 'FAIL' WHEN low < 190 OR high > 370 THEN 'WARNING' ELSE 'PASS' END
+      WHEN 'rsds' THEN CASE WHEN low < -1e-4 OR high > 1000 THEN 'FAIL' WHEN high > 500 THEN 'WARNING' ELSE 'PASS' END ELSE CASE WHEN low < -1e-4 OR high > 100 THEN 'FAIL' WHEN high > 50 THEN 'WARNING' ELSE 'PASS' END END AS severity FROM g)
+SELECT 'PHYSICAL_RANGE' AS check, severity, item FROM h WHERE low IS NOT NULL AND severity <> 'PASS' UNION ALL SELECT 'NEGATIVE_VALUES', 'FAIL', item FROM h WHERE variable <> 'tas' AND negative > 0
+UNION ALL SELECT 'MONTH_COUNT', 'FAIL', item FROM h WHERE months <> 12 UNION ALL SELECT 'MISSING_VALUES', 'WARNING', item FROM h WHERE missing > 50 OR low IS NULL""")
+def audit_of_correction(spark, sf_dir):
+    """Issues of corrected output, some of which is spoilt."""
+    d = three_methods(spark, sf_dir).withColumn("y", F.expr("case when method = 'qm' and variable = 'tas' and model = 'A' then y + 110 when method = 'qdm' and variable = 'wind' and model = 'N' then y - 5 else y end"))
+    return orchestration.audit_corrected(d, ["model"]).select("check", "severity", "item")
+
+
+@query(f"""{A}, {SQL_CHAIN}, {_RHO}, t AS (SELECT *, row_number() OVER (PARTITION BY model, source ORDER BY ym) - 1 AS i, count(*) OVER (PARTITION BY model, source) AS n FROM (SELECT DISTINCT model, source, ym FROM e)),
+s AS (SELECT e.*, CASE WHEN cell % 3 = 0 AND month = 3 THEN pvpot + 1 ELSE pvpot END AS stored FROM e JOIN (SELECT model, source, ym FROM t WHERE list_contains([k * (n - 1) // 7 for k in range(8)], i)) USING (model, source, ym)),
+q AS (SELECT model, source, cell, n, CASE WHEN weight = 0 THEN rho - 3 ELSE rho END AS rho FROM rho JOIN (SELECT DISTINCT cell, weight FROM a) USING (cell))
+SELECT 'FORMULA' AS check, model || '/' || source || '/' || cell || '/' || ym || '/pvpot' AS item FROM s WHERE abs(stored - pvpot) > 1e-4 + 1e-5 * abs(pvpot)
+UNION ALL SELECT 'RHO_RANGE', model || '/' || source || '/' || cell FROM q WHERE rho NOT BETWEEN -1 AND 1 UNION ALL SELECT 'VALID_COUNT', model || '/' || source || '/' || cell FROM q WHERE n > 80""")
+def audit_of_energy(spark, sf_dir):
+    """Issues of energy output on eight time steps and of its correlations, some of which are spoilt."""
+    cube = reused(monthly(spark, sf_dir))
+    e = energy_chain(cube)
+    spoilt = e.withColumn("pvpot", F.when((F.col("cell") % 3 == 0) & (F.col("month") == 3), F.col("pvpot") + 1).otherwise(F.col("pvpot")))
+    pv = performance_ratio(cell_temperature(F.col("tas") - 273.15, F.col("rsds"), F.col("wind"))) * F.col("rsds")
+    rho = monthly_rho(cube).withColumn("p", correlation_p(F.col("rho"), F.col("n"))).join(cube.select("cell", "weight").distinct(), "cell")
+    rho = rho.withColumn("rho", F.when(F.col("weight") == 0, F.col("rho") - 3).otherwise(F.col("rho"))).drop("weight")
+    return orchestration.audit_energy(spoilt, ["model", "source"], "ym", {"pvpot": pv, "wpd": wind_power_density(F.col("wind_hub"))}, rho, LEAST, 80).select("check", "item")

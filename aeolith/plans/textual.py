@@ -52,6 +52,19 @@ def preferred_variant(spark, sf_dir):
     return k.groupBy("p_brand").agg(best.alias("b")).select("p_brand", "b.*")
 
 
+@query(f"""WITH v AS (SELECT p_brand, p_type, left(p_name, 1) AS institution, 'g' || (p_partkey % 2) AS grid, {_SQLV} AS variant, p_partkey FROM part),
+k AS (SELECT p_brand, variant, count(DISTINCT p_type) AS experiments, min((regexp_extract(variant, 'r([0-9]+)i', 1)::INT, regexp_extract(variant, 'i([0-9]+)p', 1)::INT, regexp_extract(variant, 'p([0-9]+)f', 1)::INT, regexp_extract(variant, 'f([0-9]+)$', 1)::INT)) AS o FROM v GROUP BY ALL),
+b AS (SELECT p_brand, variant FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY experiments DESC, o) AS n FROM k) WHERE n = 1)
+SELECT p_brand, variant, p_type AS experiment, institution, grid, count(*) AS n, string_agg(p_partkey::VARCHAR || '.nc', ';' ORDER BY p_partkey::VARCHAR || '.nc') AS files FROM v JOIN b USING (p_brand, variant) GROUP BY ALL""")
+def variant_datasets(spark, sf_dir):
+    """The datasets of each model's preferred variant, by experiment, institution and grid, with their files."""
+    d = table(spark, sf_dir, "part").select("p_brand", "p_type", F.left("p_name", F.lit(1)).alias("institution"), F.concat(F.lit("g"), F.col("p_partkey") % 2).alias("grid"), F.expr(_VARIANT).alias("variant"), F.concat(F.col("p_partkey").cast("string"), F.lit(".nc")).alias("file"))
+    k = d.groupBy("p_brand", "variant").agg(F.countDistinct("p_type").alias("experiments"))
+    best = k.groupBy("p_brand").agg(F.min_by("variant", F.struct(-F.col("experiments"), tx.variant_key(F.col("variant")))).alias("variant"))
+    g = d.join(best, ["p_brand", "variant"]).groupBy("p_brand", "variant", F.col("p_type").alias("experiment"), "institution", "grid")
+    return g.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("file")), ";").alias("files"))
+
+
 _VERSION = "CASE WHEN l_linenumber = 4 THEN 'latest' ELSE concat('v', date_format(l_shipdate, 'yyyyMMdd')) END"
 
 
@@ -68,6 +81,14 @@ def href_extract(spark, sf_dir):
     return h.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
+@query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#;]*)', ['s', 'h', 'p']) AS x FROM pages WHERE regexp_matches(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#;]*)'))
+SELECT page_id, lower(x.s) || '://' || x.h || CASE WHEN ends_with(x.p, '/') THEN x.p ELSE x.p || '/' END AS url, regexp_extract(regexp_replace(x.p, '/+$', ''), '([^/]*)$', 1) AS name FROM p""")
+def page_urls(spark, sf_dir):
+    """Addresses without query and fragment, and their last parts."""
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", tx.normal_url(u).alias("url"), tx.url_name(u).alias("name")).where("url is not null")
+
+
 _ITEM = "CASE doc_id % 6 WHEN 0 THEN 'pvpot_2100_a' WHEN 1 THEN 'sfcwind_decline' WHEN 2 THEN 'table5_x' WHEN 3 THEN 'wpd_diff_1' WHEN 4 THEN 'sfcwind_21' ELSE 'other' END"
 _EVIDENCE = " ".join(f"WHEN starts_with(item, '{p}') THEN '{v}'" for p, v in tx.EVIDENCE.items())
 

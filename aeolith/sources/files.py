@@ -6,20 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header and perhaps a byte order mark (which Spark would keep in the first name);
-    columns are matched by the header's order."""
-    df = spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", enforceSchema=True)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    """CSV with a header and perhaps a byte order mark (which Spark would keep in the first name):
+    columns are found by their names, in whatever order they stand; an error if one is missing."""
+    df = spark.read.csv(path, header=True, inferSchema=False, encoding="UTF-8")
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    wanted = StructType.fromDDL(schema).fields
+    missing = [f.name for f in wanted if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path} has no {', '.join(missing)}")
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
+
+
+#: Rows of the largest table that is written as one file.
+ONE_FILE_ROWS = 1_000_000
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV part with a header; an error if there are no rows."""
+    """A folder of CSV with a header, one file for tables of reports; an error if there are no rows."""
     if df.isEmpty():
         raise ValueError("no rows to write")
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    small = df.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS
+    (df.coalesce(1) if small else df).write.mode("overwrite").csv(path, header=True)
+
+
+def joined_in_time(parts: Sequence[DataFrame], keys: Sequence[str], order: str = "ym") -> DataFrame:
+    """The files of one series as one, by time; an error if a time stands in two of them."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    twice = out.groupBy(*keys, order).agg(F.count("*").alias("n")).where("n > 1").orderBy(*keys, order).limit(5).collect()
+    if twice:
+        raise ValueError(f"times that stand in several files: {[tuple(r) for r in twice]}")
+    return out.sort(*keys, order)
 
 
 def union_of_rows(parts: Sequence[DataFrame]) -> DataFrame:
@@ -53,10 +75,22 @@ def one_match(paths: DataFrame, key: Sequence[str], name: str = "path") -> DataF
 
 
 def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
-    """A report's table: at most ``limit`` rows, as it is for reading."""
-    rows = df.limit(limit).collect()
+    """A report's table: ``limit`` rows for reading, and how many more there are."""
+    rows = df.limit(limit + 1).collect()
     head = f"## {title}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
-    return head + "".join(f"| {' | '.join('' if v is None else str(v) for v in r)} |\n" for r in rows)
+    body = "".join(f"| {' | '.join('' if v is None else str(v) for v in r)} |\n" for r in rows[:limit])
+    more = f"\n{df.count() - limit} more rows are not shown.\n" if len(rows) > limit else ""
+    return head + body + more
+
+
+def report(title: str, tables: dict[str, DataFrame], notes: Sequence[str] = ()) -> str:
+    """A Markdown report: notes, then the tables by name."""
+    return f"# {title}\n\n" + "".join(f"{n}\n\n" for n in notes) + "\n".join(markdown(d, name) for name, d in tables.items())
+
+
+def figure_manifest(spark: SparkSession, figures: dict[str, DataFrame]) -> DataFrame:
+    """(figure, columns, rows) of the tables that figures are drawn from."""
+    return spark.createDataFrame([(name, ";".join(d.columns), d.count()) for name, d in figures.items()], "figure string, columns string, rows long")
 
 
 def read_rings(path: str) -> list[list[tuple[float, float]]]:
@@ -106,11 +140,56 @@ def select_features(features: Sequence[dict], code: str, wanted: Sequence[str])
     return [f[0] for f in found.values()]
 
 
+def union_of_rings(rings: Sequence[Sequence[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """One boundary of neighbouring areas: borders that two areas share, point for point, go."""
+    edges: dict[tuple, int] = {}
+    for ring in rings:
+        pts = list(ring)
+        turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, [*pts[1:], pts[0]]))
+        pts = pts if turn > 0 else pts[::-1]
+        for a, b in zip(pts, [*pts[1:], pts[0]]):
+            if edges.get((b, a)):
+                edges[b, a] -= 1
+            else:
+                edges[a, b] = edges.get((a, b), 0) + 1
+    after: dict[tuple, list[tuple]] = {}
+    for (a, b), n in edges.items():
+        after.setdefault(a, []).extend([b] * n)
+    out = []
+    while any(after.values()):
+        start = next(a for a, bs in after.items() if bs)
+        ring, at = [start], after[start].pop()
+        while at != start:
+            ring.append(at)
+            at = after[at].pop()
+        out.append(ring)
+    return out
+
+
+def opened(xr, path: str, names: Sequence[str]):
+    """The dataset of a file, with dates of its own calendar; GRIB groups that hold ``names`` are merged."""
+    if path.endswith((".grib", ".grb", ".grib2")):
+        parts, missing = [], list(names)
+        for ds in xr.open_datatree(path, engine="cfgrib").values() if hasattr(xr, "open_datatree") else [xr.open_dataset(path, engine="cfgrib")]:
+            own = [n for n in missing if n in ds]
+            if own:
+                parts.append(ds[own])
+                missing = [n for n in missing if n not in own]
+        if missing:
+            raise ValueError(f"{path} has no {', '.join(missing)}")
+        return xr.merge(parts, compat="override")
+    try:
+        return xr.open_dataset(path, decode_times=xr.coders.CFDatetimeCoder(use_cftime=True))
+    except (AttributeError, ImportError):  # no such decoder: the default dates
+        return xr.open_dataset(path, decode_times=True)
+
+
 def ingest_netcdf(spark: SparkSession, paths: Sequence[str], variables: Sequence[str], to: str, by: Sequence[str] = ("lat", "lon")) -> DataFrame:
     """NetCDF or GRIB files as one long Parquet table (ym, by, variables), file by file on the executors.
 
     Needs xarray with a reader of the format, which is not part of this package; months are
-    taken as year and month of the file's own calendar.
+    taken as year and month of the file's own calendar, decoded to cftime dates where there is
+    such a decoder.  Of a GRIB file each variable is read from the group that holds it.
     """
     try:
         import xarray  # noqa: F401
@@ -125,7 +204,7 @@ def ingest_netcdf(spark: SparkSession, paths: Sequence[str], variables: Sequence
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with xr.open_dataset(path) as ds:
+                with opened(xr, path, names) as ds:
                     t = ds["time"].dt
                     ym = (t.year * 12 + t.month - 1).values
                     for k in range(len(ym)):

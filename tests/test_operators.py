@@ -289,4 +289,188 @@ def test_dry_run(spark):
     d = spark.range(3)
     got = {r.check: r.issues for r in orchestration.validate({"a": d.where("id > 0"), "b": d.where("id > 5")}).collect()}
     assert got == {"a": 2, "b": 0}
-    assert orchestration.run(d, lambda x: x.selectExpr("id * 2 id"), dry=True).collect() == d.collect()
+
+
+# ---- samples, pooled quantiles, audits, batches, files
+
+
+def bias_samples(spark, n_cells=4, years=6, seed=3, gap=True):
+    r = np.random.default_rng(seed)
+    rows = []
+    for variable, base in (("tas", 280.0), ("rsds", 150.0), ("wind", 0.2)):
+        for cell in range(n_cells):
+            for role, shift in (("fit", 1.0), ("obs", 0.0), ("target", 2.0)):
+                for year in range(years):
+                    value = base + shift + float(r.standard_normal()) * base / 40
+                    if gap and cell == 0 and role == "obs" and year == 2:
+                        value = None
+                    rows.append((variable, cell, 1, 10.0 + cell, role, year, value))
+    return rows, spark.createDataFrame(rows, "variable string, cell int, month int, weight double, role string, year int, value double")
+
+
+def plain_correction(rows, variable, cell, value, method):
+    pick = lambda role: [v for var, c, _, _, ro, _, v in rows if (var, c, ro) == (variable, cell, role)]
+    fit, obs, target = pick("fit"), pick("obs"), pick("target")
+    if None in fit + obs + target:
+        return None
+    sample = fit if method == "qm" else target
+    p = (sum(x < value for x in sample) + 0.5 * sum(x == value for x in sample)) / len(sample)
+    nodes = np.linspace(0.02, 0.98, 99)
+    q = min(max(p, 0.02), 0.98)
+    m, o = (float(np.interp(q, nodes, np.quantile(x, nodes))) for x in (fit, obs))
+    additive = method == "qdm" and variable == "tas"
+    y = value * o / m if not additive and abs(m) > DEFAULT.floors[variable] else value + o - m
+    return max(y, 0.0) if variable != "tas" else y
+
+
+def test_both_methods_in_one_pass(spark):
+    rows, d = bias_samples(spark)
+    got = bias.correct_samples(d, ["variable", "cell", "month"]).collect()
+    assert len(got) == 3 * 4 * 6
+    for r in got:
+        assert r.complete == (r.cell != 0)
+        for m in ("qm", "qdm"):
+            want = plain_correction(rows, r.variable, r.cell, r.value, m)
+            assert (r[m] is None) == (want is None) and (want is None or r[m] == pytest.approx(want, abs=1e-9))
+    few = bias.correct_samples(d.where("not (cell = 1 and year = 0)"), ["variable", "cell", "month"], expected={"fit": 6, "obs": 6, "target": 6})
+    assert {r.cell for r in few.where("complete").collect()} == {2, 3}
+    plan = bias.correct_samples(d.repartition(3), ["variable", "cell", "month"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1
+
+
+def test_one_run_gives_all_tables(spark):
+    _, d = bias_samples(spark, gap=False)
+    run = bias.variable_run(d, ["variable", "cell", "month"], F.when(F.col("year") < 3, "near").otherwise("late"))
+    assert run.qc.count() == 9 and run.signal.count() == 9 and run.period_signal.count() == 18
+    assert all(r.samples == 6 and r.n == 24 and r.missing_percent == 0 for r in run.qc.collect())
+
+
+def test_unknown_variables_are_errors(spark):
+    _, d = bias_samples(spark)
+    with pytest.raises(Exception, match="no setting for variable"):
+        bias.correct_samples(d.withColumn("variable", F.lit("sfcWind")), ["variable", "cell", "month"]).collect()
+
+
+@pytest.mark.parametrize("skewed", [False, True])
+def test_pooled_quantiles(spark, skewed):
+    r = np.random.default_rng(6)
+    x = np.round(np.exp(r.standard_normal(5000) * (4 if skewed else 0.1)), 3)
+    x[:2000] = 1.0
+    d = spark.createDataFrame([("g", float(v), 1.0) for v in x] + [("h", 5.0, 1.0), ("h", None, 1.0)], "g string, x double, w double")
+    points = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {q.g: q for q in stats.pooled_quantiles(d, ["g"], "x", points, bins=16).collect()}
+    np.testing.assert_allclose([got["g"][k] for k in points], np.quantile(x, list(points.values())), rtol=1e-12)
+    assert [got["h"][k] for k in points] == [5.0] * 5
+    binned, plain = ({q.g: tuple(q) for q in stats.weighted_quantiles(d, ["g"], "x", "w", {"p": 0.3, "q": 0.97}, bins=b).collect()} for b in (16, 0))
+    assert binned == plain
+
+
+def test_area_statistics_agree(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(k % 3), None if k % 11 == 0 else float(v), float(k % 4)) for k, v in enumerate(r.standard_normal(600))]
+    d = spark.createDataFrame(rows, "g int, x double, w double")
+    a, b = (sorted(stats.area_statistics(d, ["g"], "x", "w", bins=k).collect()) for k in (0, 8))
+    for p, q in zip(a, b):
+        np.testing.assert_allclose(p, q, rtol=1e-9)
+
+
+def test_axes_as_stored(spark):
+    d = spark.createDataFrame([("up", 0, 1.0), ("up", 1, 2.0), ("up", 2, 3.0), ("down", 0, 3.0), ("down", 1, 1.0), ("mixed", 0, 1.0), ("mixed", 1, 3.0), ("mixed", 2, 2.0), ("one", 0, 5.0)], "g string, i int, x double")
+    got = {r.g: (r.monotonic, r.regular, r.spacing) for r in contracts.axis(d, ["g"], "x", "i").collect()}
+    assert got == {"up": (True, True, 1.0), "down": (True, True, 2.0), "mixed": (False, False, 1.5), "one": (True, True, None)}
+
+
+def test_alignment_and_coverage(spark):
+    d = spark.createDataFrame([(1, "tas"), (1, "rsds"), (2, "tas"), (2, "tas"), (2, "rsds"), (3, "rsds")], "k int, variable string")
+    assert sorted(map(tuple, contracts.exact_alignment(d, ["k"], ["tas", "rsds"]).collect())) == [(2, "", "tas"), (3, "tas", "")]
+    a, b = d.where("k < 3").select("k"), d.where("k > 1").select("k")
+    assert sorted(map(tuple, contracts.exact_coverage(a, b, ["k"]).collect())) == [(1, "first"), (3, "second")]
+
+
+def test_group_audit(spark):
+    rows = [("ok", ym, ym, 280.0, "K") for ym in range(12)] + [("gap", ym, ym, 280.0, "K") for ym in (0, 1, 4)] + [("cold", ym, ym, 20.0, "K") for ym in range(3)] + [("mixed", ym, -ym, 280.0, "K" if ym else "degC") for ym in range(3)]
+    rows += [("none", ym, ym, None, "K") for ym in range(3)] + [("twice", 0, 0, 280.0, "K"), ("twice", 0, 1, 280.0, "K")]
+    d = spark.createDataFrame([(g, "tas", ym, place, v, u, 0.0) for g, ym, place, v, u in rows], "g string, variable string, ym int, place int, value double, unit string, lat double")
+    got = {r.g: (r.status, r.message) for r in contracts.group_audit(d, ["g", "variable"], "place", "value", "unit").collect()}
+    assert got["ok"] == ("PASSED", "") and got["gap"] == ("FAILED", "Monthly time series contains 2 missing months") and got["cold"] == ("FAILED", "Suspicious sample minimum")
+    assert got["mixed"] == ("FAILED", "Inconsistent units: K, degC | Files are not ordered chronologically")
+    assert got["none"][0] == "FAILED" and got["none"][1].startswith("All sampled values are non-finite") and got["twice"] == ("FAILED", "Duplicate year-month values were found")
+
+
+def test_batches_resume(spark, tmp_path):
+    from aeolith.operators import orchestration
+
+    jobs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "model string, scenario int")
+    fail = {"b": True}
+
+    def work(combo):
+        d = spark.range(5 * combo["scenario"]).withColumnRenamed("id", "x")
+        return d.withColumn("x", F.raise_error(F.lit("broken")).cast("long")) if fail.get(combo["model"]) else d
+
+    run = lambda **how: [(r.key, r.status, r.rows) for r in orchestration.run_batch(jobs, ["model", "scenario"], work, str(tmp_path / "out"), **how).collect()]
+    keys = ["model=a/scenario=1", "model=a/scenario=2", "model=b/scenario=1"]
+    assert run(dry=True) == [(k, "DRY_RUN", 0) for k in keys] and not (tmp_path / "out").exists()
+    assert run() == [(keys[0], "COMPLETED", 5), (keys[1], "COMPLETED", 10), (keys[2], "FAILED", 0)]
+    fail.clear()
+    assert run() == [(keys[0], "SKIPPED_COMPLETE", 5), (keys[1], "SKIPPED_COMPLETE", 10), (keys[2], "COMPLETED", 5)]
+    assert [s for _, s, _ in run(force=True)] == ["COMPLETED"] * 3
+    fail["a"] = True
+    assert [s for _, s, _ in run(force=True, stop_on_error=True)] == ["FAILED"]
+    done = orchestration.run_batch(jobs.where("model = 'b'"), ["model", "scenario"], work, str(tmp_path / "out"))
+    assert orchestration.stored(spark, str(tmp_path / "out"), ["model", "scenario"], done).groupBy("model").count().collect()[0]["count"] == 5
+
+
+def test_csv_by_name_and_reports(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("﻿b,a,c\n1.5,x,9\n", encoding="utf-8")
+    r = one(files.read_csv(spark, str(tmp_path / "x.csv"), "a string, b double"))
+    assert (r.a, r.b) == ("x", 1.5)
+    with pytest.raises(ValueError, match="no z"):
+        files.read_csv(spark, str(tmp_path / "x.csv"), "a string, z int")
+    d = spark.range(7)
+    assert "4 more rows are not shown" in files.markdown(d, "t", limit=3) and "more rows" not in files.markdown(d, "t")
+    assert files.report("r", {"t": d}, ["note"]).startswith("# r\n\nnote\n\n## t")
+    assert one(files.figure_manifest(spark, {"f": d})) == ("f", "id", 7)
+    series = lambda a, b: spark.createDataFrame([("m", k) for k in range(a, b)], "model string, ym int")
+    assert [x.ym for x in files.joined_in_time([series(5, 9), series(0, 5)], ["model"]).collect()] == list(range(9))
+    with pytest.raises(ValueError, match="several files"):
+        files.joined_in_time([series(0, 5), series(4, 9)], ["model"])
+
+
+def test_union_of_neighbours(spark, tmp_path):
+    a, b = [(0, 0), (1, 0), (1, 1), (0, 1)], [(1, 0), (1, 1), (2, 1), (2, 0)]
+    (ring,) = files.union_of_rings([a, b])
+    assert sorted(ring) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)]
+    assert spatial.polygon_area_km2(ring) == pytest.approx(spatial.polygon_area_km2(a) + spatial.polygon_area_km2(b), rel=1e-9)
+    cells = spark.createDataFrame([(float(w), 0.25, w + 1.0, 0.75) for w in range(-2, 4)], "west double, south double, east double, north double")
+    first = sorted(spatial.kept_overlap(cells, [ring], str(tmp_path)).collect())
+    assert first == sorted(spatial.overlap(cells, [ring]).collect()) == sorted(spatial.kept_overlap(cells, [ring], str(tmp_path)).collect())
+    assert sum(r.intersects for r in first) == 2
+
+
+def test_addresses(spark):
+    from aeolith.functions import text
+
+    d = spark.createDataFrame([("HTTPS://x.org/a/b?c=1#d",), ("http://x.org",), ("no address",), ("http://x.org/a/b/;p",)], "u string")
+    got = [tuple(r) for r in d.select(text.normal_url(F.col("u")), text.url_name(F.col("u"))).collect()]
+    assert got == [("https://x.org/a/b/", "b"), ("http://x.org/", ""), (None, ""), ("http://x.org/a/b/", "b")]
+
+
+def test_wrapping_only_beyond_180(spark):
+    from aeolith.functions.months import wrap_axis
+
+    d = spark.createDataFrame([("far", 180.0), ("far", 350.0), ("near", 180.0), ("near", -10.0)], "g string, lon double")
+    assert sorted(map(tuple, wrap_axis(d, ["g"], "lon").collect())) == [("far", -180.0), ("far", -10.0), ("near", -10.0), ("near", 180.0)]
+
+
+def test_fixed_values():
+    """Constants as they must be, whatever the queries' SQL is made of."""
+    from aeolith.functions import text
+    from aeolith.operators import diagnostics
+
+    assert DEFAULT.cell_temperature == (4.3, 0.943, 0.028, -1.528) and (DEFAULT.performance_slope, DEFAULT.reference_temperature) == (-0.005, 25.0)
+    assert DEFAULT.roughness == (0.37, 0.0881) and (DEFAULT.anemometer_height, DEFAULT.hub_height, DEFAULT.air_density) == (10.0, 100.0, 1.225)
+    assert (DEFAULT.low, DEFAULT.high, DEFAULT.nodes, DEFAULT.window) == (0.02, 0.98, 99, 30) and DEFAULT.floors == {"tas": 1.0, "rsds": 1.0, "wind": 0.1}
+    assert text.ALLOWED_UNITS["rsds"] == ("wm-2", "wm**-2", "wm^-2", "w/m2") and text.UNIT_WORDS[0] == ("watts", "w") and len(text.UNIT_WORDS) == 10
+    assert diagnostics.BOUNDS == ("0.05-0.95", "0.02-0.98") and diagnostics.TAIL_LIMIT == 10.0 and diagnostics.POINTS == (0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99)
+    assert contracts.SAMPLE_LIMITS == {"tas": (150.0, 350.0), "rsds": (-5.0, 1500.0), "wind": (0.0, 150.0)} and contracts.PHYSICAL_RANGE[0] == ("tas", 150.0, 190.0, 370.0, 400.0)
+    assert ensemble.FAMILIES["wind"] == ("wind", "wind_hub", "sfcWind_10m", "wind_speed_hub", "wpd") and math.isclose(ensemble.least_models(17), 14)
