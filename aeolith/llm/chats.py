@@ -6,13 +6,17 @@ hashes of (place, role, text).  Conversations equal in full are one (the smalles
 stays); the distinct full hashes are anti-joined with the distinct hashes of all shorter
 prefixes, which leaves the maximal conversations; these are rendered.
 
-Copies meet only in aggregates by hash, which are combined before the shuffle, so a
-conversation that is logged very often doesn't gather in one task.  The turns of one
-conversation are ordered by one window, as they end in one rendered row.
+Texts go through one shuffle, which brings a conversation's turns together; what is hashed
+and what is rendered both read that.  All else that is shuffled are hashes and ids.  Copies
+meet only in aggregates by hash, which are combined before the shuffle, so a conversation
+that is logged very often doesn't gather in one task.  The turns of one conversation end in
+one rendered row, so they come to one task.
 
 Turns are ordered by (turn, role, text), nulls first; a row that is repeated counts once.
-A null role or text differs from an empty one in comparisons and is rendered as empty.
-Rows with a null conv_id form one conversation.  An empty table gives no rows.
+A null role or text differs from an empty one in comparisons and is rendered as empty; long
+texts are hashed and rendered whole.  A row with a null conv_id is a conversation by itself
+(equal ones count once), and keeps the null unless a conversation with an id equals it.
+Only the four columns are read, whatever others there are.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,46 +24,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeolith.llm.common import settle
-
 TEMPLATE_HEAD, TEMPLATE_TAIL, TURN_END = "<|", "|>\n", "\n"
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """``turns`` (conv_id, turn, role, text) distinct, with pos, p1 and p2 (the hash of the
-    conversation up to here) and last."""
-    t = turns.select("conv_id", "turn", "role", "text").distinct()
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = t.withColumn("pos", F.row_number().over(w))
-    what = [F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    t = t.withColumn("h1", F.xxhash64(*what)).withColumn("h2", F.xxhash64(F.lit("second"), *what))
-    run = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        t.withColumn("p1", F.bit_xor("h1").over(run)).withColumn("p2", F.bit_xor("h2").over(run))
-        .withColumn("last", F.lead("pos").over(w).isNull()).drop("h1", "h2")
-    )
+def gathered(conversations: DataFrame) -> DataFrame:
+    """(key: of the conv_id, or of a row that has none; conv_id; turns: sorted structs of turn, role, text)."""
+    row = F.struct("turn", "role", "text")
+    alone = F.concat_ws(",", F.lit("row"), F.xxhash64("turn", "role", "text"), F.xxhash64(F.lit("second"), "turn", "role", "text"))
+    key = F.when(F.col("conv_id").isNull(), alone).otherwise(F.concat(F.lit("id,"), F.col("conv_id").cast("string")))
+    d = conversations.select("conv_id", "turn", "role", "text").select(key.alias("key"), "conv_id", row.alias("row"))
+    return d.groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.array_sort(F.collect_set("row")).alias("turns"))
+
+
+def prefix_hashes(whole: DataFrame) -> DataFrame:
+    """(key, conv_id, pos, p1, p2, last) of ``gathered`` conversations: for each turn the hash of the
+    conversation up to here."""
+    t = whole.select("key", "conv_id", F.posexplode("turns").alias("pos", "x"))
+    what = [F.col("pos"), F.col("x.role").isNull(), F.col("x.role"), F.col("x.text").isNull(), F.col("x.text")]
+    t = t.select("key", "conv_id", "pos", F.xxhash64(*what).alias("h1"), F.xxhash64(F.lit("second"), *what).alias("h2"))
+    w = Window.partitionBy("key").orderBy("pos")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    return t.select("key", "conv_id", "pos", F.bit_xor("h1").over(run).alias("p1"), F.bit_xor("h2").over(run).alias("p2"), F.lead("pos").over(w).isNull().alias("last"))
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_logged): one row for each conversation that no longer one begins with;
-    n_logged counts the ids that hold exactly it."""
-    full = hashed.where("last").groupBy("p1", "p2", F.col("pos").alias("n_turns")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_logged"))
-    shorter = hashed.where("not last").select("p1", "p2", F.col("pos").alias("n_turns")).distinct()
-    return full.join(shorter, ["p1", "p2", "n_turns"], "left_anti").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_logged")
+    """(key, n_turns, n_logged): one row for each conversation that no longer one begins with;
+    n_logged counts the conversations that are exactly it."""
+    best = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "key")).alias("best")
+    full = hashed.where("last").groupBy("p1", "p2", "pos").agg(best, F.count("*").alias("n_logged"))
+    shorter = hashed.where("not last").select("p1", "p2", "pos").distinct()
+    top = full.join(shorter, ["p1", "p2", "pos"], "left_anti")
+    return top.select("best.key", (F.col("pos") + 1).cast("long").alias("n_turns"), "n_logged")
 
 
-def render(turns: DataFrame) -> DataFrame:
-    """(conv_id, rendered) of turns with pos."""
-    one = F.concat(F.lit(TEMPLATE_HEAD), F.coalesce("role", F.lit("")), F.lit(TEMPLATE_TAIL), F.coalesce("text", F.lit("")), F.lit(TURN_END))
-    lines = F.array_sort(F.collect_list(F.struct("pos", one.alias("line"))))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("rendered"))
+def rendered(turns):
+    """An array of turns as text."""
+    one = lambda x: F.concat(F.lit(TEMPLATE_HEAD), F.coalesce(x["role"], F.lit("")), F.lit(TEMPLATE_TAIL), F.coalesce(x["text"], F.lit("")), F.lit(TURN_END))
+    return F.array_join(F.transform(turns, one), "")
 
 
 def collapse(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_logged, rendered) of the maximal conversations."""
-    hashed = settle(prefix_hashes(conversations), "turns")
-    top = maximal(hashed)
-    keep = top.select(F.col("conv_id").alias("c"), "n_turns", "n_logged")
-    chosen = hashed.join(keep, hashed["conv_id"].eqNullSafe(F.col("c")))
-    rendered = render(chosen.select("conv_id", "pos", "role", "text"))
-    return top.alias("t").join(rendered.alias("r"), F.col("t.conv_id").eqNullSafe(F.col("r.conv_id"))).select("t.conv_id", "n_turns", "n_logged", "rendered")
+    whole = gathered(conversations)
+    top = maximal(prefix_hashes(whole))
+    return whole.join(top, "key").select("conv_id", "n_turns", "n_logged", rendered(F.col("turns")).alias("rendered"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeolith.scratch import new_path, sweep  # noqa: F401
 from aeolith.ship import ship
 
 #: Texts are handed to a kernel in slices of about so many characters, so memory doesn't follow a batch's size.
@@ -20,47 +18,16 @@ SLICE_CHARS = 1_000_000
 #: ASCII white space: the characters that end a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_OWN: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and all runs on one
-    machine (tests) a temporary folder is made and set; on a cluster it is an error.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if given:
-        return given.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="aeolith-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/aeolith-{spark.sparkContext.applicationId}"
-
-
-def sweep(spark: SparkSession) -> None:
-    """Remove all that ``settle`` has written for this application; call it once results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage ends here,
     and a lost executor costs nothing that came before."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,7 @@
 """Query of operator 4."""
 
+from pyspark.sql import functions as F
+
 from aeolith.llm.common import table
 from aeolith.llm.quality import apply_policy, ledger
 
@@ -9,6 +11,8 @@ def op4_quality(spark, sf_dir):
     return e.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~apply_policy(e, "base")).alias("base_failed"), apply_policy(e).alias("kept"), "failed",
+        # a policy without this rule would keep the text
+        F.when(F.bit_count("failed") == 1, F.col("failed")).otherwise(F.lit(0).cast("long")).alias("only_failed"),
     )
 
 
@@ -37,6 +41,6 @@ b AS (
           + (CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END) + (CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END) AS failed
   FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed
+       n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed, CASE WHEN bit_count(failed) = 1 THEN failed ELSE 0 END::BIGINT AS only_failed
 FROM b
 """

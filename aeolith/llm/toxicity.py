@@ -13,16 +13,22 @@ has matched before counts little.  A logistic model over a document's clause sco
 Learning reads labelled training rows only, at most ``TOXIC_ROWS`` toxic and
 ``CLEAN_ROWS`` other texts (those of small id hashes), which bounds what is
 broadcast and sent to the driver; scoring reads every whole text.  Copies in the sample,
-and most near-copies, count once (by the least hash of their shingles).  Half of the sample
-(all of a small one) gives the lexicon, all of it the logistic model.
-
-Null and empty texts match nothing and get the model's base score.  Without toxic labels
-the lexicon is empty and every score is 0.  A document with several labels counts as
-toxic if one of them says so; labels without an id or without a value are left out.
+and most near-copies, count once (by the least hash of their shingles).  All of the sample
+gives the lexicon, all terms with enough evidence.  The logistic model is fitted on
+cross-fitted clause scores: each half of the sample is scored by a lexicon from the other
+half, so it learns how a lexicon does on texts that it hasn't seen, at every size of sample.
+
+Null and empty texts match nothing and get the model's base score; long texts are scored
+whole, in one pass.  Repeated rows get the same score each; entries of equal weight are
+taken by their letters.  Without toxic labels the lexicon is empty and every score is 0.  A
+document with several labels counts as toxic if one of them says so; labels without an id or
+without a value are left out.  An empty table gives no rows.  Other columns stay, but for
+one that has the name of the result, which is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -38,16 +44,12 @@ from pyspark.sql import functions as F
 
 from aeolith.llm.common import settle, text_udf
 
-#: With fewer toxic rows the whole sample gives the lexicon.
-SPLIT_ROWS = 1_000
 #: Bounds of the sample that the classifier is fitted on.
 TOXIC_ROWS, CLEAN_ROWS = 8_000, 16_000
 #: A lexicon entry is in so many toxic texts at least and has this log odds at least; the
 #: evidence (log likelihood ratio, in nats, of its texts being toxic more often than others)
 #: is over the logarithm of the number of terms tried, so that few entries are there by chance.
 LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 3, 1.5, 12.0
-#: Candidates that come to the driver at most, best first, and entries that stay.
-CANDIDATES, ENTRIES = 20_000, 3_000
 #: Word beginnings of so many letters at least.
 LEAST_STEM = 3
 TOP_WEIGHT = 7.0
@@ -103,6 +105,12 @@ def grammar() -> Transducer:
     return compose(compose(Transducer(NEGATION_REACH + 1, negation), Transducer(2, report)), Transducer(2, target))
 
 
+def lowered(text: str) -> str:
+    """In lower case, with as many code points as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join([x if len(x := c.lower()) == 1 else c for c in text])
+
+
 _FIXED_SYMBOLS = {w: TARGET for w in _TARGETS} | {w: NEGATION for w in _NEGATIONS} | {w: REPORT for w in _REPORTS}
 
 
@@ -152,15 +160,17 @@ class Matcher:
         return found
 
     def clauses(self, text: str) -> list[tuple[int, int, float, float]]:
-        """(start, end, score, strongest match) of each clause with a match."""
-        low = text.lower()
+        """(start, end, score, strongest match) of each clause with a match, in code points of the text."""
+        low = lowered(text)
         found = self.matches(low)
+        if not found:
+            return []
+        ends = [m.start() for m in _CLAUSE_END.finditer(low)]
         out, step, seen = [], self.table, set()
         places, at = sorted(found), 0
         while at < len(places):
-            begin = max(low.rfind(c, 0, places[at]) for c in ".!?;\n") + 1
-            stop = _CLAUSE_END.search(low, places[at])
-            end = stop.start() if stop else len(low)
+            k = bisect.bisect_left(ends, places[at])
+            begin, end = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(low)
             state, score, top = 0, 0.0, 0.0
             for m in _TOKEN.finditer(low, begin, end):
                 symbol, weight = found.get(m.start(), (None, 0.0))
@@ -172,8 +182,7 @@ class Matcher:
                     seen.add(m[0])
                     score, top = score + weight, max(top, weight)
             out.append((begin, end, score, top))
-            while at < len(places) and places[at] < end:
-                at += 1
+            at = bisect.bisect_left(places, end, at)
         return out
 
     def features(self, text: str, clauses: list[tuple[int, int, float, float]]) -> tuple[float, ...]:
@@ -187,25 +196,29 @@ class Matcher:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights) + m.bias, -50, 50)))
 
 
+#: Numbers of texts by half of the sample and by label.
+_COUNTS = ("neg0", "neg1", "pos0", "pos1")
+
+
 def _count_terms(batches):
-    """(term, in how many toxic texts, in how many others): "w" stands for whole words, "s" for beginnings."""
-    counts = (Counter(), Counter())
+    """(term, in how many texts of each kind): "w" stands for whole words, "s" for beginnings."""
+    counts = tuple(Counter() for _ in _COUNTS)
 
     def flush():
-        terms = list(counts[0].keys() | counts[1].keys())
-        out = pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "pos": pa.array([counts[1][t] for t in terms], pa.int64()), "neg": pa.array([counts[0][t] for t in terms], pa.int64())})
-        counts[0].clear()
-        counts[1].clear()
+        terms = list(set().union(*counts))
+        out = pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), **{n: pa.array([c[t] for t in terms], pa.int64()) for n, c in zip(_COUNTS, counts)}})
+        for c in counts:
+            c.clear()
         return out
 
     for b in batches:
-        for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
+        for text, toxic, half in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), b["half"].to_pylist()):
             terms = set()
-            for w in set(_LETTERS.findall(text.lower())):
+            for w in set(_LETTERS.findall(lowered(text))):
                 terms.add("w" + w)
                 terms.update("s" + w[:k] for k in range(LEAST_STEM, min(len(w), 13)))
-            counts[1 if toxic else 0].update(terms)
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            counts[2 * bool(toxic) + half].update(terms)
+            if sum(map(len, counts)) > 400_000:
                 yield flush()
     yield flush()
 
@@ -220,9 +233,23 @@ def _least_shingle():
     return lambda texts: {"h": [one(t) for t in texts]}
 
 
-def _lexicon(rows, n_pos: int, n_neg: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Entries that no other entry makes superfluous."""
-    odds = {t: (math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1)), p) for t, p, n in rows}
+def _evidence(p, n, n_pos: int, n_neg: int):
+    """(log odds, log likelihood ratio in nats) of terms in ``p`` of ``n_pos`` toxic texts and ``n`` of ``n_neg`` others."""
+    p, n = np.asarray(p, float), np.asarray(n, float)
+    odds = np.log((p + 0.5) / (n_pos + 1)) - np.log((n + 0.5) / (n_neg + 1))
+    share = n_pos / max(1, n_pos + n_neg)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(p > 0, p * np.log(p / (p + n) / share), 0.0) + np.where(n > 0, n * np.log(n / (p + n) / (1 - share)), 0.0)
+    return odds, ratio
+
+
+def _lexicon(terms: list[str], p: np.ndarray, n: np.ndarray, n_pos: int, n_neg: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Whole words and beginnings that have the evidence and that no other entry makes superfluous."""
+    if not n_pos or not n_neg:
+        return {}, {}
+    x, ratio = _evidence(p, n, n_pos, n_neg)
+    good = np.flatnonzero((p >= LEAST_TEXTS) & (x >= LEAST_ODDS) & (ratio >= LEAST_EVIDENCE))
+    odds = {terms[i]: (float(x[i]), int(p[i])) for i in good.tolist()}
     # A beginning gives way to a longer one, or to a whole word, that keeps nearly all its texts.
     longer = set()
     for t, (x, p) in odds.items():
@@ -236,8 +263,7 @@ def _lexicon(rows, n_pos: int, n_neg: int) -> tuple[dict[str, float], dict[str,
         above = max((kept.get("s" + t[1 : k + 1], 0.0) for k in range(LEAST_STEM, len(t))), default=0.0)
         if above < x - 0.5:
             kept[t] = x
-    best = sorted(kept, key=lambda t: (-odds[t][0] * odds[t][1], t))[:ENTRIES]
-    return {t[1:]: min(TOP_WEIGHT, kept[t]) for t in best if t[0] == "w"}, {t[1:]: min(TOP_WEIGHT, kept[t]) for t in best if t[0] == "s"}
+    return {t[1:]: min(TOP_WEIGHT, x) for t, x in kept.items() if t[0] == "w"}, {t[1:]: min(TOP_WEIGHT, x) for t, x in kept.items() if t[0] == "s"}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -271,27 +297,43 @@ def train(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id",
     sample = own.join(F.broadcast(picked), F.col("__own") == F.col("__id")).select("text", "toxic")
     least = text_udf(_least_shingle, {"h": pa.int64()}, "struct<h:bigint>")
     sample = settle(sample.where("text is not null").withColumn("h", least("text")["h"]).dropDuplicates(["h", "toxic"]), "sample")
-    half = sample.where("pmod(h, 2) = 0") if min(totals.values()) >= SPLIT_ROWS else sample
-    size = {r.toxic: r["count"] for r in half.groupBy("toxic").count().collect()}
-    n_pos, n_neg = size.get(True, 0), size.get(False, 0)
-    terms = half.select("text", "toxic").mapInArrow(_count_terms, "term string, pos bigint, neg bigint")
-    terms = terms.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= LEAST_TEXTS)
-    odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1))
-    p, n, share = F.col("pos"), F.col("neg"), n_pos / max(1, n_pos + n_neg)
-    evidence = p * F.log(p / (p + n) / share) + F.when(n > 0, n * F.log(F.when(n > 0, n) / (p + n) / (1 - share))).otherwise(0.0)
-    best = terms.where((odds >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE)).orderBy((odds * F.col("pos")).desc(), "term").limit(CANDIDATES)
-    whole, stems = _lexicon([tuple(r) for r in best.collect()], n_pos, n_neg)
-    model = Model(whole, stems)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def kernel():
-        matcher = _matcher(sent.value)
-        return lambda texts: {"x": [list(matcher.features(t, matcher.clauses(t))) for t in texts]}
-
-    udf = text_udf(kernel, {"x": pa.list_(pa.float64())}, "struct<x:array<double>>")
-    seen = sample.select("toxic", udf("text")["x"].alias("x")).collect()  # a few numbers for each row of the bounded sample
+    sample = sample.withColumn("half", F.pmod(F.col("h"), F.lit(2)).cast("int"))
+    size = {(bool(r.toxic), r.half): r["count"] for r in sample.groupBy("toxic", "half").count().collect()}
+    terms = sample.select("text", "toxic", "half").mapInArrow(_count_terms, "term string, " + ", ".join(f"{n} bigint" for n in _COUNTS))
+    terms = terms.groupBy("term").agg(*[F.sum(n).alias(n) for n in _COUNTS])
+    texts = lambda toxic, halves: sum(size.get((toxic, h), 0) for h in halves)
+
+    def likely(halves):
+        """Whether a term is in enough toxic texts of these halves, and odds are high enough."""
+        p, n = (sum((F.col(f"{side}{h}") for h in halves[1:]), F.col(f"{side}{halves[0]}")) for side in ("pos", "neg"))
+        odds = F.log((p + 0.5) / F.lit(texts(True, halves) + 1)) - F.log((n + 0.5) / F.lit(texts(False, halves) + 1))
+        return (p >= LEAST_TEXTS) & (odds >= LEAST_ODDS - 1e-9)
+
+    # the sample's bounds are those of what comes to the driver, too
+    at_all = terms.where(likely((0,)) | likely((1,)) | likely((0, 1))).toArrow()
+    names = at_all["term"].to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    names, count = [names[i] for i in order], {n: at_all[n].to_numpy()[order] for n in _COUNTS}
+    of = lambda halves: _lexicon(names, sum(count[f"pos{h}"] for h in halves), sum(count[f"neg{h}"] for h in halves), texts(True, halves), texts(False, halves))
+    model = Model(*of((0, 1)))
+    # a half's texts are scored by the other half's lexicon
+    folds = docs.sparkSession.sparkContext.broadcast((Model(*of((1,))), Model(*of((0,)))))
+
+    def kernel(half: int):
+        def make():
+            matcher = _matcher(folds.value[half])
+            return lambda texts: {"x": [list(matcher.features(t, matcher.clauses(t))) for t in texts]}
+
+        return make
+
+    scored = None
+    for h in (0, 1):
+        udf = text_udf(kernel(h), {"x": pa.list_(pa.float64())}, "struct<x:array<double>>")
+        part = sample.where(F.col("half") == h).select("toxic", "h", udf("text")["x"].alias("x"))
+        scored = part if scored is None else scored.unionByName(part)
+    seen = sorted(scored.collect(), key=lambda r: (r.toxic, r.h))  # a few numbers for each row of the bounded sample
     x, y = np.array([r.x for r in seen]).reshape(-1, FEATURES), np.array([r.toxic for r in seen], float)
-    if y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return Model()
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w, bias = _logistic((x - mean) / scale, y)
@@ -308,13 +350,14 @@ def _matcher(model: Model) -> Matcher:
     for known, matcher in _MATCHERS:
         if known is model:
             return matcher
-    del _MATCHERS[1:]
+    del _MATCHERS[2:]
     _MATCHERS.insert(0, (model, Matcher(model)))
     return _MATCHERS[0][1]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "toxicity") -> DataFrame:
-    """``docs`` with a column ``to``: score (double) and clauses (array of start, end, score; in code points)."""
+    """``docs`` with a column ``to`` (replaced if there is one): score (double) and clauses (array of start,
+    end, score; in code points)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel():

@@ -319,6 +319,69 @@ def test_grammar():
     assert score("idiot. idiot") == pytest.approx(4.4) and m.clauses("") == []
 
 
+def plain_clause_scores(model, text):
+    """The grammar word by word, with its states as variables."""
+    low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    out, seen = [], set()
+    for clause in re.finditer(r"[^.!?;\n]+", low):
+        negated, reported, targeted, score, matched = 0, False, False, 0.0, False
+        for m in re.finditer(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause[0]):
+            w = m[0]
+            first = re.match(r"[^\W\d_]+", w)[0]
+            hits = [(model.whole.get(first, 1.0), "threat")] if first in toxicity._THREATS else []
+            if first in model.whole and first not in toxicity._THREATS:
+                hits.append((model.whole[first], "insult"))
+            hits += [(x, "insult") for s, x in model.stems.items() if first.startswith(s) and len(first) > len(s)]
+            weight, kind = max(hits, default=(0.0, None))
+            if kind:
+                factor = 1.0
+                if negated:
+                    factor *= toxicity.FADED
+                if reported:
+                    factor *= toxicity.REPORTED
+                if kind == "threat" and not targeted:
+                    factor *= toxicity.IDLE_THREAT
+                if kind == "insult" and targeted:
+                    factor *= toxicity.TARGETED
+                score += weight * factor * (toxicity.REPEATED if w in seen else 1.0)
+                seen.add(w)
+                matched = True
+            negated = max(0, negated - 1)
+            if not kind and w in toxicity._NEGATIONS:
+                negated = toxicity.NEGATION_REACH
+            elif not kind and w in toxicity._REPORTS:
+                reported = True
+            elif not kind and w in toxicity._TARGETS:
+                targeted = True
+        if matched:
+            out.append((clause.start(), clause.end(), score))
+    return out
+
+
+def test_grammar_by_hand(documents):
+    r = np.random.default_rng(12)
+    model = toxicity.Model(whole={"idiot": 4.0, "kill": 2.5}, stems={"grob": 3.0, "idio": 1.0})
+    m = toxicity.Matcher(model)
+    vocabulary = ["idiot", "Idiotic", "grobian", "grob", "kill", "beat", "you", "not", "said", "the", "don't", "İx", "word.", "end!", "a;", "b\n", "1", "he's"]
+    texts = [" ".join(r.choice(vocabulary, r.integers(0, 40))) for _ in range(400)] + [x.text for x in documents.limit(50).collect() if x.text]
+    n = 0
+    for t in texts:
+        got, want = [(a, b, c) for a, b, c, _ in m.clauses(t)], plain_clause_scores(model, t)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want], t
+        assert [c for *_, c in got] == pytest.approx([c for *_, c in want]), t
+        n += len(want)
+    assert n > 400
+
+
+def test_long_texts_are_scored_in_one_pass():
+    import time
+
+    m = toxicity.Matcher(toxicity.Model(whole={"idiot": 4.0}))
+    began = time.time()
+    assert len(m.clauses("you idiot, " + "well idiot and so. " * 60_000)) == 60_000
+    assert time.time() - began < 20
+
+
 def test_composition_multiplies():
     g = toxicity.grammar()
     assert g.states == 4 * 2 * 2

@@ -133,13 +133,27 @@ def test_sql(spark, sf, name):
 def test_chats(spark):
     turns = {1: "ab", 2: "abc", 3: "abc", 4: "xb", 5: "x", 6: "xb", 7: "", 8: "abd"}
     rows = [(c, k, "user" if k % 2 == 0 else None, t) for c, ts in turns.items() for k, t in enumerate(ts)]
-    rows += [rows[0], (9, 0, "user", None), (10, 0, "user", ""), (None, 0, "user", "q"), (11, 0, None, "user")]
+    rows += [rows[0], (9, 0, "user", None), (10, 0, "user", ""), (11, 0, None, "user")]
+    # without an id: each by itself; equal ones once; one that a conversation with an id begins with goes
+    rows += [(None, 0, "user", "q"), (None, 0, "user", "q"), (None, 1, "user", "r"), (None, 0, "user", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit("clash"))
-    got = {r.conv_id: r for r in chats.collapse(df).collect()}
-    assert set(got) == {2, 4, 8, 9, 10, None, 11}
+    all_ = chats.collapse(df).collect()
+    got = {r.conv_id: r for r in all_}
+    assert set(got) == {2, 4, 8, 9, 10, None, 11} and sorted(r.rendered for r in all_ if r.conv_id is None) == ["<|user|>\nq\n", "<|user|>\nr\n"]
     assert got[2].n_turns == 3 and got[2].n_logged == 2 and got[4].n_logged == 2
     assert got[2].rendered == "<|user|>\na\n<||>\nb\n<|user|>\nc\n"
     assert chats.collapse(df.where("turn < 0")).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", "a" * 2_000_000), (1, 1, "user", "b")], "conv_id long, turn long, role string, text string")
+    assert len(chats.collapse(long).collect()[0].rendered) > 2_000_000
+
+
+def test_chats_run_in_the_jvm_and_shuffle_texts_once(spark, sf):
+    d = chats.collapse(spark.read.parquet(f"{sf}/conversations.parquet"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    # the conversations are dealt by their key once for hashing and once, the same, for rendering; all else is hashes
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("hashpartitioning(key" in x for x in exchanges) <= 3
 
 
 # ---- 8
