@@ -31,9 +31,26 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/aeolith-{spark.sparkContext.applicationId}"
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under it that nothing else has."""
-    return f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+    folder = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return f"{folder}/{name}"
+
+
+def made() -> int:
+    """How many paths there have been: a mark for ``drop_since``."""
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Remove what was written since a mark, but for the last ``keep``."""
+    for folder in _MADE[mark : len(_MADE) - keep]:
+        remove(spark, folder)
+    del _MADE[mark : len(_MADE) - keep]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
