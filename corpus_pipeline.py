@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written
 as Parquet and read again as the next one's ``docs``.  All but the last return the columns
 of the documents.
+
+Rows with null texts stay through all stages that keep clean documents (they are clean, and
+near-copies of empty texts), and are encoded to no ids; rows with null ids are kept or dropped
+as others are; repeated rows are near-copies of each other, so one stays; an empty table gives
+an empty table.  Columns beyond those of the documents stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeolith import scratch
 from aeolith.llm import byte_bpe, decontaminate, secrets, simhash, toxicity
 from aeolith.llm.common import crc_mod, settle, table
 
@@ -60,7 +66,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        mark = scratch.made()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = settle(docs, f"stage{k}")
+            # what the stage wrote on its way isn't read again
+            scratch.drop_since(spark, mark, keep=1)
     return docs
