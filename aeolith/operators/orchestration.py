@@ -29,6 +29,22 @@ def download_jobs(groups: DataFrame, files: str = "matching_files", sep: str = "
     return groups.select(*[c for c in groups.columns if c != files], F.posexplode(F.split(files, sep)).alias("place", "file")).where("file <> ''")
 
 
+# How files of climate data begin.
+SIGNATURES = (b"CDF", b"\x89HDF", b"GRIB")
+
+
+def download_state(size: Column, part: Column, wanted: Column, head: Column) -> Column:
+    """What is to be done for a file, from the bytes of the file and of its unfinished part (NULL: not there), the
+    bytes that it should have (NULL: not known), and its first bytes: nothing (COMPLETE), go on from the
+    part (RESUME), begin again (a wrong size or beginning, or a part that is too long), or begin."""
+    known = F.lit(False)
+    for s in SIGNATURES:
+        known = known | (F.substring(head, 1, len(s)) == F.lit(s))
+    right = wanted.isNull() | (size == wanted)
+    begun = F.when(part.isNull() | (part == 0), "MISSING").when(wanted.isNotNull() & (part > wanted), "RESTART").otherwise("RESUME")
+    return F.when(size.isNull(), begun).when(~right, "BAD_SIZE").when(~F.coalesce(known, F.lit(False)), "BAD_SIGNATURE").otherwise("COMPLETE")
+
+
 def validate(checks: dict[str, DataFrame]) -> DataFrame:
     """A dry run: (check, issues) for DataFrames of issues; nothing else is computed."""
     out = None

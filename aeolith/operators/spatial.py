@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeolith.scratch import exists
@@ -169,6 +169,13 @@ def overlap(cells: DataFrame, rings: Sequence[Sequence[tuple[float, float]]]) ->
     return d.withColumn("intersects", hit).withColumn("inside", F.col("fraction") >= 1 - 1e-6).drop("__o")
 
 
+def crop(df: DataFrame, inside: Column, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """The rows in the smallest range of both axes that holds every cell for which ``inside`` is true
+    (that meets a polygon); none if no cell does."""
+    box = df.where(inside).agg(F.min(lat).alias("__s"), F.max(lat).alias("__n"), F.min(lon).alias("__w"), F.max(lon).alias("__e"))
+    return df.join(F.broadcast(box), F.col(lat).between(F.col("__s"), F.col("__n")) & F.col(lon).between(F.col("__w"), F.col("__e"))).drop("__s", "__n", "__w", "__e")
+
+
 def grid_id(cells: DataFrame) -> str:
     """A digest of a grid's boxes: what belongs to a grid is made once for each."""
     one = F.format_string("%.9f,%.9f,%.9f,%.9f", "west", "south", "east", "north")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from aeolith.functions.months import month_label, wrap_axis
-from aeolith.operators import contracts
+from aeolith.operators import contracts, spatial
 from aeolith.plans.common import A, long_form, monthly, out, r, table
 from aeolith.plans.registry import query
 
@@ -128,9 +128,7 @@ def domain_cover(spark, sf_dir):
 @query(f"""{A}, b AS (SELECT min(lat) AS la, max(lat) AS lb, min(lon) AS oa, max(lon) AS ob FROM a WHERE weight > 1500) SELECT model, source, cell, ym, {r('tas')} AS tas FROM a, b WHERE lat BETWEEN la AND lb AND lon BETWEEN oa AND ob""")
 def polygon_crop(spark, sf_dir):
     """The smallest box around all cells that count, then the cells in it."""
-    d = monthly(spark, sf_dir)
-    b = d.where("weight > 1500").agg(F.min("lat").alias("la"), F.max("lat").alias("lb"), F.min("lon").alias("oa"), F.max("lon").alias("ob"))
-    return out(d.join(F.broadcast(b), (F.col("lat").between(F.col("la"), F.col("lb"))) & (F.col("lon").between(F.col("oa"), F.col("ob")))), ["model", "source", "cell", "ym"], ["tas"])
+    return out(spatial.crop(monthly(spark, sf_dir), F.col("weight") > 1500), ["model", "source", "cell", "ym"], ["tas"])
 
 
 @query(f"""{A}, p AS (SELECT model, source, cell, ym, tas FROM a WHERE year <= 1998), q AS (SELECT model, source, cell, ym, tas + CASE WHEN cell = 5 THEN 2e-5 ELSE 0 END AS tas FROM a WHERE year >= 1998)

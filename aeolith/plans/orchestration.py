@@ -23,6 +23,19 @@ def download_jobs(spark, sf_dir):
     return orchestration.download_jobs(g)
 
 
+_FILE_STATE = "o_custkey AS file, CASE o_orderstatus WHEN 'F' THEN o_orderkey % 50 END AS size, CASE o_orderstatus WHEN 'O' THEN o_orderkey % 60 END AS part, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey % 50 END AS wanted"
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, {_FILE_STATE}, CASE left(o_orderpriority, 1) WHEN '1' THEN 'CDF1' WHEN '2' THEN 'GRIB' ELSE '<htm' END AS head FROM orders)
+SELECT o_orderkey, file, CASE WHEN size IS NULL THEN CASE WHEN part IS NULL OR part = 0 THEN 'MISSING' WHEN wanted IS NOT NULL AND part > wanted THEN 'RESTART' ELSE 'RESUME' END
+  WHEN wanted IS NOT NULL AND size <> wanted THEN 'BAD_SIZE' WHEN head = '<htm' THEN 'BAD_SIGNATURE' ELSE 'COMPLETE' END AS state FROM f""")
+def download_states(spark, sf_dir):
+    """What is to be done for files that may be there, in part or whole; orders stand for files."""
+    head = F.expr("case left(o_orderpriority, 1) when '1' then cast('CDF1' as binary) when '2' then cast('GRIB' as binary) else cast('<htm' as binary) end")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(x) for x in _FILE_STATE.split(", ")], head.alias("head"))
+    return d.select("o_orderkey", "file", orchestration.download_state(F.col("size"), F.col("part"), F.col("wanted"), F.col("head")).alias("state"))
+
+
 @query(f"{A}, s AS (SELECT CASE WHEN cell % 2 = 0 THEN weight * 0.99995 ELSE weight END AS kept, weight FROM (SELECT DISTINCT cell, weight FROM a)) SELECT {r('sum(kept) / sum(weight)')} AS kept_share, sum(kept) / sum(weight) >= 0.9999 AS complete FROM s")
 def crop_completeness(spark, sf_dir):
     """How much of the area a crop keeps."""

@@ -474,3 +474,76 @@ def test_fixed_values():
     assert diagnostics.BOUNDS == ("0.05-0.95", "0.02-0.98") and diagnostics.TAIL_LIMIT == 10.0 and diagnostics.POINTS == (0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99)
     assert contracts.SAMPLE_LIMITS == {"tas": (150.0, 350.0), "rsds": (-5.0, 1500.0), "wind": (0.0, 150.0)} and contracts.PHYSICAL_RANGE[0] == ("tas", 150.0, 190.0, 370.0, 400.0)
     assert ensemble.FAMILIES["wind"] == ("wind", "wind_hub", "sfcWind_10m", "wind_speed_hub", "wpd") and math.isclose(ensemble.least_models(17), 14)
+
+
+def test_cubes_are_read_by_name(spark, tmp_path):
+    from aeolith.sources import cubes
+
+    d = spark.createDataFrame([("m", "s", 1, 5, 280.0, 1.0), ("m", "s", 1, 6, float("nan"), 2.0), ("m", "s", 1, 7, float("inf"), 3.0)], "model string, scenario string, cell int, ym int, tas double, other double")
+    d.write.parquet(str(tmp_path / "cube"))
+    got = cubes.read_cube(spark, str(tmp_path / "cube"), columns=("tas",))
+    assert got.columns == ["model", "scenario", "cell", "ym", "tas"] and [r.tas for r in got.orderBy("ym").collect()] == [280.0, None, None]
+    with pytest.raises(ValueError, match="no wind"):
+        cubes.read_cube(spark, str(tmp_path / "cube"), columns=("wind",))
+
+
+FAKE = """
+import json, numpy as np
+
+class A:
+    def __init__(self, x, dims=()): self.values, self.dims = np.asarray(x), dims
+    def isel(self, time): return A(self.values[time], self.dims[1:])
+    def transpose(self, *by): return A(self.values.transpose([self.dims.index(b) for b in by]), by)
+    def __mul__(self, k): return A(self.values * k)
+    def __add__(self, o): return A(self.values + (o.values if isinstance(o, A) else o))
+    def __sub__(self, o): return A(self.values - o)
+    @property
+    def dt(self): return type("T", (), {"year": A([t[0] for t in self.values]), "month": A([t[1] for t in self.values])})
+
+class D(dict):
+    def __enter__(self): return self
+    def __exit__(self, *a): pass
+    def __getitem__(self, k): return D({n: dict.__getitem__(self, n) for n in [*k, "time", "lat", "lon"]}) if isinstance(k, list) else dict.__getitem__(self, k)
+
+class coders:
+    class CFDatetimeCoder:
+        def __init__(self, use_cftime): pass
+
+def open_dataset(path, decode_times=None):
+    raw = json.load(open(path))
+    return D({k: A(v, raw["dims"] if k in raw["variables"] else (k,)) for k, v in raw["data"].items()})
+
+def open_datatree(path, engine):
+    return {str(i): D({k: A(v, g["dims"] if k in g["variables"] else (k,)) for k, v in g["data"].items()}) for i, g in enumerate(json.load(open(path)))}
+
+def merge(parts, compat):
+    return D({k: v for p in parts for k, v in p.items()})
+"""
+
+
+def test_files_of_grids(spark, tmp_path, monkeypatch):
+    """With a stand-in for the library: dates of the file's calendar, axes in either order, variables of several groups."""
+    import json
+    import sys
+
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "xarray.py").write_text(FAKE)
+    monkeypatch.syspath_prepend(str(tmp_path / "lib"))
+    spark.sparkContext.addPyFile(str(tmp_path / "lib" / "xarray.py"))
+    one_file = lambda names, years: {"dims": ["time", "lon", "lat"], "variables": names, "data": {"time": [[y, 12] for y in years], "lat": [10.0, 20.0], "lon": [1.0, 2.0, 3.0], **{n: [[[y + 10 * i + j for j in range(2)] for i in range(3)] for y in years] for n in names}}}
+    for k, years in enumerate(((2000, 2001), (2002,))):
+        (tmp_path / f"{k}.nc").write_text(json.dumps(one_file(["tas"], years)))
+    got = files.ingest_netcdf(spark, [str(tmp_path / f"{k}.nc") for k in (0, 1)], ["tas"], str(tmp_path / "out"))
+    assert got.count() == 3 * 6 and {(r.ym, r.lat, r.lon): r.tas for r in got.collect()}[2001 * 12 + 11, 20.0, 3.0] == 2001 + 20 + 1
+    (tmp_path / "e.grib").write_text(json.dumps([one_file(["u10", "t2m"], (2000,)), one_file(["ssrd"], (2000,))]))
+    got = files.ingest_netcdf(spark, [str(tmp_path / "e.grib")], ["ssrd", "t2m"], str(tmp_path / "grib"))
+    assert got.columns == ["ym", "lat", "lon", "ssrd", "t2m"] and got.count() == 6
+    with pytest.raises(Exception, match="no v10"):
+        files.ingest_netcdf(spark, [str(tmp_path / "e.grib")], ["v10"], str(tmp_path / "none"))
+    sys.modules.pop("xarray", None)
+
+
+def test_crop(spark):
+    d = spark.createDataFrame([(float(a), float(b), (a, b) in ((1, 1), (2, 3))) for a in range(5) for b in range(5)], "lat double, lon double, hit boolean")
+    assert sorted((r.lat, r.lon) for r in spatial.crop(d, F.col("hit")).collect()) == [(a, b) for a in (1.0, 2.0) for b in (1.0, 2.0, 3.0)]
+    assert spatial.crop(d, F.lit(False)).count() == 0
