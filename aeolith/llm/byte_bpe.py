@@ -12,7 +12,11 @@ The slices between boundaries go through a cache of merged pieces; a piece not i
 cache is merged pair by pair, lowest rank first.  Byte offsets of the pieces stay, so ids
 can be traced to their places and decoded.
 
-Null is the empty text and has no ids.
+Null is the empty text and has no ids.  Texts are encoded whole: slices bound what is held
+at once but for a single longer text, and long pieces are merged in n log n steps.  Of pairs
+of equal rank the leftmost is merged first.  Repeated rows get the same ids each; an empty table
+gives no rows.  Other columns stay, but for one that has the name of the result, which is
+replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Repeated windows are found inside a row: words are hashed, windows of 2, 4 and 8
 get their hashes from their halves (64 bits: two different windows of one text agree with
 a chance of 2 ** -64), and only texts whose windows aren't all distinct are sorted.
 
-Null and empty texts have no words and fail ``few_words``.  Equal rows get equal ledgers.
+Null and empty texts have no words and fail ``few_words``; long texts are measured whole.
+Equal rows get equal ledgers, each its own; an empty table gives no rows.  Only the text and the
+columns ``keep`` are read, so others can have any name.
 """
 
 from __future__ import annotations

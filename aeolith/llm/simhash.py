@@ -16,9 +16,11 @@ set in over half of the hashes.  Fingerprints link at ``RADIUS`` (2) or fewer di
    key, and at most 65 can share one.  So no pair is lost, and the work stays linear.
 5. Components by large-star / small-star contraction over the fingerprints that have links.
 
-Null and empty texts have the fingerprint zero; fewer than 3 words are one shingle.  Rows
-with a null id get the component of their fingerprint (null if it has no other rows).
-Repeated ids and rows stay, each with its component.
+Null and empty texts have the fingerprint zero; fewer than 3 words are one shingle; long texts
+are read whole, and their bits counted in blocks.  Rows with a null id get the component of their
+fingerprint (null if it has no other rows).  Repeated ids and rows stay, each with its component;
+a bit that is set in just half of the hashes is 0.  An empty table gives no rows.  Only the id and
+the text are read.
 """
 
 from __future__ import annotations
