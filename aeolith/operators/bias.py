@@ -164,5 +164,5 @@ def signals(three: DataFrame, by: Sequence[str], weight: str = "weight", extra:
     cells = three.groupBy("method", *by, *extra, weight).agg(F.avg("y").alias("future"), F.first(base).alias("base"))
     cells = cells.withColumn("signal", change(F.col("variable"), F.col("future"), F.col("base"), config.floors, config.additive))
     s = cells.where(F.col(weight) > 0).groupBy("variable", "month", *extra).pivot("method", ["raw", "qm", "qdm"]).agg(weighted_mean(F.col("signal"), F.col(weight)))
-    s = s.withColumn("__raw", F.col("raw")).unpivot(["variable", "month", *extra, "__raw"], ["raw", "qm", "qdm"], "method", "signal")
+    s = s.withColumn("__raw", F.col("raw")).unpivot(["variable", "month", *extra, "__raw"], ["raw", "qm", "qdm"], "method", "signal").where("signal is not null")
     return s.select("method", "variable", "month", *extra, "signal", F.abs(F.col("signal") - F.col("__raw")).alias("difference_from_raw"))

@@ -124,7 +124,7 @@ def qdm_thirty_months(spark, sf_dir):
 _METHODS = f"""
 u AS (SELECT 'raw' AS method, {_KEYS}, year, weight, ok, fm, om, value AS y, FALSE AS tail, FALSE AS fallback FROM cq UNION ALL SELECT 'qm', {_KEYS}, year, weight, ok, fm, om, qm, qm_tail, qm_fallback FROM cq
       UNION ALL SELECT 'qdm', {_KEYS}, year, weight, ok, fm, om, qdm, qdm_tail, qdm_fallback FROM cq)"""
-_SHARES = "100 * sum(CASE WHEN y IS NOT NULL AND tail THEN weight ELSE 0 END) / sum(CASE WHEN y IS NOT NULL THEN weight END) AS tail_percent, 100 * sum(CASE WHEN y IS NOT NULL AND fallback THEN weight ELSE 0 END) / sum(CASE WHEN y IS NOT NULL THEN weight END) AS fallback_percent"
+_SHARES = "100 * sum(CASE WHEN y IS NOT NULL AND tail THEN weight ELSE 0 END) / nullif(sum(CASE WHEN y IS NOT NULL THEN weight END), 0) AS tail_percent, 100 * sum(CASE WHEN y IS NOT NULL AND fallback THEN weight ELSE 0 END) / nullif(sum(CASE WHEN y IS NOT NULL THEN weight END), 0) AS fallback_percent"
 _TF = ["tail_percent", "fallback_percent"]
 
 
