@@ -21,36 +21,44 @@ Only the four columns are read, whatever others there are.  An empty table gives
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 TEMPLATE_HEAD, TEMPLATE_TAIL, TURN_END = "<|", "|>\n", "\n"
 
 
 def gathered(conversations: DataFrame) -> DataFrame:
-    """(key: of the conv_id, or of a row that has none; conv_id; turns: sorted structs of turn, role, text)."""
+    """(key: tells the conv_id, or a row that has none; turns: sorted structs of turn, role, text)."""
     row = F.struct("turn", "role", "text")
     alone = F.concat_ws(",", F.lit("row"), F.xxhash64("turn", "role", "text"), F.xxhash64(F.lit("second"), "turn", "role", "text"))
     key = F.when(F.col("conv_id").isNull(), alone).otherwise(F.concat(F.lit("id,"), F.col("conv_id").cast("string")))
-    d = conversations.select("conv_id", "turn", "role", "text").select(key.alias("key"), "conv_id", row.alias("row"))
-    return d.groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.array_sort(F.collect_set("row")).alias("turns"))
+    # never null, and nothing but these two columns, so that all that reads them shares one shuffle
+    d = conversations.select("conv_id", "turn", "role", "text").select(F.coalesce(key, F.lit("")).alias("key"), row.alias("row"))
+    return d.groupBy("key").agg(F.array_sort(F.collect_set("row")).alias("turns"))
+
+
+def id_of(key: Column, kind: DataType) -> Column:
+    """The conv_id that a key tells."""
+    return F.when(key.startswith("id,"), F.substring(key, 4, 2**31 - 1).cast(kind))
 
 
 def prefix_hashes(whole: DataFrame) -> DataFrame:
-    """(key, conv_id, pos, p1, p2, last) of ``gathered`` conversations: for each turn the hash of the
+    """(key, pos, p1, p2, last) of ``gathered`` conversations: for each turn the hash of the
     conversation up to here."""
-    t = whole.select("key", "conv_id", F.posexplode("turns").alias("pos", "x"))
+    t = whole.select("key", F.posexplode("turns").alias("pos", "x"))
     what = [F.col("pos"), F.col("x.role").isNull(), F.col("x.role"), F.col("x.text").isNull(), F.col("x.text")]
-    t = t.select("key", "conv_id", "pos", F.xxhash64(*what).alias("h1"), F.xxhash64(F.lit("second"), *what).alias("h2"))
+    t = t.select("key", "pos", F.xxhash64(*what).alias("h1"), F.xxhash64(F.lit("second"), *what).alias("h2"))
     w = Window.partitionBy("key").orderBy("pos")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return t.select("key", "conv_id", "pos", F.bit_xor("h1").over(run).alias("p1"), F.bit_xor("h2").over(run).alias("p2"), F.lead("pos").over(w).isNull().alias("last"))
+    return t.select("key", "pos", F.bit_xor("h1").over(run).alias("p1"), F.bit_xor("h2").over(run).alias("p2"), F.lead("pos").over(w).isNull().alias("last"))
 
 
-def maximal(hashed: DataFrame) -> DataFrame:
+def maximal(hashed: DataFrame, kind: DataType) -> DataFrame:
     """(key, n_turns, n_logged): one row for each conversation that no longer one begins with;
     n_logged counts the conversations that are exactly it."""
-    best = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "key")).alias("best")
+    own = id_of(F.col("key"), kind)
+    best = F.min(F.struct(own.isNull().alias("none"), own.alias("conv_id"), "key")).alias("best")
     full = hashed.where("last").groupBy("p1", "p2", "pos").agg(best, F.count("*").alias("n_logged"))
     shorter = hashed.where("not last").select("p1", "p2", "pos").distinct()
     top = full.join(shorter, ["p1", "p2", "pos"], "left_anti")
@@ -65,6 +73,6 @@ def rendered(turns):
 
 def collapse(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_logged, rendered) of the maximal conversations."""
-    whole = gathered(conversations)
-    top = maximal(prefix_hashes(whole))
-    return whole.join(top, "key").select("conv_id", "n_turns", "n_logged", rendered(F.col("turns")).alias("rendered"))
+    whole, kind = gathered(conversations), conversations.schema["conv_id"].dataType
+    top = maximal(prefix_hashes(whole), kind)
+    return whole.join(top, "key").select(id_of(F.col("key"), kind).alias("conv_id"), "n_turns", "n_logged", rendered(F.col("turns")).alias("rendered"))
