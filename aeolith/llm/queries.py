@@ -4,6 +4,7 @@ from aeolith.llm.query_byte_bpe import op1_byte_bpe
 from aeolith.llm.query_chats import OP7_SQL, op7_chats
 from aeolith.llm.query_decontaminate import OP10_SQL, op10_decontaminate
 from aeolith.llm.query_lm import op6_lm
+from aeolith.llm.query_mixing import OP11_SQL, op11_mixing
 from aeolith.llm.query_pii import op2_pii
 from aeolith.llm.query_quality import OP4_SQL, op4_quality
 from aeolith.llm.query_repeats import op5_repeats
@@ -13,6 +14,6 @@ from aeolith.llm.query_toxicity import op3_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_lm, op7_chats, op8_secrets, op9_simhash, op10_decontaminate)
+    for f in (op1_byte_bpe, op2_pii, op3_toxicity, op4_quality, op5_repeats, op6_lm, op7_chats, op8_secrets, op9_simhash, op10_decontaminate, op11_mixing)
 }
-SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op7_chats": OP7_SQL, "op10_decontaminate": OP10_SQL}
+SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op7_chats": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_mixing": OP11_SQL}
