@@ -1,19 +1,13 @@
-"""Runs: what is to do, whether inputs are fit, and whether outputs are right.
-
-A run is a job for each combination of a registry, whose outputs make it resumable; audits
-return issues as rows.
-"""
+"""Runs: what is to do, whether inputs are fit, and whether outputs are right, as rows (``batch`` runs them)."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeolith.operators.contracts import range_severity
-from aeolith.scratch import exists
 
 
 def combinations(*parts: DataFrame) -> DataFrame:
@@ -79,51 +73,6 @@ def first_offenders(issues: DataFrame, order: Sequence[str], n: int = 10) -> Dat
     return issues.orderBy(*order).limit(n)
 
 
-STATUS = "key string, status string, rows bigint, seconds double, message string"
-
-
-def run_batch(jobs: DataFrame, keys: Sequence[str], work: Callable[[dict], DataFrame], target: str, dry: bool = False, force: bool = False, stop_on_error: bool = False) -> DataFrame:
-    """One Spark job for each combination of a registry (models, scenarios: some dozens), each written under
-    ``target`` before the next begins; (key, status, rows, seconds, message), one row for each.
-
-    A combination's output and its status are written together with its end, so a run that was cut
-    off goes on where it stopped: combinations that are there are SKIPPED_COMPLETE unless ``force``.
-    One that fails is FAILED with its message, and the others go on unless ``stop_on_error``.  ``dry``
-    plans the work without running it (DRY_RUN, or FAILED if it can't be planned).
-    """
-    spark = jobs.sparkSession
-    combos = jobs.select(*keys).distinct().orderBy(*keys).collect()
-    records = []
-    for combo in combos:
-        what = combo.asDict()
-        name = "/".join(f"{k}={what[k]}" for k in keys)
-        out = f"{target}/{name}"
-        if not dry and not force and exists(spark, f"{out}/_SUCCESS"):
-            records.append((name, "SKIPPED_COMPLETE", spark.read.parquet(out).count(), 0.0, ""))
-            continue
-        began = time.time()
-        try:
-            d = work(what)
-            if dry:
-                d.schema  # noqa: B018
-                records.append((name, "DRY_RUN", 0, time.time() - began, ""))
-                continue
-            d.write.mode("overwrite").parquet(out)
-            records.append((name, "COMPLETED", spark.read.parquet(out).count(), time.time() - began, ""))
-        except Exception as e:  # noqa: BLE001 - whatever stops a combination is its status
-            records.append((name, "FAILED", 0, time.time() - began, str(e).split("\n")[0][:300]))
-            if stop_on_error:
-                break
-    return spark.createDataFrame(records, STATUS)
-
-
-def stored(spark: SparkSession, target: str, keys: Sequence[str], status: DataFrame) -> DataFrame:
-    """What finished combinations have written, with their keys as columns, for summaries without
-    computing anything again."""
-    names = [r.key for r in status.where(F.col("status").isin("COMPLETED", "SKIPPED_COMPLETE")).select("key").collect()]
-    return spark.read.option("basePath", target).parquet(*[f"{target}/{n}" for n in names])
-
-
 ISSUES = ("check", "severity", "item", "detail")
 
 

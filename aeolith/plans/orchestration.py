@@ -11,7 +11,6 @@ from aeolith.plans.complementary import _RHO, LEAST, monthly_rho
 from aeolith.plans.correction import _METHODS, SQL, three_methods
 from aeolith.plans.energy import SQL_CHAIN
 from aeolith.plans.registry import query
-from aeolith.scratch import new_path
 
 
 @query("""WITH g AS (SELECT p_brand, string_agg(p_partkey::VARCHAR || '.nc', ';' ORDER BY p_partkey) AS files FROM part GROUP BY ALL), s AS (SELECT p_brand, string_split(files, ';') AS f FROM g)
@@ -112,46 +111,6 @@ def pending_runs(spark, sf_dir):
     return not_done(jobs, done, ["n_nationkey", "r_regionkey"]).withColumn("done", F.col("n_nationkey") % 2 == 0)
 
 
-_RUNS = ["model", "source"]
-
-
-def _energy_run(spark, sf_dir, **how):
-    """Energy of all combinations but one, which can't be computed; (target, status)."""
-    cube = reused(monthly(spark, sf_dir))
-    target = new_path(spark, "energy")
-
-    def work(combo):
-        d = cube.where((F.col("model") == combo["model"]) & (F.col("source") == combo["source"]))
-        if combo == {"model": "R", "source": "ref"}:
-            d = d.withColumn("rsds", F.raise_error(F.lit("no radiation")).cast("double"))
-        return energy_chain(d).drop(*_RUNS)
-
-    return target, work, cube.select(*_RUNS).distinct()
-
-
-@query(f"""{A}, c AS (SELECT model, source, count(*) AS rows FROM a GROUP BY ALL), k AS (SELECT 'model=' || model || '/source=' || source AS key, model = 'R' AND source = 'ref' AS bad, rows FROM c)
-SELECT 'dry' AS run, key, 'DRY_RUN' AS status, 0 AS rows FROM k UNION ALL SELECT 'first', key, CASE WHEN bad THEN 'FAILED' ELSE 'COMPLETED' END, CASE WHEN bad THEN 0 ELSE rows END FROM k
-UNION ALL SELECT 'again', key, CASE WHEN bad THEN 'FAILED' ELSE 'SKIPPED_COMPLETE' END, CASE WHEN bad THEN 0 ELSE rows END FROM k""")
-def batch_status(spark, sf_dir):
-    """A batch that is planned, run, and resumed after a failure."""
-    target, work, jobs = _energy_run(spark, sf_dir)
-    runs = [("dry", {"dry": True}), ("first", {}), ("again", {})]
-    every = None
-    for name, how in runs:
-        d = orchestration.run_batch(jobs, _RUNS, work, target, **how).select(F.lit(name).alias("run"), "key", "status", "rows")
-        every = d if every is None else every.unionByName(d)
-    return every
-
-
-@query(f"{A}, {SQL_CHAIN} SELECT model, source, year, {r('sum(pvpot * weight) / sum(CASE WHEN pvpot IS NOT NULL THEN weight END)')} AS pvpot FROM e WHERE NOT (model = 'R' AND source = 'ref') GROUP BY ALL HAVING sum(weight) > 0")
-def summary_of_stored(spark, sf_dir):
-    """Yearly area means of what a batch has stored, without computing it again."""
-    target, work, jobs = _energy_run(spark, sf_dir)
-    status = orchestration.run_batch(jobs, _RUNS, work, target)
-    d = orchestration.stored(spark, target, _RUNS, status)
-    return out(d.groupBy("model", "source", "year").agg(weighted_mean(F.col("pvpot"), F.col("weight")).alias("pvpot")).where("pvpot is not null"), ["model", "source", "year"], ["pvpot"])
-
-
 @query(f"""{SQL}, {_METHODS}, z AS (SELECT method, model, variable, month, CASE WHEN method = 'qm' AND variable = 'tas' AND model = 'A' THEN y + 110 WHEN method = 'qdm' AND variable = 'wind' AND model = 'N' THEN y - 5 ELSE y END AS y FROM u),
 g AS (SELECT method, model, variable, min(y) AS low, max(y) AS high, count(DISTINCT month) AS months, 100 * avg((y IS NULL)::INT) AS missing, count(*) FILTER (WHERE y < 0) AS negative FROM z GROUP BY ALL),
 h AS (SELECT *, method || '/' || model || '/' || variable AS item, CASE variable WHEN 'tas' THEN CASE WHEN low < 150 OR high > 400 THEN 'FAIL' WHEN low < 190 OR high > 370 THEN 'WARNING' ELSE 'PASS' END

@@ -63,6 +63,15 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename within one file system; the folder above ``to`` is made."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove all that this application has written there; call it once results are written."""
     remove(spark, own_dir(spark))

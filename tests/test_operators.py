@@ -397,29 +397,6 @@ def test_group_audit(spark):
     assert got["none"][0] == "FAILED" and got["none"][1].startswith("All sampled values are non-finite") and got["twice"] == ("FAILED", "Duplicate year-month values were found")
 
 
-def test_batches_resume(spark, tmp_path):
-    from aeolith.operators import orchestration
-
-    jobs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "model string, scenario int")
-    fail = {"b": True}
-
-    def work(combo):
-        d = spark.range(5 * combo["scenario"]).withColumnRenamed("id", "x")
-        return d.withColumn("x", F.raise_error(F.lit("broken")).cast("long")) if fail.get(combo["model"]) else d
-
-    run = lambda **how: [(r.key, r.status, r.rows) for r in orchestration.run_batch(jobs, ["model", "scenario"], work, str(tmp_path / "out"), **how).collect()]
-    keys = ["model=a/scenario=1", "model=a/scenario=2", "model=b/scenario=1"]
-    assert run(dry=True) == [(k, "DRY_RUN", 0) for k in keys] and not (tmp_path / "out").exists()
-    assert run() == [(keys[0], "COMPLETED", 5), (keys[1], "COMPLETED", 10), (keys[2], "FAILED", 0)]
-    fail.clear()
-    assert run() == [(keys[0], "SKIPPED_COMPLETE", 5), (keys[1], "SKIPPED_COMPLETE", 10), (keys[2], "COMPLETED", 5)]
-    assert [s for _, s, _ in run(force=True)] == ["COMPLETED"] * 3
-    fail["a"] = True
-    assert [s for _, s, _ in run(force=True, stop_on_error=True)] == ["FAILED"]
-    done = orchestration.run_batch(jobs.where("model = 'b'"), ["model", "scenario"], work, str(tmp_path / "out"))
-    assert orchestration.stored(spark, str(tmp_path / "out"), ["model", "scenario"], done).groupBy("model").count().collect()[0]["count"] == 5
-
-
 def test_csv_by_name_and_reports(spark, tmp_path):
     (tmp_path / "x.csv").write_text("﻿b,a,c\n1.5,x,9\n", encoding="utf-8")
     r = one(files.read_csv(spark, str(tmp_path / "x.csv"), "a string, b double"))
