@@ -38,8 +38,9 @@ from aeolith.ship import ship
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Words that are broadcast with their ranks (ranks take three bytes); bits of the map of other frequent words.
 TABLE, BITS = 1 << 20, 1 << 27
-#: Fragments in a bucket on average; occurrences of a pivot from which on it is dealt over buckets.
-FRAGMENTS, SALT = 1 << 19, 1 << 16
+#: Fragments in a bucket on average; occurrences of a pivot from which on it is dealt over buckets, as its fragments alone
+#: would be more than a task is to hold.
+FRAGMENTS, SALT = 1 << 19, 1 << 20
 #: Bytes of text in a slice, and distinct words that are held before they are passed on.
 SLICE, HELD = 2_000_000, 400_000
 
