@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,45 +81,80 @@ def moving_delta_mapping(fit: DataFrame, obs: DataFrame, target: DataFrame, by:
 FIT, OBS, TARGET = "fit", "obs", "target"
 
 
-def correct_samples(samples: DataFrame, by: Sequence[str], x: str = "value", role: str = "role", expected: dict[str, int] | None = None, additive: Sequence[str] | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+def _between_ranks(sample: Column, q: Column) -> Column:
+    """Quantile of a sorted sample, linear between the two values whose ranks enclose it."""
+    h = (F.size(sample) - 1) * q
+    low = F.floor(h)
+    a, b = F.get(sample, low.cast("int")), F.get(sample, F.ceil(h).cast("int"))
+    return a + (h - low) * (b - a)
+
+
+def _value_at(sample: Column, node: Column, part: Column, config: EngineConfig) -> Column:
+    """Between a node's quantile and the next one's."""
+    step = (config.high - config.low) / (config.nodes - 1)
+    at = lambda j: _between_ranks(sample, F.lit(config.low) + F.least(j, F.lit(config.nodes - 1)) * step)
+    return at(node) + part * (at(node + 1) - at(node))
+
+
+def correct_samples(samples: DataFrame, by: Sequence[str], x: str = "value", role: str = "role", expected: dict[str, int] | None = None, additive: Sequence[str] | None = None, config: EngineConfig = DEFAULT, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """QM and QDM of all targets in one pass: ``samples`` are rows of the model's and the reference's
     history and of the targets, told apart by ``role``; ``by`` has the column ``variable``.
 
     The targets come back with, for both methods m: m, m_p, m_tail, m_fallback; complete; and the
     histories' means fit_mean and obs_mean.  A group is complete if it has values on all rows of
     all three roles, and as many as ``expected`` if that is given; else m, its tail and its fallback
-    are NULL.  QM goes by ratio, QDM by ratio or by difference (``additive``).
+    are NULL.  QM goes by ratio, QDM by ratio or by difference (``additive``).  With ``bounds`` (label: lowest and highest
+    quantile) each target comes once for each pair, with the label in the column ``bounds``.
 
-    All comparisons with samples are windows over one order within ``by``, so the plan has one
-    shuffle and one sort.
+    A group is one row with its samples in order, made by one shuffle.  A target's place gives the ranks of the
+    values that it needs, four of each history, which are picked there; no table of quantiles is made, and no row of a sample
+    carries one.
     """
     additive = config.additive if additive is None else additive
-    v, r, part = F.col(x), F.col(role), Window.partitionBy(*by)
-    below, peers = part.orderBy(F.col(x).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by, x)
-    has = lambda k: F.when((r == k) & v.isNotNull(), 1).otherwise(0)
+    v, r = F.col(x), F.col(role)
+    kept = [c for c in samples.columns if c not in (*by, role)]
     own = lambda k: F.when(r == k, v)
-    d = samples
-    for k in (FIT, TARGET):
-        d = d.withColumn(f"__le_{k}", F.sum(has(k)).over(below)).withColumn(f"__eq_{k}", F.sum(has(k)).over(peers))
+    sides = [F.array_sort(F.collect_list(own(k))).alias(f"__{k}") for k in (FIT, OBS)]
+    rows = [F.count_if(r == k).alias(f"__rows_{k}") for k in (FIT, OBS, TARGET)]
+    d = samples.groupBy(*by).agg(
+        *sides, F.array_sort(F.collect_list(own(TARGET))).alias(f"__{TARGET}"), *rows, F.avg(own(FIT)).alias("fit_mean"), F.avg(own(OBS)).alias("obs_mean"),
+        F.collect_list(F.when(r == TARGET, F.struct(*kept))).alias("__rows"),
+    )
     whole = F.lit(True)
     for k in (FIT, OBS, TARGET):
-        d = d.withColumn(f"__n_{k}", F.sum(has(k)).over(part)).withColumn(f"__rows_{k}", F.count_if(r == k).over(part))
-        n = F.col(f"__n_{k}")
+        n = F.size(f"__{k}")
         whole = whole & (n > 0) & (n == F.col(f"__rows_{k}")) & ((n == expected[k]) if expected else F.lit(True))
-    points = config.node_points
-    d = d.withColumn("__mq", F.percentile(own(FIT), points).over(part)).withColumn("__oq", F.percentile(own(OBS), points).over(part))
-    d = d.withColumn("fit_mean", F.avg(own(FIT)).over(part)).withColumn("obs_mean", F.avg(own(OBS)).over(part)).where(r == TARGET).withColumn("complete", whole)
+    methods_of = (("qm", FIT), ("qdm", TARGET))
+
+    def place(e: Column, k: str) -> Column:
+        """(number of sample values below + half of the equal ones) / number."""
+        below = F.aggregate(f"__{k}", F.lit(0.0), lambda a, s: a + F.when(s < e[x], 1.0).when(s == e[x], 0.5).otherwise(0.0))
+        return F.when(e[x].isNotNull() & (F.size(f"__{k}") > 0), below / F.size(f"__{k}"))
+
+    def ranked(label: str | None, c: EngineConfig) -> Column:
+        """The targets with their places among the nodes, and what the histories have there."""
+        pos = lambda p: (F.least(F.greatest(p, F.lit(c.low)), F.lit(c.high)) - c.low) / (c.high - c.low) * (c.nodes - 1)
+        node = lambda p: F.least(F.floor(pos(p)), F.lit(c.nodes - 1))
+        step = F.transform("__placed", lambda e: F.struct(e["row"].alias("row"), *[y.alias(n) for m, _ in methods_of for n, y in ((f"{m}_p", e[f"{m}_p"]), (f"{m}_j", node(e[f"{m}_p"])), (f"{m}_f", pos(e[f"{m}_p"]) - node(e[f"{m}_p"])))]))
+        pick = lambda e, m, k: F.when(e[f"{m}_p"].isNotNull(), _value_at(F.col(f"__{k}"), e[f"{m}_j"], e[f"{m}_f"], c))
+        tails = lambda e, m: tail(e[f"{m}_p"], c).alias(f"{m}_out")
+        return F.transform(step, lambda e: F.struct(F.lit(label).alias("bounds"), e["row"].alias("row"), *[y for m, _ in methods_of for y in (e[f"{m}_p"].alias(f"{m}_p"), tails(e, m), pick(e, m, FIT).alias(f"{m}_m"), pick(e, m, OBS).alias(f"{m}_o"))]))
+
+    placed = F.transform("__rows", lambda e: F.struct(e.alias("row"), *[place(e, k).alias(f"{m}_p") for m, k in methods_of]))
+    d = d.where(F.size("__rows") > 0).withColumn("complete", whole).withColumn("__placed", placed)
+    each = [ranked(label, replace(config, low=low, high=high)) for label, (low, high) in bounds.items()] if bounds else [ranked(None, config)]
+    d = d.select(*by, "complete", "fit_mean", "obs_mean", F.explode(F.flatten(F.array(*each)) if bounds else each[0]).alias("__e"))
+    got = ["__e.bounds"] if bounds else []
+    d = d.select(*by, *[F.col(f"__e.row.{c}").alias(c) for c in kept], *got, "complete", "fit_mean", "obs_mean", *[F.col(f"__e.{m}_{c}").alias(f"__{m}_{c}" if c != "p" else f"{m}_p") for m, _ in methods_of for c in ("p", "out", "m", "o")])
+
     variable = F.col("variable")
     floor = by_variable(variable, config.floors)
     valid = F.col("complete") & v.isNotNull()
-    for m, k, by_difference in (("qm", FIT, F.lit(False)), ("qdm", TARGET, variable.isin(*additive))):
-        n = F.col(f"__n_{k}")
-        d = d.withColumn(f"{m}_p", F.when(v.isNotNull() & (n > 0), (F.col(f"__le_{k}") - 0.5 * F.col(f"__eq_{k}")) / F.when(n > 0, n)))
-        q = F.col(f"{m}_p")
-        y, fell = corrected(v, at_quantile(F.col("__mq"), q, config), at_quantile(F.col("__oq"), q, config), by_difference, floor)
+    for m, by_difference in (("qm", F.lit(False)), ("qdm", variable.isin(*additive))):
+        y, fell = corrected(v, F.col(f"__{m}_m"), F.col(f"__{m}_o"), by_difference, floor)
         y = F.when(variable.isin(*config.non_negative), clamp(y)).otherwise(y)
-        d = d.withColumn(m, F.when(valid, y)).withColumn(f"{m}_tail", F.when(valid, tail(q, config))).withColumn(f"{m}_fallback", F.when(valid, fell))
-    return d.drop(*[c for c in d.columns if c.startswith("__")], role)
+        d = d.withColumn(m, F.when(valid, y)).withColumn(f"{m}_tail", F.when(valid, F.col(f"__{m}_out"))).withColumn(f"{m}_fallback", F.when(valid, fell))
+    return d.drop(*[c for c in d.columns if c.startswith("__")])
 
 
 def methods(corrected_rows: DataFrame, x: str = "value") -> DataFrame:

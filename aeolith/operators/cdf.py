@@ -45,16 +45,16 @@ def clamped_window(target: DataFrame, by: Sequence[str], order: str, width: int)
 
 
 def moving_cdf(target: DataFrame, by: Sequence[str], order: str, x: str, width: int) -> DataFrame:
-    """``target`` with p in its clamped window; NULL unless all ``width`` values are there.
+    """``target`` with i, n, and p in its clamped window; NULL unless all ``width`` values are there.
 
-    A row meets the ``width`` rows of its window by an equi-join on their places.
+    One order of each group: a row sees the rows around it in a frame, of which its window is a slice.
     """
     d = clamped_window(target, by, order, width)
-    other = d.select(*by, F.col("i").alias("__j"), F.col(x).alias("__v"))
-    met = d.where(F.col("n") >= width).withColumn("__j", F.explode(F.sequence("start", F.col("start") + width - 1))).join(other, [*by, "__j"])
-    v, own = F.col("__v"), F.col(x)
-    p = met.groupBy(*by, "i").agg(
-        F.count("__v").alias("__have"), F.sum(F.when(v < own, 1.0).when(v == own, 0.5).otherwise(0.0)).alias("__below")
-    )
-    out = d.join(p, [*by, "i"], "left")
-    return out.withColumn("p", F.when((F.col("__have") == width) & own.isNotNull(), F.col("__below") / width)).drop("__have", "__below", "start")
+    around = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - width, width - 1)
+    own = F.col(x)
+    d = d.withColumn("__frame", F.collect_list(F.struct(own.alias("v"))).over(around)).withColumn("__first", F.greatest(F.col("i") - (width - 1), F.lit(0)))
+    inside = F.slice("__frame", F.greatest(F.col("start") - F.col("__first"), F.lit(0)).cast("int") + 1, F.lit(width))
+    one = lambda a, e: a + F.when(e["v"] < own, 1.0).when(e["v"] == own, 0.5).otherwise(0.0)
+    d = d.withColumn("__frame", F.when(F.col("n") >= width, inside))
+    whole = own.isNotNull() & (F.size(F.filter("__frame", lambda e: e["v"].isNotNull())) == width)
+    return d.withColumn("p", F.when(whole, F.aggregate("__frame", F.lit(0.0), one) / width)).drop("__frame", "__first", "start")

@@ -1,34 +1,41 @@
 """Trend tests and slopes of yearly series.
 
-Pairs are formed inside one short series by an equi-join on its key; a series has as many
-points as years, so a group makes n (n - 1) / 2 rows whatever the number of series.
+A series is gathered into one row, and its pairs are formed inside that row: one shuffle of the points themselves,
+whatever the number of series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _pairs(df: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame:
-    d = df.where(F.col(x).isNotNull())
-    early, late = d.select(*by, F.col(t).alias("t1"), F.col(x).alias("x1")), d.select(*by, F.col(t).alias("t2"), F.col(x).alias("x2"))
-    return early.join(late, list(by)).where("t1 < t2")
+def _series(df: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame:
+    """(by, points): each series as an array of (t, x) in the order of t, without missing values."""
+    return df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(x).alias("x")))).alias("points"))
+
+
+def _later(p: Column, i: Column) -> Column:
+    """The points after the i-th that have a later time."""
+    return F.filter(F.slice("points", i + 2, F.size("points")), lambda q: q["t"] > p["t"])
 
 
 def mann_kendall(df: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame:
     """(by, n, s, var_s, z): with the correction for ties, and for continuity."""
-    s = _pairs(df, by, t, x).groupBy(*by).agg(F.sum(F.signum(F.col("x2") - F.col("x1"))).alias("s"))
-    ties = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__k"))
-    k = F.col("__k")
-    n = ties.groupBy(*by).agg(F.sum(k).alias("n"), F.sum(k * (k - 1) * (2 * k + 5)).alias("__ties"))
+    n = F.size("points").cast("long")
+    # of each point: later ones, how many more of them are above than below, and how many points equal it
+    signs = lambda p, i: F.aggregate(_later(p, i), F.lit(0.0), lambda a, q: a + F.signum(q["x"] - p["x"]))
+    equal = lambda p: F.size(F.filter("points", lambda q: q["x"] == p["x"])).cast("long")
+    each = F.transform("points", lambda p, i: F.struct(F.size(_later(p, i)).cast("long").alias("pairs"), signs(p, i).alias("s"), equal(p).alias("k")))
+    d = _series(df, by, t, x).select(*by, n.alias("n"), each.alias("each"))
     c = F.col("n")
-    var = ((c * (c - 1) * (2 * c + 5)) - F.col("__ties")) / 18
-    out = n.join(s, list(by)).withColumn("var_s", var)
+    tied = F.aggregate("each", F.lit(0).cast("long"), lambda a, e: a + (e["k"] - 1) * (2 * e["k"] + 5))
+    pairs = F.aggregate("each", F.lit(0).cast("long"), lambda a, e: a + e["pairs"])
+    d = d.where(pairs > 0).select(*by, "n", F.aggregate("each", F.lit(0.0), lambda a, e: a + e["s"]).alias("s"), ((c * (c - 1) * (2 * c + 5) - tied) / 18).alias("var_s"))
     v = F.when(F.col("var_s") > 0, F.sqrt(F.when(F.col("var_s") > 0, F.col("var_s"))))
-    return out.select(*by, "n", "s", "var_s", F.when(F.col("s") > 0, (F.col("s") - 1) / v).when(F.col("s") < 0, (F.col("s") + 1) / v).otherwise(0.0).alias("z"))
+    return d.select(*by, "n", "s", "var_s", F.when(F.col("s") > 0, (F.col("s") - 1) / v).when(F.col("s") < 0, (F.col("s") + 1) / v).otherwise(0.0).alias("z"))
 
 
 def least_squares(df: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame:
@@ -36,8 +43,11 @@ def least_squares(df: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame
 
 
 def theil_sen(df: DataFrame, by: Sequence[str], t: str, x: str) -> DataFrame:
-    p = _pairs(df, by, t, x).where("t2 <> t1")
-    return p.groupBy(*by).agg(F.percentile((F.col("x2") - F.col("x1")) / (F.col("t2") - F.col("t1")), 0.5).alias("slope"))
+    """(by, slope): the median of the slopes of all pairs."""
+    slopes = F.flatten(F.transform("points", lambda p, i: F.transform(_later(p, i), lambda q: (q["x"] - p["x"]) / (q["t"] - p["t"]))))
+    d = _series(df, by, t, x).select(*by, F.sort_array(slopes).alias("slopes")).where(F.size("slopes") > 0)
+    n = F.size("slopes")
+    return d.select(*by, ((F.get("slopes", F.floor((n - 1) / 2).cast("int")) + F.get("slopes", F.floor(n / 2).cast("int"))) / 2).alias("slope"))
 
 
 def endpoints(df: DataFrame, by: Sequence[str], t: str, x: str, first: int, last: int, late: int, span: int) -> DataFrame:

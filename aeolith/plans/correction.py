@@ -25,8 +25,8 @@ def samples(cube, target="source = 'gcm' and year between 1998 and 2000"):
     return d.select(*BY, "weight", "year", "value", F.explode(F.filter(roles, lambda x: x.isNotNull())).alias("role"))
 
 
-def corrected(spark, sf_dir, config=DEFAULT, **how):
-    return bias.correct_samples(samples(monthly(spark, sf_dir), **how), BY, expected=YEARS, config=config)
+def corrected(spark, sf_dir, bounds=None, **how):
+    return bias.correct_samples(samples(monthly(spark, sf_dir), **how), BY, expected=YEARS, bounds=bounds)
 
 
 _KEYS = "model, variable, cell, month"
@@ -223,14 +223,15 @@ def _sql_hold(source: str = "u", p: str = "") -> str:
 {p}e AS (SELECT method, {_KEYS}, abs(k.m - t.m) AS e_mean, abs(k.s - t.s) AS e_std, abs(k.q10 - t.q10) AS e_q10, abs(k.q50 - t.q50) AS e_q50, abs(k.q90 - t.q90) AS e_q90, tail, fallback FROM {p}k k JOIN {p}t t USING ({_KEYS}))"""
 
 
-def holdout(spark, sf_dir, **how):
-    """Errors of the complete groups against the reference in the target years, by cell and month."""
+def holdout(spark, sf_dir, bounds=None):
+    """Errors of the complete groups against the reference in the target years, by cell and month (and bounds)."""
+    keys = ["method", *BY, *(["bounds"] if bounds else [])]
     ref = long_form(monthly(spark, sf_dir)).where("source = 'ref' and year between 1998 and 2000")
     parts = lambda x: [F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.percentile(x, 0.1).alias("q10"), F.percentile(x, 0.5).alias("q50"), F.percentile(x, 0.9).alias("q90")]
     t = ref.groupBy(*BY).agg(*parts("value")).select(*BY, *[F.col(c).alias(f"t_{c}") for c in ("m", "s", "q10", "q50", "q90")])
     percent = lambda c: (100 * F.avg(F.col(c).cast("int"))).alias(c)
-    k = three_methods(spark, sf_dir, **how).where("complete").groupBy("method", *BY).agg(*parts("y"), percent("tail"), percent("fallback"))
-    return k.join(t, BY).select("method", *BY, *[F.abs(F.col(c) - F.col(f"t_{c}")).alias(n) for c, n in zip(("m", "s", "q10", "q50", "q90"), _ERR)], "tail", "fallback")
+    k = three_methods(spark, sf_dir, bounds=bounds).where("complete").groupBy(*keys).agg(*parts("y"), percent("tail"), percent("fallback"))
+    return k.join(t, BY).select(*keys, *[F.abs(F.col(c) - F.col(f"t_{c}")).alias(n) for c, n in zip(("m", "s", "q10", "q50", "q90"), _ERR)], "tail", "fallback")
 
 
 @query(f"{SQL}, {_METHODS}, {_sql_hold()} SELECT method, {_KEYS}, {', '.join(f'{r(c)} AS {c}' for c in (*_ERR, 'tail', 'fallback'))} FROM e")
@@ -246,16 +247,15 @@ def _sql_summary(bounds: str, p: str = "") -> str:
 _HS = [*_ERR, "max_tail_percent", "max_fallback_percent"]
 
 
-def summary(errors, bounds):
+def summary(errors):
     """Medians over months of the medians over cells, and the worst month's tail and fallback per cent."""
-    sm = errors.groupBy("method", "model", "variable", "month").agg(*[F.percentile(c, 0.5).alias(c) for c in _ERR], F.avg("tail").alias("tail"), F.avg("fallback").alias("fallback"))
-    g = sm.groupBy("method", "model", "variable").agg(F.count("*").alias("months"), *[F.percentile(c, 0.5).alias(c) for c in _ERR], F.max("tail").alias("max_tail_percent"), F.max("fallback").alias("max_fallback_percent"))
-    return g.withColumn("bounds", F.lit(bounds))
+    sm = errors.groupBy("method", "model", "variable", "bounds", "month").agg(*[F.percentile(c, 0.5).alias(c) for c in _ERR], F.avg("tail").alias("tail"), F.avg("fallback").alias("fallback"))
+    return sm.groupBy("method", "model", "variable", "bounds").agg(F.count("*").alias("months"), *[F.percentile(c, 0.5).alias(c) for c in _ERR], F.max("tail").alias("max_tail_percent"), F.max("fallback").alias("max_fallback_percent"))
 
 
 @query(f"{SQL}, {_METHODS}, {_sql_hold()}, {_sql_summary('Q02-Q98')} SELECT method, model, variable, bounds, months, {', '.join(f'{r(c)} AS {c}' for c in _HS)} FROM hs")
 def holdout_summary(spark, sf_dir):
-    return out(summary(holdout(spark, sf_dir), "Q02-Q98"), ["method", "model", "variable", "bounds"], _HS, ["months"])
+    return out(summary(holdout(spark, sf_dir).withColumn("bounds", F.lit("Q02-Q98"))), ["method", "model", "variable", "bounds"], _HS, ["months"])
 
 
 _U5 = _METHODS.replace("u AS", "b5u AS").replace("FROM cq", "FROM b5cq")
@@ -265,8 +265,8 @@ _U5 = _METHODS.replace("u AS", "b5u AS").replace("FROM cq", "FROM b5cq")
 SELECT method, model, variable, bounds, months, {', '.join(f'{r(c)} AS {c}' for c in _HS)} FROM (SELECT * FROM hs UNION ALL SELECT * FROM b5hs)""")
 def bounds_comparison(spark, sf_dir):
     """The held-out errors with two pairs of tail bounds."""
-    parts = [summary(holdout(spark, sf_dir, config=dataclasses.replace(DEFAULT, low=low, high=high)), label) for label, low, high in (("Q02-Q98", 0.02, 0.98), ("Q05-Q95", 0.05, 0.95))]
-    return out(parts[0].unionByName(parts[1]), ["method", "model", "variable", "bounds"], _HS, ["months"])
+    d = holdout(spark, sf_dir, {"Q02-Q98": (0.02, 0.98), "Q05-Q95": (0.05, 0.95)})
+    return out(summary(d), ["method", "model", "variable", "bounds"], _HS, ["months"])
 
 
 @query(f"{A}, {sql_corrected(target=_FIT)} SELECT {_KEYS}, year, {r('qm')} AS y FROM cq")
