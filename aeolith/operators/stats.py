@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeolith.operators.selection import narrowed
+
 
 def weight_of(x: Column, w: Column) -> Column:
     return F.sum(F.when(x.isNotNull(), w))
@@ -36,55 +38,33 @@ def weighted_moments(df: DataFrame, by: Sequence[str], x: str, w: str) -> DataFr
     return spread.select(*by, "n", "mean", F.when(F.col("n") >= 2, F.col("s")).alias("std"))
 
 
-def _binned(d: DataFrame, by: Sequence[str], x: str, amount: str, bins: int) -> DataFrame:
-    """``d`` (distinct x in each group, with an amount) with __bin, __before (what all lower bins hold), __s
-    (what its own holds) and __all.  Edges come from a mergeable sketch of the values, so bins hold about
-    as many values each, however skewed these are."""
-    fractions = [k / bins for k in range(1, bins)]
-    ends = d.groupBy(*by).agg(F.percentile_approx(x, fractions, 40 * bins).alias("__edges"), F.sum(amount).alias("__all"))
-    d = d.join(ends, list(by)).withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col(x)))).drop("__edges")
-    sums = d.groupBy(*by, "__bin").agg(F.sum(amount).alias("__s"))
-    past = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__s").over(past), F.lit(0)))
-    return d.join(sums, [*by, "__bin"])
-
-
-def weighted_quantiles(df: DataFrame, by: Sequence[str], x: str, w: str, points: dict[str, float], bins: int = 0) -> DataFrame:
+def weighted_quantiles(df: DataFrame, by: Sequence[str], x: str, w: str, points: dict[str, float], pooled: bool = False) -> DataFrame:
     """The smallest value at which the weight summed in order reaches p of the total; no interpolation.
 
-    Equal values are added up first.  Without ``bins`` each group is ordered in one task, which
-    suits groups of cells.  With ``bins``, for groups that pool a whole cube, weights are summed
-    by bins, and only the bins in which a point lies are ordered.
+    Equal values are added up first.  Each group is ordered in one task, which suits groups of cells, unless
+    it is ``pooled`` from whole cubes: then only narrow bins in which a point lies are ordered.
     """
     d = df.where(F.col(x).isNotNull() & (F.col(w) > 0)).groupBy(*by, x).agg(F.sum(w).alias("__w"))
-    if bins:
-        d = _binned(d, by, x, "__w", bins)
-        held = F.lit(False)
-        for p in points.values():
-            want = p * F.col("__all")
-            # sums are made in different orders: a little more is ordered than is needed
-            slack = 1e-9 * F.col("__all")
-            held = held | ((F.col("__before") < want + slack) & (F.col("__before") + F.col("__s") >= want - slack))
+    if pooled:
+        # sums are made in different orders: a little more is looked at than is needed
+        slack = lambda t, p, side: (p + side * 1e-9) * t
+        d = narrowed(d, by, x, "__w", lambda t: [(slack(t, p, -1), slack(t, p, 1)) for p in points.values()])
         order = Window.partitionBy(*by, "__bin").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-        d = d.where(held).withColumn("__sum", F.col("__before") + F.sum("__w").over(order))
+        d = d.withColumn("__sum", F.col("__before") + F.sum("__w").over(order))
     else:
         order = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
         d = d.withColumn("__sum", F.sum("__w").over(order)).withColumn("__all", F.sum("__w").over(Window.partitionBy(*by)))
     return d.groupBy(*by).agg(*[F.min(F.when(F.col("__sum") >= p * F.col("__all"), F.col(x))).alias(name) for name, p in points.items()])
 
 
-def pooled_quantiles(df: DataFrame, by: Sequence[str], x: str, points: dict[str, float], bins: int = 64) -> DataFrame:
+def pooled_quantiles(df: DataFrame, by: Sequence[str], x: str, points: dict[str, float]) -> DataFrame:
     """(by, points): exact quantiles with linear interpolation of groups that pool whole cubes: values are
-    counted, counts added up by bins, and only the bins that hold a wanted rank are ordered."""
+    counted, and only narrow bins that hold a wanted rank are ordered."""
     d = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__w"))
-    d = _binned(d, by, x, "__w", bins)
+    d = narrowed(d, by, x, "__w", lambda t: [(f(p * (t - 1)), f(p * (t - 1)) + 1) for p in points.values() for f in (F.floor, F.ceil)])
     last = F.col("__all") - 1
-    ranks = [f(p * last) for p in points.values() for f in (F.floor, F.ceil)]
-    held = F.lit(False)
-    for k in ranks:
-        held = held | ((F.col("__before") <= k) & (k < F.col("__before") + F.col("__s")))
     order = Window.partitionBy(*by, "__bin").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.where(held).withColumn("__upto", F.col("__before") + F.sum("__w").over(order))
+    d = d.withColumn("__upto", F.col("__before") + F.sum("__w").over(order))
     at = lambda k: F.max(F.when((F.col("__upto") - F.col("__w") <= k) & (k < F.col("__upto")), F.col(x)))
     out = []
     for name, p in points.items():
@@ -98,20 +78,20 @@ def pooled_quantiles(df: DataFrame, by: Sequence[str], x: str, points: dict[str,
 AREA_STATISTICS = ("missing_percent", "negative_percent", "min", "p01", "median", "mean", "std", "p99", "max")
 
 
-def area_statistics(df: DataFrame, by: Sequence[str], x: str, w: str, bins: int = 0) -> DataFrame:
+def area_statistics(df: DataFrame, by: Sequence[str], x: str, w: str, pooled: bool = False) -> DataFrame:
     """(by, n, and AREA_STATISTICS) of values pooled over months and cells, weighted by area; rows
     without x count as missing, those without weight not at all.
 
-    Without ``bins`` a group is ordered in one task, and all statistics come from that one
-    shuffle; with ``bins``, for groups that pool whole cubes, they are made from partial sums.
+    A group is ordered in one task, and all statistics come from that one shuffle, unless it is
+    ``pooled`` from whole cubes: then they are made from partial sums.
     """
     v, ww = F.col(x), F.col(w)
     missing = (100 * F.sum(F.when(v.isNull(), ww).otherwise(0.0)) / F.sum(ww)).alias("missing_percent")
     rest = [weighted_share(v < 0, v, ww).alias("negative_percent"), F.min(v).alias("min"), F.max(v).alias("max")]
     points = {"p01": 0.01, "median": 0.5, "p99": 0.99}
-    if bins:
+    if pooled:
         own = df.where(ww > 0).groupBy(*by).agg(missing, *rest)
-        q = weighted_quantiles(df, by, x, w, points, bins=bins)
+        q = weighted_quantiles(df, by, x, w, points, pooled=True)
         return own.join(weighted_moments(df, by, x, w), list(by)).join(q, list(by)).select(*by, "n", *AREA_STATISTICS)
     part = Window.partitionBy(*by)
     upto = F.sum(F.when(v.isNotNull(), ww).otherwise(0.0)).over(part.orderBy(v.asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0))

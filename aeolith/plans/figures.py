@@ -107,6 +107,10 @@ def figure_heatmap(spark, sf_dir):
 @query(f"{A}, q AS (SELECT source, variable, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi, quantile_cont(abs(value), 0.99) AS sym FROM al GROUP BY ALL) SELECT source, variable, {r('lo - 0.04 * (hi - lo)')} AS low, {r('hi + 0.04 * (hi - lo)')} AS high, {r('sym')} AS symmetric FROM q")
 def figure_axis_limits(spark, sf_dir):
     by, d = ["source", "variable"], long_form(monthly(spark, sf_dir))
-    q = stats.pooled_quantiles(d, by, "value", {"lo": 0.01, "hi": 0.99}).join(stats.pooled_quantiles(d.withColumn("value", F.abs("value")), by, "value", {"symmetric": 0.99}), by)
+    # values and sizes as two kinds of one pass
+    both = F.array(F.struct(F.lit("value").alias("kind"), F.col("value").alias("x")), F.struct(F.lit("size").alias("kind"), F.abs("value").alias("x")))
+    q = stats.pooled_quantiles(d.select(*by, F.explode(both).alias("e")).select(*by, "e.*"), [*by, "kind"], "x", {"lo": 0.01, "hi": 0.99})
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    q = q.groupBy(*by).agg(of("value", "lo").alias("lo"), of("value", "hi").alias("hi"), of("size", "hi").alias("symmetric"))
     pad = 0.04 * (F.col("hi") - F.col("lo"))
     return out(q.withColumn("low", F.col("lo") - pad).withColumn("high", F.col("hi") + pad), ["source", "variable"], ["low", "high", "symmetric"])

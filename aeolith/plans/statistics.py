@@ -42,7 +42,7 @@ SELECT {_QBY}, n, {', '.join(f'{r(c)} AS {c}' for c in ('missing_percent', 'nega
 def qc_statistics(spark, sf_dir):
     """Weighted statistics pooled over months and cells."""
     by = ["model", "source", "variable"]
-    return out(stats.area_statistics(long_form(monthly(spark, sf_dir)), by, "value", "weight", bins=256), by, stats.AREA_STATISTICS, ["n"])
+    return out(stats.area_statistics(long_form(monthly(spark, sf_dir)), by, "value", "weight", pooled=True), by, stats.AREA_STATISTICS, ["n"])
 
 
 @query(f"""{A}, p AS (SELECT model, source, variable, cell, weight, avg(value) AS value FROM al GROUP BY ALL),

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -41,6 +41,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` in the shared folder: its lineage ends there."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def made() -> int:
     """How many paths there have been: a mark for ``drop_since``."""
     return len(_MADE)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from aeolith.config import DEFAULT
 from aeolith.functions.months import season_year, wrap_longitude
 from aeolith.functions.numeric import clamp, correlation_p, normal_p, ratio, student_two_sided
-from aeolith.operators import bias, cdf, complementarity, contracts, ensemble, spatial, stats, trends
+from aeolith.operators import bias, cdf, complementarity, contracts, ensemble, selection, spatial, stats, trends
 from aeolith.sources import files
-from aeolith.sources.cubes import finite
+from aeolith.sources.cubes import finite, release
 
 
 def one(df):
@@ -78,14 +78,15 @@ def test_weighted_mean_leaves_out_what_is_missing(spark):
     assert one(finite(d, "x").where("x is null").agg(stats.weighted_mean(F.col("x"), F.col("w")).alias("m"))).m is None
 
 
-def test_weighted_quantiles_take_a_value(spark):
+def test_weighted_quantiles_take_a_value(spark, monkeypatch):
     d = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 3.0, 2.0), ("a", 9.0, 0.0), ("a", None, 7.0)], "k string, x double, w double")
     q = one(stats.weighted_quantiles(d, ["k"], "x", "w", {"low": 0.25, "mid": 0.5, "high": 1.0}))
     assert (q.low, q.mid, q.high) == (1.0, 2.0, 3.0)
     r = np.random.default_rng(9)
     many = spark.createDataFrame([(k, float(np.round(r.lognormal(), 2)), float(r.integers(1, 5))) for k in "ab" for _ in range(400)] + [("c", 1.0, 2.0)] * 3, "k string, x double, w double")
     points = {f"p{i}": i / 10 for i in range(11)}
-    assert sorted(stats.weighted_quantiles(many, ["k"], "x", "w", points, bins=16).collect()) == sorted(stats.weighted_quantiles(many, ["k"], "x", "w", points).collect())
+    monkeypatch.setattr(selection, "ROWS", 100)
+    assert sorted(stats.weighted_quantiles(many, ["k"], "x", "w", points, pooled=True).collect()) == sorted(stats.weighted_quantiles(many, ["k"], "x", "w", points).collect())
 
 
 def test_moments_and_skewness(spark):
@@ -351,25 +352,35 @@ def test_unknown_variables_are_errors(spark):
         bias.correct_samples(d.withColumn("variable", F.lit("sfcWind")), ["variable", "cell", "month"]).collect()
 
 
-@pytest.mark.parametrize("skewed", [False, True])
-def test_pooled_quantiles(spark, skewed):
+@pytest.mark.parametrize("kind,most", [("even", 100_000), ("skewed", 200), ("extreme", 200)])
+def test_pooled_quantiles(spark, monkeypatch, kind, most):
+    """The same values whatever a task may order, and no task orders more than it may."""
     r = np.random.default_rng(6)
-    x = np.round(np.exp(r.standard_normal(5000) * (4 if skewed else 0.1)), 3)
+    x = np.exp(r.standard_normal(5000) * {"even": 0.1, "skewed": 4, "extreme": 100}[kind])
     x[:2000] = 1.0
     d = spark.createDataFrame([("g", float(v), 1.0) for v in x] + [("h", 5.0, 1.0), ("h", None, 1.0)], "g string, x double, w double")
+    if kind == "extreme":
+        x = np.concatenate([x, [-1e308, 1e308]])
+        d = d.unionByName(spark.createDataFrame([("g", -1e308, 1.0), ("g", 1e308, 1.0)], d.schema))
+    monkeypatch.setattr(selection, "ROWS", most)
+    monkeypatch.setattr(selection, "PARTS", 8)
     points = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.9, "e": 1.0}
-    got = {q.g: q for q in stats.pooled_quantiles(d, ["g"], "x", points, bins=16).collect()}
+    got = {q.g: q for q in stats.pooled_quantiles(d, ["g"], "x", points).collect()}
     np.testing.assert_allclose([got["g"][k] for k in points], np.quantile(x, list(points.values())), rtol=1e-12)
     assert [got["h"][k] for k in points] == [5.0] * 5
-    binned, plain = ({q.g: tuple(q) for q in stats.weighted_quantiles(d, ["g"], "x", "w", {"p": 0.3, "q": 0.97}, bins=b).collect()} for b in (16, 0))
+    binned, plain = ({q.g: tuple(q) for q in stats.weighted_quantiles(d, ["g"], "x", "w", {"p": 0.3, "q": 0.97}, pooled=b).collect()} for b in (True, False))
     assert binned == plain
+    counted = d.where("x is not null").groupBy("g", "x").agg(F.count("*").alias("n"))
+    bins = selection.narrowed(counted, ["g"], "x", "n", lambda t: [(p * (t - 1), p * (t - 1) + 1) for p in points.values()]).groupBy("g", "__bin").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
+    assert max(b.k for b in bins) <= most and (most > 5000 or sum(b.k for b in bins) < 1100)
+    release()
 
 
 def test_area_statistics_agree(spark):
     r = np.random.default_rng(8)
     rows = [(int(k % 3), None if k % 11 == 0 else float(v), float(k % 4)) for k, v in enumerate(r.standard_normal(600))]
     d = spark.createDataFrame(rows, "g int, x double, w double")
-    a, b = (sorted(stats.area_statistics(d, ["g"], "x", "w", bins=k).collect()) for k in (0, 8))
+    a, b = (sorted(stats.area_statistics(d, ["g"], "x", "w", pooled=k).collect()) for k in (False, True))
     for p, q in zip(a, b):
         np.testing.assert_allclose(p, q, rtol=1e-9)
 
