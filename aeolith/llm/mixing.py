@@ -71,7 +71,8 @@ def targets(sizes: DataFrame, block: int, weights: tuple[int, ...] = WEIGHTS, sh
     by = by.select("source", "place", "source_size", F.least(F.col("most").cast("double"), F.coalesce(first * F.col("weight"), F.col("most").cast("double"))).alias("target"))
 
     w = Window.orderBy("place")
-    part = F.sum("target").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(all_rows)
+    # where no source has a word, none has points
+    part = F.coalesce(F.try_divide(F.sum("target").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("target").over(all_rows)), F.lit(0.0))
     top = F.max(F.when(F.col("target") > 0, F.col("place"))).over(all_rows)
     by = by.select("*", F.floor(F.col("target") + 0.5).alias("want"), F.when(F.col("place") >= top, F.lit(1 << 32)).otherwise(F.floor(part * F.lit(float(1 << 32)))).alias("hi"))
     n = F.ceil(F.col("source_size") / F.lit(block))

@@ -154,7 +154,7 @@ class Table:
             known = self.h[at] == h
             out[known] = self.rank[at[known]]
         if self.rest is not None:
-            bit = h >> np.uint64(36)
+            bit = h >> np.uint64(63 - (64 * len(self.rest) - 1).bit_length())
             held = (out == _NONE) & ((self.rest[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
             out[held] = h[held] | _REST
         return out
