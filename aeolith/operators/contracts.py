@@ -148,48 +148,68 @@ def _verdict(d: DataFrame, errors: Column, warnings: Column) -> DataFrame:
     return d.withColumn("status", status).withColumn("message", F.array_join(F.concat("__e", "__w"), " | ")).drop("__e", "__w")
 
 
+def group_states(df: DataFrame, by: Sequence[str], place: str, x: str, unit: str, lat: str = "lat") -> DataFrame:
+    """(by, months, units, repeated): all that an audit needs of a group of (ym, place, x, unit).
+
+    ``months`` has a struct for each month, in order: ym, place, rows, finite, low, high.  Points of a month are added up first,
+    then months, then groups, each by partial sums; a state has as many entries as a group has months.
+    """
+    point = [c for c in (lat, "cell", "lon") if c in df.columns and c not in by]
+    one = df.groupBy(*by, "ym", *point).agg(F.count("*").alias("rows"), F.count(x).alias("finite"), F.min(place).alias("place"), F.min(x).alias("low"), F.max(x).alias("high"), F.collect_set(unit).alias("units"))
+    month = one.groupBy(*by, "ym").agg(F.sum("rows").alias("rows"), F.sum("finite").alias("finite"), F.min("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"), F.flatten(F.collect_set("units")).alias("units"), (F.max("rows") > 1).alias("repeated"))
+    return month.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("ym", "place", "rows", "finite", "low", "high"))).alias("months"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("units")))).alias("units"), F.bool_or("repeated").alias("repeated"),
+    )
+
+
 def group_audit(df: DataFrame, by: Sequence[str], place: str, x: str, unit: str, lat: str = "lat", limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """(by, time_count, first, last, units, sample_min, sample_max, finite_percent, status, message) of
+    """(by, time_count, first, last, units, sample_min, sample_max, finite_percent, status, message, months) of
     groups of (ym, place, x, unit); ``by`` has the column ``variable``.
 
     Values are looked at on the first, the middle and the last time step only.  Wrong: repeated or
     missing months, mixed or unknown units, values out of their limits, none finite.  Doubtful: months
-    out of order, and less than 99 per cent finite.
+    out of order, and less than 99 per cent finite.  All of it follows from the groups' states.
     """
-    part = Window.partitionBy(*by)
-    steps = df.groupBy(*by, "ym").agg(F.min(place).alias(place))
-    t = steps.withColumn("__i", F.row_number().over(part.orderBy("ym")) - 1).withColumn("__n", F.count("*").over(part))
-    t = t.withColumn("__step", F.col("ym") - F.lag("ym").over(part.orderBy("ym"))).withColumn("__back", F.col("ym") < F.lag("ym").over(part.orderBy(place, "ym")))
-    time = t.groupBy(*by).agg(F.count("*").alias("time_count"), F.min("ym").alias("first"), F.max("ym").alias("last"), F.coalesce(F.sum(F.col("__step") - 1), F.lit(0)).alias("__gaps"), F.count_if("__back").alias("__disorder"))
-    chosen = t.where((F.col("__i") == 0) | (F.col("__i") == F.floor(F.col("__n") / 2)) | (F.col("__i") == F.col("__n") - 1)).select(*by, "ym")
-    sample = df.join(chosen, [*by, "ym"]).groupBy(*by).agg(F.min(x).alias("sample_min"), F.max(x).alias("sample_max"), (100 * F.count(x) / F.count("*")).alias("finite_percent"))
-    repeated = df.groupBy(*by, "ym", lat, *[c for c in ("cell", "lon") if c in df.columns]).agg(F.count("*").alias("__r")).groupBy(*by).agg((F.max("__r") > 1).alias("__repeated"))
-    units = df.groupBy(*by).agg(F.array_sort(F.collect_set(unit)).alias("__units"))
-    d = time.join(sample, list(by)).join(repeated, list(by)).join(units, list(by))
+    n = F.size("months")
+    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, m: a + f(m))
+    stored = F.array_sort(F.transform("months", lambda m: F.struct(m["place"].alias("place"), m["ym"].alias("ym"))))
+    back = F.size(F.filter(F.transform("stored", lambda m, i: (i > 0) & (m["ym"] < F.get("stored", i - 1)["ym"])), lambda x: x))
+    seen = F.transform(F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), n - 1)), lambda i: F.get("months", i))
+    d = group_states(df, by, place, x, unit, lat).withColumn("stored", stored).withColumn("seen", seen)
+    first, last = F.get("months", F.lit(0))["ym"], F.get("months", n - 1)["ym"]
+    d = d.select(
+        *by, n.cast("long").alias("time_count"), first.alias("first"), last.alias("last"), (last - first + 1 - n).cast("long").alias("__gaps"), back.alias("__disorder"), "repeated", F.col("units").alias("__units"),
+        F.array_min(F.transform("seen", lambda m: m["low"])).alias("sample_min"), F.array_max(F.transform("seen", lambda m: m["high"])).alias("sample_max"),
+        (100 * total("seen", lambda m: m["finite"]) / total("seen", lambda m: m["rows"])).alias("finite_percent"), F.transform("months", lambda m: m["ym"]).alias("months"),
+    )
     low = by_variable(F.col("variable"), {v: a for v, (a, _) in (limits or SAMPLE_LIMITS).items()})
     high = by_variable(F.col("variable"), {v: b for v, (_, b) in (limits or SAMPLE_LIMITS).items()})
     one = F.size("__units") == 1
     errors = _messages([
-        (F.col("__repeated"), "Duplicate year-month values were found"), (F.col("__gaps") > 0, F.format_string("Monthly time series contains %d missing months", F.col("__gaps").cast("long"))),
-        (~one, F.concat(F.lit("Inconsistent units: "), F.array_join("__units", ", "))), (one & ~unit_allowed(F.col("variable"), F.get("__units", F.lit(0))), F.concat(F.lit("Unexpected units: "), F.get("__units", F.lit(0)))),
-        (F.col("sample_min") < low, "Suspicious sample minimum"), (F.col("sample_max") > high, "Suspicious sample maximum"), (F.col("sample_min").isNull(), "All sampled values are non-finite"),
+        (F.col("repeated"), "a month stands there twice"), (F.col("__gaps") > 0, F.format_string("%d months lack between the first and the last", "__gaps")),
+        (~one, F.concat(F.lit("several units: "), F.array_join("__units", ", "))), (one & ~unit_allowed(F.col("variable"), F.get("__units", F.lit(0))), F.concat(F.lit("not a unit of this variable: "), F.get("__units", F.lit(0)))),
+        (F.col("sample_min") < low, "sampled values under the limit"), (F.col("sample_max") > high, "sampled values over the limit"), (F.col("sample_min").isNull(), "no sampled value is finite"),
     ])
-    warnings = _messages([(F.col("__disorder") > 0, "Files are not ordered chronologically"), (F.col("finite_percent") < 99, F.format_string("Sample finite percentage is %.3f%%", "finite_percent"))])
+    warnings = _messages([(F.col("__disorder") > 0, "months are not stored in order"), (F.col("finite_percent") < 99, F.format_string("%.3f per cent of sampled values are finite", "finite_percent"))])
     d = _verdict(d.withColumn("units", F.array_join("__units", "; ")), errors, warnings)
-    return d.select(*by, "time_count", "first", "last", "units", "sample_min", "sample_max", "finite_percent", "status", "message")
-
-
-def pair_audit(model: DataFrame, reference: DataFrame, model_rows: DataFrame, reference_rows: DataFrame, by: Sequence[str], grid: Sequence[str] = ("lat", "lon")) -> DataFrame:
-    """(by, status, message): two audited groups as a pair, given their audits and their rows (ym and grid):
-    either failed, grids that differ, reference months that the model lacks, units that differ."""
-    points = lambda d: d.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct(*grid))).alias("__g"))
-    g = points(model_rows).withColumnRenamed("__g", "__gm").join(points(reference_rows), list(by))
-    absent = reference_rows.select(*by, "ym").distinct().join(model_rows.select(*by, "ym").distinct(), [*by, "ym"], "left_anti").groupBy(*by).agg(F.count("*").alias("__absent"))
-    a = model.select(*by, F.col("status").alias("__sm"), F.col("units").alias("__um")).join(reference.select(*by, F.col("status").alias("__sr"), F.col("units").alias("__ur")), list(by))
-    d = a.join(g, list(by)).join(absent, list(by), "left").na.fill({"__absent": 0})
+    return d.select(*by, "time_count", "first", "last", "units", "sample_min", "sample_max", "finite_percent", "status", "message", "months")
+
+
+def pair_audit(audits: DataFrame, rows: DataFrame, by: Sequence[str], side: str, model: str, reference: str, grid: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """(by, status, message): audited groups of both sides as pairs, told apart by ``side``, given their audits and their
+    rows (grid): either failed, grids that differ, reference months that the model lacks, units that differ."""
+    point = F.xxhash64(*grid)
+    shape = rows.where(F.col(side).isin(model, reference)).select(side, *by, *grid).distinct().groupBy(*by)
+    of = lambda s: F.struct(F.count_if(F.col(side) == s).alias("n"), F.bit_xor(F.when(F.col(side) == s, point)).alias("x"), F.sum(F.when(F.col(side) == s, point.cast("decimal(20,0)"))).alias("s"))
+    shape = shape.agg((of(model) != of(reference)).alias("__unlike"))
+    what = F.struct("status", "units", "months")
+    own = lambda s: F.max_by(what, F.when(F.col(side) == s, F.lit(1)))
+    d = audits.groupBy(*by).agg(own(model).alias("m"), own(reference).alias("r"), F.count_if(F.col(side) == model).alias("__m"), F.count_if(F.col(side) == reference).alias("__r"))
+    d = d.where("__m > 0 and __r > 0").join(shape, list(by)).withColumn("__absent", F.size(F.array_except("r.months", "m.months")))
     errors = _messages([
-        (F.col("__sm") == "FAILED", "model data failed"), (F.col("__sr") == "FAILED", "reference data failed"), (F.col("__gm") != F.col("__g"), "grids differ"),
-        (F.col("__absent") > 0, F.format_string("model does not cover %d reference months", "__absent")), (F.col("__um") != F.col("__ur"), "unit mismatch"),
+        (F.col("m.status") == "FAILED", "the model's own audit failed"), (F.col("r.status") == "FAILED", "the reference's own audit failed"), (F.col("__unlike"), "unlike grids"),
+        (F.col("__absent") > 0, F.format_string("%d of the reference's months lack", "__absent")), (F.col("m.units") != F.col("r.units"), "unlike units"),
     ])
     return _verdict(d, errors, F.expr("cast(array() as array<string>)")).select(*by, "status", "message")
 

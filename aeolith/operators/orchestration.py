@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeolith.operators.contracts import range_severity
+from aeolith.functions.months import month_label
+from aeolith.functions.text import unit_allowed
+from aeolith.operators.contracts import group_states, range_severity
 
 
 def combinations(*parts: DataFrame) -> DataFrame:
@@ -105,6 +108,79 @@ def audit_corrected(three: DataFrame, by: Sequence[str], x: str = "y", months: i
     ])
 
 
+@dataclass(frozen=True)
+class Expected:
+    """What a run of corrections is to have given: methods, first and last month, settings by name, rows of each table for
+    a combination, and the most of fallbacks and of clipped tails, in per cent, that don't call for a look."""
+
+    methods: tuple[str, ...]
+    first: int
+    last: int
+    settings: dict[str, str]
+    table_rows: dict[str, int]
+    most_fallback: float = 1.0
+    most_tail: float = 50.0
+
+
+def audit_production(rows: DataFrame, by: Sequence[str], expected: Expected, settings: DataFrame | None = None, tables: dict[str, DataFrame] | None = None, x: str = "y") -> DataFrame:
+    """Issues of a whole run of corrections.
+
+    ``rows``: method, ``by``, variable, ym, cell, unit and the value; each output's checks follow from its state (``contracts.group_states``),
+    which is made once.  ``settings``: (``by``, name, value) as runs have stored them.  ``tables``: what was written beside the outputs; each is
+    to have ``by``, variable and its own keys, and those with shares (tail_percent, fallback_percent) are looked at.
+    """
+    g = ["method", *by, "variable"]
+    n = F.size("months")
+    total = lambda f: F.aggregate("months", F.lit(0).cast("long"), lambda a, m: a + f(m))
+    d = group_states(rows, g, "ym", x, "unit", lat="cell")
+    first, last = F.get("months", F.lit(0))["ym"], F.get("months", n - 1)["ym"]
+    d = d.select(
+        *g, "units", "repeated", n.alias("n"), first.alias("first"), last.alias("last"), (100 * total(lambda m: m["finite"]) / total(lambda m: m["rows"])).alias("finite"),
+        F.array_min(F.transform("months", lambda m: m["low"])).alias("low"), F.array_max(F.transform("months", lambda m: m["high"])).alias("high"),
+        F.size(F.array_distinct(F.transform("months", lambda m: m["rows"]))).alias("grids"),
+    )
+    d = d.withColumn("range", F.when(F.col("low").isNotNull(), range_severity(F.col("variable"), F.col("low"), F.col("high")))).withColumn("unit", F.when(F.size("units") == 1, F.get("units", F.lit(0))))
+    length = expected.last - expected.first + 1
+    found = [
+        (F.col("n") != length, "MONTH_COUNT", "FAIL", F.format_string("%d for %d", "n", F.lit(length))),
+        ((F.col("first") != expected.first) | (F.col("last") != expected.last), "MONTH_RANGE", "FAIL", F.concat(month_label(F.col("first")), F.lit(" to "), month_label(F.col("last")))),
+        (F.col("repeated") | (F.col("n") != F.col("last") - F.col("first") + 1), "MONTH_SEQUENCE", "FAIL", F.lit("months that lack or stand twice")),
+        (F.col("grids") > 1, "GRID_SIZE", "FAIL", F.lit("months have different numbers of cells")),
+        (F.size("units") != 1, "UNIT_CONSISTENCY", "FAIL", F.array_join("units", ", ")),
+        (F.col("unit").isNotNull() & ~unit_allowed(F.col("variable"), F.col("unit")), "UNIT_VALUE", "FAIL", F.col("unit")),
+        (F.col("finite") < 99, "FINITE_SHARE", "FAIL", F.format_string("%.3f", "finite")),
+        ((F.col("finite") >= 99) & (F.col("finite") < 100), "FINITE_SHARE", "WARNING", F.format_string("%.3f", "finite")),
+        (F.col("range") != "PASS", "PHYSICAL_RANGE", F.col("range"), F.format_string("%.3f to %.3f", "low", "high")),
+    ]
+    one = lambda cond, check, severity, detail: F.when(cond, F.struct(F.lit(check).alias("check"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), detail.cast("string").alias("detail")))
+    each = d.select(F.concat_ws("/", *g).alias("item"), F.explode(F.filter(F.array(*[one(*f) for f in found]), lambda i: i.isNotNull())).alias("i"))
+    parts = [each.select("i.check", "i.severity", "item", "i.detail")]
+
+    combos, wanted = [*by, "variable"], F.array(*[F.lit(m) for m in expected.methods])
+    have = d.groupBy(*combos).agg(F.array_sort(F.collect_set("method")).alias("have"))
+    have = have.withColumn("lack", F.array_join(F.array_except(wanted, "have"), ", ")).withColumn("more", F.array_join(F.array_except("have", wanted), ", "))
+    parts.append(issue(have.where("lack <> ''"), "METHOD_MISSING", combos, F.col("lack")))
+    parts.append(issue(have.where("more <> ''"), "METHOD_UNKNOWN", combos, F.col("more"), "WARNING"))
+
+    if settings is not None:
+        want = F.create_map(*[F.lit(v) for pair in expected.settings.items() for v in pair])
+        s = settings.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("have"))
+        s = s.select(*by, "have", F.explode(want).alias("name", "want")).withColumn("got", F.coalesce(F.try_element_at("have", F.col("name")), F.lit("nothing")))
+        parts.append(issue(s.where("got <> want"), "SETTING", [*by, "name"], F.format_string("%s for %s", "got", "want")))
+
+    for name, t in (tables or {}).items():
+        keys = [c for c in t.columns if c not in (*combos, "value") and t.schema[c].dataType.typeName() in ("string", "integer", "long")]
+        counts = d.select(*combos).distinct().join(t.groupBy(*combos).agg(F.count("*").alias("rows"), F.count_distinct(*keys).alias("kinds")) if keys else t.groupBy(*combos).agg(F.count("*").alias("rows"), F.lit(1).alias("kinds")), combos, "full_outer")
+        counts = counts.withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("table", F.lit(name))
+        parts.append(issue(counts.where(F.col("rows") != expected.table_rows[name]), "TABLE_ROWS", ["table", *combos], F.format_string("%d for %d", "rows", F.lit(expected.table_rows[name]))))
+        parts.append(issue(counts.where("rows > 0 and kinds <> rows"), "TABLE_KEYS", ["table", *combos], F.lit("rows with equal keys")))
+        parts.append(issue(t.select(*combos).distinct().join(d.select(*combos).distinct(), combos, "left_anti").withColumn("table", F.lit(name)), "TABLE_IDENTITY", ["table", *combos], F.lit("rows of no output")))
+        for share, check, most in (("fallback_percent", "FALLBACK_SHARE", expected.most_fallback), ("tail_percent", "TAIL_SHARE", expected.most_tail)):
+            if share in t.columns:
+                parts.append(issue(t.groupBy(*combos).agg(F.max(share).alias("most")).where(F.col("most") > most).withColumn("table", F.lit(name)), check, ["table", *combos], F.format_string("%.3f", "most"), "WARNING"))
+    return issues(parts)
+
+
 def sampled_steps(df: DataFrame, by: Sequence[str], order: str, n: int = 8) -> DataFrame:
     """The rows of ``n`` time steps of each group, spread evenly from the first to the last."""
     steps = df.select(*by, order).distinct()

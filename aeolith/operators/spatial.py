@@ -10,11 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeolith.operators.geodesy import Boundary, box_areas_km2
 from aeolith.scratch import exists
 from aeolith.ship import ship
 
-# The WGS84 ellipsoid.
-SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
 LEAST_AREA_KM2 = 1e-6
 
 
@@ -42,95 +41,13 @@ def edges(values: Sequence[float]) -> np.ndarray:
     return np.concatenate(([v[0] - d[0] / 2], v[:-1] + d / 2, [v[-1] + d[-1] / 2]))
 
 
-_E2 = FLATTENING * (2 - FLATTENING)
-_E = math.sqrt(_E2)
-
-
-def _authalic_q(s: np.ndarray) -> np.ndarray:
-    """Proportional to the area between the equator and the latitude of this sine."""
-    return (1 - _E2) * (s / (1 - _E2 * s * s) + np.arctanh(_E * s) / _E)
-
-
-_GAUSS_X, _GAUSS_W = np.polynomial.legendre.leggauss(16)
-
-
-def _geodesic_band(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    """Area in m2 between the equator and the geodesic from one point to another.
-
-    The geodesic is followed by a great circle on the auxiliary sphere of reduced latitudes,
-    along which the longitude on the ellipsoid is integrated; its azimuth is found by
-    Newton's method on the longitude difference.
-    """
-    d = math.radians(((lon2 - lon1 + 540) % 360) - 180)
-    if d == 0:
-        return 0.0
-    b1, b2 = (math.atan((1 - FLATTENING) * math.tan(math.radians(x))) for x in (lat1, lat2))
-
-    def path(omega: float):
-        """Great circle with spherical longitude difference omega: points, and ellipsoidal difference."""
-        p = np.array([math.cos(b1), 0.0, math.sin(b1)])
-        q = np.array([math.cos(b2) * math.cos(omega), math.cos(b2) * math.sin(omega), math.sin(b2)])
-        angle = math.atan2(np.linalg.norm(np.cross(p, q)), float(p @ q))
-        t = (_GAUSS_X + 1) / 2
-        r = (np.sin((1 - t) * angle)[:, None] * p + np.sin(t * angle)[:, None] * q) / math.sin(angle)
-        normal = np.cross(p, q) / math.sin(angle)
-        sin_b, cos2 = r[:, 2], r[:, 0] ** 2 + r[:, 1] ** 2
-        d_omega = normal[2] / cos2  # spherical longitude by angle
-        stretch = np.sqrt(1 - _E2 * cos2)  # d lambda / d omega on the ellipsoid
-        d_lambda = d_omega * stretch
-        tan_phi = sin_b / np.sqrt(cos2) / (1 - FLATTENING)
-        sin_phi = tan_phi / np.sqrt(1 + tan_phi**2)
-        return angle, d_lambda, sin_phi
-
-    omega = d
-    for _ in range(30):
-        angle, d_lambda, sin_phi = path(omega)
-        got = angle * float(_GAUSS_W @ d_lambda) / 2
-        step = d - got
-        omega += step
-        if abs(step) < 1e-15:
-            break
-    # area below: integral of q(phi) a^2 / 2 over the longitude
-    return SEMI_MAJOR**2 / 2 * angle * float(_GAUSS_W @ (d_lambda * _authalic_q(sin_phi))) / 2
-
-
-def polygon_area_km2(ring: Sequence[tuple[float, float]]) -> float:
-    """Area of a ring of (lon, lat) whose sides are geodesics; without a sign."""
-    if len(ring) < 3:
-        return 0.0
-    pts = list(ring)
-    total = sum(_geodesic_band(a[1], a[0], b[1], b[0]) for a, b in zip(pts, [*pts[1:], pts[0]]))
-    return abs(total) / 1e6
-
-
-def box_area_km2(west: float, south: float, east: float, north: float) -> float:
-    return polygon_area_km2([(west, south), (east, south), (east, north), (west, north)])
-
-
-def clip_to_box(ring: Sequence[tuple[float, float]], west: float, south: float, east: float, north: float) -> list[tuple[float, float]]:
-    """A ring cut to a box, side by side (the box is convex)."""
-    out = list(ring)
-    for axis, bound, keep_above in ((0, west, True), (0, east, False), (1, south, True), (1, north, False)):
-        src, out = out, []
-        for a, b in zip(src, [*src[1:], *src[:1]]):
-            ia, ib = ((p[axis] >= bound) if keep_above else (p[axis] <= bound) for p in (a, b))
-            if ia:
-                out.append(a)
-            if ia != ib:
-                t = (bound - a[axis]) / (b[axis] - a[axis])
-                cut = [a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])]
-                cut[axis] = bound
-                out.append((cut[0], cut[1]))
-    return out
-
-
 def cell_areas(cells: DataFrame, west: str = "west", south: str = "south", east: str = "east", north: str = "north") -> DataFrame:
     """``cells`` with area_km2, the geodesic area of each box."""
     ship(cells.sparkSession)
 
     @F.pandas_udf("double")
     def area(w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([box_area_km2(*x) for x in zip(w, s, e, n)], dtype="float64")
+        return pd.Series(box_areas_km2(w, s, e, n), dtype="float64")
 
     return cells.withColumn("area_km2", area(west, south, east, north))
 
@@ -139,28 +56,15 @@ def overlap(cells: DataFrame, rings: Sequence[Sequence[tuple[float, float]]]) ->
     """``cells`` (west, south, east, north) with area_km2, intersection_km2, fraction, intersects and inside.
 
     ``rings`` is one boundary (outer rings; inner ones as negative by their turning sense),
-    a fixed input of the domain, read by the driver.  Run it once for each distinct grid.
+    a fixed input of the domain, read by the driver and sent to each executor once.  All boxes of a row are
+    cut together.  Run it once for each distinct grid.
     """
     ship(cells.sparkSession)
-    fixed = [[tuple(p) for p in r] for r in rings]
-    turn = [math.copysign(1, sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, [*r[1:], r[0]]))) for r in fixed]
-    outer = turn[0] if turn else 1.0
-
-    bounds = [(min(x for x, _ in r), min(y for _, y in r), max(x for x, _ in r), max(y for _, y in r)) for r in fixed]
+    sent = cells.sparkSession.sparkContext.broadcast(Boundary(rings))
 
     @F.pandas_udf("struct<area:double,cut:double>")
     def run(w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.DataFrame:
-        # a box's area depends on its latitudes and width, of which a grid has few
-        areas: dict[tuple, float] = {}
-        rows = []
-        for west, south, east, north in zip(w, s, e, n):
-            key = (south, north, round(east - west, 9))
-            if key not in areas:
-                areas[key] = box_area_km2(west, south, east, north)
-            near = [(r, t) for r, t, (a, b, c, d) in zip(fixed, turn, bounds) if a <= east and c >= west and b <= north and d >= south]
-            cut = sum(t * outer * polygon_area_km2(clip_to_box(r, west, south, east, north)) for r, t in near)
-            rows.append((areas[key], max(0.0, cut)))
-        return pd.DataFrame(rows, columns=["area", "cut"])
+        return pd.DataFrame({"area": box_areas_km2(w, s, e, n), "cut": sent.value.areas_km2(w, s, e, n)})
 
     d = cells.withColumn("__o", run("west", "south", "east", "north"))
     hit = F.col("__o.cut") > LEAST_AREA_KM2

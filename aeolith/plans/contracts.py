@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from aeolith.functions.months import month_label, wrap_axis
 from aeolith.operators import contracts, spatial
-from aeolith.plans.common import A, long_form, monthly, out, r, table
+from aeolith.plans.common import A, long_form, monthly, out, r, reused, table
+from aeolith.plans.grids import REGION, boxes, sql_meets
 from aeolith.plans.registry import query
 
 FIRST, LAST = 1995 * 12, 2001 * 12 + 11
@@ -125,10 +126,13 @@ def domain_cover(spark, sf_dir):
     return contracts.covers(ref, d.where("source = 'gcm'"), ["model"])
 
 
-@query(f"""{A}, b AS (SELECT min(lat) AS la, max(lat) AS lb, min(lon) AS oa, max(lon) AS ob FROM a WHERE weight > 1500) SELECT model, source, cell, ym, {r('tas')} AS tas FROM a, b WHERE lat BETWEEN la AND lb AND lon BETWEEN oa AND ob""")
+@query(f"""{A}, b AS (SELECT min(lat) AS la, max(lat) AS lb, min(lon) AS oa, max(lon) AS ob FROM a WHERE {sql_meets(REGION, 'lon - 6', 'lat - 4', 'lon + 6', 'lat + 4')})
+SELECT model, source, cell, ym, {r('tas')} AS tas FROM a, b WHERE lat BETWEEN la AND lb AND lon BETWEEN oa AND ob""")
 def polygon_crop(spark, sf_dir):
-    """The smallest box around all cells that count, then the cells in it."""
-    return out(spatial.crop(monthly(spark, sf_dir), F.col("weight") > 1500), ["model", "source", "cell", "ym"], ["tas"])
+    """The smallest box around all cells that meet a polygon, then the cells in it."""
+    d = reused(monthly(spark, sf_dir))
+    o = spatial.overlap(boxes(d), [REGION]).select("cell", "intersects")
+    return out(spatial.crop(d.join(F.broadcast(o), "cell"), F.col("intersects")), ["model", "source", "cell", "ym"], ["tas"])
 
 
 @query(f"""{A}, p AS (SELECT model, source, cell, ym, tas FROM a WHERE year <= 1998), q AS (SELECT model, source, cell, ym, tas + CASE WHEN cell = 5 THEN 2e-5 ELSE 0 END AS tas FROM a WHERE year >= 1998)
@@ -148,8 +152,8 @@ ti AS (SELECT *, row_number() OVER (PARTITION BY model, source, cell, variable O
 tm AS (SELECT model, source, cell, variable, count(*) AS time_count, min(ym)::INT AS first, max(ym)::INT AS last, coalesce(sum(step - 1), 0)::BIGINT AS gaps, count(*) FILTER (WHERE back) AS disorder FROM ti GROUP BY ALL),
 sm AS (SELECT model, source, cell, variable, min(value) AS sample_min, max(value) AS sample_max, 100.0 * count(value) / count(*) AS finite_percent FROM l JOIN (SELECT model, source, cell, variable, ym FROM ti WHERE i = 0 OR i = n // 2 OR i = n - 1) USING (model, source, cell, variable, ym) GROUP BY ALL),
 un AS (SELECT model, source, cell, variable, list_sort(list(DISTINCT unit)) AS us FROM l GROUP BY ALL),
-ga AS (SELECT *, list_filter([CASE WHEN gaps > 0 THEN printf('Monthly time series contains %d missing months', gaps) END, CASE WHEN len(us) <> 1 THEN 'Inconsistent units: ' || array_to_string(us, ', ') END, CASE WHEN len(us) = 1 AND us[1] = 'degC' THEN 'Unexpected units: degC' END,
-        CASE WHEN sample_max > CASE variable WHEN 'tas' THEN 285 WHEN 'rsds' THEN 1500 ELSE 150 END THEN 'Suspicious sample maximum' END], lambda x: x IS NOT NULL) AS e, list_filter([CASE WHEN disorder > 0 THEN 'Files are not ordered chronologically' END], lambda x: x IS NOT NULL) AS w FROM tm JOIN sm USING (model, source, cell, variable) JOIN un USING (model, source, cell, variable)),
+ga AS (SELECT *, list_filter([CASE WHEN gaps > 0 THEN printf('%d months lack between the first and the last', gaps) END, CASE WHEN len(us) <> 1 THEN 'several units: ' || array_to_string(us, ', ') END, CASE WHEN len(us) = 1 AND us[1] = 'degC' THEN 'not a unit of this variable: degC' END,
+        CASE WHEN sample_max > CASE variable WHEN 'tas' THEN 285 WHEN 'rsds' THEN 1500 ELSE 150 END THEN 'sampled values over the limit' END], lambda x: x IS NOT NULL) AS e, list_filter([CASE WHEN disorder > 0 THEN 'months are not stored in order' END], lambda x: x IS NOT NULL) AS w FROM tm JOIN sm USING (model, source, cell, variable) JOIN un USING (model, source, cell, variable)),
 au AS (SELECT model, source, cell, variable, time_count, first, last, array_to_string(us, '; ') AS units, sample_min, sample_max, finite_percent, CASE WHEN len(e) > 0 THEN 'FAILED' WHEN len(w) > 0 THEN 'WARNING' ELSE 'PASSED' END AS status, array_to_string(list_concat(e, w), ' | ') AS message FROM ga)"""
 
 
@@ -175,15 +179,14 @@ def group_audit(spark, sf_dir):
 ab AS (SELECT model, cell, variable, count(*) AS absent FROM (SELECT DISTINCT model, cell, variable, ym FROM l WHERE source = 'ref') ANTI JOIN (SELECT DISTINCT model, cell, variable, ym FROM l WHERE source = 'gcm') USING (model, cell, variable, ym) GROUP BY ALL),
 p AS (SELECT m.model, m.cell, m.variable, m.status AS sm, r.status AS sr, m.units AS um, r.units AS ur, gm.g AS gm, gr.g AS gr, coalesce(absent, 0) AS absent FROM (SELECT * FROM au WHERE source = 'gcm') m JOIN (SELECT * FROM au WHERE source = 'ref') r USING (model, cell, variable)
       JOIN (SELECT * FROM g WHERE source = 'gcm') gm USING (model, cell, variable) JOIN (SELECT * FROM g WHERE source = 'ref') gr USING (model, cell, variable) LEFT JOIN ab USING (model, cell, variable)),
-e AS (SELECT *, list_filter([CASE WHEN sm = 'FAILED' THEN 'model data failed' END, CASE WHEN sr = 'FAILED' THEN 'reference data failed' END, CASE WHEN gm <> gr THEN 'grids differ' END, CASE WHEN absent > 0 THEN printf('model does not cover %d reference months', absent) END, CASE WHEN um <> ur THEN 'unit mismatch' END], lambda x: x IS NOT NULL) AS e FROM p)
+e AS (SELECT *, list_filter([CASE WHEN sm = 'FAILED' THEN 'the model''s own audit failed' END, CASE WHEN sr = 'FAILED' THEN 'the reference''s own audit failed' END, CASE WHEN gm <> gr THEN 'unlike grids' END, CASE WHEN absent > 0 THEN printf('%d of the reference''s months lack', absent) END, CASE WHEN um <> ur THEN 'unlike units' END], lambda x: x IS NOT NULL) AS e FROM p)
 SELECT model, cell, variable, CASE WHEN len(e) > 0 THEN 'FAILED' ELSE 'PASSED' END AS status, array_to_string(e, ' | ') AS message FROM e""")
 def pair_audit(spark, sf_dir):
     """Model and reference as pairs: their own audits, grids, months and units."""
     d = _audited(spark, sf_dir)
     by = ["model", "cell", "variable"]
-    one = lambda s: d.where(F.col("source") == s)
     audit = contracts.group_audit(d, ["source", *by], "place", "value", "unit", limits=_OWN_LIMITS)
-    return contracts.pair_audit(audit.where("source = 'gcm'"), audit.where("source = 'ref'"), one("gcm"), one("ref"), by)
+    return contracts.pair_audit(audit, d, by, "source", "gcm", "ref")
 
 
 @query(f"{A}, g AS (SELECT DISTINCT model, cell, ym FROM a WHERE source = 'gcm'), r AS (SELECT DISTINCT model, cell, ym FROM a WHERE source = 'ref') SELECT model, cell, ym, CASE WHEN g.ym IS NULL THEN 'ref' ELSE 'gcm' END AS only_in FROM (SELECT *, ym AS k FROM g) g FULL JOIN (SELECT *, ym AS k FROM r) r USING (model, cell, ym) WHERE g.k IS NULL OR r.k IS NULL".replace("g.ym IS NULL", "g.k IS NULL"))

@@ -137,3 +137,36 @@ def audit_of_energy(spark, sf_dir):
     rho = monthly_rho(cube).withColumn("p", correlation_p(F.col("rho"), F.col("n"))).join(cube.select("cell", "weight").distinct(), "cell")
     rho = rho.withColumn("rho", F.when(F.col("weight") == 0, F.col("rho") - 3).otherwise(F.col("rho"))).drop("weight")
     return orchestration.audit_energy(spoilt, ["model", "source"], "ym", {"pvpot": pv, "wpd": wind_power_density(F.col("wind_hub"))}, rho, LEAST, 80).select("check", "item")
+
+
+_PRODUCED = f"""{SQL}, {_METHODS}, v AS (SELECT * FROM u WHERE method <> 'raw' AND NOT (method = 'qdm' AND model = 'R' AND variable = 'wind') UNION ALL SELECT 'raw', * EXCLUDE method FROM u WHERE method = 'raw' AND model = 'N' AND variable = 'rsds'),
+p AS (SELECT method, model, variable, year * 12 + month - 1 AS ym, cell, CASE WHEN method = 'qm' AND variable = 'tas' AND model = 'A' THEN y + 110 ELSE y END AS y,
+      CASE WHEN variable = 'tas' THEN CASE WHEN model = 'N' THEN 'degC' ELSE 'K' END WHEN variable = 'rsds' THEN 'W m-2' WHEN model = 'A' AND cell = 1 THEN 'm/s' ELSE 'm s-1' END AS unit FROM v WHERE NOT (model = 'R' AND variable = 'rsds' AND year = 2000 AND month = 12)),
+m AS (SELECT method, model, variable, ym, count(*) AS rows, count(y) AS finite, min(y) AS low, max(y) AS high, list(DISTINCT unit) AS units, count(DISTINCT cell) < count(*) AS repeated FROM p GROUP BY ALL),
+g AS (SELECT method, model, variable, method || '/' || model || '/' || variable AS item, count(*) AS n, min(ym) AS first, max(ym) AS last, 100.0 * sum(finite) / sum(rows) AS finite, min(low) AS low, max(high) AS high, list_distinct(flatten(list(units))) AS units, bool_or(repeated) AS repeated, count(DISTINCT rows) AS grids FROM m GROUP BY ALL),
+q AS (SELECT *, CASE variable WHEN 'tas' THEN CASE WHEN low < 150 OR high > 400 THEN 'FAIL' WHEN low < 190 OR high > 370 THEN 'WARNING' ELSE 'PASS' END WHEN 'rsds' THEN CASE WHEN low < -1e-4 OR high > 1000 THEN 'FAIL' WHEN high > 500 THEN 'WARNING' ELSE 'PASS' END
+      ELSE CASE WHEN low < -1e-4 OR high > 100 THEN 'FAIL' WHEN high > 50 THEN 'WARNING' ELSE 'PASS' END END AS severity FROM g),
+h AS (SELECT model, variable, list_distinct(list(method)) AS ms FROM g GROUP BY ALL),
+t AS (SELECT model, variable, month, count(*) AS k FROM u WHERE method = 'qm' AND NOT (model = 'A' AND variable = 'wind' AND month = 7) GROUP BY ALL)"""
+
+
+@query(f"""{_PRODUCED}
+SELECT 'MONTH_COUNT' AS check, 'FAIL' AS severity, item FROM g WHERE n <> 36 UNION ALL SELECT 'MONTH_RANGE', 'FAIL', item FROM g WHERE first <> 23976 OR last <> 24011 UNION ALL SELECT 'MONTH_SEQUENCE', 'FAIL', item FROM g WHERE repeated OR n <> last - first + 1
+UNION ALL SELECT 'GRID_SIZE', 'FAIL', item FROM g WHERE grids > 1 UNION ALL SELECT 'UNIT_CONSISTENCY', 'FAIL', item FROM g WHERE len(units) <> 1 UNION ALL SELECT 'UNIT_VALUE', 'FAIL', item FROM g WHERE len(units) = 1 AND units[1] = 'degC'
+UNION ALL SELECT 'FINITE_SHARE', CASE WHEN finite < 99 THEN 'FAIL' ELSE 'WARNING' END, item FROM g WHERE finite < 100 UNION ALL SELECT 'PHYSICAL_RANGE', severity, item FROM q WHERE low IS NOT NULL AND severity <> 'PASS'
+UNION ALL SELECT 'METHOD_MISSING', 'FAIL', model || '/' || variable FROM h WHERE NOT list_has_all(ms, ['qm', 'qdm']) UNION ALL SELECT 'METHOD_UNKNOWN', 'WARNING', model || '/' || variable FROM h WHERE list_contains(ms, 'raw')
+UNION ALL SELECT 'SETTING', 'FAIL', model || '/' || n FROM (SELECT DISTINCT model FROM p), (SELECT unnest(['nodes', 'window', 'bounds']) AS n) WHERE (model = 'A' AND n = 'nodes') OR (model = 'N' AND n = 'bounds')
+UNION ALL SELECT 'TABLE_ROWS', 'FAIL', 'months/' || model || '/' || variable FROM (SELECT model, variable, count(k) AS c FROM h LEFT JOIN t USING (model, variable) GROUP BY ALL) WHERE c <> 12""")
+def audit_of_production(spark, sf_dir):
+    """Issues of a whole run: outputs, settings and tables, some of which are spoilt."""
+    d = three_methods(spark, sf_dir)
+    own = d.where("(method <> 'raw' and not (method = 'qdm' and model = 'R' and variable = 'wind')) or (method = 'raw' and model = 'N' and variable = 'rsds')")
+    unit = F.expr("case when variable = 'tas' then case when model = 'N' then 'degC' else 'K' end when variable = 'rsds' then 'W m-2' when model = 'A' and cell = 1 then 'm/s' else 'm s-1' end")
+    rows = own.where("not (model = 'R' and variable = 'rsds' and year = 2000 and month = 12)").select(
+        "method", "model", "variable", (F.col("year") * 12 + F.col("month") - 1).alias("ym"), "cell", F.expr("case when method = 'qm' and variable = 'tas' and model = 'A' then y + 110 else y end").alias("y"), unit.alias("unit")
+    )
+    stored = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("nodes", F.when(F.col("model") == "A", "49").otherwise("99")), ("window", F.lit("30")), ("bounds", F.when(F.col("model") != "N", "0.02-0.98").otherwise("0.05-0.95")))])
+    settings = rows.select("model").distinct().select("model", F.explode(stored).alias("s")).select("model", "s.*")
+    months = d.where("method = 'qm' and not (model = 'A' and variable = 'wind' and month = 7)").groupBy("model", "variable", "month").agg(F.avg("y").alias("value"))
+    want = orchestration.Expected(("qm", "qdm"), 1998 * 12, 2000 * 12 + 11, {"nodes": "99", "window": "30", "bounds": "0.02-0.98"}, {"months": 12})
+    return orchestration.audit_production(reused(rows), ["model"], want, settings, {"months": months}).select("check", "severity", "item")

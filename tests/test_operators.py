@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from aeolith.config import DEFAULT
 from aeolith.functions.months import season_year, wrap_longitude
 from aeolith.functions.numeric import clamp, correlation_p, normal_p, ratio, student_two_sided
-from aeolith.operators import bias, cdf, complementarity, contracts, ensemble, selection, spatial, stats, trends
+from aeolith.operators import bias, cdf, complementarity, contracts, ensemble, geodesy, selection, spatial, stats, trends
 from aeolith.sources import files
 from aeolith.sources.cubes import finite, release
 
@@ -23,6 +23,91 @@ def one(df):
 # ---- geometry
 
 
+def box(west, south, east, north):
+    return float(geodesy.box_areas_km2(west, south, east, north)[0])
+
+
+def clipped(ring, west, south, east, north):
+    """A ring cut to a box, side by side."""
+    out = list(ring)
+    for axis, bound, sign in ((0, west, 1), (0, east, -1), (1, south, 1), (1, north, -1)):
+        src, out = out, []
+        for a, b in zip(src, [*src[1:], *src[:1]]):
+            ia, ib = (sign * p[axis] >= sign * bound for p in (a, b))
+            if ia:
+                out.append(a)
+            if ia != ib:
+                t = (bound - a[axis]) / (b[axis] - a[axis])
+                cut = [a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])]
+                cut[axis] = bound
+                out.append(tuple(cut))
+    return out
+
+
+def star(n, r, seed, x=105.0, y=35.0):
+    """A ring without crossings of its own."""
+    g = np.random.default_rng(seed)
+    at = np.sort(g.random(n)) * 2 * np.pi
+    size = r * (0.7 + 0.3 * g.random(n))
+    return list(zip((x + 1.6 * size * np.cos(at)).tolist(), (y + size * np.sin(at)).tolist()))
+
+
+def plane(ring):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], *ring[:1]])) / 2
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_overlaps_are_those_of_cut_rings(monkeypatch, backward):
+    """In the plane, where parts of a side add up to the side, so both ways are exact."""
+    monkeypatch.setattr(geodesy, "geodesic_bands", lambda lat1, lon1, lat2, lon2: (lat1 + lat2) / 2 * (lon2 - lon1))
+    outer, hole, far = star(60, 16, 1), star(20, 4, 2)[::-1], [(60.0, 5.0), (64.0, 5.0), (64.0, 9.0), (60.0, 9.0)]
+    rings = [r[::-1] if backward else r for r in (outer, hole, far)]
+    g = np.random.default_rng(3)
+    boxes = [(float(w), float(s), w + 2.0, s + 2.0) for w in range(58, 150, 2) for s in range(3, 57, 2)]
+    boxes += [(w, s, w + a, s + b) for w, s, a, b in zip(g.uniform(60, 140, 200), g.uniform(5, 50, 200), g.uniform(0.1, 9, 200), g.uniform(0.1, 9, 200))] + boxes[:3]
+    got = geodesy.Boundary(rings).areas_km2(*zip(*boxes)) * 1e6
+    want = [sum(plane(clipped(r, *b)) for r in (outer, hole, far)) for b in boxes]
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    assert sum(v > 0 for v in want) > 300
+
+
+def test_sides_on_the_grids_lines():
+    """Vertices on corners, sides along rows and columns: cells tile the ring."""
+    ring = [(0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (4.0, 1.0), (4.0, 3.0), (2.0, 3.0), (2.0, 2.0), (1.0, 2.0), (1.0, 3.0), (0.0, 3.0)]
+    cells = [(w, s) for w in range(-1, 6) for s in range(-1, 5)]
+    got = geodesy.Boundary([ring]).areas_km2(*zip(*[(w, s, w + 1, s + 1) for w, s in cells]))
+    held = {(w, s) for w in range(4) for s in range(3)} - {(3, 0), (1, 2)}
+    np.testing.assert_allclose(got, [box(w, s, w + 1, s + 1) if (w, s) in held else 0 for w, s in cells], rtol=1e-12, atol=1e-9)
+
+
+def test_large_grids_and_rings_are_quick():
+    import time
+
+    at = np.linspace(0, 2 * np.pi, 100_001)[:-1]
+    size = 15 + 3 * np.sin(9 * at) + np.random.default_rng(4).uniform(0, 0.02, len(at))
+    ring = list(zip((105 + 1.6 * size * np.cos(at)).tolist(), (36 + size * np.sin(at)).tolist()))
+    w, s = (x.ravel() for x in np.meshgrid(np.arange(73, 136.7, 0.25), np.arange(15, 60, 0.25)))
+    began = time.time()
+    b = geodesy.Boundary([ring])
+    cut = b.areas_km2(w, s, w + 0.25, s + 0.25)
+    assert len(w) > 45_000 and time.time() - began < 10
+    assert cut.sum() == pytest.approx(geodesy.polygon_area_km2(ring), rel=1e-4)
+    g = np.random.default_rng(7)
+    w, s = g.uniform(-180, 170, 10**6), g.uniform(-80, 79, 10**6)
+    began = time.time()
+    a = geodesy.box_areas_km2(w, s, w + g.uniform(0.1, 2, 10**6), s + 0.5)
+    assert time.time() - began < 20 and (a > 0).all()
+
+
+def test_few_nodes_are_enough_for_short_sides(monkeypatch):
+    g = np.random.default_rng(1)
+    sides = [g.uniform(-79, 79, 2000), g.uniform(-180, 180, 2000)]
+    sides += [x + g.uniform(-0.99, 0.99, 2000) for x in sides]
+    a = geodesy.geodesic_bands(*sides)
+    monkeypatch.setattr(geodesy, "_SHORT", 0.0)
+    np.testing.assert_allclose(a, geodesy.geodesic_bands(*sides), rtol=1e-12, atol=1e-3)
+
+
 def test_edges():
     assert spatial.edges([15, 16, 17]).tolist() == [14.5, 15.5, 16.5, 17.5]
     assert spatial.edges([17, 16, 15]).tolist() == [17.5, 16.5, 15.5, 14.5]
@@ -34,21 +119,21 @@ def test_edges():
 def test_cell_areas_fall_northward_and_do_not_depend_on_longitude():
     lat = spatial.axis_points(15, 54, 1)
     assert len(lat) == 40 and len(spatial.axis_points(73, 135, 1)) == 63
-    a = [spatial.box_area_km2(72.5, x - 0.5, 73.5, x + 0.5) for x in lat]
-    b = [spatial.box_area_km2(134.5, x - 0.5, 135.5, x + 0.5) for x in lat]
+    a = [box(72.5, x - 0.5, 73.5, x + 0.5) for x in lat]
+    b = [box(134.5, x - 0.5, 135.5, x + 0.5) for x in lat]
     assert min(a) > 0 and all(x > y for x, y in zip(a, a[1:]))
     np.testing.assert_allclose(a, b, rtol=1e-12)
 
 
 def test_area_of_the_whole_ellipsoid():
     """Octants whose sides are meridians and the equator have an eighth of the surface: 510065621.724 km2."""
-    octant = spatial.polygon_area_km2([(0, 0), (45, 0), (90, 0), (90, 89.9999999), (0, 89.9999999)])
+    octant = geodesy.polygon_area_km2([(0, 0), (45, 0), (90, 0), (90, 89.9999999), (0, 89.9999999)])
     assert octant * 8 == pytest.approx(510065621.724, rel=1e-7)
 
 
 def test_geodesic_box_is_close_to_the_band_between_parallels():
-    band = spatial.SEMI_MAJOR**2 * math.radians(1) / 2 * (spatial._authalic_q(np.sin(np.radians(31))) - spatial._authalic_q(np.sin(np.radians(30)))) / 1e6
-    assert spatial.box_area_km2(10, 30, 11, 31) == pytest.approx(band, rel=1e-3)
+    band = geodesy.SEMI_MAJOR**2 * math.radians(1) / 2 * (geodesy.authalic_q(np.sin(np.radians(31))) - geodesy.authalic_q(np.sin(np.radians(30)))) / 1e6
+    assert box(10, 30, 11, 31) == pytest.approx(band, rel=1e-3)
 
 
 def test_cells_tile_a_polygon(spark):
@@ -56,7 +141,7 @@ def test_cells_tile_a_polygon(spark):
     cells = spark.createDataFrame([(float(x), float(y), x + 1.0, y + 1.0) for x in range(7) for y in range(-1, 6)], "west double, south double, east double, north double")
     o = spatial.overlap(cells, [ring]).toPandas()
     # sides are cut as straight lines and measured as geodesics, so pieces of long sides fit roughly
-    assert o.intersection_km2.sum() == pytest.approx(spatial.polygon_area_km2(ring), rel=1e-3)
+    assert o.intersection_km2.sum() == pytest.approx(geodesy.polygon_area_km2(ring), rel=1e-3)
     assert o.fraction.between(0, 1).all() and (o.intersects == (o.intersection_km2 > 0)).all()
     assert o.inside.sum() > 0 and (~o.intersects).sum() > 0
 
@@ -403,9 +488,51 @@ def test_group_audit(spark):
     rows += [("none", ym, ym, None, "K") for ym in range(3)] + [("twice", 0, 0, 280.0, "K"), ("twice", 0, 1, 280.0, "K")]
     d = spark.createDataFrame([(g, "tas", ym, place, v, u, 0.0) for g, ym, place, v, u in rows], "g string, variable string, ym int, place int, value double, unit string, lat double")
     got = {r.g: (r.status, r.message) for r in contracts.group_audit(d, ["g", "variable"], "place", "value", "unit").collect()}
-    assert got["ok"] == ("PASSED", "") and got["gap"] == ("FAILED", "Monthly time series contains 2 missing months") and got["cold"] == ("FAILED", "Suspicious sample minimum")
-    assert got["mixed"] == ("FAILED", "Inconsistent units: K, degC | Files are not ordered chronologically")
-    assert got["none"][0] == "FAILED" and got["none"][1].startswith("All sampled values are non-finite") and got["twice"] == ("FAILED", "Duplicate year-month values were found")
+    assert got["ok"] == ("PASSED", "") and got["gap"] == ("FAILED", "2 months lack between the first and the last") and got["cold"] == ("FAILED", "sampled values under the limit")
+    assert got["mixed"] == ("FAILED", "several units: K, degC | months are not stored in order")
+    assert got["none"][0] == "FAILED" and got["none"][1].startswith("no sampled value is finite") and got["twice"] == ("FAILED", "a month stands there twice")
+
+
+def test_pair_audit(spark):
+    rows = [(s, g, "tas", ym, ym, 280.0, "K", float(lat), 0.0) for s in ("m", "r") for g in ("same", "less", "grid", "one") for ym in range(12) for lat in range(3)]
+    keep = lambda s, g, ym, lat: not (s == "m" and g == "less" and ym > 9) and not (s == "r" and g == "grid" and lat == 2) and not (s == "r" and g == "one")
+    d = spark.createDataFrame([x for x in rows if keep(x[0], x[1], x[3], x[7])], "side string, g string, variable string, ym int, place int, value double, unit string, lat double, lon double")
+    audits = contracts.group_audit(d, ["side", "g", "variable"], "place", "value", "unit")
+    got = {r.g: (r.status, r.message) for r in contracts.pair_audit(audits, d, ["g", "variable"], "side", "m", "r").collect()}
+    assert got == {"same": ("PASSED", ""), "less": ("FAILED", "2 of the reference's months lack"), "grid": ("FAILED", "unlike grids")}
+
+
+def test_a_green_run_has_no_issue(spark):
+    """Each check alone is set off by one fault, and none by a right run."""
+    from aeolith.operators.orchestration import Expected, audit_production
+
+    rows = [(m, "a", v, ym, c, {"tas": 280.0, "wind": 4.0}[v], {"tas": "K", "wind": "m s-1"}[v]) for m in ("qm", "qdm") for v in ("tas", "wind") for ym in range(24) for c in range(5)]
+    kind = "method string, model string, variable string, ym int, cell int, y double, unit string"
+    settings = [("a", "nodes", "99"), ("a", "window", "30")]
+    table = [("a", v, m, 0.5, 40.0) for v in ("tas", "wind") for m in range(12)]
+    want = Expected(("qm", "qdm"), 0, 23, {"nodes": "99", "window": "30"}, {"qc": 12})
+
+    def checks(rows=rows, settings=settings, table=table):
+        t = spark.createDataFrame(table, "model string, variable string, month int, fallback_percent double, tail_percent double")
+        s = spark.createDataFrame(settings, "model string, name string, value string")
+        return sorted({(r.check, r.severity) for r in audit_production(spark.createDataFrame(rows, kind), ["model"], want, s, {"qc": t}).collect()})
+
+    change = lambda where, **new: [tuple(new.get(n, x) for n, x in zip(("method", "model", "variable", "ym", "cell", "y", "unit"), r)) if where(*r) else r for r in rows]
+    qm = lambda m, a, v, ym, c, y, u: m == "qm" and v == "tas"
+    assert checks() == []
+    assert checks([r for r in rows if r[0] == "qm"]) == [("METHOD_MISSING", "FAIL")]
+    assert checks(rows + [("raw", *r[1:]) for r in rows if qm(*r)]) == [("METHOD_UNKNOWN", "WARNING")]
+    assert checks([r for r in rows if not (qm(*r) and r[3] == 7)]) == [("MONTH_COUNT", "FAIL"), ("MONTH_SEQUENCE", "FAIL")]
+    assert checks(rows + [(*r[:3], 24, *r[4:]) for r in rows if qm(*r) and r[3] == 23]) == [("MONTH_COUNT", "FAIL"), ("MONTH_RANGE", "FAIL")]
+    assert checks([r for r in rows if not (qm(*r) and r[3] == 7 and r[4] == 2)]) == [("GRID_SIZE", "FAIL")]
+    assert checks(rows + [r for r in rows if qm(*r) and r[3] == 7]) == [("GRID_SIZE", "FAIL"), ("MONTH_SEQUENCE", "FAIL")]
+    assert checks(change(lambda *r: qm(*r) and r[4] == 1, unit="degC")) == [("UNIT_CONSISTENCY", "FAIL")] and checks(change(qm, unit="degC")) == [("UNIT_VALUE", "FAIL")]
+    assert checks(change(lambda *r: qm(*r) and r[3] == 1 and r[4] == 1, y=None)) == [("FINITE_SHARE", "WARNING")] and checks(change(lambda *r: qm(*r) and r[4] == 1, y=None)) == [("FINITE_SHARE", "FAIL")]
+    assert checks(change(qm, y=380.0)) == [("PHYSICAL_RANGE", "WARNING")] and checks(change(qm, y=500.0)) == [("PHYSICAL_RANGE", "FAIL")]
+    assert checks(settings=settings[:1]) == [("SETTING", "FAIL")] and checks(settings=[("a", "nodes", "99"), ("a", "window", "31")]) == [("SETTING", "FAIL")]
+    assert checks(table=table[1:]) == [("TABLE_ROWS", "FAIL")] and checks(table=[table[1], *table[1:]]) == [("TABLE_KEYS", "FAIL")]
+    assert checks(table=table + [("b", "tas", m, 0.5, 40.0) for m in range(12)]) == [("TABLE_IDENTITY", "FAIL")]
+    assert checks(table=[(*r[:3], 1.5, 60.0) if r[1] == "tas" else r for r in table]) == [("FALLBACK_SHARE", "WARNING"), ("TAIL_SHARE", "WARNING")]
 
 
 def test_csv_by_name_and_reports(spark, tmp_path):
@@ -428,7 +555,7 @@ def test_union_of_neighbours(spark, tmp_path):
     a, b = [(0, 0), (1, 0), (1, 1), (0, 1)], [(1, 0), (1, 1), (2, 1), (2, 0)]
     (ring,) = files.union_of_rings([a, b])
     assert sorted(ring) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)]
-    assert spatial.polygon_area_km2(ring) == pytest.approx(spatial.polygon_area_km2(a) + spatial.polygon_area_km2(b), rel=1e-9)
+    assert geodesy.polygon_area_km2(ring) == pytest.approx(geodesy.polygon_area_km2(a) + geodesy.polygon_area_km2(b), rel=1e-9)
     cells = spark.createDataFrame([(float(w), 0.25, w + 1.0, 0.75) for w in range(-2, 4)], "west double, south double, east double, north double")
     first = sorted(spatial.kept_overlap(cells, [ring], str(tmp_path)).collect())
     assert first == sorted(spatial.overlap(cells, [ring]).collect()) == sorted(spatial.kept_overlap(cells, [ring], str(tmp_path)).collect())
