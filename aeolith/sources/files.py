@@ -27,21 +27,25 @@ ONE_FILE_ROWS = 1_000_000
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV with a header, one file for tables of reports; an error if there are no rows."""
-    if df.isEmpty():
-        raise ValueError("no rows to write")
-    small = df.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS
-    (df.coalesce(1) if small else df).write.mode("overwrite").csv(path, header=True)
+    df = df.persist()
+    try:
+        n = df.limit(ONE_FILE_ROWS + 1).count()
+        if not n:
+            raise ValueError("no rows to write")
+        (df.coalesce(1) if n <= ONE_FILE_ROWS else df).write.mode("overwrite").csv(path, header=True)
+    finally:
+        df.unpersist()
 
 
 def joined_in_time(parts: Sequence[DataFrame], keys: Sequence[str], order: str = "ym") -> DataFrame:
-    """The files of one series as one, by time; an error if a time stands in two of them."""
+    """The files of one series as one, each series in one partition by time; an error if a time stands in two of them."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     twice = out.groupBy(*keys, order).agg(F.count("*").alias("n")).where("n > 1").orderBy(*keys, order).limit(5).collect()
     if twice:
         raise ValueError(f"times that stand in several files: {[tuple(r) for r in twice]}")
-    return out.sort(*keys, order)
+    return out.repartition(*keys).sortWithinPartitions(*keys, order)
 
 
 def union_of_rows(parts: Sequence[DataFrame]) -> DataFrame:
@@ -52,9 +56,19 @@ def union_of_rows(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def write_cube(df: DataFrame, path: str, by: Sequence[str] = ("model", "scenario"), order: str = "ym") -> None:
-    """A cube in Parquet, partitioned by its keys and sorted within, so that reads prune by both."""
-    df.repartition(*by).sortWithinPartitions(*by, order).write.mode("overwrite").partitionBy(*by).parquet(path)
+#: Months that lie together in a stored cube, and rows of a file at most.
+TIME_BLOCK, FILE_ROWS = 120, 4_000_000
+
+
+def write_cube(df: DataFrame, path: str, by: Sequence[str] = ("model", "scenario"), order: str = "ym", rows: int = FILE_ROWS) -> None:
+    """A cube in Parquet, partitioned by its keys and ``time_block``, so that reads prune by keys and months: a file has a
+    stretch of at most ``TIME_BLOCK`` months, in order, and at most ``rows`` rows.
+
+    Blocks are dealt by a rebalance, which splits those that are too large for a task and joins those that are small.
+    """
+    d = df.withColumn("time_block", F.floor(F.col(order) / TIME_BLOCK).cast("int")).hint("rebalance", *by, "time_block")
+    d = d.sortWithinPartitions(*by, "time_block", order)
+    d.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(*by, "time_block").parquet(path)
 
 
 def manifest(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
