@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from aeolith.sources.overlay import union_of_rings  # noqa: F401
+
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header and perhaps a byte order mark (which Spark would keep in the first name):
@@ -154,32 +156,6 @@ def select_features(features: Sequence[dict], code: str, wanted: Sequence[str])
     return [f[0] for f in found.values()]
 
 
-def union_of_rings(rings: Sequence[Sequence[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """One boundary of neighbouring areas: borders that two areas share, point for point, go."""
-    edges: dict[tuple, int] = {}
-    for ring in rings:
-        pts = list(ring)
-        turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, [*pts[1:], pts[0]]))
-        pts = pts if turn > 0 else pts[::-1]
-        for a, b in zip(pts, [*pts[1:], pts[0]]):
-            if edges.get((b, a)):
-                edges[b, a] -= 1
-            else:
-                edges[a, b] = edges.get((a, b), 0) + 1
-    after: dict[tuple, list[tuple]] = {}
-    for (a, b), n in edges.items():
-        after.setdefault(a, []).extend([b] * n)
-    out = []
-    while any(after.values()):
-        start = next(a for a, bs in after.items() if bs)
-        ring, at = [start], after[start].pop()
-        while at != start:
-            ring.append(at)
-            at = after[at].pop()
-        out.append(ring)
-    return out
-
-
 def opened(xr, path: str, names: Sequence[str]):
     """The dataset of a file, with dates of its own calendar; GRIB groups that hold ``names`` are merged."""
     if path.endswith((".grib", ".grb", ".grib2")):
