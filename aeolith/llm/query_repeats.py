@@ -1,5 +1,5 @@
-"""Query of operator 5: one row for each span that a document with a smaller id holds, with the
-document it is in and the documents (smallest ids) that hold the first copies."""
+"""Query of operator 5: one row for each span that occurs before, in a document with a smaller id or earlier in the same one,
+with the document it is in, the documents (smallest ids) that hold the first copies, and whether it is one of these itself."""
 
 from pyspark.sql import functions as F
 
@@ -8,5 +8,6 @@ from aeolith.llm.repeats import repeats
 
 
 def op5_repeats(spark, sf_dir):
-    r = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), within=False)
-    return r.select(F.col("id").alias("doc_id"), "start", "stop", F.col("words").alias("n_words"), "first_ids")
+    r = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own = F.coalesce(F.array_contains("first_ids", F.col("id")), F.lit(False))
+    return r.select(F.col("id").alias("doc_id"), "start", "stop", F.col("words").alias("n_words"), "first_ids", own.alias("in_own"))
