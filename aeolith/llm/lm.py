@@ -21,14 +21,13 @@ masked attention in batches.
 
 What is gathered from the corpus grows with it.  All training words are counted (one
 shuffle, combined first); from the counts come the tables of spelling, which have a fixed
-size given by the vocabulary (``KINDS`` * ids), and cover all words.  The network is trained
-on a sample: of each training text one stretch of ``STRETCH`` words for each started
-``EVERY_WORDS`` words, at a place that a hash of the text draws, so beginnings, middles and
-ends are seen alike, also of short texts; all ids of a stretch are used.  Equal stretches
-(copies) are one, with a weight of 1 + log2 of their number.  Stretches are dealt to parts
-of some ``PART_ROWS`` by a hash, so a model doesn't depend on the number of cores; parts
-take local steps, and parameters are averaged between rounds by a tree, so no task and not
-the driver holds more than ``FAN`` sets of them.  Only bounded tables come to the driver:
+size given by the vocabulary (``KINDS`` * ids), and cover all words.  So do the counts of
+neighbours that classes, kinds and the network's first table come from, and the network's
+training: each place of each whole training text is a target in one round (which, a hash of
+the text says).  Equal texts (copies) are one, with a weight of 1 + log2 of their number.
+Texts are dealt to parts of some ``PART_WORDS`` words by a hash, so a model doesn't depend
+on the number of cores; parts take local steps, and parameters are averaged between rounds
+by a tree, so no task and not the driver holds more than ``FAN`` sets of them.  Only bounded tables come to the driver:
 counts by vocabulary id and the ``HEAD`` commonest words (long ones by digest); the rarer
 words get their counts by a join, without loss.
 
@@ -45,7 +44,6 @@ import base64
 import hashlib
 import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -73,7 +71,8 @@ WINDOW, OVERLAP = 32, 8
 STRETCH, EVERY_WORDS = 32, 600
 HEAD, KEY_BYTES = 200_000, 32
 ROUNDS, BATCH, RATE = 3, 128, 0.02
-PART_ROWS, FAN = 8_000, 16
+#: Words of a part, about; windows that take steps at once, and words of a run of ids.
+PART_WORDS, PART_WINDOWS, RUN_WORDS, FAN = 1_000_000, 65_536, 8_192, 16
 SMOOTH, BACK = 0.5, 5.0
 START, STOP = -1, -2
 END = 0  # the class of the end
@@ -182,25 +181,90 @@ def places(text: bytes, n: int) -> list[int]:
     return out
 
 
-def gather(docs: DataFrame, vocabulary, text_col: str) -> DataFrame:
-    """(word, c, ids): partial word counts, and training stretches of ids (word null), with -1
-    for a text's start and its end."""
+class Coder:
+    """Ids of texts; a worker remembers the words it has met, with their ids as one array."""
+
+    def __init__(self, sub: Subwords):
+        self.sub = sub
+        self.number: dict[bytes, int] = {}
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The words' numbers in ``first``."""
+        if len(self.number) > CACHE_WORDS:
+            self.__init__(self.sub)
+        kinds = as_bytes(distinct)
+        own = np.fromiter(map(self.number.get, kinds, itertools.repeat(-1)), np.int64, len(kinds))
+        if len(new := np.flatnonzero(own < 0)):
+            own[new] = len(self.number) + np.arange(len(new))
+            unseen = [kinds[k] for k in new.tolist()]
+            ids, first = self.sub.bulk(unseen)
+            self.ids, self.first = np.concatenate((self.ids, ids.astype(np.int32))), np.concatenate((self.first, self.first[-1] + first[1:]))
+            self.number.update(zip(unseen, own[new].tolist()))
+        return own
+
+    def runs(self, texts: list[str]) -> tuple[pa.ListArray, np.ndarray]:
+        """All ids of all texts in runs of ``RUN_WORDS`` words and one at most, with -1 for a text's
+        start and its end, and which text each run is of.  A run that goes on begins with the
+        last word of the run before, so each word stands behind another (or the start) once."""
+        words, sizes = words_of(texts)
+        coded = words.dictionary_encode()
+        number = self.numbers(coded.dictionary)[coded.indices.to_numpy()]
+        n_runs = np.maximum(1, -(-(sizes - 1) // RUN_WORDS))
+        of = np.repeat(np.arange(len(texts)), n_runs)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+        lo = k * RUN_WORDS
+        own = np.minimum(RUN_WORDS + 1, sizes[of] - lo)
+        at = np.repeat((np.cumsum(sizes) - sizes)[of] + lo - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        word = number[at]
+        size = np.diff(self.first)[word]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.first[word] - (upto - size), size) + np.arange(size.sum())]
+        # ids of each run, then its marks
+        edge = np.append(0, upto)[np.append(0, np.cumsum(own))]
+        head, tail = (k == 0).astype(np.int64), (k == n_runs[of] - 1).astype(np.int64)
+        length = np.diff(edge) + head + tail
+        offsets = np.append(0, np.cumsum(length))
+        flat = np.full(offsets[-1], -1, np.int32)
+        flat[np.repeat(offsets[:-1] + head - edge[:-1], np.diff(edge)) + np.arange(len(ids))] = ids
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), of
+
+
+def runs_of(docs: DataFrame, vocabulary, text_col: str, work, schema: str) -> DataFrame:
+    """What ``work(batches of runs)`` makes of all ids of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(_subwords(vocabulary.value))
+        yield from work(coder.runs(texts)[0] for batch in batches for texts in slices(batch.column(0), SLICE))
+
+    return docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t")).mapInArrow(run, schema)
+
+
+def gather(docs: DataFrame, vocabulary, text_col: str, stretches: bool = True) -> DataFrame:
+    """(word, c, ids, a, b): partial counts of all texts' words; of all pairs of neighbours (word null):
+    how often slot b, 0 for the end, comes after a word whose first id is a; and, for a look at the
+    texts, stretches of ids, with -1 for a text's start and its end.  Training takes the counts alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _SCORERS.clear()  # a worker's scorer of an earlier model
         sub = _subwords(vocabulary.value)
-        found: list[pa.Array] = []
+        coder = Coder(sub)
+        found: list[tuple[pa.Array, np.ndarray]] = []
         held: list[list[int]] = []
         n_docs = 0
+        after = np.zeros(sub.size * SLOTS, np.int64)
+
+        def rows(n: int, **given: pa.Array) -> pa.RecordBatch:
+            blank = {f.name: pa.array(np.zeros(n, np.int64)) if f.name == "c" else pa.nulls(n, f.type) for f in kind}
+            return pa.RecordBatch.from_pydict(blank | given, kind)
 
         def flush():
             """What was counted by slice, added up, and the stretches."""
-            some = [pa.array([b" "], pa.binary()), *[x.field("values") for x in found]]
-            c = [pa.array([n_docs], pa.int64()), *[x.field("counts") for x in found]]  # no word has a space: the end's count
+            some = [pa.array([b" "], pa.binary()), *[x for x, _ in found]]
+            c = [pa.array([n_docs], pa.int64()), *[pa.array(x) for _, x in found]]  # no word has a space: the end's count
             t = pa.table({"word": pa.concat_arrays(some), "c": pa.concat_arrays(c)}).group_by("word", use_threads=False).aggregate([("c", "sum")])
-            n, k = t.num_rows, len(held)
-            yield from pa.table({"word": t["word"], "c": t["c_sum"], "ids": pa.nulls(n, pa.list_(pa.int32()))}).combine_chunks().to_batches()
-            yield pa.RecordBatch.from_pydict({"word": pa.nulls(k, pa.binary()), "c": pa.array(np.zeros(k, np.int64)), "ids": pa.array(held, pa.list_(pa.int32()))})
+            yield rows(t.num_rows, word=t["word"].combine_chunks(), c=t["c_sum"].combine_chunks())
+            yield rows(len(held), ids=pa.array(held, pa.list_(pa.int32())))
             found.clear()
             held.clear()
 
@@ -209,7 +273,19 @@ def gather(docs: DataFrame, vocabulary, text_col: str) -> DataFrame:
                 words, sizes = words_of(texts)
                 n_docs += len(texts)
                 if len(words):
-                    found.append(words.value_counts())
+                    coded = words.dictionary_encode()
+                    index = coded.indices.to_numpy()
+                    found.append((coded.dictionary, np.bincount(index)))
+                    number = coder.numbers(coded.dictionary)
+                    first_id = coder.ids[coder.first[number]][index]
+                    slot = np.append(_slot(first_id[1:]), 0)
+                    slot[np.cumsum(sizes)[sizes > 0] - 1] = 0
+                    np.add.at(after, first_id.astype(np.int64) * SLOTS + slot, 1)
+                if sum(len(x) for x, _ in found) > 1_000_000:
+                    yield from flush()
+                    n_docs = 0
+                if not stretches:
+                    continue
                 # stretches begin at places that spread over each text
                 origin = np.cumsum(sizes) - sizes
                 begin = [(o, at, n) for t, o, n in zip(texts, origin.tolist(), sizes.tolist()) for at in places(t.encode("utf-8", "replace"), n)]
@@ -220,12 +296,12 @@ def gather(docs: DataFrame, vocabulary, text_col: str) -> DataFrame:
                 edge = first[np.concatenate(([0], np.cumsum(own)))].tolist()
                 for (_, at, n), k, x, y in zip(begin, own.tolist(), edge, edge[1:]):
                     held.append(([-1] if at == 0 else []) + ids[x:y].tolist() + ([-1] if at + k >= n else []))
-                if sum(map(len, found)) > 1_000_000:
-                    yield from flush()
-                    n_docs = 0
         yield from flush()
+        k = np.flatnonzero(after)
+        yield rows(len(k), c=pa.array(after[k]), a=pa.array((k // SLOTS).astype(np.int32)), b=pa.array((k % SLOTS).astype(np.int32)))
 
-    return docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t")).mapInArrow(run, "word binary, c bigint, ids array<int>")
+    kind = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("ids", pa.list_(pa.int32())), ("a", pa.int32()), ("b", pa.int32())])
+    return docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t")).mapInArrow(run, "word binary, c bigint, ids array<int>, a int, b int")
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -273,31 +349,27 @@ def spelling(counts: DataFrame, vocabulary, taken: tuple[float, float, float]) -
     return counts.select("word", "c").mapInArrow(run, "a int, b int, c bigint, t bigint, d double").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum("d").alias("d"))
 
 
-def followers(stretches: DataFrame, vocabulary, number_a: np.ndarray, number_b: np.ndarray, whole: bool) -> DataFrame:
-    """(a, b, c) of the sampled stretches: how often a word comes (by the number of its first id
-    in ``number_b``) after an id (by its number in ``number_a``): the first id of the word before
-    if ``whole``, else the id just before.  The numbers' last places are a text's start or end."""
-    sent = stretches.sparkSession.sparkContext.broadcast((number_a, number_b))
+def followers(docs: DataFrame, vocabulary, text_col: str, number_a: np.ndarray, number_b: np.ndarray) -> DataFrame:
+    """(a, b, c) of all texts: how often a word comes (by the number of its first id in ``number_b``)
+    after an id (by its number in ``number_a``).  The numbers' last places are a text's start or end."""
+    sent = docs.sparkSession.sparkContext.broadcast((number_a, number_b))
+    width = int(number_b.max()) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.ListArray]) -> Iterator[pa.RecordBatch]:
         begins = np.append(_subwords(vocabulary.value).begins, True)
         of, to = sent.value
-        total: Counter = Counter()
-        for batch in batches:
-            ids = batch.column(0)
+        total = np.zeros((int(of.max()) + 1) * width, np.int64)
+        for ids in batches:
             flat, sizes = ids.flatten().to_numpy().astype(np.int64), np.diff(ids.offsets.to_numpy())
             row = np.repeat(np.arange(len(sizes)), sizes)
-            heads = np.flatnonzero(begins[flat])
-            later = heads[1:]
-            before = heads[:-1] if whole else later - 1
+            later = np.flatnonzero(begins[flat])[1:]
+            before = later - 1
             same = row[before] == row[later]
-            kinds, n = np.unique((of[flat[before[same]]] << 32) | to[flat[later[same]]], return_counts=True)
-            for k, x in zip(kinds.tolist(), n.tolist()):
-                total[k] += x
-        k = np.fromiter(total.keys(), np.int64, len(total))
-        yield pa.RecordBatch.from_pydict({"a": pa.array((k >> 32).astype(np.int32)), "b": pa.array((k & 0xFFFFFFFF).astype(np.int32)), "c": pa.array(np.fromiter(total.values(), np.int64, len(total)))})
+            np.add.at(total, of[flat[before[same]]] * width + to[flat[later[same]]], 1)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"a": pa.array((k // width).astype(np.int32)), "b": pa.array((k % width).astype(np.int32)), "c": pa.array(total[k])})
 
-    return stretches.mapInArrow(run, "a int, b int, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    return runs_of(docs, vocabulary, text_col, run, "a int, b int, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
 def _dense(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -380,6 +452,12 @@ def _nearness(bias: np.ndarray) -> np.ndarray:
     return np.where(_FUTURE, bias.dtype.type(0), np.exp(np.clip(bias, -20, 20))[_DISTANCE])
 
 
+def steady() -> None:
+    """Freeing a large block once lets the C library keep memory of lesser arrays for the next ones
+    instead of giving it back each time; else half of a step goes into page faults."""
+    np.empty(24 << 20, np.uint8)
+
+
 def _attend(net: Net, c: np.ndarray):
     """For windows of inputs (B, n): embeddings, q, k, v, attention and its values."""
     n = c.shape[1]
@@ -437,7 +515,7 @@ def _by_input(inputs: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The inputs that occur, in order, and for each the sum of its rows of ``x``."""
     order = np.argsort(inputs, kind="stable")
     own = inputs[order]
-    first = np.flatnonzero(np.diff(own, prepend=-1))
+    first = np.flatnonzero(np.diff(own.astype(np.int32), prepend=-1))
     return own[first], np.add.reduceat(x[order], first, axis=0) if len(first) else x[:0]
 
 
@@ -448,21 +526,24 @@ def gradients(net: Net, c: np.ndarray, target: np.ndarray, weight: np.ndarray) -
     x, q, k, v, s, h = _attend(net, c)
     both = np.concatenate((h, x), axis=2).reshape(-1, 2 * DIM)
     rows = np.flatnonzero(target.ravel() != NONE)
+    # by input, so that an input's rows of the table and of its gradient stand together
+    rows = rows[np.argsort(c.ravel()[rows], kind="stable")]
     want, given = target.ravel()[rows], c.ravel()[rows]
     some = both[rows]
     p = some @ net.out
     p += (net.last + net.base).take(given, axis=0)
     np.clip(p, -80, 80, out=p)  # logarithms of shares with small corrections
     np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
+    mass = p.sum(1)
     m = weight[rows // n].astype(p.dtype)
     total = max(1e-9, float(m.sum()))
     at = np.arange(len(rows))
-    loss = -float((np.log(p[at, want]) * m).sum()) / total
-    p[at, want] -= 1
-    p *= (m / total)[:, None]
+    loss = -float((np.log(p[at, want] / mass) * m).sum()) / total
+    p *= (m / total / mass)[:, None]
+    p[at, want] -= m / total
 
-    d_last = _by_input(given, p)
+    first = np.flatnonzero(np.diff(given.astype(np.int32), prepend=-1))
+    d_last = given[first], np.add.reduceat(p, first, axis=0) if len(first) else p[:0]
     d_both = np.zeros_like(both)
     d_both[rows] = p @ net.out.T
     d_both = d_both.reshape(b, n, 2 * DIM)
@@ -576,32 +657,91 @@ def averaged(sets: DataFrame, parts: int) -> np.ndarray:
     return np.average(np.array([g.p for g in got]), axis=0, weights=weight).astype(np.float32)
 
 
-def train_net(stretches: DataFrame, start: Net, packs: np.ndarray) -> Net:
-    """Local steps on the parts of ``stretches`` (ids, m), parameters averaged between rounds."""
-    n = stretches.count()
-    if not n:
-        return start
-    sc = stretches.sparkSession.sparkContext
+def train_net(docs: DataFrame, vocabulary, text_col: str, n_words: int, start: Net, packs: np.ndarray) -> Net:
+    """Steps on all of ``docs``, which have some ``n_words``: a hash deals texts to rounds and, in
+    each, to parts that take local steps; parameters are averaged between rounds."""
+    sc = docs.sparkSession.sparkContext
     table = sc.broadcast(packs)
-    parts = -(-n // PART_ROWS)
-    one = F.struct(F.xxhash64(F.lit(1), "ids").alias("h"), "ids", (1 + F.log2(F.col("m").cast("double"))).alias("w"))
-    # a part is one row of some MB, in an order of its own
-    dealt = stretches.groupBy(F.pmod(F.xxhash64("ids"), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    dealt = settle(dealt.select("part", "rows.ids", "rows.w"), "parts")
+    parts = max(1, -(-n_words // (ROUNDS * PART_WORDS)))
+    texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = texts.withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(parts)))
     net = start
+
+    def once(batches):
+        # equal texts of a batch are one, so that copies don't gather in the task of their part
+        for b in batches:
+            t = pa.Table.from_batches([b]).group_by(["part", "h", "text"], use_threads=False).aggregate([([], "count_all")])
+            yield from t.rename_columns(["part", "h", "text", "m"]).combine_chunks().to_batches()
+
     for k in range(ROUNDS):
         sent = sc.broadcast(net)
 
         def run(batches, sent=sent, k=k):
+            steady()
+            coder = Coder(_subwords(vocabulary.value))
+            start, packs = sent.value, table.value
+            part, net, mass = None, start, 0.0
+            some, copies, size = [], [], 0  # texts with their copies
+            held, windows = [], 0  # windows that wait for a step
+
+            def step():
+                nonlocal net, mass, windows
+                if windows:
+                    given, target, weight = (np.concatenate(x) for x in zip(*held))
+                    net = fit(net, given, target, weight, RATE / (1 + k), seed=1000 * part + k)
+                    mass += float(weight.sum())
+                held.clear()
+                windows = 0
+
+            def cut_up():
+                nonlocal size, windows
+                if some:
+                    rows, of = coder.runs(some)
+                    weight = 1 + np.log2(np.array(copies, float))[of]
+                    for at in range(0, len(rows), 4096):
+                        given, target, w = as_windows(rows.slice(at, 4096), packs, weight[at : at + 4096])
+                        for lo in range(0, len(w), PART_WINDOWS):
+                            own = slice(lo, lo + PART_WINDOWS)
+                            held.append((given[own].astype(np.int16), target[own].astype(np.uint8), w[own]))
+                            windows += len(w[own])
+                            if windows >= PART_WINDOWS:
+                                step()
+                some.clear()
+                copies.clear()
+                size = 0
+
+            def close():
+                nonlocal net, mass
+                cut_up()
+                step()
+                if mass:
+                    flat = np.concatenate([a.ravel() for a in net]).astype(np.float32)
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n": pa.array([mass]), "p": pa.array([flat], pa.list_(pa.float32()))})
+                net, mass = start, 0.0
+
+            last = None
             for b in batches:
-                for i in range(b.num_rows):
-                    weight = b.column(2)[i].values.to_numpy()
-                    now = fit(sent.value, *as_windows(b.column(1)[i].values, table.value, weight), RATE / (1 + k), seed=1000 * b.column(0)[i].as_py() + k)
-                    flat = np.concatenate([a.ravel() for a in now]).astype(np.float32)
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([b.column(0)[i].as_py()], pa.int64()), "n": pa.array([float(weight.sum())]), "p": pa.array([flat], pa.list_(pa.float32()))})
-
-        # few files hold many parts: deal them out again
-        sets = settle(dealt.repartition(min(parts, 4096), "part").mapInArrow(run, "part bigint, n double, p array<float>"), "fitted")
+                for i in range(0, b.num_rows, 256):
+                    for p, text, m in zip(*(c.slice(i, 256).to_pylist() for c in (b.column(0), b.column(2), b.column(3)))):
+                        if (p, text) == last:
+                            copies[-1] += m
+                            continue
+                        if p != part:
+                            yield from close()
+                            part = p
+                        elif size >= SLICE:
+                            cut_up()
+                        last = p, text
+                        some.append(text)
+                        copies.append(m)
+                        size += len(text)
+            yield from close()
+
+        own = texts.where(F.pmod("h", F.lit(ROUNDS)) == k).select("part", "h", "text").mapInArrow(once, "part bigint, h bigint, text string, m bigint")
+        dealt = own.repartitionById(min(parts, 4096), F.pmod("part", F.lit(4096)).cast("int")).sortWithinPartitions("part", "h", "text")
+        sets = settle(dealt.mapInArrow(run, "part bigint, n double, p array<float>"), "fitted")
+        if sets.isEmpty():
+            continue
         flat = averaged(sets, parts)
         ends = np.cumsum([a.size for a in net])[:-1]
         net = Net(*[a.reshape(b.shape) for a, b in zip(np.split(flat, ends), net)])
@@ -632,7 +772,7 @@ def train(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> tupl
     ship(spark)
     with open(vocabulary_path, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
-    got = settle(gather(docs, vocabulary, text_col), "gathered")
+    got = settle(gather(docs, vocabulary, text_col, stretches=False), "gathered")
     counts = got.where("word is not null").groupBy("word").agg(F.sum("c").alias("c"))
     counts = settle(counts.select("word", _key(F.col("word")).alias("key"), "c"), "counts")
     total = counts.where("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
@@ -642,7 +782,6 @@ def train(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> tupl
     real = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(b" ")))
     taken = discounts(real)
     pairs = settle(spelling(real, vocabulary, taken), "spelling")
-    stretches = settle(got.where("ids is not null").groupBy("ids").agg(F.count("*").alias("m")), "stretches")
 
     # at most one row for each id, or for each id and slot, or kind and id
     firsts = pairs.where(F.col("a") == START).select("b", "c", "t", "d").toArrow()
@@ -651,7 +790,7 @@ def train(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> tupl
         x[firsts["b"].to_numpy()] = firsts[name].to_numpy()
     slot = F.when(F.col("b") == STOP, 0).otherwise(1 + F.col("b").cast("long") * 40503 % 65521 % (SLOTS - 1)).cast("int")
     inside = _dense(pairs.where(F.col("a") >= 0).groupBy("a", slot.alias("b")).agg(F.sum("c").alias("c")), (size, SLOTS))
-    across = _dense(followers(stretches, vocabulary, np.arange(size + 1), np.append(_slot(np.arange(size)), 0), True), (size + 1, SLOTS))[:size]
+    across = _dense(got.where("a is not null").groupBy("a", "b").agg(F.sum("c").alias("c")), (size, SLOTS))
     seen = inside.sum(1)
     # ids that don't occur are of kind 0; the others go by what comes after them
     some = np.flatnonzero(seen > 0)
@@ -683,8 +822,8 @@ def train(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> tupl
 
     inputs = inputs_of(seen, kinds)
     packs = np.append(inputs[:-1] * 256 + np.where(sub.begins, classes, NONE), END)
-    last = last_table(_dense(followers(stretches, vocabulary, inputs, np.append(classes, END), False), (INPUTS, CLASSES)))
-    net = train_net(stretches, start_net(last), packs)
+    last = last_table(_dense(followers(docs, vocabulary, text_col, inputs, np.append(classes, END)), (INPUTS, CLASSES)))
+    net = train_net(docs, vocabulary, text_col, int(total.n or 0), start_net(last), packs)
     head = commonest(real.select("key", "c"), "c", HEAD).toArrow()
     table = dict(zip(head["key"].to_pylist(), head["c"].to_pylist()))
     return Model(net, packs, classes, np.maximum(1, mass), taken, lead, kinds, follow, table, int(total.n or 0), int(total.v or 0), n_texts), counts
@@ -816,6 +955,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, vocabulary_path: str
     sent = sc.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         s = _scorer(sent.value, _subwords(vocabulary.value))
         for batch in batches:
             at = 0

@@ -576,6 +576,54 @@ def test_training_lowers_the_loss():
     assert after < 0.3 * before
 
 
+def test_all_words_train(spark):
+    """A change far from the stretch that ``places`` draws changes the counts of neighbours and the network."""
+    r = np.random.default_rng(4)
+    texts = []
+    while len(texts) < 2:
+        said = [f"w{i}" for i in r.integers(0, 9, 100)] if not texts else texts[0].split()
+        if texts:
+            i, j = r.integers(40, 100, 2)
+            said[i], said[j] = said[j], said[i]
+        t = " ".join(said)
+        if t not in texts and lm.places(t.encode(), 100) == [0]:
+            texts.append(t)
+    a, b = (lm.train(spark.createDataFrame([(t,)], "text string"), RANKS)[0] for t in texts)
+    assert a.head == b.head and not np.array_equal(a.net.last, b.net.last)
+
+
+def test_runs_hold_all_ids(spark, tricky, monkeypatch):
+    """Each word is a target once, behind the word before it, over the edges of runs too."""
+    monkeypatch.setattr(lm, "RUN_WORDS", 7)
+    sub = lm.Subwords(open(RANKS, "rb").read())
+    texts = [r.text or "" for r in tricky.collect()] + ["", "a", " ".join(f"x{i}" for i in range(8)), " ".join("yz"[i % 2] for i in range(50))]
+    rows, of = lm.Coder(sub).runs(texts)
+    begins, got = np.append(sub.begins, True), Counter()
+    for k, row in zip(of.tolist(), rows.to_pylist()):
+        got.update((k, row[i - 1], row[i]) for i in range(1, len(row)) if begins[row[i]])
+    want = Counter()
+    for k, t in enumerate(texts):
+        ids = [-1, *(i for w in words(t) for i in sub.ids(w.encode("utf-8", "replace"))), -1]
+        want.update((k, a, b) for a, b in zip(ids, ids[1:]) if begins[b])
+    assert got == want
+    given = lm.as_windows(rows, np.append(np.where(sub.begins, 1, lm.NONE), lm.END), np.ones(len(rows)))[1]
+    assert (given != lm.NONE).sum() == sum(want.values())
+
+
+def test_neighbours_of_all_texts(spark):
+    texts = [" ".join(f"w{i % 7}" for i in range(n)) for n in (0, 1, 50, 900)]
+    sub = lm.Subwords(open(RANKS, "rb").read())
+    sent = spark.sparkContext.broadcast(open(RANKS, "rb").read())
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    want, first = Counter(), lambda w: sub.ids(w.encode())[0]
+    for t in texts:
+        ws = t.split()
+        want.update((first(a), int(lm._slot(np.array([first(b)]))[0])) for a, b in zip(ws, ws[1:]))
+        want.update([(first(ws[-1]), 0)] if ws else [])
+    rows = lm.gather(d, sent, "text").where("a is not null").groupBy("a", "b").agg(F.sum("c").alias("c")).collect()
+    assert {(r.a, r.b): r.c for r in rows} == want
+
+
 def test_averages_by_a_tree(spark):
     r = np.random.default_rng(9)
     rows = [(k, float(r.integers(1, 50)), r.standard_normal(7).astype(np.float32).tolist()) for k in range(600) if k % 7]
