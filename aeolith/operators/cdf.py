@@ -24,16 +24,39 @@ def cross_cdf(sample: DataFrame, target: DataFrame, by: Sequence[str], x: str, k
 
 
 def self_cdf(by: Sequence[str], x: str) -> Column:
-    """(rank - 1 + half of the peers) / number, of x in its own group; NULL for NULL."""
-    here = Window.partitionBy(*by, F.col(x).isNull())
-    n = F.count("*").over(here)
-    peers = F.count("*").over(Window.partitionBy(*by, x))
-    return F.when(F.col(x).isNotNull(), (F.rank().over(here.orderBy(x)) - 1 + 0.5 * peers) / n)
+    """(rank - 1 + half of the peers) / number, of x in its own group; NULL for NULL.
+
+    All its parts, and those of ``average_rank``, come from one order of the group, so a task holds one sort.
+    """
+    w = Window.partitionBy(*by).orderBy(x)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n, nulls, le = F.count(x).over(whole), F.count(F.when(F.col(x).isNull(), 1)).over(whole), F.count(x).over(w)
+    return F.when(F.col(x).isNotNull(), (F.rank().over(w) - 1 - nulls + le) * 0.5 / F.when(n > 0, n))
 
 
 def average_rank(by: Sequence[str], x: str) -> Column:
-    """Rank in which ties share their mean."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
+    """Rank in which ties share their mean: halfway between the first place and the last."""
+    w = Window.partitionBy(*by).orderBy(x)
+    return (F.rank().over(w) + F.count("*").over(w)) / 2
+
+
+def tied_ranks(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """``df`` with rank (``average_rank``) and p (``self_cdf``) where most values are tied.
+
+    A group's distinct values are counted first, combined before the shuffle, and ordered; rows meet
+    their value's rank in a hash join, so rows aren't sorted, and no group's rows gather in one task.
+    """
+    keys = [*by, x]
+    w = Window.partitionBy(*by).orderBy(x)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own, real = F.col("__n"), F.when(F.col(x).isNotNull(), F.col("__n")).otherwise(0)
+    last, le, n = F.sum(own).over(w), F.sum(real).over(w), F.sum(real).over(whole)
+    # NULL comes first: values up to this one, without the NULLs, less half of its own
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n")).select(
+        *[F.col(k).alias(f"__{k}") for k in keys], (last - (own - 1) / 2).alias("rank"), F.when(F.col(x).isNotNull(), (le - own * 0.5) / F.when(n > 0, n)).alias("p")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(counts.hint("shuffle_hash"), same).drop(*[f"__{k}" for k in keys])
 
 
 def clamped_window(target: DataFrame, by: Sequence[str], order: str, width: int) -> DataFrame:

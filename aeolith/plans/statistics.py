@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from aeolith.config import DEFAULT
 from aeolith.operators import stats
-from aeolith.operators.cdf import average_rank, cross_cdf, self_cdf
+from aeolith.operators.cdf import cross_cdf, self_cdf, tied_ranks
 from aeolith.plans.common import A, long_form, monthly, out, r, table
 from aeolith.plans.registry import query
 
@@ -101,8 +101,7 @@ def cross_cdf_months(spark, sf_dir):
 def ranks_with_ties(spark, sf_dir):
     """Average ranks and mid-rank distribution where most values are tied."""
     d = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
-    d = d.withColumn("rank", average_rank(["l_suppkey"], "l_quantity")).withColumn("p", self_cdf(["l_suppkey"], "l_quantity"))
-    return out(d, ["l_suppkey", "l_orderkey", "l_linenumber"], ["rank", "p"])
+    return out(tied_ranks(d, ["l_suppkey"], "l_quantity"), ["l_suppkey", "l_orderkey", "l_linenumber"], ["rank", "p"])
 
 
 _PAIR = "z AS (SELECT model, variable, ym, cell, weight, max(CASE WHEN source = 'gcm' THEN value END) AS x, max(CASE WHEN source = 'ref' THEN value END) AS y FROM al GROUP BY ALL)"

@@ -198,6 +198,24 @@ def test_months(spark):
 # ---- distribution functions
 
 
+def test_ranks_with_ties(spark):
+    """By windows and by counts of distinct values, against a plain count; NULLs, NaN, zeros of both signs."""
+    r = np.random.default_rng(8)
+    xs = [*np.round(r.random(60), 1).tolist(), 0.0, -0.0, float("nan"), float("nan"), None, None]
+    rows = [(g, i, x) for g in ("a", None) for i, x in enumerate(xs)] + [("all null", 0, None), ("one", 0, 2.0)]
+    d = spark.createDataFrame(rows, "k string, i int, x double").repartition(3)
+    windows = d.withColumn("rank", cdf.average_rank(["k"], "x")).withColumn("p", cdf.self_cdf(["k"], "x"))
+    place = lambda x: -math.inf if x is None else math.inf if math.isnan(x) else x
+    for got in (windows.collect(), cdf.tied_ranks(d, ["k"], "x").collect()):
+        assert len(got) == len(rows) and {(g.k, g.i) for g in got} == {(k, i) for k, i, _ in rows}
+        for g in got:
+            own = [x for k, _, x in rows if k == g.k]
+            less, same = (sum(f(place(x), place(g.x)) for x in own) for f in (lambda a, b: a < b, lambda a, b: a == b))
+            assert g.rank == less + (same + 1) / 2
+            nulls = sum(x is None for x in own)
+            assert g.p == (None if g.x is None else pytest.approx((less - nulls + same / 2) / (len(own) - nulls)))
+
+
 def test_cross_and_moving_cdf(spark):
     r = np.random.default_rng(2)
     sample, target = np.round(r.random(40), 1), np.round(r.random(30), 1)

@@ -1,5 +1,7 @@
 """What plans must not have, at any size of the data."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,17 @@ def test_moving_windows_and_trends_join_nothing(series):
         assert "Join" not in text and "Generate" not in text and text.count("hashpartitioning") == 1
 
 
+def test_ranks_hold_one_order(spark, sf):
+    """Windows of ranks share one sort; ranks of tied values sort no rows, only distinct values."""
+    d = spark.createDataFrame([("a", 1, 2.0)], "k string, i int, x double")
+    both = d.withColumn("rank", cdf.average_rank(["k"], "x")).withColumn("p", cdf.self_cdf(["k"], "x"))
+    assert len(re.findall(r"\bSort \[", plan(both))) == 1
+    p = plan(registry.QUERIES["ranks_with_ties"](spark, sf))
+    assert "ShuffledHashJoin" in p and len(re.findall(r"\bSort \[", p)) == 1
+    # what is sorted has been counted
+    assert "HashAggregate" in p[p.index("Sort [") :]
+
+
 def test_a_moving_correction_makes_no_rows_of_windows(spark, sf):
     assert "Generate explode(sequence" not in plan(registry.QUERIES["qdm_thirty_months"](spark, sf))
 
