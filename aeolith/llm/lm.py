@@ -24,7 +24,8 @@ shuffle, combined first); from the counts come the tables of spelling, which hav
 size given by the vocabulary (``KINDS`` * ids), and cover all words.  So do the counts of
 neighbours that classes, kinds and the network's first table come from, and the network's
 training: each place of each whole training text is a target in one round (which, a hash of
-the text says).  Equal texts (copies) are one, with a weight of 1 + log2 of their number.
+its ids says).  Texts of equal ids (copies) are one, with a weight of 1 + log2 of their number.
+Texts are cut into ids once, when words are counted, and the ids stored for all that learns from them.
 Texts are dealt to parts of some ``PART_WORDS`` words by a hash, so a model doesn't depend
 on the number of cores; parts take local steps, and parameters are averaged between rounds
 by a tree, so no task and not the driver holds more than ``FAN`` sets of them.  Only bounded tables come to the driver:
@@ -41,6 +42,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import itertools
 import math
@@ -52,7 +54,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeolith.llm.byte_bpe import _merge_long
@@ -82,6 +84,9 @@ NONE = 255  # no target: an id inside a word
 LONG_WORD = 400
 #: Characters that are counted or scored at once, and words that a worker remembers.
 SLICE, CACHE_WORDS = 1_500_000, 200_000
+#: Ids of texts that are learned from at once, and what bounds a batch of texts that Spark hands to a worker.
+SLICE_IDS = 400_000
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -203,47 +208,67 @@ class Coder:
             self.number.update(zip(unseen, own[new].tolist()))
         return own
 
+    def spelled(self, number: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts in a row, and how many each text has, from the numbers of their words."""
+        size = np.diff(self.first)[number]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.first[number] - (upto - size), size) + np.arange(size.sum())]
+        return ids, np.diff(np.append(0, upto)[np.append(0, np.cumsum(sizes))])
+
     def runs(self, texts: list[str]) -> tuple[pa.ListArray, np.ndarray]:
-        """All ids of all texts in runs of ``RUN_WORDS`` words and one at most, with -1 for a text's
-        start and its end, and which text each run is of.  A run that goes on begins with the
-        last word of the run before, so each word stands behind another (or the start) once."""
+        """``as_runs`` of all ids of all texts."""
         words, sizes = words_of(texts)
         coded = words.dictionary_encode()
-        number = self.numbers(coded.dictionary)[coded.indices.to_numpy()]
-        n_runs = np.maximum(1, -(-(sizes - 1) // RUN_WORDS))
-        of = np.repeat(np.arange(len(texts)), n_runs)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
-        lo = k * RUN_WORDS
-        own = np.minimum(RUN_WORDS + 1, sizes[of] - lo)
-        at = np.repeat((np.cumsum(sizes) - sizes)[of] + lo - (np.cumsum(own) - own), own) + np.arange(own.sum())
-        word = number[at]
-        size = np.diff(self.first)[word]
-        upto = np.cumsum(size)
-        ids = self.ids[np.repeat(self.first[word] - (upto - size), size) + np.arange(size.sum())]
-        # ids of each run, then its marks
-        edge = np.append(0, upto)[np.append(0, np.cumsum(own))]
-        head, tail = (k == 0).astype(np.int64), (k == n_runs[of] - 1).astype(np.int64)
-        length = np.diff(edge) + head + tail
-        offsets = np.append(0, np.cumsum(length))
-        flat = np.full(offsets[-1], -1, np.int32)
-        flat[np.repeat(offsets[:-1] + head - edge[:-1], np.diff(edge)) + np.arange(len(ids))] = ids
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), of
-
-
-def runs_of(docs: DataFrame, vocabulary, text_col: str, work, schema: str) -> DataFrame:
-    """What ``work(batches of runs)`` makes of all ids of all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(_subwords(vocabulary.value))
-        yield from work(coder.runs(texts)[0] for batch in batches for texts in slices(batch.column(0), SLICE))
-
-    return docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t")).mapInArrow(run, schema)
+        ids, n = self.spelled(self.numbers(coded.dictionary)[coded.indices.to_numpy()], sizes)
+        return as_runs(ids, n, self.sub.begins)
+
+
+def as_runs(ids: np.ndarray, n_ids: np.ndarray, begins: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+    """Ids of texts in a row, so many of each, in runs of ``RUN_WORDS`` words and one at most, with -1
+    for a text's start and its end, and which text each run is of.  A run that goes on begins with
+    the last word of the run before, so each word stands behind another (or the start) once."""
+    word = np.flatnonzero(begins[ids])
+    edge = np.searchsorted(word, np.append(0, np.cumsum(n_ids)))
+    sizes = np.diff(edge)
+    n_runs = np.maximum(1, -(-(sizes - 1) // RUN_WORDS))
+    of = np.repeat(np.arange(len(n_ids)), n_runs)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+    first = edge[of] + k * RUN_WORDS
+    own = np.minimum(RUN_WORDS + 1, sizes[of] - k * RUN_WORDS)
+    word = np.append(word, len(ids))
+    lo, n = word[first], word[first + own] - word[first]
+    # ids of each run, then its marks
+    head, tail = (k == 0).astype(np.int64), (k == n_runs[of] - 1).astype(np.int64)
+    offsets = np.append(0, np.cumsum(n + head + tail))
+    flat = np.full(offsets[-1], -1, np.int32)
+    row, upto = np.arange(n.sum()), np.cumsum(n) - n
+    flat[np.repeat(offsets[:-1] + head - upto, n) + row] = ids[np.repeat(lo - upto, n) + row]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), of
+
+
+def _width(size: int) -> np.dtype:
+    """What an id of a vocabulary of this size is stored as."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def coded_texts(column: pa.BinaryArray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stored ids of texts in a row and how many each has, ``SLICE_IDS`` or one text at once."""
+    kind = _width(size)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // kind.itemsize
+    data = column.buffers()[2]
+    ids = np.frombuffer(data, kind, at[-1]) if data else np.zeros(0, kind)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE_IDS, side="right")) - 1)
+        yield ids[at[lo] : at[hi]], np.diff(at[lo : hi + 1])
+        lo = hi
 
 
 def gather(docs: DataFrame, vocabulary, text_col: str, stretches: bool = True) -> DataFrame:
-    """(word, c, ids, a, b): partial counts of all texts' words; of all pairs of neighbours (word null):
+    """(word, c, ids, a, b, whole): partial counts of all texts' words; of all pairs of neighbours (word null):
     how often slot b, 0 for the end, comes after a word whose first id is a; and, for a look at the
-    texts, stretches of ids, with -1 for a text's start and its end.  Training takes the counts alone."""
+    texts, stretches of ids, with -1 for a text's start and its end.  Without stretches, each text's ids (whole),
+    which training reads, so that texts are cut into ids once for all that learns from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _SCORERS.clear()  # a worker's scorer of an earlier model
@@ -253,6 +278,7 @@ def gather(docs: DataFrame, vocabulary, text_col: str, stretches: bool = True) -
         held: list[list[int]] = []
         n_docs = 0
         after = np.zeros(sub.size * SLOTS, np.int64)
+        width = _width(sub.size)
 
         def rows(n: int, **given: pa.Array) -> pa.RecordBatch:
             blank = {f.name: pa.array(np.zeros(n, np.int64)) if f.name == "c" else pa.nulls(n, f.type) for f in kind}
@@ -272,6 +298,7 @@ def gather(docs: DataFrame, vocabulary, text_col: str, stretches: bool = True) -
             for texts in slices(batch.column(0), SLICE):
                 words, sizes = words_of(texts)
                 n_docs += len(texts)
+                ids, n_ids = np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
                 if len(words):
                     coded = words.dictionary_encode()
                     index = coded.indices.to_numpy()
@@ -281,10 +308,15 @@ def gather(docs: DataFrame, vocabulary, text_col: str, stretches: bool = True) -
                     slot = np.append(_slot(first_id[1:]), 0)
                     slot[np.cumsum(sizes)[sizes > 0] - 1] = 0
                     np.add.at(after, first_id.astype(np.int64) * SLOTS + slot, 1)
+                    if not stretches:
+                        ids, n_ids = coder.spelled(number[index], sizes)
                 if sum(len(x) for x, _ in found) > 1_000_000:
                     yield from flush()
                     n_docs = 0
                 if not stretches:
+                    data = ids.astype(width)
+                    offsets = (np.append(0, np.cumsum(n_ids)) * width.itemsize).astype(np.int32)
+                    yield rows(len(texts), whole=pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
                     continue
                 # stretches begin at places that spread over each text
                 origin = np.cumsum(sizes) - sizes
@@ -300,8 +332,8 @@ def gather(docs: DataFrame, vocabulary, text_col: str, stretches: bool = True) -
         k = np.flatnonzero(after)
         yield rows(len(k), c=pa.array(after[k]), a=pa.array((k // SLOTS).astype(np.int32)), b=pa.array((k % SLOTS).astype(np.int32)))
 
-    kind = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("ids", pa.list_(pa.int32())), ("a", pa.int32()), ("b", pa.int32())])
-    return docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t")).mapInArrow(run, "word binary, c bigint, ids array<int>, a int, b int")
+    kind = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("ids", pa.list_(pa.int32())), ("a", pa.int32()), ("b", pa.int32()), ("whole", pa.binary())])
+    return docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t")).mapInArrow(run, "word binary, c bigint, ids array<int>, a int, b int, whole binary")
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -341,7 +373,7 @@ def spelling(counts: DataFrame, vocabulary, taken: tuple[float, float, float]) -
             for word, c in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 words.append(word)
                 counts.append(c)
-            if len(words) > 300_000:
+            if len(words) > 100_000:
                 yield flush()
         if words:
             yield flush()
@@ -349,27 +381,29 @@ def spelling(counts: DataFrame, vocabulary, taken: tuple[float, float, float]) -
     return counts.select("word", "c").mapInArrow(run, "a int, b int, c bigint, t bigint, d double").groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum("d").alias("d"))
 
 
-def followers(docs: DataFrame, vocabulary, text_col: str, number_a: np.ndarray, number_b: np.ndarray) -> DataFrame:
-    """(a, b, c) of all texts: how often a word comes (by the number of its first id in ``number_b``)
+def followers(coded: DataFrame, begins: np.ndarray, number_a: np.ndarray, number_b: np.ndarray) -> DataFrame:
+    """(a, b, c) of all texts' ids (whole): how often a word comes (by the number of its first id in ``number_b``)
     after an id (by its number in ``number_a``).  The numbers' last places are a text's start or end."""
-    sent = docs.sparkSession.sparkContext.broadcast((number_a, number_b))
+    sent = coded.sparkSession.sparkContext.broadcast((begins, number_a, number_b))
     width = int(number_b.max()) + 1
 
-    def run(batches: Iterator[pa.ListArray]) -> Iterator[pa.RecordBatch]:
-        begins = np.append(_subwords(vocabulary.value).begins, True)
-        of, to = sent.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _SCORERS.clear()
+        begins, of, to = sent.value
+        marked = np.append(begins, True)
         total = np.zeros((int(of.max()) + 1) * width, np.int64)
-        for ids in batches:
-            flat, sizes = ids.flatten().to_numpy().astype(np.int64), np.diff(ids.offsets.to_numpy())
+        for ids, n in (x for batch in batches for x in coded_texts(batch.column(0), len(begins))):
+            runs, _ = as_runs(ids, n, begins)
+            flat, sizes = runs.flatten().to_numpy(), np.diff(runs.offsets.to_numpy())
             row = np.repeat(np.arange(len(sizes)), sizes)
-            later = np.flatnonzero(begins[flat])[1:]
+            later = np.flatnonzero(marked[flat])[1:]
             before = later - 1
             same = row[before] == row[later]
             np.add.at(total, of[flat[before[same]]] * width + to[flat[later[same]]], 1)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"a": pa.array((k // width).astype(np.int32)), "b": pa.array((k % width).astype(np.int32)), "c": pa.array(total[k])})
 
-    return runs_of(docs, vocabulary, text_col, run, "a int, b int, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    return coded.select("whole").mapInArrow(run, "a int, b int, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
 def _dense(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -511,6 +545,19 @@ class Tables:
         return places, want - np.log(z.sum(1))
 
 
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``x`` from each place of ``first`` to the next: the first few rows of all
+    stretches at once, the rest of long ones each by itself (faster than ``reduceat`` where rows are wide)."""
+    n = np.diff(first, append=len(x))
+    out = x.take(first, axis=0)
+    for k in range(1, 8):
+        more = np.flatnonzero(n > k)
+        out[more] += x.take(first[more] + k, axis=0)
+    for k in np.flatnonzero(n > 8).tolist():
+        out[k] += x[first[k] + 8 : first[k] + n[k]].sum(0)
+    return out
+
+
 def _by_input(inputs: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The inputs that occur, in order, and for each the sum of its rows of ``x``."""
     order = np.argsort(inputs, kind="stable")
@@ -534,7 +581,7 @@ def gradients(net: Net, c: np.ndarray, target: np.ndarray, weight: np.ndarray) -
     p += (net.last + net.base).take(given, axis=0)
     np.clip(p, -80, 80, out=p)  # logarithms of shares with small corrections
     np.exp(p, out=p)
-    mass = p.sum(1)
+    mass = p @ np.ones(CLASSES, p.dtype)
     m = weight[rows // n].astype(p.dtype)
     total = max(1e-9, float(m.sum()))
     at = np.arange(len(rows))
@@ -543,7 +590,7 @@ def gradients(net: Net, c: np.ndarray, target: np.ndarray, weight: np.ndarray) -
     p[at, want] -= m / total
 
     first = np.flatnonzero(np.diff(given.astype(np.int32), prepend=-1))
-    d_last = given[first], np.add.reduceat(p, first, axis=0) if len(first) else p[:0]
+    d_last = given[first], _sums(p, first)
     d_both = np.zeros_like(both)
     d_both[rows] = p @ net.out.T
     d_both = d_both.reshape(b, n, 2 * DIM)
@@ -657,29 +704,31 @@ def averaged(sets: DataFrame, parts: int) -> np.ndarray:
     return np.average(np.array([g.p for g in got]), axis=0, weights=weight).astype(np.float32)
 
 
-def train_net(docs: DataFrame, vocabulary, text_col: str, n_words: int, start: Net, packs: np.ndarray) -> Net:
-    """Steps on all of ``docs``, which have some ``n_words``: a hash deals texts to rounds and, in
+def train_net(coded: DataFrame, n_words: int, start: Net, packs: np.ndarray) -> Net:
+    """Steps on all texts' ids (whole), of some ``n_words``: a hash deals texts to rounds and, in
     each, to parts that take local steps; parameters are averaged between rounds."""
-    sc = docs.sparkSession.sparkContext
+    sc = coded.sparkSession.sparkContext
     table = sc.broadcast(packs)
+    size_of_id = _width(len(packs) - 1)
     parts = max(1, -(-n_words // (ROUNDS * PART_WORDS)))
-    texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = coded.select("whole").withColumn("h", F.xxhash64("whole"))
     texts = texts.withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(parts)))
     net = start
 
     def once(batches):
         # equal texts of a batch are one, so that copies don't gather in the task of their part
         for b in batches:
-            t = pa.Table.from_batches([b]).group_by(["part", "h", "text"], use_threads=False).aggregate([([], "count_all")])
-            yield from t.rename_columns(["part", "h", "text", "m"]).combine_chunks().to_batches()
+            t = pa.Table.from_batches([b]).group_by(["part", "h", "whole"], use_threads=False).aggregate([([], "count_all")])
+            yield from t.rename_columns(["part", "h", "whole", "m"]).combine_chunks().to_batches()
 
     for k in range(ROUNDS):
         sent = sc.broadcast(net)
 
         def run(batches, sent=sent, k=k):
+            _SCORERS.clear()
             steady()
-            coder = Coder(_subwords(vocabulary.value))
             start, packs = sent.value, table.value
+            begins = packs[:-1] & 255 != NONE
             part, net, mass = None, start, 0.0
             some, copies, size = [], [], 0  # texts with their copies
             held, windows = [], 0  # windows that wait for a step
@@ -696,7 +745,8 @@ def train_net(docs: DataFrame, vocabulary, text_col: str, n_words: int, start: N
             def cut_up():
                 nonlocal size, windows
                 if some:
-                    rows, of = coder.runs(some)
+                    n = np.array([len(x) for x in some]) // size_of_id.itemsize
+                    rows, of = as_runs(np.frombuffer(b"".join(some), size_of_id), n, begins)
                     weight = 1 + np.log2(np.array(copies, float))[of]
                     for at in range(0, len(rows), 4096):
                         given, target, w = as_windows(rows.slice(at, 4096), packs, weight[at : at + 4096])
@@ -729,16 +779,16 @@ def train_net(docs: DataFrame, vocabulary, text_col: str, n_words: int, start: N
                         if p != part:
                             yield from close()
                             part = p
-                        elif size >= SLICE:
+                        elif size >= SLICE_IDS:
                             cut_up()
                         last = p, text
                         some.append(text)
                         copies.append(m)
-                        size += len(text)
+                        size += len(text) // size_of_id.itemsize
             yield from close()
 
-        own = texts.where(F.pmod("h", F.lit(ROUNDS)) == k).select("part", "h", "text").mapInArrow(once, "part bigint, h bigint, text string, m bigint")
-        dealt = own.repartitionById(min(parts, 4096), F.pmod("part", F.lit(4096)).cast("int")).sortWithinPartitions("part", "h", "text")
+        own = texts.where(F.pmod("h", F.lit(ROUNDS)) == k).select("part", "h", "whole").mapInArrow(once, "part bigint, h bigint, whole binary, m bigint")
+        dealt = own.repartitionById(min(parts, 4096), F.pmod("part", F.lit(4096)).cast("int")).sortWithinPartitions("part", "h", "whole")
         sets = settle(dealt.mapInArrow(run, "part bigint, n double, p array<float>"), "fitted")
         if sets.isEmpty():
             continue
@@ -766,13 +816,32 @@ class Model:
     end_count: int
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of texts are small meanwhile: each task holds several at once, in the JVM and in its worker."""
+    given = {k: spark.conf.get(k, None) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in given.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def train(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the settled word counts (word, key, c), fitted on all of ``docs``."""
+    with small_batches(docs.sparkSession):
+        return _train(docs, vocabulary_path, text_col)
+
+
+def _train(docs: DataFrame, vocabulary_path: str, text_col: str) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     ship(spark)
     with open(vocabulary_path, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     got = settle(gather(docs, vocabulary, text_col, stretches=False), "gathered")
+    coded = got.where("whole is not null").select("whole")
     counts = got.where("word is not null").groupBy("word").agg(F.sum("c").alias("c"))
     counts = settle(counts.select("word", _key(F.col("word")).alias("key"), "c"), "counts")
     total = counts.where("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
@@ -822,8 +891,8 @@ def train(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> tupl
 
     inputs = inputs_of(seen, kinds)
     packs = np.append(inputs[:-1] * 256 + np.where(sub.begins, classes, NONE), END)
-    last = last_table(_dense(followers(docs, vocabulary, text_col, inputs, np.append(classes, END)), (INPUTS, CLASSES)))
-    net = train_net(docs, vocabulary, text_col, int(total.n or 0), start_net(last), packs)
+    last = last_table(_dense(followers(coded, sub.begins, inputs, np.append(classes, END)), (INPUTS, CLASSES)))
+    net = train_net(coded, int(total.n or 0), start_net(last), packs)
     head = commonest(real.select("key", "c"), "c", HEAD).toArrow()
     table = dict(zip(head["key"].to_pylist(), head["c"].to_pylist()))
     return Model(net, packs, classes, np.maximum(1, mass), taken, lead, kinds, follow, table, int(total.n or 0), int(total.v or 0), n_texts), counts
@@ -967,7 +1036,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, vocabulary_path: str
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     part = src.mapInArrow(run, f"id {kind}, n bigint, known bigint, base double, score double, rare array<struct<w:binary,m:int,s:double>>")
-    part = settle(part.withColumn("row", F.monotonically_increasing_id()), "scored")
+    with small_batches(docs.sparkSession):
+        part = settle(part.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = part.where("rare is not null").select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("key"), F.col("x.m").alias("m"), F.col("x.s").alias("s"))
     held = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(b" "))).select("key", "c")
     c = F.coalesce(F.col("c"), F.lit(0))

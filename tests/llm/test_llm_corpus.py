@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -624,6 +625,56 @@ def test_neighbours_of_all_texts(spark):
     assert {(r.a, r.b): r.c for r in rows} == want
 
 
+def test_texts_are_kept_as_ids(spark, tricky, monkeypatch):
+    """What training reads: all ids of each text, in slices of bounded size; pairs of neighbours come from them."""
+    data = open(RANKS, "rb").read()
+    sub = lm.Subwords(data)
+    coded = lm.gather(tricky, spark.sparkContext.broadcast(data), "text", stretches=False).where("whole is not null").select("whole")
+    want = [[i for w in words(r.text) for i in sub.ids(w.encode("utf-8", "replace"))] for r in tricky.collect()]
+    column = coded.toArrow()["whole"].combine_chunks()
+    monkeypatch.setattr(lm, "SLICE_IDS", 50)
+    got = []
+    for ids, n in lm.coded_texts(column.slice(1), sub.size):
+        assert len(n) == 1 or len(ids) <= 50
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert sorted([*got, np.frombuffer(column[0].as_py(), "<u2").tolist()]) == sorted(want)
+    none, kind = np.arange(sub.size + 1), np.append(np.arange(sub.size) % 50, 50)
+    pairs = Counter()
+    for ids in want:
+        marked = [sub.size, *ids, sub.size]
+        pairs.update((x, int(kind[y])) for x, y in zip(marked, marked[1:]) if y == sub.size or sub.begins[y])
+    assert {(r.a, r.b): r.c for r in lm.followers(coded, sub.begins, none, kind).collect()} == pairs
+
+
+def test_batches_of_texts_are_small(spark, documents, monkeypatch):
+    """Wherever texts, or their ids, go to workers, by rows and by bytes; afterwards the session is as it was."""
+    names, seen, kept = list(lm.BATCHES), {}, lm.settle
+    before = [spark.conf.get(k) for k in names]
+    monkeypatch.setattr(lm, "settle", lambda df, name: (seen.update({name: spark.conf.get(names[0])}), kept(df, name))[1])
+    model, counts = lm.train(documents, RANKS)
+    lm.score(documents, model, counts, RANKS)
+    assert {"gathered", "fitted", "scored"} <= set(seen) and set(seen.values()) == {"1000"}
+    assert [spark.conf.get(k) for k in names] == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.column(0).nbytes]})
+
+    with lm.small_batches(spark):
+        for length, n in ((10, 1000), (50_000, 400)):
+            got = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), length).alias("t")).mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in got) == 3000 and max(r.n for r in got) <= n and max(r.bytes for r in got) < 20e6
+
+
+def test_sums_of_stretches():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 7, 8, 9, 500):
+        x = r.standard_normal((n, 5)).astype(np.float32)
+        first = np.flatnonzero(np.diff(np.sort(np.minimum(r.zipf(1.3, n), 60)), prepend=-1)) if n else np.zeros(0, int)
+        want = [x[a:b].sum(0) for a, b in zip(first, [*first[1:], n])]
+        assert np.allclose(lm._sums(x, first), np.reshape(want, (-1, 5)), atol=1e-4)
+
+
 def test_averages_by_a_tree(spark):
     r = np.random.default_rng(9)
     rows = [(k, float(r.integers(1, 50)), r.standard_normal(7).astype(np.float32).tolist()) for k in range(600) if k % 7]
