@@ -83,7 +83,7 @@ NONE = 255  # no target: an id inside a word
 #: Longer words are merged by a heap.
 LONG_WORD = 400
 #: Characters that are counted or scored at once, and words that a worker remembers.
-SLICE, CACHE_WORDS = 1_500_000, 200_000
+SLICE, SCORE_SLICE, CACHE_WORDS = 1_500_000, 750_000, 200_000
 #: Ids of texts that are learned from at once, and what bounds a batch of texts that Spark hands to a worker.
 SLICE_IDS = 400_000
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
@@ -434,7 +434,9 @@ def clusters(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 15) -> np.
         own = near[order]
         first = np.flatnonzero(np.diff(own, prepend=-1))
         mass = np.add.reduceat(w[order], first)
-        centre[own[first]] = np.add.reduceat(y[order] * w[order, None], first, axis=0) / mass[:, None]
+        rows = y[order]
+        rows *= w[order, None]
+        centre[own[first]] = np.add.reduceat(rows, first, axis=0) / mass[:, None]
     return np.argmax(x @ centre.T - 0.5 * (centre**2).sum(1), axis=1)
 
 
@@ -864,6 +866,7 @@ def _train(docs: DataFrame, vocabulary_path: str, text_col: str) -> tuple[Model,
     # ids that don't occur are of kind 0; the others go by what comes after them
     some = np.flatnonzero(seen > 0)
     x = np.hstack([np.sqrt(c[some] / np.maximum(1, c[some].sum(1, keepdims=True))) for c in (inside, across)])
+    del inside, across
     kinds = np.zeros(size, np.int64)
     kinds[some] = clusters(x, np.sqrt(seen[some]), KINDS)
     classes = np.full(size, CLASSES - 1)
@@ -873,7 +876,7 @@ def _train(docs: DataFrame, vocabulary_path: str, text_col: str) -> tuple[Model,
     rest = rest[tokens[rest] > 0]
     classes[own] = 1 + np.arange(len(own))
     classes[rest] = 1 + OWN_OUTPUTS + clusters(x[np.searchsorted(some, rest)], np.sqrt(tokens[rest]), CLASSES - 1 - OWN_OUTPUTS)
-    del x, inside, across
+    del x
     mass = np.bincount(classes, weights=tokens, minlength=CLASSES)
     # words that aren't there are spelled as the distinct words are
     in_class = np.bincount(classes[sub.begins], weights=types[sub.begins] + SMOOTH, minlength=CLASSES)
@@ -1028,10 +1031,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, vocabulary_path: str
         s = _scorer(sent.value, _subwords(vocabulary.value))
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1), SLICE):
+            for texts in slices(batch.column(1), SCORE_SLICE):
                 got = s.texts(texts)
                 yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(at, len(texts)), **got})
                 at += len(texts)
+        pa.default_memory_pool().release_unused()  # the worker stays, with its scorer
 
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
