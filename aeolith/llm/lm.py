@@ -75,6 +75,10 @@ HEAD, KEY_BYTES = 200_000, 32
 ROUNDS, BATCH, RATE = 3, 128, 0.02
 #: Words of a part, about; windows that take steps at once, and words of a run of ids.
 PART_WORDS, PART_WINDOWS, RUN_WORDS, FAN = 1_000_000, 65_536, 8_192, 16
+#: Windows of a step that look back together.
+BLOCK = 64
+#: Rows of an input that are added up layer by layer.
+LAYERS = 16
 SMOOTH, BACK = 0.5, 5.0
 START, STOP = -1, -2
 END = 0  # the class of the end
@@ -125,6 +129,11 @@ def _key(word: Column) -> Column:
     return F.when(F.octet_length(word) <= KEY_BYTES, word).otherwise(F.concat(F.lit(b" "), F.unhex(F.md5(word))))
 
 
+def over(words: list[bytes], size: int) -> list[int]:
+    """Which words are longer."""
+    return np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) > size).tolist()
+
+
 class Subwords:
     """Ids of words by a rank file: a word with the space before it is one piece."""
 
@@ -143,8 +152,12 @@ class Subwords:
         """
         if not words:
             return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
-        text = b"".join([b" " + (w if len(w) <= LONG_WORD else b"x") for w in words]).decode("utf-8", "replace")
+        long = over(words, LONG_WORD)
+        if long:
+            short = list(words)
+            for k in long:
+                short[k] = b"x"
+        text = b" ".join([b"", *(short if long else words)]).decode("utf-8", "replace")
         ids = np.array(self.encoding.encode_ordinary(text), np.int64)
         first = np.append(np.flatnonzero(self.begins[ids]), len(ids))
         if long:
@@ -478,6 +491,7 @@ def last_table(counts: np.ndarray) -> np.ndarray:
     return np.log(table / table.sum(1, keepdims=True))
 
 
+_LOG2E = math.log2(math.e)
 _I = np.arange(WINDOW)
 _DISTANCE = np.maximum(0, _I[:, None] - _I[None, :])
 _FUTURE = _I[None, :] > _I[:, None]
@@ -494,120 +508,202 @@ def steady() -> None:
     np.empty(24 << 20, np.uint8)
 
 
-def _attend(net: Net, c: np.ndarray):
-    """For windows of inputs (B, n): embeddings, q, k, v, attention and its values."""
-    n = c.shape[1]
-    x = net.embed[c]
-    qkv = x.reshape(-1, DIM) @ net.qkv
-    q, k, v = (qkv[:, i * DIM : (i + 1) * DIM].reshape(*c.shape, DIM) for i in range(3))
-    s = np.matmul(q * net.bias.dtype.type(1 / math.sqrt(DIM)), k.transpose(0, 2, 1))
-    np.clip(s, -60, 60, out=s)
-    np.exp(s, out=s)
-    s *= _nearness(net.bias)[:n, :n]
-    s /= s.sum(2, keepdims=True)  # over e-80: the place itself is always seen
-    return x, q, k, v, s, np.matmul(s, v)
-
-
 class Tables:
     """A network made ready for scoring: an input is embedded without its place, so its query,
     key, value and own part of the output are rows of tables."""
 
     def __init__(self, net: Net):
         qkv = net.embed @ net.qkv
-        self.query = np.ascontiguousarray(qkv[:, :DIM]) / np.float32(math.sqrt(DIM))
+        # exponents are of 2, whose powers numpy is faster at
+        self.query = np.ascontiguousarray(qkv[:, :DIM]) * np.float32(_LOG2E / math.sqrt(DIM))
         self.key = np.ascontiguousarray(qkv[:, DIM : 2 * DIM])
         # a value and a one, which adds up what the weights are divided by
         self.value = np.hstack((qkv[:, 2 * DIM :], np.ones((len(qkv), 1), np.float32)))
-        self.own = net.last + net.embed @ net.out[DIM:] + net.base
-        self.out = np.ascontiguousarray(net.out[:DIM])
+        self.own = (net.last + net.embed @ net.out[DIM:] + net.base) * np.float32(_LOG2E)
+        self.out = net.out[:DIM] * np.float32(_LOG2E)
         self.near = _nearness(net.bias).astype(np.float32)
         # whether sums can leave what exp can take
-        size = lambda x, axis: float(np.sqrt((x.astype(float) ** 2).sum(axis)).max())
-        self.far = size(self.query, 1) * size(self.key, 1) > 60
-        self.wide = float(np.abs(self.own).max()) + size(self.value[:, :DIM], 1) * size(self.out, 0) > 80
-
-    def scores(self, c: np.ndarray, target: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, natural log probability of ``target`` there) of windows ``c`` (the input before
-        each target), for the places from ``skip`` on that have a target."""
-        later, target = c[:, skip:], target[:, skip:].ravel()
-        places = np.flatnonzero(target != NONE)
+        self.far = _longest(self.query) * _longest(self.key) > 60 * _LOG2E
+        self.wide = float(np.abs(self.own).max()) + _longest(self.value[:, :DIM]) * _longest(self.out.T) > 80 * _LOG2E
+
+    def scores(self, c: np.ndarray, pos: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log probability of ``target`` behind the places ``pos`` of windows ``c`` (inputs); as many for
+        each window.  Products are made window by window, as their rows are rounded by where they stand."""
+        later = np.take_along_axis(c, pos, 1)
         s = np.matmul(self.query.take(later, axis=0, mode="clip"), self.key.take(c, axis=0, mode="clip").transpose(0, 2, 1))
         if self.far:
-            np.clip(s, np.float32(-60), np.float32(60), out=s)
-        np.exp(s, out=s)
-        s *= self.near[skip : c.shape[1], : c.shape[1]]
-        h = np.matmul(s, self.value.take(c, axis=0, mode="clip")).reshape(-1, DIM + 1).take(places, axis=0)
-        # over e-80: the place itself is always seen; row by row, as rows of a product of matrices are rounded by where they stand
-        z = np.matmul((h[:, :DIM] / h[:, DIM:])[:, None, :], self.out)[:, 0]
-        z += self.own.take(later.ravel().take(places), axis=0, mode="clip")
+            np.clip(s, np.float32(-60 * _LOG2E), np.float32(60 * _LOG2E), out=s)
+        np.exp2(s, out=s)
+        s *= self.near.take(pos, axis=0, mode="clip")
+        h = np.matmul(s, self.value.take(c, axis=0, mode="clip"))
+        # over e-80: the place itself is always seen
+        z = np.matmul(h[..., :DIM] / h[..., DIM:], self.out).reshape(-1, CLASSES)
+        z += self.own.take(later.ravel(), axis=0, mode="clip")
         if self.wide:
-            np.clip(z, np.float32(-80), np.float32(80), out=z)
-        want = z.ravel().take(np.arange(0, z.size, CLASSES) + target.take(places), mode="clip")
-        np.exp(z, out=z)
-        return places, want - np.log(z.sum(1))
+            np.clip(z, np.float32(-80 * _LOG2E), np.float32(80 * _LOG2E), out=z)
+        want = z.ravel().take(np.arange(0, z.size, CLASSES) + target.ravel(), mode="clip")
+        np.exp2(z, out=z)
+        return ((want - np.log2(z.sum(1))) / np.float32(_LOG2E)).reshape(target.shape)
 
 
-def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``x`` from each place of ``first`` to the next: the first few rows of all
-    stretches at once, the rest of long ones each by itself (faster than ``reduceat`` where rows are wide)."""
-    n = np.diff(first, append=len(x))
-    out = x.take(first, axis=0)
-    for k in range(1, 8):
-        more = np.flatnonzero(n > k)
-        out[more] += x.take(first[more] + k, axis=0)
-    for k in np.flatnonzero(n > 8).tolist():
-        out[k] += x[first[k] + 8 : first[k] + n[k]].sum(0)
-    return out
+def _longest(x: np.ndarray) -> float:
+    """The largest length of a row."""
+    return math.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))
 
 
-def _by_input(inputs: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The inputs that occur, in order, and for each the sum of its rows of ``x``."""
-    order = np.argsort(inputs, kind="stable")
-    own = inputs[order]
-    first = np.flatnonzero(np.diff(own.astype(np.int32), prepend=-1))
-    return own[first], np.add.reduceat(x[order], first, axis=0) if len(first) else x[:0]
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``x`` from each place of ``first`` to the next."""
+    return np.add.reduceat(x, first, axis=0) if len(first) else x[:0]
+
+
+class Groups:
+    """Rows by the input they are of, in an order in which sums by input need no gathering: the inputs with the most
+    rows first; the first rows of all inputs, the second rows of those that have two, and so on for ``LAYERS``; then what
+    is left, input by input."""
+
+    def __init__(self, inputs: np.ndarray):
+        order = np.argsort(inputs, kind="stable")
+        sizes = np.bincount(inputs, minlength=1)
+        used = np.flatnonzero(sizes)
+        sizes = sizes[used]
+        by = np.argsort(-sizes, kind="stable")
+        first = (np.cumsum(sizes) - sizes)[by]
+        self.inputs, sizes = used[by], sizes[by]
+        # so many inputs have a first row, a second one, ...
+        *self.counts, late = np.searchsorted(-sizes, -np.arange(LAYERS + 1)).tolist()
+        more = sizes[:late] - LAYERS
+        self.tail = np.repeat(np.arange(late), more)  # inputs of the rows that are left
+        left = np.repeat(first[:late] + LAYERS - (np.cumsum(more) - more), more) + np.arange(len(self.tail))
+        #: the rows in this order
+        self.order = order.take(np.concatenate([*(first[:n] + k for k, n in enumerate(self.counts)), left]))
+
+    def add(self, x: np.ndarray, table: np.ndarray) -> None:
+        """Adds to each of the rows (in this order) its input's row of ``table`` (in the order of ``inputs``)."""
+        at = 0
+        for n in self.counts:
+            x[at : at + n] += table[:n]
+            at += n
+        x[at:] += table.take(self.tail, axis=0)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """For each of ``inputs`` the sum of its rows (in this order)."""
+        out, at = x[: len(self.inputs)].copy(), len(self.inputs)
+        for n in self.counts[1:]:
+            out[:n] += x[at : at + n]
+            at += n
+        if len(self.tail):
+            late = int(self.tail[-1]) + 1
+            out[:late] += (self.tail == np.arange(late)[:, None]).astype(x.dtype) @ x[at:]
+        return out
 
 
 def gradients(net: Net, c: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, Net]:
     """Mean loss over the places with a target, weighted by window, and its gradients; those of the
-    tables by input as (inputs that occur, their rows)."""
-    b, n = c.shape
-    x, q, k, v, s, h = _attend(net, c)
-    both = np.concatenate((h, x), axis=2).reshape(-1, 2 * DIM)
-    rows = np.flatnonzero(target.ravel() != NONE)
-    # by input, so that an input's rows of the table and of its gradient stand together
-    rows = rows[np.argsort(c.ravel()[rows], kind="stable")]
-    want, given = target.ravel()[rows], c.ravel()[rows]
-    some = both[rows]
-    p = some @ net.out
-    p += (net.last + net.base).take(given, axis=0)
-    np.clip(p, -80, 80, out=p)  # logarithms of shares with small corrections
-    np.exp(p, out=p)
+    tables by input as (inputs that occur, their rows).
+
+    Only places with a target look back: windows are taken in blocks of like numbers of targets, each window's filled up to
+    its block's most by places without a gradient.  What an input has by itself (query, key, value, own part of
+    the output) is made, and its gradient is followed back, once for all places that have it."""
+    n, real = c.shape[1], net.embed.dtype.type
+    has = target != NONE
+    m = has.sum(1)
+    windows = np.argsort(m, kind="stable")
+    c, target, has, m = c[windows], target[windows], has[windows], m[windows]
+    row, col = np.nonzero(has)
+    slot = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+    place = row * n + col
+    order = np.argsort(c, axis=None, kind="stable")
+    inputs = c.ravel()[order]
+    first = np.flatnonzero(np.append(True, inputs[1:] != inputs[:-1]))
+    inputs = inputs[first]
+    number = np.empty(len(net.embed), np.int64)
+    number[inputs] = np.arange(len(inputs))
+    code = number[c]
+    some = Groups(code.ravel().astype(np.int16)[place])
+
+    # exponents are of 2, whose powers numpy is faster at
+    e = net.embed.take(inputs, axis=0)
+    qkv = e @ net.qkv
+    query, key = qkv[:, :DIM] * real(_LOG2E / math.sqrt(DIM)), np.ascontiguousarray(qkv[:, DIM : 2 * DIM])
+    # a value and a one, which adds up what the weights are divided by
+    value = np.hstack((qkv[:, 2 * DIM :], np.ones((len(qkv), 1), real)))
+    near = _nearness(net.bias)[:n, :n]
+    far = _longest(query) * _longest(key) > 60 * _LOG2E
+
+    blocks, h = [], np.empty((len(row), DIM + 1), real)
+    for lo in range(0, len(c), BLOCK):
+        hi = min(lo + BLOCK, len(c))
+        t = slice(*np.searchsorted(row, (lo, hi)).tolist())
+        if t.start == t.stop:
+            continue
+        most = int(m[hi - 1])
+        pos = np.full((hi - lo, most), n - 1)
+        at = (row[t] - lo) * most + slot[t]
+        pos.ravel()[at] = col[t]
+        k, v = key.take(code[lo:hi], axis=0), value.take(code[lo:hi], axis=0)
+        q = query.take(np.take_along_axis(code[lo:hi], pos, 1), axis=0)
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        if far:
+            np.clip(s, -60 * _LOG2E, 60 * _LOG2E, out=s)
+        np.exp2(s, out=s)
+        s *= near.take(pos, axis=0)
+        h[t] = np.matmul(s, v).reshape(-1, DIM + 1).take(at, axis=0)
+        blocks.append((lo, hi, t, at, pos, q, k, v, s))
+    weights = h[:, DIM:]
+    h = h[:, :DIM] / weights  # over e-80: the place itself is always seen
+
+    # the classes, by input, so that an input's rows of the table and of its gradient stand together
+    before = e.take(some.inputs, axis=0)
+    by_input = net.last.take(inputs[some.inputs], axis=0)
+    by_input += net.base
+    by_input += before @ net.out[DIM:]
+    by_input *= real(_LOG2E)
+    out = net.out[:DIM] * real(_LOG2E)
+    given, want = h.take(some.order, axis=0), target.ravel()[place[some.order]]
+    p = given @ out
+    some.add(p, by_input)
+    if np.abs(by_input).max(initial=0) + _longest(value[:, :DIM]) * _longest(out.T) > 80 * _LOG2E:
+        np.clip(p, -80 * _LOG2E, 80 * _LOG2E, out=p)  # logarithms of shares with small corrections
+    np.exp2(p, out=p)
     mass = p @ np.ones(CLASSES, p.dtype)
-    m = weight[rows // n].astype(p.dtype)
-    total = max(1e-9, float(m.sum()))
-    at = np.arange(len(rows))
-    loss = -float((np.log(p[at, want] / mass) * m).sum()) / total
-    p *= (m / total / mass)[:, None]
-    p[at, want] -= m / total
-
-    first = np.flatnonzero(np.diff(given.astype(np.int32), prepend=-1))
-    d_last = given[first], _sums(p, first)
-    d_both = np.zeros_like(both)
-    d_both[rows] = p @ net.out.T
-    d_both = d_both.reshape(b, n, 2 * DIM)
-    d_h, d_x = d_both[..., :DIM], d_both[..., DIM:].copy()
-    d_s = np.matmul(d_h, v.transpose(0, 2, 1))
-    d_v = np.matmul(s.transpose(0, 2, 1), d_h)
+    share = weight[windows][row[some.order]].astype(p.dtype)
+    total = max(1e-9, float(share.sum()))
+    at = np.arange(len(row))
+    loss = -float((np.log(p[at, want] / mass) * share).sum()) / total
+    share /= real(total)
+    p *= (share / mass)[:, None]
+    p[at, want] -= share
+    d_last = some.sums(p)
+    d_out = np.zeros_like(net.out)
+    for lo in range(0, len(p), 256):  # a product of so many rows stays in the cache
+        d_out[:DIM] += given[lo : lo + 256].T @ p[lo : lo + 256]
+    d_out[DIM:] = before.T @ d_last
+    back = np.empty_like(some.order)
+    back[some.order] = at
+    d_h = np.empty((len(row), DIM + 1), real)
+    d_h[:, :DIM] = (p @ net.out[:DIM].T).take(back, axis=0)
     # sum over j of s d_s is h d_h
-    d_s -= np.einsum("bnd,bnd->bn", h, d_h)[:, :, None]
-    d_s *= s
-    d_bias = np.bincount(_DISTANCE[:n, :n].ravel(), weights=d_s.sum(0).ravel(), minlength=WINDOW).astype(net.bias.dtype)
-    d_s *= p.dtype.type(1 / math.sqrt(DIM))
-    d_q, d_k = np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q)
-    d_qkv = np.concatenate((d_q, d_k, d_v), axis=2).reshape(-1, 3 * DIM)
-    d_x += (d_qkv @ net.qkv.T).reshape(b, n, DIM)
-    return loss, Net(_by_input(c.ravel(), d_x.reshape(-1, DIM)), x.reshape(-1, DIM).T @ d_qkv, d_bias, some.T @ p, d_last, p.sum(0))
+    d_h[:, DIM] = (h * d_h[:, :DIM]) @ np.full(DIM, -1, real)
+    d_h /= weights
+
+    d_q, d_kv, d_near = np.empty_like(h), np.zeros((len(c), n, 2 * DIM), real), np.zeros((n, n), real)
+    for lo, hi, t, at, pos, q, k, v, s in blocks:
+        g = np.zeros((*pos.shape, DIM + 1), real)
+        g.reshape(-1, DIM + 1)[at] = d_h[t]
+        d_s = np.matmul(g, v.transpose(0, 2, 1))
+        d_s *= s
+        d_near += (pos.ravel() == _I[:n, None]).astype(real) @ d_s.reshape(-1, n)
+        d_q[t] = np.matmul(d_s, k).reshape(-1, DIM).take(at, axis=0)
+        np.matmul(d_s.transpose(0, 2, 1), q, out=d_kv[lo:hi, :, :DIM])
+        np.matmul(s.transpose(0, 2, 1), g[..., :DIM], out=d_kv[lo:hi, :, DIM:])
+    d_bias = np.bincount(_DISTANCE[:n, :n].ravel(), weights=d_near.ravel(), minlength=WINDOW).astype(real)
+    d_qkv = np.zeros_like(qkv)
+    d_qkv[some.inputs, :DIM] = some.sums(d_q.take(some.order, axis=0)) * real(1 / math.sqrt(DIM))
+    d_qkv[:, DIM:] = _sums(d_kv.reshape(-1, 2 * DIM).take(order, axis=0), first)
+    d_qkv[:, DIM : 2 * DIM] *= real(1 / _LOG2E)  # of the query, as it was scaled
+    d_embed = d_qkv @ net.qkv.T
+    d_embed[some.inputs] += d_last @ net.out[DIM:].T
+    return loss, Net((inputs, d_embed), e.T @ d_qkv, d_bias, d_out, (inputs[some.inputs], d_last), d_last.sum(0))
 
 
 def fit(net: Net, given: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float = RATE, seed: int = 1) -> Net:
@@ -622,12 +718,25 @@ def fit(net: Net, given: np.ndarray, target: np.ndarray, weight: np.ndarray, rat
         w = order[at : at + BATCH]
         _, grads = gradients(Net(*params), given[w], target[w], weight[w])
         t += 1
-        now = rate * (1 - 0.9 * t / steps)
+        now, wide = rate * (1 - 0.9 * t / steps) / (1 - 0.9**t), math.sqrt(1 - 0.99**t)
         for a, g, u, v in zip(params, grads, m1, m2):
-            rows, g = g if isinstance(g, tuple) else (slice(None), g)
-            u[rows] = x = 0.9 * u[rows] + 0.1 * g
-            v[rows] = y = 0.99 * v[rows] + 0.01 * g * g
-            a[rows] -= now / (1 - 0.9**t) * x / (np.sqrt(y / (1 - 0.99**t)) + 1e-6)
+            rows, g = g if isinstance(g, tuple) else (None, g)
+            x, y = (u, v) if rows is None else (u.take(rows, axis=0), v.take(rows, axis=0))
+            # in place: 0.9 u + 0.1 g, 0.99 v + 0.01 g g, and the first by the root of the second
+            x *= 0.9
+            y *= 0.99
+            x += 0.1 * g
+            g *= g
+            g *= 0.01
+            y += g
+            np.sqrt(y, out=g)
+            g += 1e-6 * wide
+            np.divide(x, g, out=g)
+            g *= now * wide
+            if rows is None:
+                a -= g
+            else:
+                u[rows], v[rows], a[rows] = x, y, a.take(rows, axis=0) - g
     return Net(*params)
 
 
@@ -928,11 +1037,15 @@ class Scorer:
         stop = m.follow[m.kinds[ids[first[1:] - 1]], m.follow.shape[1] - 1]
         spelled = np.add.reduceat(each, begin) + stop
         mass = m.mass[m.classes[ids[begin]]]
-        keys = [w if len(w) <= KEY_BYTES else key_of(w) for w in new]
-        head = m.head.get
-        c = np.array([head(k, np.nan) for k in keys])
-        self.base = np.concatenate((self.base, np.log10(c + 1)))
-        self.own = np.concatenate((self.own, np.log10((c - np.array([0.0, *m.taken])[np.clip(np.nan_to_num(c), 0, 3).astype(int)]) / mass + 10.0**spelled)))
+        keys = list(new)
+        for k in over(new, KEY_BYTES):
+            keys[k] = key_of(new[k])
+        c = np.fromiter(map(m.head.get, keys, itertools.repeat(np.nan)), float, len(keys))
+        known = np.flatnonzero(c == c)
+        base, own = np.full((2, len(c)), np.nan)
+        base[known] = np.log10((c := c[known]) + 1)
+        own[known] = np.log10((c - np.array([0.0, *m.taken])[np.clip(c, 0, 3).astype(int)]) / mass[known] + 10.0 ** spelled[known])
+        self.base, self.own = np.concatenate((self.base, base)), np.concatenate((self.own, own))
         self.spelled, self.mass = np.concatenate((self.spelled, spelled)), np.concatenate((self.mass, np.log10(mass)))
         self.first = np.concatenate((self.first, self.first[-1] + first[1:].astype(np.int32)))
         packs = m.packs[ids].astype(np.int32)
@@ -988,20 +1101,27 @@ class Scorer:
             "rare": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), rare_words),
         }
 
-    def classes(self, packed: np.ndarray, sizes: np.ndarray, batch: int = 128) -> np.ndarray:
+    def classes(self, packed: np.ndarray, sizes: np.ndarray, batch: int = 64) -> np.ndarray:
         """log10 probability of the classes of each run's words (runs in a row, of these sizes of
-        ids), each scored once in overlapping windows."""
+        ids), each scored once in overlapping windows: those with as many targets together."""
         flat, start, run = cut(packed, sizes, OVERLAP + 1, OVERLAP)
         given, target = flat >> 8, flat & 255
-        out = np.zeros(len(sizes))
+        targets = np.flatnonzero(target != NONE)
+        first = np.searchsorted(targets, start + OVERLAP + 1)
+        n = np.searchsorted(targets, start + WINDOW + 1) - first
+        order = np.argsort(n.astype(np.int16), kind="stable")
+        edge = np.searchsorted(n[order], np.arange(WINDOW + 1)).tolist()
+        total = np.zeros(len(start))
         span = np.arange(WINDOW)[None, :]
-        for at in range(0, len(start), batch):
-            place = start[at : at + batch, None] + span
-            where, got = self.tables.scores(given[place], target[place + 1], OVERLAP)
-            own = run[at : at + batch]
-            # as whole numbers, so that sums don't depend on where in a slice a text stands
-            out[own[0] : own[-1] + 1] += np.bincount(own[where // (WINDOW - OVERLAP)] - own[0], weights=np.rint(got.astype(float) * (1 << 26)), minlength=own[-1] - own[0] + 1)
-        return out / (1 << 26) / math.log(10)
+        for k in range(1, WINDOW - OVERLAP + 1):
+            for at in range(edge[k], edge[k + 1], batch):
+                w = order[at : min(at + batch, edge[k + 1])]
+                begin = start[w][:, None]
+                place = targets[first[w][:, None] + span[:, :k]]
+                got = self.tables.scores(given[begin + span], place - 1 - begin, target[place])
+                # as whole numbers, so that sums don't depend on where in a slice a text stands
+                total[w] = np.rint(got.astype(float) * (1 << 26)).sum(1)
+        return np.bincount(run, weights=total, minlength=len(sizes)) / (1 << 26) / math.log(10)
 
 
 _SCORERS: list[tuple[Model, Scorer]] = []

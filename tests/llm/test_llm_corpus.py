@@ -675,6 +675,61 @@ def test_sums_of_stretches():
         assert np.allclose(lm._sums(x, first), np.reshape(want, (-1, 5)), atol=1e-4)
 
 
+def test_rows_by_input():
+    r = np.random.default_rng(8)
+    for n in (0, 1, 40, 3000):
+        inputs = np.minimum(r.zipf(1.4, n), 90).astype(np.int16)
+        x = r.standard_normal((n, 3))
+        g = lm.Groups(inputs)
+        assert sorted(g.order.tolist()) == list(range(n)) and sorted(g.inputs.tolist()) == sorted(set(inputs.tolist()))
+        want = np.reshape([x[inputs == i].sum(0) for i in g.inputs], (-1, 3))
+        assert np.allclose(g.sums(x[g.order]), want)
+        table, rows = r.standard_normal((len(g.inputs), 3)), np.zeros((n, 3))
+        g.add(rows, table)
+        assert (g.inputs[[int(np.flatnonzero((table == row).all(1))[0]) for row in rows]] == inputs[g.order]).all() if n else True
+
+
+def test_gradients_of_unlike_windows():
+    """Windows with all, some and no targets, in more than one block, against the sum of each window's own; nothing has no gradient."""
+    r = np.random.default_rng(11)
+    net = lm.Net(*[a.astype(float) for a in random_net(5)])
+    b = lm.BLOCK + 9
+    c, t = r.integers(0, 40, (b, lm.WINDOW)), r.integers(0, lm.CLASSES, (b, lm.WINDOW))
+    t[r.random(t.shape) < r.random((b, 1))] = lm.NONE
+    t[3], t[4] = lm.NONE, np.arange(lm.WINDOW)
+    weight = r.random(b) + 0.5
+
+    def full(c, t, w):
+        loss, g = lm.gradients(net, c, t, w)
+        out = []
+        for a, x in zip(net, g):
+            dense = np.zeros_like(a)
+            dense[x[0] if isinstance(x, tuple) else slice(None)] = x[1] if isinstance(x, tuple) else x
+            out.append(dense)
+        return [loss, *out]
+
+    got = full(c, t, weight)
+    mass = (t != lm.NONE).sum(1) * weight
+    own = [full(c[i : i + 1], t[i : i + 1], weight[i : i + 1]) for i in range(b)]
+    for k, x in enumerate(got):
+        assert np.allclose(x, sum(own[i][k] * mass[i] for i in range(b)) / mass.sum(), atol=1e-12)
+    assert all(not np.any(x) for x in own[3])
+
+
+def test_only_places_with_a_target_look_back(monkeypatch):
+    """Scoring makes as many rows of attention and of classes as there are words and ends, not one for each id."""
+    made, kept = [], lm.Tables.scores
+    monkeypatch.setattr(lm.Tables, "scores", lambda self, *a: (made.append(kept(self, *a)), made[-1])[1])
+    r, s = np.random.default_rng(12), lm.Scorer.__new__(lm.Scorer)
+    s.tables = lm.Tables(random_net(1))
+    target = np.where(r.random(5000) < 0.6, lm.NONE, r.integers(0, lm.CLASSES, 5000))
+    packed, sizes = r.integers(0, lm.INPUTS, 5000) * 256 + target, np.array([0, 4000, 1, 999])
+    alone = [s.classes(x, np.array([len(x)]))[0] for x in np.split(packed, np.cumsum(sizes)[:-1])]
+    made.clear()
+    assert s.classes(packed, sizes).tolist() == alone
+    assert sum(x.size for x in made) == (target != lm.NONE).sum()
+
+
 def test_averages_by_a_tree(spark):
     r = np.random.default_rng(9)
     rows = [(k, float(r.integers(1, 50)), r.standard_normal(7).astype(np.float32).tolist()) for k in range(600) if k % 7]
